@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = {"op8_substring_dedup": "substring_dedup"}
+MODULES = {
+    "op3_byte_bpe": "bpe",
+    "op8_substring_dedup": "substring_dedup",
+}
 
 
 def queries() -> dict:
