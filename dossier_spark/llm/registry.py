@@ -7,6 +7,7 @@ import importlib
 MODULES = {
     "op3_byte_bpe": "bpe",
     "op8_substring_dedup": "substring_dedup",
+    "op10_warc": "warc",
 }
 
 
