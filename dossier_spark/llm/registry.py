@@ -6,6 +6,7 @@ import importlib
 
 MODULES = {
     "op3_byte_bpe": "bpe",
+    "op6_near_dedup": "near_dedup",
     "op8_substring_dedup": "substring_dedup",
     "op10_warc": "warc",
 }
