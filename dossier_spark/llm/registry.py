@@ -8,6 +8,7 @@ MODULES = {
     "op3_byte_bpe": "bpe",
     "op6_near_dedup": "near_dedup",
     "op8_substring_dedup": "substring_dedup",
+    "op9_toxicity": "toxicity",
     "op10_warc": "warc",
 }
 
