@@ -10,10 +10,12 @@ A pair at similarity 0.75 stays together at a level with probability 1 - 0.25^2
 one tree finds it with probability of 0.58 or more at depth 5 and TREES = 10 trees miss it with under
 0.0002; most nodes end at depth 1, where all ten miss it with 0.000001.
 
-Dense nodes (still large at the last level) are split into parts of PART members by key. A part proposes
-only its best few pairs for each current class, then proposals are confirmed, classes merge and the rest
-is proposed again with a larger bound, members outside the node's main class visiting all parts. The loop
-ends when no pair between different classes is left unproposed, so no link that joins two classes is lost.
+The work goes in rounds over classes. In the first round each member of a first-level node, or of a part
+of PART members of a large one, proposes its best few pairs; confirmed ones merge into classes. Only then
+do large nodes branch, and not those whose members but OUTSIDE few are one class already: groups of near
+copies are settled by a number of pairs in proportion to their size. The next rounds propose all remaining
+pairs between different classes, with growing bounds, members outside a node's main class visiting all its
+parts, until none is left unproposed; so no link that joins two classes is lost to a bound.
 
 Defined results: no words or null text means an empty set, linked with nothing; component_id is the
 smallest non-null doc_id reachable (null if all are null); rows with equal sets share a class; repeated
@@ -34,9 +36,9 @@ from . import common as C
 
 SHINGLE, NUM, DEN = 5, 75, 100
 TOKENS, TREES, BRANCH, DEPTH = 128, 10, 2, 5
-NODE, PART = 50, 2048
+NODE, PART, OUTSIDE = 50, 1024, 256
 SLACK = 3.5
-FIRST_BOUND = 4
+FIRST_BOUND = 3
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -208,8 +210,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     owner = C.written(one, "owner")
     reps = signed.join(owner, (signed["digest"] == owner["digest"]) & (signed["k"] == owner["rep"]), "left_semi").dropDuplicates(["k"])
 
-    leaves = _grow(reps, tokens, node, part, depth)
-    links = _links(docs, leaves, num, den, size, tokens, part)
+    links = _links(docs, reps, num, den, size, tokens, node, part, depth)
     comp = components(links)
     # the classes of representatives, then of rows
     named = owner.join(comp, owner["rep"] == comp["k"], "left").select("digest", F.coalesce("c", "rep").alias("c"))
@@ -219,73 +220,84 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _grow(reps: DataFrame, tokens: int, node: int, part: int, depth: int) -> DataFrame:
-    """Members (node, part, parts, k, sig) of the trees' leaves with two members or more."""
+def _first_level(reps: DataFrame, part: int, node: int) -> DataFrame:
+    """Members of the nodes of two or more at the first level of all trees."""
     keys = reps.select("k", F.explode("nodes").alias("node"))
     counts = keys.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    members = C.written(keys.join(counts, "node").join(reps.select("k", "sig"), "k").select("node", "k", "sig", "n"), "level")
-    done = []
+    return C.written(_dealt(keys.join(counts, "node").join(reps.select("k", "sig"), "k"), part), "level")
+
+
+def _dealt(members: DataFrame, part: int) -> DataFrame:
+    """Members with the part of their node they are dealt to."""
+    parts = F.ceil(F.col("n") / F.lit(part)).cast("int")
+    return members.select("node", "k", "sig", "n", parts.alias("parts"), F.pmod(F.xxhash64("k"), parts).cast("int").alias("part"))
+
+
+def _grow(members: DataFrame, comp: DataFrame, tokens: int, node: int, part: int, depth: int) -> DataFrame:
+    """The leaves: small nodes, nodes with few members outside their main class, and what is left at `depth`."""
+    out = members.filter(F.col("n") <= node)
     for level in range(1, depth + 1):
-        done.append(members.filter(F.col("n") <= node) if level < depth else members)
         large = members.filter(F.col("n") > node)
-        if level == depth or large.limit(1).count() == 0:
+        if large.limit(1).count() == 0:
             break
-        below = C.written(large.select("node", "k", "sig").mapInArrow(_branch(tokens, BRANCH), "node long, k long, sig binary"), "branch")
+        if level == depth:
+            return C.written(out.unionByName(large), "leaves")
+        named = large.select("node", "k", "n").join(comp, "k", "left").select("node", F.coalesce("c", "k").alias("c"), "n")
+        mains = named.groupBy("node", "c").agg(F.count("*").alias("m"), F.first("n").alias("n")).groupBy("node").agg((F.first("n") - F.max("m")).alias("outside"))
+        mains = C.written(mains, "mains")
+        settled = mains.filter(F.col("outside") <= OUTSIDE).select("node")
+        out = out.unionByName(large.join(settled, "node", "left_semi"))
+        below = C.written(large.join(settled, "node", "left_anti").select("node", "k", "sig").mapInArrow(_branch(tokens, BRANCH), "node long, k long, sig binary").dropDuplicates(["node", "k"]), "branch")
         counts = below.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        members = C.written(below.join(counts, "node").select("node", "k", "sig", "n"), "level")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    parts = F.ceil(F.col("n") / F.lit(part)).cast("int")
-    return C.written(out.select("node", "k", "sig", parts.alias("parts"), F.pmod(F.xxhash64("k"), parts).cast("int").alias("part"), (F.col("n") > node).alias("dense")), "leaves")
+        members = C.written(_dealt(below.join(counts, "node"), part), "level")
+        out = out.unionByName(members.filter(F.col("n") <= node))
+    return C.written(out, "leaves")
 
 
-def _links(docs: DataFrame, leaves: DataFrame, num: int, den: int, size: int, tokens: int, part: int) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, num: int, den: int, size: int, tokens: int, node: int, part: int, depth: int) -> DataFrame:
     """Confirmed links (a, b) that together give the classes of all links."""
-    spark = docs.sparkSession
     j = num / den
     floor = max(1, int(np.floor(tokens * (j - SLACK * np.sqrt(j * (1 - j) / tokens)))))
-    pairs_type = "a long, b long"
-    small, dense = leaves.filter("not dense"), leaves.filter("dense")
-    propose = lambda m, bound: m.groupBy("node", "part").applyInArrow(_propose(tokens, floor, bound), pairs_type)
-    first = propose(small.withColumn("c", F.col("k")), None)
-    has_dense = dense.limit(1).count() > 0
-    bound = FIRST_BOUND
-    if has_dense:
-        first = first.unionByName(propose(dense.withColumn("c", F.col("k")), bound))
-    wanted = C.written(first.distinct(), "pairs")
-    keys = wanted.select(F.col("a").alias("k")).union(wanted.select(F.col("b").alias("k")))
-    if has_dense:
-        keys = keys.union(dense.select("k"))
-    keys = keys.filter("k is not null").distinct()
-    full = docs.select("k", "text").join(keys, "k", "left_semi").mapInArrow(_sets(size), "k long, shingles binary").dropDuplicates(["k"])
-    full = C.written(full, "sets")
-    sa, sb = full.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
+    propose = lambda m, bound: m.groupBy("node", "part").applyInArrow(_propose(tokens, floor, bound), "a long, b long").distinct()
+    full = None
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.filter("a is not null").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
+        """Pairs with whether their full sets are similar enough; fetches the sets not yet at hand."""
+        nonlocal full
+        pairs = pairs.filter("a is not null")
+        keys = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+        if full is not None:
+            keys = keys.join(full.select("k"), "k", "left_anti")
+        new = C.written(docs.select("k", "text").join(keys, "k", "left_semi").mapInArrow(_sets(size), "k long, shingles binary").dropDuplicates(["k"]), "sets")
+        full = new if full is None else full.unionByName(new)
+        sa, sb = full.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
+        both = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
         return C.written(both.mapInArrow(_confirm(num, den), "a long, b long, linked boolean"), "checked")
 
-    checked = confirmed(wanted)
-    held = has_dense
-    while held:
-        comp = components(checked.filter("linked").select("a", "b"))
+    first = _first_level(reps, part, node)
+    bound = FIRST_BOUND
+    checked = confirmed(C.written(propose(first.select("node", "part", "k", "sig", F.col("k").alias("c")), bound), "pairs"))
+    comp = components(checked.filter("linked").select("a", "b"))
+    leaves = _grow(first, comp, tokens, node, part, depth)
+    while True:
         bound *= 16
-        m = dense.join(comp, "k", "left").withColumn("c", F.coalesce("c", "k"))
-        sizes = m.groupBy("node", "c").agg(F.countDistinct("k").alias("n"))
-        main = sizes.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-        m = C.written(m.join(main, "node"), "classes")
+        m = leaves.join(comp, "k", "left").select("node", "part", "parts", "k", "sig", F.coalesce("c", "k").alias("c"))
         own = m.select("node", "part", "k", "sig", "c")
-        visit = m.filter("c <> main and parts > 1").select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", "sig", "c")
-        limit = None if bound >= 16 * part else bound
-        more = C.written(propose(own.unionByName(visit), limit).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        split = m.filter("parts > 1")
+        if split.limit(1).count():
+            sizes = split.groupBy("node", "c").agg(F.count("*").alias("n"))
+            main = sizes.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+            outside = split.join(main, "node").filter("c <> main")
+            own = own.unionByName(outside.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", "sig", "c"))
+        more = propose(own, None if bound >= part else bound)
+        more = C.written(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         held = more.filter("a is null").limit(1).count() > 0
-        if more.filter("a is not null").limit(1).count() == 0:
+        if more.filter("a is not null").limit(1).count():
+            checked = C.written(checked.unionByName(confirmed(more)), "checked")
             if held:
-                continue
-            break
-        checked = C.written(checked.unionByName(confirmed(more)), "checked")
-    return checked.filter("linked").select("a", "b")
+                comp = components(checked.filter("linked").select("a", "b"))
+        if not held:
+            return checked.filter("linked").select("a", "b")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def test_small(spark):
 def test_dense(spark, part):
     rows = rows_of(2, [(250, 100, 9), (1, 50, 0), (40, 60, 4)])
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(df, node=8, part=part, depth=2) == brute(rows)
+    assert got(df, node=8, part=part, depth=3) == brute(rows)
 
 
 def test_whole_table(spark, sf):
