@@ -7,6 +7,7 @@ import importlib
 MODULES = {
     "op3_byte_bpe": "bpe",
     "op6_near_dedup": "near_dedup",
+    "op7_language_id": "language_id",
     "op8_substring_dedup": "substring_dedup",
     "op9_toxicity": "toxicity",
     "op10_warc": "warc",
