@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-STATES, WORDS, LONG = 100_000, 300_000, 64
+STATES, WORDS, LONG = 250_000, 500_000, 64
 
 
 def default_path() -> str:
@@ -50,23 +51,35 @@ class Transducer:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.open = {t[:i] for t in ranks for i in range(1, len(t))}
         self.whole: dict[int, bool] = {}
+        self.split: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
+        self.ids: dict[tuple[int, bytes], int] = {}
         self.states: list[tuple] = []
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.arcs: list[dict[int, tuple]] = []
         self.finals: list[tuple[int, ...]] = []
-        self.intern((((-1,), b""),))
-
-    def intern(self, state: tuple) -> int:
-        if (at := self.ids.get(state)) is None:
-            at = self.ids[state] = len(self.states)
-            self.states.append(state)
-            self.finals.append(next(path[1:] for path, part in state if not part))
+        self.intern(-1, b"", (-1,), (0,), (0,))
+
+    def intern(self, anchor: int, pending: bytes, tokens: tuple, starts: tuple, live: tuple) -> int:
+        """A state: the last token emitted, the bytes since, and for each place in them the token that ends
+        there, where it starts, and which places still begin some token. The first two fix the rest."""
+        if (at := self.ids.get((anchor, pending))) is None:
+            at = self.ids[anchor, pending] = len(self.states)
+            self.states.append((anchor, pending, tokens, starts, live))
+            self.arcs.append({})
+            self.finals.append(self.path(tokens, starts, len(pending)))
         return at
 
+    @staticmethod
+    def path(tokens: tuple, starts: tuple, at: int) -> tuple[int, ...]:
+        out = []
+        while at:
+            out.append(tokens[at])
+            at = starts[at]
+        return tuple(out[::-1])
+
     def merged(self, data: bytes) -> list[int]:
         """BPE of a few bytes by its definition: join the pair of least rank, leftmost first."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -77,50 +90,99 @@ class Transducer:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose join made this one; itself twice if it is one byte."""
+        if (known := self.split.get(token)) is None:
+            data = self.bytes_of[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                _, i = min((r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None and r < token)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            known = self.split[token] = (self.ranks[parts[0]], self.ranks[parts[-1]])
+        return known
+
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether BPE leaves the two tokens as they are: taking their joins back, latest first, at no time
+        may the two neighbours at the border have had a join that comes before the next step of either."""
+        if (known := self.pairs.get((a, b))) is not None:
+            return known
+        if len(self.pairs) > 4 * self.max_states:
+            self.pairs.clear()
+        out = self.pairs[a, b] = self._border_holds(a, b)
+        return out
+
+    def _border_holds(self, a: int, b: int) -> bool:
+        if not (self.is_whole(b) and (a < 0 or self.is_whole(a))):
+            return False
         if a < 0:
-            if b not in self.whole:
-                self.whole[b] = self.merged(self.bytes_of[b]) == [b]
-            return self.whole[b]
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 4 * self.max_states:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            return True
+        rank, data, before = self.ranks.get, self.bytes_of, 1 << 60
+        while True:
+            join = rank(data[a] + data[b])
+            if join is not None and join < before:
+                return False
+            left, right = len(data[a]) > 1, len(data[b]) > 1
+            if not left and not right:
+                return True
+            # of equal joins the left one comes first, so a join at the border must be strictly before
+            # the left token's and may equal the right token's
+            if left and (a > b or not right):
+                before, a = a, self.halves(a)[1]
+            else:
+                before, b = b + 1, self.halves(b)[0]
+
+    def is_whole(self, token: int) -> bool:
+        if (known := self.whole.get(token)) is None:
+            known = self.whole[token] = self.merged(self.bytes_of[token]) == [token]
         return known
 
-    def arc(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live, ended, c = [], None, bytes((byte,))
-        for path, part in self.states[at]:
-            longer = part + c
-            if longer in self.open:
-                live.append((path, longer))
-            if ended is None and (token := self.ranks.get(longer)) is not None and self.may_follow(path[-1], token):
-                ended = ((*path, token), b"")
-        if ended is None:
+    def arc(self, at: int, byte: int) -> tuple[int, tuple[int, ...], dict]:
+        """Makes an arc: next state, tokens emitted, and that state's arcs."""
+        anchor, pending, tokens, starts, live = self.states[at]
+        longer, ranks = pending + bytes((byte,)), self.ranks
+        n, token, start = len(longer), -1, -1
+        for j in live:
+            t = ranks.get(longer[j:])
+            if t is not None and self.may_follow(tokens[j], t):
+                token, start = t, j
+                break
+        if start < 0:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        live.append(ended)
-        shared = min(len(p) for p, _ in live)
-        first = live[0][0]
-        n = next((i for i in range(shared) if any(p[i] != first[i] for p, _ in live)), shared)
-        out = self.arcs[at << 8 | byte] = (self.intern(tuple((p[n - 1 :], part) for p, part in live)), first[1:n])
-        return out
+        tokens, starts = (*tokens, token), (*starts, start)
+        still = [j for j in live if longer[j:] in self.open]
+        # the last place that the paths of all open hypotheses pass through
+        cut = n
+        if still:
+            shared = None
+            for j in (n, *still):
+                seen = {j}
+                while j:
+                    j = starts[j]
+                    seen.add(j)
+                shared = seen if shared is None else shared & seen
+            cut = max(shared)
+        out = self.path(tokens, starts, cut) if cut else ()
+        to = self.intern(tokens[cut], longer[cut:], tokens[cut:], tuple(x - cut for x in starts[cut:]), tuple(j - cut for j in (*still, n)))
+        step = self.arcs[at][byte] = (to, out, self.arcs[to])
+        return step
 
     def encode(self, word: bytes) -> list[int]:
         if (token := self.ranks.get(word)) is not None:
             return [token]
         if len(self.states) > self.max_states:
             self.reset()
-        at, out, arcs = 0, [], self.arcs
+        at, out, arcs = 0, [], self.arcs[0]
         for byte in word:
-            step = arcs.get(at << 8 | byte)
+            step = arcs.get(byte)
             if step is None:
                 if len(self.states) > 4 * self.max_states:
-                    out_state = self.states[at]
+                    here = self.states[at]
                     self.reset()
-                    at, arcs = self.intern(out_state), self.arcs
+                    at = self.intern(*here)
                 step = self.arc(at, byte)
-            at = step[0]
-            out += step[1]
+            at, emitted, arcs = step
+            if emitted:
+                out += emitted
         out += self.finals[at]
         return out
 
@@ -166,12 +228,20 @@ class Codec:
         self.transducer = t = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
         self.tokens = t.bytes_of
+        pack = [struct.Struct(f"<{n}I").pack for n in range(9)]
 
         class Words(dict):
+            """Known words; when full, they become the older half and are dropped if not met again."""
+
+            older: dict[str, bytes] = {}
+
             def __missing__(self, word: str) -> bytes:
-                packed = np.array(t.encode(word.encode()), "<u4").tobytes()
+                if (packed := self.older.get(word)) is None:
+                    ids = t.encode(word.encode())
+                    packed = pack[len(ids)](*ids) if len(ids) < len(pack) else np.array(ids, "<u4").tobytes()
                 if len(word) <= LONG:
                     if len(self) >= WORDS:
+                        self.older = dict(self)
                         self.clear()
                     self[word] = packed
                 return packed

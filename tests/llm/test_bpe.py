@@ -42,6 +42,15 @@ def test_transducer_is_bpe(ranks, lib):
             assert t.encode(raw) == t.merged(raw)
 
 
+def test_border_rule(ranks):
+    t = bpe.Transducer(ranks)
+    r = random.Random(9)
+    whole = [i for i in range(0, 50_256, 3) if t.is_whole(i)]
+    for _ in range(40_000):
+        a, b = r.choice(whole), r.choice(whole[:3000] if r.random() < 0.5 else whole)
+        assert t.may_follow(a, b) == (t.merged(t.bytes_of[a] + t.bytes_of[b]) == [a, b]), (a, b)
+
+
 def test_utf8_machine():
     data = "aé日🙂z".encode()
     for cut in range(len(data) + 1):
