@@ -5,7 +5,8 @@ BPE makes of their joint bytes, so each prefix of a word has one valid sequence.
 all open hypotheses at once: where the last token began, and the bytes since. Reading a byte extends the
 hypotheses that still begin some token and adds the one whose last token ends here. What all hypotheses
 share is emitted, so output lags input by less than the longest token. Sets of hypotheses are the states;
-they and their arcs are made when first reached and kept in a table of bounded size. A piece that is
+they and their arcs are made when first reached and kept in a table of bounded size; once it is full,
+further states are made for the word at hand and not kept. A piece that is
 itself a token is that token, as in the library whose ids are matched.
 
 Decoding. Token bytes go through a UTF-8 state machine that keeps an unfinished character for the next block.
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-STATES, WORDS, LONG = 250_000, 500_000, 64
+STATES, WORDS, LONG = 400_000, 500_000, 64
 
 
 def default_path() -> str:
@@ -53,23 +54,23 @@ class Transducer:
         self.whole: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
         self.ids: dict[tuple[int, bytes], int] = {}
         self.states: list[tuple] = []
         self.arcs: list[dict[int, tuple]] = []
         self.finals: list[tuple[int, ...]] = []
-        self.intern(-1, b"", (-1,), (0,), (0,))
-
-    def intern(self, anchor: int, pending: bytes, tokens: tuple, starts: tuple, live: tuple) -> int:
-        """A state: the last token emitted, the bytes since, and for each place in them the token that ends
-        there, where it starts, and which places still begin some token. The first two fix the rest."""
-        if (at := self.ids.get((anchor, pending))) is None:
-            at = self.ids[anchor, pending] = len(self.states)
-            self.states.append((anchor, pending, tokens, starts, live))
+        self.intern((-1, b"", (-1,), (0,), (0,)))
+
+    def intern(self, state: tuple) -> int:
+        """The number of a state: the last token emitted, the bytes since, and for each place in them the token
+        that ends there, where it starts, and which places still begin some token. The first two fix the rest.
+        -1 if the table is full; such a state serves the word at hand only."""
+        if (at := self.ids.get(state[:2])) is None:
+            if len(self.states) >= self.max_states:
+                return -1
+            at = self.ids[state[:2]] = len(self.states)
+            self.states.append(state)
             self.arcs.append({})
-            self.finals.append(self.path(tokens, starts, len(pending)))
+            self.finals.append(self.path(state[2], state[3], len(state[1])))
         return at
 
     @staticmethod
@@ -106,7 +107,7 @@ class Transducer:
         may the two neighbours at the border have had a join that comes before the next step of either."""
         if (known := self.pairs.get((a, b))) is not None:
             return known
-        if len(self.pairs) > 4 * self.max_states:
+        if len(self.pairs) > 2 * self.max_states:
             self.pairs.clear()
         out = self.pairs[a, b] = self._border_holds(a, b)
         return out
@@ -136,9 +137,9 @@ class Transducer:
             known = self.whole[token] = self.merged(self.bytes_of[token]) == [token]
         return known
 
-    def arc(self, at: int, byte: int) -> tuple[int, tuple[int, ...], dict]:
-        """Makes an arc: next state, tokens emitted, and that state's arcs."""
-        anchor, pending, tokens, starts, live = self.states[at]
+    def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The state after one more byte, and the tokens that are certain now."""
+        _, pending, tokens, starts, live = state
         longer, ranks = pending + bytes((byte,)), self.ranks
         n, token, start = len(longer), -1, -1
         for j in live:
@@ -148,44 +149,56 @@ class Transducer:
                 break
         if start < 0:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        tokens, starts = (*tokens, token), (*starts, start)
+        starts = (*starts, start)
         still = [j for j in live if longer[j:] in self.open]
+        tokens = (*tokens, token)
+        if not still:
+            return (token, b"", (token,), (0,), (0,)), self.path(tokens, starts, n)
         # the last place that the paths of all open hypotheses pass through
-        cut = n
-        if still:
-            shared = None
-            for j in (n, *still):
-                seen = {j}
-                while j:
-                    j = starts[j]
-                    seen.add(j)
-                shared = seen if shared is None else shared & seen
-            cut = max(shared)
-        out = self.path(tokens, starts, cut) if cut else ()
-        to = self.intern(tokens[cut], longer[cut:], tokens[cut:], tuple(x - cut for x in starts[cut:]), tuple(j - cut for j in (*still, n)))
-        step = self.arcs[at][byte] = (to, out, self.arcs[to])
-        return step
+        shared = None
+        for j in (n, *still):
+            seen = {j}
+            while j:
+                j = starts[j]
+                seen.add(j)
+            shared = seen if shared is None else shared & seen
+        cut = max(shared)
+        if not cut:
+            return (tokens[0], longer, tokens, starts, (*still, n)), ()
+        to = (tokens[cut], longer[cut:], tokens[cut:], tuple(x - cut for x in starts[cut:]), tuple(j - cut for j in (*still, n)))
+        return to, self.path(tokens, starts, cut)
 
     def encode(self, word: bytes) -> list[int]:
         if (token := self.ranks.get(word)) is not None:
             return [token]
-        if len(self.states) > self.max_states:
-            self.reset()
         at, out, arcs = 0, [], self.arcs[0]
-        for byte in word:
-            step = arcs.get(byte)
-            if step is None:
-                if len(self.states) > 4 * self.max_states:
-                    here = self.states[at]
-                    self.reset()
-                    at = self.intern(*here)
-                step = self.arc(at, byte)
-            at, emitted, arcs = step
+        for i, byte in enumerate(word):
+            arc = arcs.get(byte)
+            if arc is None:
+                state, emitted = self.step(self.states[at], byte)
+                to = self.intern(state)
+                if to < 0:
+                    return self._finish(word, i + 1, state, [*out, *emitted])
+                arc = arcs[byte] = (to, emitted, self.arcs[to])
+            at, emitted, arcs = arc
             if emitted:
                 out += emitted
         out += self.finals[at]
         return out
 
+    def _finish(self, word: bytes, i: int, state: tuple, out: list[int]) -> list[int]:
+        """The rest of a word from a state outside the full table."""
+        for byte in word[i:]:
+            at = self.ids.get(state[:2], -1)
+            arc = self.arcs[at].get(byte) if at >= 0 else None
+            if arc is not None:
+                state, emitted = self.states[arc[0]], arc[1]
+            else:
+                state, emitted = self.step(state, byte)
+            out += emitted
+        out += self.path(state[2], state[3], len(state[1]))
+        return out
+
 
 def _utf8_steps() -> dict[str, list[tuple[int, int, str]]]:
     """State -> (first byte, last byte, next state); '' accepts, n is n bytes to come, others restrict the next byte."""
