@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op1_html_text": "html_text",
     "op3_byte_bpe": "bpe",
     "op6_near_dedup": "near_dedup",
     "op7_language_id": "language_id",
