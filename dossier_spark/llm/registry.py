@@ -6,6 +6,7 @@ import importlib
 
 MODULES = {
     "op1_html_text": "html_text",
+    "op2_progressive_jpeg": "jpeg",
     "op3_byte_bpe": "bpe",
     "op6_near_dedup": "near_dedup",
     "op7_language_id": "language_id",
