@@ -10,12 +10,13 @@ A pair at similarity 0.75 stays together at a level with probability 1 - 0.25^2
 one tree finds it with probability of 0.58 or more at depth 5 and TREES = 10 trees miss it with under
 0.0002; most nodes end at depth 1, where all ten miss it with 0.000001.
 
-The work goes in rounds over classes. In the first round each member of a first-level node, or of a part
-of PART members of a large one, proposes its best few pairs; confirmed ones merge into classes. Only then
-do large nodes branch, and not those whose members but OUTSIDE few are one class already: groups of near
-copies are settled by a number of pairs in proportion to their size. The next rounds propose all remaining
-pairs between different classes, with growing bounds, members outside a node's main class visiting all its
-parts, until none is left unproposed; so no link that joins two classes is lost to a bound.
+The work goes in two rounds. In the first each member of a first-level node, or of a part of PART members of
+a large one, proposes its best few pairs; confirmed ones merge into classes. Only then do large nodes branch,
+and not those where few members are outside one main class (VISITS comparisons at most): groups of near
+copies are settled by a number of pairs in proportion to their size. In the second round members outside a
+node's main class visit all its parts; members that may be linked with another class bring their full sets,
+and each part tests all such pairs exactly, passing over classes it has already joined. No link that joins
+two classes is lost to a bound.
 
 Defined results: no words or null text means an empty set, linked with nothing; component_id is the
 smallest non-null doc_id reachable (null if all are null); rows with equal sets share a class; repeated
@@ -36,7 +37,7 @@ from . import common as C
 
 SHINGLE, NUM, DEN = 5, 75, 100
 TOKENS, TREES, BRANCH, DEPTH = 128, 10, 2, 5
-NODE, PART, OUTSIDE = 50, 1024, 256
+NODE, PART, VISITS = 1024, 1024, 1 << 22
 SLACK = 3.5
 FIRST_BOUND = 3
 
@@ -113,33 +114,35 @@ def _branch(tokens: int, branch: int) -> Callable:
     return run
 
 
-def _propose(tokens: int, floor: int, bound: int | None) -> Callable:
-    """Pairs of one node part between different classes whose tokens agree on `floor` places or more.
+def _members(members: pa.Table, tokens: int):
+    """Distinct members of a node part by key: order, keys, classes, tokens."""
+    k = members["k"].to_numpy()
+    order = np.argsort(k, kind="stable")
+    order = order[np.r_[True, k[order][1:] != k[order][:-1]]] if len(k) else order
+    blobs = members["sig"].to_pylist()
+    return order, k[order], members["c"].to_numpy()[order], np.frombuffer(b"".join(blobs[i] for i in order), np.uint32).reshape(len(order), tokens)
 
-    With a bound, each class of each member proposes at most that many, its best; a last row (null, null)
-    says that some were held back.
-    """
+
+def _agreements(c: np.ndarray, sig: np.ndarray, floor: int):
+    """Blocks of rows: first row, agreements with all members, and where classes differ and enough places agree."""
+    n, tokens = sig.shape
+    step = max(1, (1 << 22) // max(1, n * tokens))
+    for lo in range(0, n, step):
+        block = sig[lo : lo + step]
+        agree = np.zeros((len(block), n), np.uint8)
+        for t in range(0, tokens, 32):
+            agree += (block[:, None, t : t + 32] == sig[None, :, t : t + 32]).sum(2, dtype=np.uint8)
+        yield lo, agree, (agree >= floor) & (c[lo : lo + step, None] != c[None, :])
+
+
+def _propose(tokens: int, floor: int, bound: int) -> Callable:
+    """The best `bound` pairs of each member of a node part whose tokens agree on `floor` places or more."""
 
     def run(members: pa.Table) -> pa.Table:
-        k = members["k"].to_numpy()
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], members["c"].to_numpy()[order]
-        blobs = members["sig"].to_pylist()
-        sig = np.frombuffer(b"".join(blobs[i] for i in order), np.uint32).reshape(len(k), tokens)
-        uniq = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-        k, c, sig = k[uniq], c[uniq], sig[uniq]
-        a_out, b_out, held = [], [], False
-        step = max(1, (1 << 22) // max(1, len(k) * tokens))
-        for lo in range(0, len(k), step):
-            block = sig[lo : lo + step]
-            agree = np.zeros((len(block), len(k)), np.uint8)
-            for t in range(0, tokens, 32):
-                agree += (block[:, None, t : t + 32] == sig[None, :, t : t + 32]).sum(2, dtype=np.uint8)
-            ok = (agree >= floor) & (c[lo : lo + step, None] != c[None, :])
-            if bound is None:
-                ok &= np.arange(lo, lo + len(block))[:, None] < np.arange(len(k))[None, :]
-            elif (ok.sum(1) > bound).any():
-                held = True
+        _, k, c, sig = _members(members, tokens)
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, agree, ok in _agreements(c, sig, floor):
+            if (ok.sum(1) > bound).any():
                 score = np.where(ok, agree, 0).astype(np.int16)
                 best = np.argpartition(-score, min(bound, len(k) - 1), axis=1)[:, :bound]
                 few = np.zeros_like(ok)
@@ -147,18 +150,70 @@ def _propose(tokens: int, floor: int, bound: int | None) -> Callable:
                 ok &= few
             i, j = np.nonzero(ok)
             a_out.append(np.minimum(k[lo + i], k[j])), b_out.append(np.maximum(k[lo + i], k[j]))
-        a = np.concatenate(a_out) if a_out else np.zeros(0, np.int64)
-        b = np.concatenate(b_out) if b_out else np.zeros(0, np.int64)
+        a, b = np.concatenate(a_out), np.concatenate(b_out)
         if len(a):
             a, b = np.unique(np.stack([a, b], 1), axis=0).T
-        a, b = pa.array(a, pa.int64()), pa.array(b, pa.int64())
-        if held:
-            a, b = pa.concat_arrays([a, pa.nulls(1, pa.int64())]), pa.concat_arrays([b, pa.nulls(1, pa.int64())])
-        return pa.table({"a": a, "b": b})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _contested(tokens: int, floor: int) -> Callable:
+    """Members of a node part that may be linked with a member of another class."""
+
+    def run(members: pa.Table) -> pa.Table:
+        order, _, c, sig = _members(members, tokens)
+        hit = np.zeros(len(order), bool)
+        if len(c) and (c != c[0]).any():
+            for lo, _, ok in _agreements(c, sig, floor):
+                hit[lo : lo + len(ok)] |= ok.any(1)
+        return members.take(pa.array(order[hit], pa.int64())).select(["node", "part", "k", "sig", "c"])
+
+    return run
+
+
+def _resolve(tokens: int, floor: int, num: int, den: int) -> Callable:
+    """Exact links between the contested members of a node part; pairs of classes united here are passed over."""
+
+    def run(members: pa.Table) -> pa.Table:
+        order, k, c, sig = _members(members, tokens)
+        blobs = members["shingles"].to_pylist()
+        sets = [np.frombuffer(blobs[i], np.uint64) for i in order]
+        size = np.array([len(x) for x in sets])
+        pairs = []
+        for lo, agree, ok in _agreements(c, sig, floor):
+            ok &= np.arange(lo, lo + len(ok))[:, None] < np.arange(len(k))[None, :]
+            ok &= den * np.minimum(size[lo : lo + len(ok), None], size[None, :]) >= num * np.maximum(size[lo : lo + len(ok), None], size[None, :])
+            i, j = np.nonzero(ok)
+            pairs.append(np.stack([agree[i, j].astype(np.int64), lo + i, j], 1))
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+        pairs = pairs[np.argsort(-pairs[:, 0], kind="stable")]
+        up = {x: x for x in c.tolist()}
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        cl, links = c.tolist(), []
+        for _, i, j in pairs.tolist():
+            x, y = root(cl[i]), root(cl[j])
+            if x != y and similar(sets[i], sets[j], num, den):
+                up[x] = y
+                links.append((k[i], k[j]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """intersection * den >= union * num, for sorted distinct hashes."""
+    short, long = (x, y) if len(x) < len(y) else (y, x)
+    both = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def _sets(size: int) -> Callable:
     def run(batches):
         for batch in batches:
@@ -174,13 +229,7 @@ def _sets(size: int) -> Callable:
 def _confirm(num: int, den: int) -> Callable:
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                short, long = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                both = int((long[at] == short).sum())
-                ok.append(den * both >= num * (len(x) + len(y) - both))
+            ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
     return run
@@ -243,9 +292,9 @@ def _grow(members: DataFrame, comp: DataFrame, tokens: int, node: int, part: int
         if level == depth:
             return C.written(out.unionByName(large), "leaves")
         named = large.select("node", "k", "n").join(comp, "k", "left").select("node", F.coalesce("c", "k").alias("c"), "n")
-        mains = named.groupBy("node", "c").agg(F.count("*").alias("m"), F.first("n").alias("n")).groupBy("node").agg((F.first("n") - F.max("m")).alias("outside"))
+        mains = named.groupBy("node", "c").agg(F.count("*").alias("m"), F.first("n").alias("n")).groupBy("node").agg((F.first("n") - F.max("m")).alias("outside"), F.first("n").alias("n"))
         mains = C.written(mains, "mains")
-        settled = mains.filter(F.col("outside") <= OUTSIDE).select("node")
+        settled = mains.filter(F.col("outside") * F.col("n") <= VISITS).select("node")
         out = out.unionByName(large.join(settled, "node", "left_semi"))
         below = C.written(large.join(settled, "node", "left_anti").select("node", "k", "sig").mapInArrow(_branch(tokens, BRANCH), "node long, k long, sig binary").dropDuplicates(["node", "k"]), "branch")
         counts = below.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
@@ -258,46 +307,36 @@ def _links(docs: DataFrame, reps: DataFrame, num: int, den: int, size: int, toke
     """Confirmed links (a, b) that together give the classes of all links."""
     j = num / den
     floor = max(1, int(np.floor(tokens * (j - SLACK * np.sqrt(j * (1 - j) / tokens)))))
-    propose = lambda m, bound: m.groupBy("node", "part").applyInArrow(_propose(tokens, floor, bound), "a long, b long").distinct()
-    full = None
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs with whether their full sets are similar enough; fetches the sets not yet at hand."""
-        nonlocal full
-        pairs = pairs.filter("a is not null")
-        keys = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-        if full is not None:
-            keys = keys.join(full.select("k"), "k", "left_anti")
-        new = C.written(docs.select("k", "text").join(keys, "k", "left_semi").mapInArrow(_sets(size), "k long, shingles binary").dropDuplicates(["k"]), "sets")
-        full = new if full is None else full.unionByName(new)
-        sa, sb = full.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
-        return C.written(both.mapInArrow(_confirm(num, den), "a long, b long, linked boolean"), "checked")
 
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """The full shingle sets of keys."""
+        return C.written(docs.select("k", "text").join(keys, "k", "left_semi").mapInArrow(_sets(size), "k long, shingles binary").dropDuplicates(["k"]), "sets")
+
+    # first round: the best few pairs of each member, confirmed
     first = _first_level(reps, part, node)
-    bound = FIRST_BOUND
-    checked = confirmed(C.written(propose(first.select("node", "part", "k", "sig", F.col("k").alias("c")), bound), "pairs"))
-    comp = components(checked.filter("linked").select("a", "b"))
+    proposed = first.select("node", "part", "k", "sig", F.col("k").alias("c")).groupBy("node", "part").applyInArrow(_propose(tokens, floor, FIRST_BOUND), "a long, b long")
+    pairs = C.written(proposed.distinct(), "pairs")
+    full = sets_of(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct())
+    sa, sb = full.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
+    links = C.written(both.mapInArrow(_confirm(num, den), "a long, b long, linked boolean").filter("linked").select("a", "b"), "links")
+    comp = components(links)
+
+    # second round: what may still join two classes, settled exactly within the leaves
     leaves = _grow(first, comp, tokens, node, part, depth)
-    while True:
-        bound *= 16
-        m = leaves.join(comp, "k", "left").select("node", "part", "parts", "k", "sig", F.coalesce("c", "k").alias("c"))
-        own = m.select("node", "part", "k", "sig", "c")
-        split = m.filter("parts > 1")
-        if split.limit(1).count():
-            sizes = split.groupBy("node", "c").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-            outside = split.join(main, "node").filter("c <> main")
-            own = own.unionByName(outside.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", "sig", "c"))
-        more = propose(own, None if bound >= part else bound)
-        more = C.written(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        held = more.filter("a is null").limit(1).count() > 0
-        if more.filter("a is not null").limit(1).count():
-            checked = C.written(checked.unionByName(confirmed(more)), "checked")
-            if held:
-                comp = components(checked.filter("linked").select("a", "b"))
-        if not held:
-            return checked.filter("linked").select("a", "b")
+    m = leaves.join(comp, "k", "left").select("node", "part", "parts", "k", "sig", F.coalesce("c", "k").alias("c"))
+    own = m.select("node", "part", "k", "sig", "c")
+    split = m.filter("parts > 1")
+    if split.limit(1).count():
+        sizes = split.groupBy("node", "c").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+        outside = split.join(main, "node").filter("c <> main")
+        own = own.unionByName(outside.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", "sig", "c"))
+    contested = C.written(own.groupBy("node", "part").applyInArrow(_contested(tokens, floor), "node long, part int, k long, sig binary, c long"), "contested")
+    keys = contested.select("k").distinct()
+    more = sets_of(keys.join(full, "k", "left_anti"))
+    held = contested.join(full.unionByName(more), "k")
+    return C.written(links.unionByName(held.groupBy("node", "part").applyInArrow(_resolve(tokens, floor, num, den), "a long, b long")), "links")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
