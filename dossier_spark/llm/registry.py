@@ -8,6 +8,7 @@ MODULES = {
     "op1_html_text": "html_text",
     "op2_progressive_jpeg": "jpeg",
     "op3_byte_bpe": "bpe",
+    "op4_hnsw": "hnsw",
     "op6_near_dedup": "near_dedup",
     "op7_language_id": "language_id",
     "op8_substring_dedup": "substring_dedup",
