@@ -9,6 +9,7 @@ MODULES = {
     "op2_progressive_jpeg": "jpeg",
     "op3_byte_bpe": "bpe",
     "op4_hnsw": "hnsw",
+    "op5_source_mixing": "mixing",
     "op6_near_dedup": "near_dedup",
     "op7_language_id": "language_id",
     "op8_substring_dedup": "substring_dedup",

@@ -206,7 +206,8 @@ def _schema(ddl: str) -> pa.Schema:
 
 def _cut(window: int) -> Callable:
     def run(key, docs: pa.Table, found: pa.Table) -> pa.Table:
-        n_words, n_removed, kept = [], [], []
+        n_words, n_removed, kept, digests = [], [], [], []
+        whole = docs["text"].to_pylist()
         for lo, hi, b, s, e, n, base, r, at in _docs_with(docs, found):
             mark = np.zeros(len(s) + 1, np.int32)
             if len(r):
@@ -228,11 +229,13 @@ def _cut(window: int) -> Callable:
             seen = np.zeros(len(s) + 1, np.int64)
             np.cumsum(keep, out=seen[1:])
             raw = flat.tobytes()
-            for a, z in zip(size[seen[base]].tolist(), size[seen[base + n]].tolist(), strict=True):
-                kept.append(raw[a : max(a, z - 1)])
-        cols = {"rest": docs["rest"]} if docs.num_rows else {"rest": docs["rest"]}
+            for i, (a, z, cut) in enumerate(zip(size[seen[base]].tolist(), size[seen[base + n]].tolist(), n_removed[-1].tolist(), strict=True)):
+                words = raw[a : max(a, z - 1)]
+                digests.append(hashlib.sha256(words).hexdigest())
+                kept.append(words.decode() if cut else whole[lo + i] or "")
+        cols = {"rest": docs["rest"]}
         cols |= {"n_words": pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), "n_removed": pa.array(np.concatenate(n_removed) if n_removed else [], pa.int64())}
-        cols |= {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        cols |= {"kept_text": pa.array(kept, pa.string()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(cols)
 
     return run
@@ -241,7 +244,8 @@ def _cut(window: int) -> Callable:
 def remove_repeated_passages(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """Every row of df without its words under a window of `window` words that also starts anywhere else.
 
-    Returns df's columns but the text, then n_words, n_removed, kept_text, kept_sha256.
+    Returns df's columns but the text, then n_words, n_removed, kept_text (the kept words joined by one space;
+    the text as it was if all are kept) and kept_sha256 (of the kept words joined by one space).
     """
     assert is_cover(cover, period) and period < window
     spark = df.sparkSession

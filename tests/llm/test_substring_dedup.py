@@ -46,9 +46,9 @@ def test_planted(spark):
 def test_empty_and_clashing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeated_passages(df).count() == 0
-    df = spark.createDataFrame([(1, "a b", 5, 7, None)], "doc_id long, text string, n_words int, k int, part string")
+    df = spark.createDataFrame([(1, "a\n b", 5, 7, None)], "doc_id long, text string, n_words int, k int, part string")
     got = S.remove_repeated_passages(df).collect()[0]
-    assert (got.n_words, got.k, got.part, got.kept_text) == (2, 7, None, "a b")
+    assert (got.n_words, got.k, got.part, got.kept_text) == (2, 7, None, "a\n b")
 
 
 def test_whole_table(spark, sf):
