@@ -2,8 +2,8 @@
 
 Writing. A payload's bytes become quantised coefficients, the unit this format stores without loss: byte b
 of an AC place is the coefficient of size class 8 whose eight extra bits are b; the DC of block i is
-(-1)^i (256 + b). The picture is 4:2:0, its blocks fill Y, Cb and Cr in turn, and it is written in nine
-scans: DC first and refined, and per component AC by spectral selection and successive approximation.
+(-1)^i (256 + b). The picture is 4:2:0, its blocks fill Y, Cb and Cr in turn, and it is written in ten
+scans: DC, and per component AC by spectral selection (two bands of Y) and successive approximation.
 
 Reading. All scans are accumulated into one array of coefficients per component, as any decoder must:
 first scans set the high bits, refinement scans add the low bit. Then the blocks are inverse-transformed in
@@ -17,6 +17,7 @@ Equal texts give equal values. Texts of any length are stored whole: pictures gr
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -32,8 +33,9 @@ from . import common as C
 UNIT, PAD = 576, 255
 WIDE = 16  # macroblocks in a full row: 256 pixels
 SOI, SOF2, DHT, SOS, DQT, COM, EOI = 0xD8, 0xC2, 0xC4, 0xDA, 0xDB, 0xFE, 0xD9
+NEXT_MARKER = re.compile(b"\xff[^\x00]")
 SAMPLING = ((2, 2), (1, 1), (1, 1))
-DC_FIRST, DC_NEXT, AC_FIRST, EOB = 0x08, 0x09, 0x07, 0x00
+DC_FIRST, DC_NEXT, AC_FIRST, EOB = 0x09, 0x0A, 0x07, 0x00
 
 
 def zigzag() -> np.ndarray:
@@ -112,18 +114,15 @@ def entropy(bits: np.ndarray) -> bytes:
     fill = -len(bits) % 8
     if fill:
         bits = np.concatenate([bits, np.ones(fill, np.uint8)])
-    raw = np.packbits(bits)
-    full = np.flatnonzero(raw == 0xFF)
-    return (np.insert(raw, full + 1, 0) if len(full) else raw).tobytes()
+    return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def one_code(kind: int, ident: int, symbol: int) -> bytes:
-    """A Huffman table with the single code 0."""
-    return segment(DHT, bytes([kind << 4 | ident, 1, *[0] * 15, symbol]))
+# Huffman tables: DC 0 with codes 0 and 10, AC 0 (first scans) and AC 1 (refinement) with the single code 0.
+TABLES = segment(DHT, bytes([0x00, 1, 1, *[0] * 14, DC_FIRST, DC_NEXT, 0x10, 1, *[0] * 15, AC_FIRST, 0x11, 1, *[0] * 15, EOB]))
 
 
 def scan(components: tuple[int, ...], table: int, band: tuple[int, int], high: int, low: int, bits: np.ndarray) -> bytes:
@@ -136,31 +135,26 @@ def write_jpeg(payload: bytes) -> bytes:
     high, wide = at.high * 16, at.wide * 16
     frame = struct.pack(">BHHB", 8, high, wide, 3) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(SAMPLING))
     out = [b"\xff\xd8", segment(COM, struct.pack(">Q", len(payload))), segment(DQT, bytes([0]) + b"\x01" * 64), segment(SOF2, frame)]
+    out.append(TABLES)
     for i, c in enumerate(parts):
-        # DC differences of the halved values: size class 8 for the first block, 9 for the others
-        dc = (c[:, 0] >> 1).astype(np.int32)
-        diff = np.diff(dc, prepend=0)
-        if int(np.abs(diff[1:]).min(initial=256)) < 256 or int(np.abs(diff[1:]).max(initial=256)) > 511 or not 128 <= abs(int(diff[0])) < 256:
-            raise AssertionError("DC out of its size class")
-        bits = [np.array([0], np.uint8), np.unpackbits(np.array([diff[0]], np.uint8))]
-        if len(diff) > 1:
-            d = diff[1:]
-            rest = field_bits(np.where(d > 0, d, d + 511), 9)
-            bits.append(np.concatenate([np.full((len(rest), 1), 1, np.uint8), rest], axis=1).ravel())  # code 10
-        out.append(segment(DHT, bytes([0, 1, 1, *[0] * 14, DC_FIRST, DC_NEXT])))
-        out.append(scan((i,), 0, (0, 0), 0, 1, np.concatenate(bits)))
-        out.append(one_code(1, 0, AC_FIRST))
+        # DC differences: size class 9 for the first block, 10 for the others, as signs alternate
+        d = np.diff(c[:, 0].astype(np.int32))
+        bits = np.zeros(10 + 12 * len(d), np.uint8)
+        bits[1:10] = np.unpackbits(np.array([c[0, 0]], ">u2").view(np.uint8))[7:]
+        if len(d):
+            rest = bits[10:].reshape(-1, 12)
+            rest[:, 0] = 1  # code 10
+            rest[:, 2:] = field_bits(np.where(d > 0, d, d + 1023), 10)[:, 1:]
+        out.append(scan((i,), 0, (0, 0), 0, 0, bits))
         half = np.where(c >= 0, c >> 1, -(-c >> 1))
         seven = np.where(half > 0, half, half + 127)
         for band in ((1, 5), (6, 63)) if i == 0 else ((1, 63),):
-            v = seven[:, band[0] : band[1] + 1]
-            out.append(scan((i,), 0, band, 0, 1, field_bits(v.ravel(), 7)))
+            v = seven[:, band[0] : band[1] + 1].astype(np.uint8).reshape(-1, 1)
+            out.append(scan((i,), 0, band, 0, 1, np.unpackbits(v, axis=1)))  # seven bits after the code 0
     for i, c in enumerate(parts):
-        out.append(one_code(1, 0, EOB))
-        low = (np.abs(c) & 1).astype(np.uint8)
+        low = (c & 1).astype(np.uint8)  # of a magnitude as of its value
         low[:, 0] = 0  # the code of an end of band, then a correction bit for each coefficient
-        out.append(scan((i,), 0, (1, 63), 1, 0, low))
-        out.append(scan((i,), 0, (0, 0), 1, 0, (c[:, 0] & 1).astype(np.uint8)))
+        out.append(scan((i,), 1, (1, 63), 1, 0, low))
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -223,9 +217,11 @@ def ac_first(bits: np.ndarray, c: np.ndarray, order: np.ndarray, table, band: tu
         # one code, no runs: every place of the band holds a value of the same size
         size = table[1, 0]
         n = len(order) * (se - ss + 1)
-        raw = bits[: n * (1 + size)].reshape(n, 1 + size)[:, 1:]
-        v = raw.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1))
-        v = np.where(raw[:, 0], v, v - (1 << size) + 1) * (1 << low)
+        if size == 7:  # code and bits fill a byte
+            v = np.packbits(bits[: n * 8]).astype(np.int32)
+        else:
+            v = bits[: n * (1 + size)].reshape(n, 1 + size)[:, 1:].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1))
+        v = np.where(v >= 1 << (size - 1), v, v - (1 << size) + 1) << low
         c[order, ss : se + 1] = v.reshape(len(order), -1)
         return
     b, run = Bits(bits), 0
@@ -337,15 +333,8 @@ def read_jpeg(data: bytes) -> Picture:
         elif marker == DHT:
             tables.update(huffman(body))
         elif marker == SOS:
-            end = at
-            while True:
-                end = data.index(b"\xff", end)
-                if data[end + 1]:
-                    break
-                end += 2
-            raw = np.frombuffer(data[at:end], np.uint8)
-            full = np.flatnonzero(raw == 0xFF)
-            bits = np.unpackbits(np.delete(raw, full + 1) if len(full) else raw)
+            end = NEXT_MARKER.search(data, at).start()
+            bits = np.unpackbits(np.frombuffer(data[at:end].replace(b"\xff\x00", b"\xff"), np.uint8))
             at = end
             n = body[0]
             parts = [(idents.index(body[1 + 2 * i]), body[2 + 2 * i]) for i in range(n)]
@@ -367,13 +356,13 @@ def _accumulate(p: Picture, parts, band, high: int, low: int, tables, bits: np.n
     hm, vm = max(x for x, _ in p.sampling), max(y for _, y in p.sampling)
     # a scan of one component covers the blocks that the picture needs, in rows
     need = (-(-(-(-p.high * v // vm)) // 8), -(-(-(-p.wide * h // hm)) // 8))
-    order = (np.arange(need[0])[:, None] * cols + np.arange(need[1])[None, :]).ravel()
+    order = np.arange(rows * cols) if need == (rows, cols) else (np.arange(need[0])[:, None] * cols + np.arange(need[1])[None, :]).ravel()
     if band[0] == 0:
         if high:
             c[order, 0] |= bits[: len(order)].astype(np.int32) << low
         else:
             table = tables[t >> 4]
-            if table == {(1, 0): DC_FIRST, (2, 2): DC_NEXT} and len(bits) >= 9 + 11 * (len(order) - 1):
+            if table == {(1, 0): DC_FIRST, (2, 2): DC_NEXT} and len(bits) >= 10 + 12 * (len(order) - 1):
                 _dc_known(bits, c, order, low) or dc_scan(Bits(bits), c, order, table, low)
             else:
                 dc_scan(Bits(bits), c, order, table, low)
@@ -382,15 +371,15 @@ def _accumulate(p: Picture, parts, band, high: int, low: int, tables, bits: np.n
 
 
 def _dc_known(bits: np.ndarray, c: np.ndarray, order: np.ndarray, low: int) -> bool:
-    """A DC scan of one difference of size 8 and then only of size 9, read at once; False if it is none."""
+    """A DC scan of one difference of size 9 and then only of size 10, read at once; False if it is none."""
     n = len(order) - 1
-    rest = bits[9 : 9 + 11 * n].reshape(n, 11)
+    rest = bits[10 : 10 + 12 * n].reshape(n, 12)
     if bits[0] or not (rest[:, 0] == 1).all() or rest[:, 1].any():
         return False
-    first = int(np.packbits(bits[1:9])[0])
-    d = rest[:, 2:].astype(np.int32) @ (1 << np.arange(8, -1, -1))
-    d = np.where(rest[:, 2], d, d - 511)
-    c[order, 0] = np.cumsum(np.concatenate([[first if first >= 128 else first - 255], d])) << low
+    first = int(bits[1:10] @ (1 << np.arange(8, -1, -1)))
+    d = rest[:, 2:].astype(np.int32) @ (1 << np.arange(9, -1, -1))
+    d = np.where(rest[:, 2], d, d - 1023)
+    c[order, 0] = np.cumsum(np.concatenate([[first if first >= 256 else first - 511], d])) << low
     return True
 
 
