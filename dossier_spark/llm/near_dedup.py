@@ -39,7 +39,7 @@ SHINGLE, NUM, DEN = 5, 75, 100
 TOKENS, TREES, BRANCH, DEPTH = 128, 10, 2, 5
 NODE, PART, VISITS = 1024, 1024, 1 << 22
 SLACK = 3.5
-FIRST_BOUND = 3
+FIRST_BOUND = 2
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -235,20 +235,30 @@ def _confirm(num: int, den: int) -> Callable:
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(k, c): the smallest key reachable from each key of the edges (a, b), by large-star and small-star rounds."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(k, c): the smallest key reachable from each key of the edges (a, b), by large-star and small-star rounds.
+
+    With `rounds` it stops early: c is then some smaller key of the same component. Stars are made by a grouped
+    minimum and a join, not a window, so a hub's edges may be spread over tasks.
+    """
     e = C.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    state, done = None, 0
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        new = C.written(small, "edges")
-        changed = new.exceptAll(e).limit(1).count() + e.exceptAll(new).limit(1).count()
-        e = new
-        if not changed:
-            return e.select(F.col("u").alias("k"), F.col("v").alias("c")).union(e.select(F.col("v").alias("k"), F.col("v").alias("c")).distinct())
+        e = C.written(small, "edges")
+        done += 1
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state or done == rounds:
+            break
+        state = now
+    names = e.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("k"), "c")
+    if rounds is None:  # stars: a centre is its own class, and no class but its own names it
+        return e.select(F.col("u").alias("k"), F.col("v").alias("c")).union(e.select(F.col("v").alias("k"), F.col("v").alias("c")).distinct())
+    return names
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", num: int = NUM, den: int = DEN, size: int = SHINGLE, tokens: int = TOKENS, trees: int = TREES, node: int = NODE, part: int = PART, depth: int = DEPTH) -> DataFrame:
@@ -320,7 +330,7 @@ def _links(docs: DataFrame, reps: DataFrame, num: int, den: int, size: int, toke
     sa, sb = full.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
     links = C.written(both.mapInArrow(_confirm(num, den), "a long, b long, linked boolean").filter("linked").select("a", "b"), "links")
-    comp = components(links)
+    comp = components(links, rounds=2)
 
     # second round: what may still join two classes, settled exactly within the leaves
     leaves = _grow(first, comp, tokens, node, part, depth)
@@ -333,9 +343,11 @@ def _links(docs: DataFrame, reps: DataFrame, num: int, den: int, size: int, toke
         outside = split.join(main, "node").filter("c <> main")
         own = own.unionByName(outside.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", "sig", "c"))
     contested = C.written(own.groupBy("node", "part").applyInArrow(_contested(tokens, floor), "node long, part int, k long, sig binary, c long"), "contested")
-    keys = contested.select("k").distinct()
-    more = sets_of(keys.join(full, "k", "left_anti"))
-    held = contested.join(full.unionByName(more), "k")
+    # only members of split or branched nodes can lack their set; mostly there are none
+    lacking = C.written(contested.select("k").distinct().join(full.select("k"), "k", "left_anti"), "lacking")
+    if lacking.limit(1).count():
+        full = full.unionByName(sets_of(lacking))
+    held = contested.join(full, "k")
     return C.written(links.unionByName(held.groupBy("node", "part").applyInArrow(_resolve(tokens, floor, num, den), "a long, b long")), "links")
 
 
