@@ -255,7 +255,9 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     # one row for each vector length
     sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("shards"))
     dealt = rows.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    return C.written(dealt.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInArrow(_build, INDEX), "index")
+    # a task for each shard: a shard is little data but much work, so small partitions must not be put together
+    tasks = max(1, sizes.agg(F.sum("shards")).first()[0] or 1)
+    return C.written(dealt.select("dim", "shard", "vec_id", "v").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, INDEX), "index")
 
 
 def nearest(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, ef: int = EF, block: int = BLOCK) -> DataFrame:
