@@ -68,10 +68,9 @@ def weigh(stats: DataFrame, a: float) -> DataFrame:
     """stats with weight, target (the words asked of the source) and repeats (target / words). The source of the
     greatest words-to-weight ratio is used once, so no document is lost."""
     live = stats.withColumn("p", F.when(F.col("words") > 0, F.pow(F.col("words").cast("double"), F.lit(a))).otherwise(0.0))
-    one = live.agg(F.sum("p").alias("z"), F.max(F.when(F.col("p") > 0, F.col("words") / F.col("p"))).alias("scale"))
-    w = live.crossJoin(F.broadcast(one))  # `one` is a single row of two numbers
-    target = F.greatest(F.col("words"), F.round(F.col("p") * F.col("scale")).cast("long"))
-    return w.select("source", "words", "docs", F.coalesce(F.col("p") / F.col("z"), F.lit(0.0)).alias("weight"), target.alias("target"), F.coalesce(target / F.nullif(F.col("words"), F.lit(0)), F.lit(1.0)).alias("repeats"), F.greatest(F.lit(1), F.ceil(F.col("words") / F.lit(BLOCK_WORDS))).cast("long").alias("blocks"))
+    z, scale = live.agg(F.sum("p"), F.max(F.when(F.col("p") > 0, F.col("words") / F.col("p")))).first()
+    target = F.greatest(F.col("words"), F.round(F.col("p") * F.lit(scale or 0.0)).cast("long"))
+    return live.select("source", "words", "docs", (F.col("p") / F.lit(z or 1.0)).alias("weight"), target.alias("target"), F.coalesce(target / F.nullif(F.col("words"), F.lit(0)), F.lit(1.0)).alias("repeats"), F.greatest(F.lit(1), F.ceil(F.col("words") / F.lit(BLOCK_WORDS))).cast("long").alias("blocks"))
 
 
 def place(*parts) -> Column:
