@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-STATES, WORDS, LONG = 400_000, 500_000, 64
+STATES, WORDS, LONG, ROWS = 200_000, 200_000, 48, 512
 
 
 def default_path() -> str:
@@ -285,7 +285,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _encode(path: str, pattern: str, keep: tuple[str, ...], outputs: tuple[str, ...]) -> Callable:
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             made = {k: [] for k in ("n_tokens", *outputs)}
             for text in batch["_text"]:
                 ids = c.encode(text.as_py() or "")

@@ -35,7 +35,7 @@ LEAST_Z, LEAST_PURITY = 5.5, 0.6
 SHORTEST, LONGEST = 3, 8
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
+CACHE = 200_000
 
 
 def held_out(id_col: str = "doc_id"):
