@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .base import ORACLES, QUERIES
-from . import retrieval_queries, scan_queries, section_queries  # noqa: F401
+from . import file_queries, job_queries, retrieval_queries, scan_queries, section_queries  # noqa: F401
 
 
 def queries() -> dict:
