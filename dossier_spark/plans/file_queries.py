@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from dossier_spark.sources import files as S
@@ -70,3 +74,42 @@ def by_client(spark, sf):
     path = place(spark, "reports")
     S.write_json(table(spark, sf, "documents").select(F.col("source").alias("client_name"), "doc_id", "n_chars"), path, "client_name")
     return spark.read.schema("doc_id long, client_name string").json(path).groupBy("client_name").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+def as_docx(spark, sf):
+    """Documents as DOCX bytes: a paragraph a line, the first one a bold heading; every 13th is broken."""
+
+    @F.pandas_udf("binary")
+    def pack(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        out = []
+        for i, text in zip(ids, texts, strict=True):
+            buf = io.BytesIO()
+            body = "".join(f"<w:p>{'<w:pPr><w:pStyle w:val=\"Heading1\"/></w:pPr>' if n == 0 else ''}<w:r>{'<w:rPr><w:b/></w:rPr>' if n == 0 else ''}<w:t>{escape(t)}</w:t></w:r></w:p>" for n, t in enumerate(text.split("\n")))
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+            out.append(buf.getvalue() if i % 13 else b"broken")
+        return pd.Series(out)
+
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("path"), pack("doc_id", F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " ")).alias("content"))
+
+
+LINES = "l as (select doc_id::varchar as path, n, t from (select doc_id, unnest(string_split(regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F]', ' ', 'g'), chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents where doc_id % 13 > 0) where trim(t) <> '')"
+
+
+@query("S3", f"with {LINES} select path, string_agg(trim(t), chr(10) order by n) as text from l group by 1")
+def docx_text(spark, sf):
+    p = S.parse_docx(as_docx(spark, sf)).filter("error is null")
+    return p.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+@query("S4", f"with {LINES} select path, row_number() over (partition by path order by n) - 1 as pos, case when n = 0 then 'Heading1' else 'Normal' end as style_name, n = 0 as is_bold from l")
+def docx_rows(spark, sf):
+    return S.parse_docx(as_docx(spark, sf)).filter("error is null").select("path", F.col("pos").cast("long").alias("pos"), "style_name", "is_bold")
+
+
+@query("S5", "select doc_id::varchar as path, 'BadZipFile' as error from documents where doc_id % 13 = 0")
+def broken(spark, sf):
+    """Failures stay as rows."""
+    return S.parse_docx(as_docx(spark, sf)).filter("error is not null").select("path", "error")

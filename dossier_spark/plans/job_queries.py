@@ -190,6 +190,23 @@ def window_lines(spark, sf):
     return t.select("source_id", "seq", T.window_line(F.col("start") % 1000, F.col("start") % 1000 + 7.3, F.col("text")).alias("line"))
 
 
+def _speech(path: str) -> list[tuple[float, float, str]]:
+    return [(0.0, float(len(path)), "from " + path), (float(len(path)), 99.0, "end")]
+
+
+@query("H2", "select c_custkey::varchar as source_id, unnest([0, 1]) as seq, unnest([0.0, length(c_name) * 1.0]) as start, unnest(['from ' || c_name, 'end']) as text from customer")
+def transcribed(spark, sf):
+    a = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("source_id"), F.col("c_name").alias("path"))
+    return A.transcribe(a, _speech).select("source_id", "seq", "start", "text")
+
+
+@query("H3", "select p_partkey, case when p_partkey % 2 = 0 then 'mine ' || (p_partkey % 4) else 'Cle ' || (p_partkey % 4) end as query from part")
+def overridden(spark, sf):
+    keys = table(spark, sf, "part").select("p_partkey", F.expr("concat('CLE_', p_partkey % 4)").alias("key"))
+    over = table(spark, sf, "part").selectExpr("concat('CLE_', p_partkey % 4) as key", "concat('mine ', p_partkey % 4) as query", "'' as instructions", "p_partkey").filter("p_partkey % 2 = 0").drop("p_partkey").distinct()
+    return A.with_specs(keys, over.filter("false"), over).select("p_partkey", "query")
+
+
 # ---------------------------------------------------------------- job events
 
 EV = "ev as (select user_id::varchar as job_id, ts, event_id as seq, event_type as status, case when event_id % 3 = 0 then 'm' || event_id % 7 end as message, case when event_id % 2 = 0 then event_id % 100 end as progress from events)"

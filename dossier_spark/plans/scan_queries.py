@@ -198,4 +198,14 @@ def names(spark, sf):
 
 @query("F7")
 def least_score(spark, sf):
-    return S.find_clients(["lime almond", "peru"], table(spark, sf, "part"), "p_name", least=0.6, n=20).select("asked", "folder", F.round("score", 6).alias("score"))
+    return S.find_clients(["Customer#000000010", "costumer 44"], table(spark, sf, "customer"), "c_name", least=0.9, n=20).select("asked", "folder", F.round("score", 6).alias("score"))
+
+
+@query("T1")
+def first_few(spark, sf):
+    return S.find_clients(["supplier 1", "Supplier#000000003"], table(spark, sf, "supplier"), "s_name", n=3).select("asked", "folder", "rank")
+
+
+@query("N14")
+def fuzzy_scores(spark, sf):
+    return S.find_clients(["antique puff", "steel"], table(spark, sf, "part"), "p_name", least=0.0, n=1 << 30).select("asked", "folder", F.round("score", 6).alias("score"))

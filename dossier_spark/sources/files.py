@@ -86,7 +86,12 @@ PARAGRAPHS = "path string, pos int, text string, style_name string, is_bold bool
 
 
 def read_docx(spark: SparkSession, root: str) -> DataFrame:
-    """Paragraph rows of every .docx below root; a broken file is one row with its error."""
+    """Paragraph rows of every .docx below root."""
+    return parse_docx(_binary(spark, root).filter(F.lower("path").endswith(".docx") & (F.col("length") <= MAX_BYTES)))
+
+
+def parse_docx(files: DataFrame) -> DataFrame:
+    """Paragraph rows of files (path, content); a broken file is one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in PARAGRAPHS.split(", ")]
@@ -99,8 +104,7 @@ def read_docx(spark: SparkSession, root: str) -> DataFrame:
                     rows.append({"path": path, "pos": -1, "text": "", "style_name": None, "is_bold": False, "font_size": None, "in_table": False, "error": type(e).__name__})
             yield pd.DataFrame(rows, columns=cols)
 
-    f = _binary(spark, root).filter(F.lower("path").endswith(".docx") & (F.col("length") <= MAX_BYTES)).select("path", "content")
-    p = f.mapInPandas(run, PARAGRAPHS)
+    p = files.select("path", "content").mapInPandas(run, PARAGRAPHS)
     return p.withColumn("is_all_caps", X.all_caps(F.col("text"))).withColumn("numbering_prefix", X.numbering(F.col("text")))
 
 
