@@ -482,7 +482,7 @@ def _media(keep: tuple[str, ...], tensors: bool, known_at_most: int = 2000) -> C
         for batch in batches:
             for lo in range(0, batch.num_rows, 32 if tensors else 4096):
                 part, rows = batch.slice(lo, 32 if tensors else 4096), []
-                for text in part["_text"]:
+                for text in part["__source_text__"]:
                     text = text.as_py() or ""
                     key = hashlib.blake2b(text.encode(), digest_size=16).digest()
                     if (row := known.get(key)) is None:
@@ -503,7 +503,7 @@ def media_columns(df: DataFrame, text_col: str = "text", tensors: bool = True) -
     made = (*KINDS, *(("media", "tensors") if tensors else ()))
     keep = tuple(c for c in df.columns if c != text_col and c not in made)
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(k, v[1]) for k, v in KINDS.items()), *([T.StructField("media", T.BinaryType()), T.StructField("tensors", TENSORS)] if tensors else [])])
-    return df.select(*keep, df[text_col].cast("string").alias("_text")).mapInArrow(_media(keep, tensors), schema)
+    return df.select(*keep, df[text_col].cast("string").alias("__source_text__")).mapInArrow(_media(keep, tensors), schema)
 
 
 def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

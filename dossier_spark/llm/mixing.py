@@ -87,9 +87,9 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     taken = [c for c in docs.columns if not c.startswith("mix_")]
     d = docs.select(*taken, src.alias("mix_source"), words(F.col(text_col)).alias("mix_words"))
-    p = plan.select(F.col("source").alias("mix_source"), "blocks", "target", F.col("words").alias("total"))
-    block = F.pmod(place(seed, "block", F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.col("blocks")).alias("mix_block")
-    dealt = d.join(p.select("mix_source", "blocks"), "mix_source").select(*taken, "mix_source", "mix_words", block)
+    p = plan.select(F.col("source").alias("mix_source"), F.col("blocks").alias("mix_blocks"), "target", F.col("words").alias("total"))
+    block = F.pmod(place(seed, "block", F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.col("mix_blocks")).alias("mix_block")
+    dealt = d.join(p.select("mix_source", "mix_blocks"), "mix_source").select(*taken, "mix_source", "mix_words", block)
     sums = dealt.groupBy("mix_source", "mix_block").agg(F.sum("mix_words").alias("w"))
     # passes: whole ones, then one that is cut where the budget ends
     whole = F.when(F.col("total") > 0, F.floor(F.col("target") / F.nullif(F.col("total"), F.lit(0)))).otherwise(1).cast("int")
@@ -108,9 +108,9 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     for more in (placed.filter("before + bw <= rest"), edge):
         chosen = chosen.unionByName(more.select("mix_source", "mix_block", "mix_epoch", "mix_place"))
     # one row a block with its passes, so that documents are joined once and then repeated
-    by_block = chosen.groupBy("mix_source", "mix_block").agg(F.array_sort(F.collect_list(F.struct("mix_epoch", "mix_place"))).alias("passes"))
-    out = dealt.join(by_block, ["mix_source", "mix_block"]).select(*taken, "mix_source", "mix_words", "mix_block", F.explode("passes").alias("e"))
-    return out.select(*taken, "mix_source", "mix_words", "mix_block", "e.mix_epoch", "e.mix_place")
+    by_block = chosen.groupBy("mix_source", "mix_block").agg(F.array_sort(F.collect_list(F.struct("mix_epoch", "mix_place"))).alias("mix_passes"))
+    out = dealt.join(by_block, ["mix_source", "mix_block"]).select(*taken, "mix_source", "mix_words", "mix_block", F.explode("mix_passes").alias("mix_e"))
+    return out.select(*taken, "mix_source", "mix_words", "mix_block", "mix_e.mix_epoch", "mix_e.mix_place")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

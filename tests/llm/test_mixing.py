@@ -76,3 +76,5 @@ def test_whole_table(spark, sf):
     assert got == brute(rows)
     empty = spark.createDataFrame([], "doc_id long, source string, text string, mix_words int")
     assert M.mix(empty).count() == 0
+    odd = spark.createDataFrame([(1, "a", "x y", 1, 2, 3)], "doc_id long, source string, text string, blocks int, passes int, words int")
+    assert M.mix(odd).select("blocks", "passes", "words", "mix_words").first() == (1, 2, 3, 2)
