@@ -40,6 +40,7 @@ TOKENS, TREES, BRANCH, DEPTH = 128, 10, 2, 5
 NODE, PART, VISITS = 1024, 1024, 1 << 22
 SLACK = 3.5
 FIRST_BOUND = 2
+BROADCAST_KEYS = 1 << 19  # keys of eight bytes
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -235,11 +236,11 @@ def _confirm(num: int, den: int) -> Callable:
     return run
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(k, c): the smallest key reachable from each key of the edges (a, b), by large-star and small-star rounds.
+def stars(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges (u, v), u > v, with the same components as the edges (a, b), by large-star and small-star rounds; without
+    `rounds` until they are stars around each component's smallest key.
 
-    With `rounds` it stops early: c is then some smaller key of the same component. Stars are made by a grouped
-    minimum and a join, not a window, so a hub's edges may be spread over tasks.
+    Stars are made by a grouped minimum and a join, not a window, so a hub's edges may be spread over tasks.
     """
     e = C.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     state, done = None, 0
@@ -253,12 +254,14 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         done += 1
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or done == rounds:
-            break
+            return e
         state = now
-    names = e.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("k"), "c")
-    if rounds is None:  # stars: a centre is its own class, and no class but its own names it
-        return e.select(F.col("u").alias("k"), F.col("v").alias("c")).union(e.select(F.col("v").alias("k"), F.col("v").alias("c")).distinct())
-    return names
+
+
+def named(e: DataFrame) -> DataFrame:
+    """(k, c) of edges by stars(): each key's least neighbour, itself if it has no smaller one. After all rounds that
+    is the smallest key of its component; after fewer, some key of it."""
+    return e.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("c"))
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", num: int = NUM, den: int = DEN, size: int = SHINGLE, tokens: int = TOKENS, trees: int = TREES, node: int = NODE, part: int = PART, depth: int = DEPTH) -> DataFrame:
@@ -270,10 +273,10 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     reps = signed.join(owner, (signed["digest"] == owner["digest"]) & (signed["k"] == owner["rep"]), "left_semi").dropDuplicates(["k"])
 
     links = _links(docs, reps, num, den, size, tokens, node, part, depth)
-    comp = components(links)
-    # the classes of representatives, then of rows
-    named = owner.join(comp, owner["rep"] == comp["k"], "left").select("digest", F.coalesce("c", "rep").alias("c"))
-    rows = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    comp = named(stars(links))
+    # the classes of representatives, then of rows; a representative without a smaller one names its own class
+    owned = owner.join(comp, owner["rep"] == comp["k"], "left").select("digest", F.coalesce("c", "rep").alias("c"))
+    rows = signed.select("doc_id", "n_shingles", "digest").join(owned, "digest", "left")
     first = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("first_id"))
     out = rows.join(first, "c", "left").withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -319,7 +322,9 @@ def _links(docs: DataFrame, reps: DataFrame, num: int, den: int, size: int, toke
     floor = max(1, int(np.floor(tokens * (j - SLACK * np.sqrt(j * (1 - j) / tokens)))))
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        """The full shingle sets of keys."""
+        """The full shingle sets of keys. Up to BROADCAST_KEYS of them go to the texts; beyond, both sides are shuffled."""
+        keys = C.written(keys, "keys")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
         return C.written(docs.select("k", "text").join(keys, "k", "left_semi").mapInArrow(_sets(size), "k long, shingles binary").dropDuplicates(["k"]), "sets")
 
     # first round: the best few pairs of each member, confirmed
@@ -330,7 +335,8 @@ def _links(docs: DataFrame, reps: DataFrame, num: int, den: int, size: int, toke
     sa, sb = full.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
     links = C.written(both.mapInArrow(_confirm(num, den), "a long, b long, linked boolean").filter("linked").select("a", "b"), "links")
-    comp = components(links, rounds=2)
+    early = stars(links, rounds=2)
+    comp = named(early)
 
     # second round: what may still join two classes, settled exactly within the leaves
     leaves = _grow(first, comp, tokens, node, part, depth)
@@ -348,7 +354,7 @@ def _links(docs: DataFrame, reps: DataFrame, num: int, den: int, size: int, toke
     if lacking.limit(1).count():
         full = full.unionByName(sets_of(lacking))
     held = contested.join(full, "k")
-    return C.written(links.unionByName(held.groupBy("node", "part").applyInArrow(_resolve(tokens, floor, num, den), "a long, b long")), "links")
+    return C.written(early.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(held.groupBy("node", "part").applyInArrow(_resolve(tokens, floor, num, den), "a long, b long")), "links")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
