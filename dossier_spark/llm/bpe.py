@@ -237,8 +237,8 @@ class Utf8:
 class Codec:
     """Encoder with a bounded table of words, and decoder, for one vocabulary."""
 
-    def __init__(self, path: str, pattern: str):
-        self.transducer = t = Transducer(read_ranks(path))
+    def __init__(self, path: str, pattern: str, max_states: int = STATES, max_words: int = WORDS):
+        self.transducer = t = Transducer(read_ranks(path), max_states)
         self.find = regex.compile(pattern).findall
         self.tokens = t.bytes_of
         pack = [struct.Struct(f"<{n}I").pack for n in range(9)]
@@ -253,7 +253,7 @@ class Codec:
                     ids = t.encode(word.encode())
                     packed = pack[len(ids)](*ids) if len(ids) < len(pack) else np.array(ids, "<u4").tobytes()
                 if len(word) <= LONG:
-                    if len(self) >= WORDS:
+                    if len(self) >= max_words:
                         self.older = dict(self)
                         self.clear()
                     self[word] = packed
@@ -272,19 +272,26 @@ class Codec:
         yield machine.end()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+def codec(path: str, pattern: str, max_states: int = STATES, max_words: int = WORDS) -> Codec:
+    """One codec for each worker process and vocabulary; it stays for the worker's next tasks."""
+    key = (path, pattern, max_states, max_words)
+    if key not in _CODECS:
+        _CODECS[key] = Codec(*key)
+    return _CODECS[key]
 
 
-def _encode(path: str, pattern: str, keep: tuple[str, ...], outputs: tuple[str, ...]) -> Callable:
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    """An array of lists from their values end to end."""
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32()))
+
+
+def _encode(path: str, pattern: str, keep: tuple[str, ...], outputs: tuple[str, ...], tables: tuple[int, int]) -> Callable:
     def run(batches):
-        c = codec(path, pattern)
+        c = codec(path, pattern, *tables)
         for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             made = {k: [] for k in ("n_tokens", *outputs)}
             for text in batch["__source_text__"]:
@@ -301,8 +308,8 @@ def _encode(path: str, pattern: str, keep: tuple[str, ...], outputs: tuple[str,
                         pieces.append(piece)
                     made.get("decoded_sha256", []).append(digest.hexdigest())
                     made.get("decoded", []).append("".join(pieces) if "decoded" in made else None)
-            kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), *(pa.array(v, kinds.get(k, pa.string())) for k, v in made.items())], [*keep, *made])
+            made = {k: pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) if k != "ids" else lists(v) for k, v in made.items()}
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), *made.values()], [*keep, *made])
 
     return run
 
@@ -310,8 +317,11 @@ def _encode(path: str, pattern: str, keep: tuple[str, ...], outputs: tuple[str,
 TYPES = {"ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
 
 
-def encode(df: DataFrame, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df without its text, with n_tokens and the outputs asked for: ids, ids_sha256, decoded (through the decoder), decoded_sha256."""
+def encode(df: DataFrame, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), path: str | None = None, pattern: str | None = None, tables: tuple[int, int] = (STATES, WORDS)) -> DataFrame:
+    """df without its text, with n_tokens and the outputs asked for: ids, ids_sha256, decoded (through the decoder), decoded_sha256.
+
+    `tables` bounds the states and words that a worker keeps; smaller ones leave memory to other stages and cost time.
+    """
     import public_tokenizers
 
     path, pattern = path or default_path(), pattern or public_tokenizers.PATTERN
@@ -319,7 +329,7 @@ def encode(df: DataFrame, text_col: str = "text", outputs: tuple[str, ...] = ("i
     keep = tuple(c for c in df.columns if c != text_col and c not in made)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), *(T.StructField(o, TYPES[o]) for o in outputs)])
     spark_text = df[text_col].cast("string").alias("__source_text__")
-    return df.select(*keep, spark_text).mapInArrow(_encode(path, pattern, keep, outputs), schema)
+    return df.select(*keep, spark_text).mapInArrow(_encode(path, pattern, keep, outputs, tables), schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:

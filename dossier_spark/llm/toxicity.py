@@ -114,7 +114,7 @@ def _count(batches):
     for batch in batches:
         for text, positive in zip(batch["text"], batch["positive"], strict=True):
             counts[positive.as_py()].update(features(text.as_py() or ""))
-            if len(counts[True]) + len(counts[False]) > 500_000:
+            if len(counts[True]) + len(counts[False]) > 150_000:
                 yield out()
     yield out()
 
