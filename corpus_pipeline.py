@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their digest and that of the decoded text. Workers keep small tables, since
     they also serve the other stages."""
-    return bpe.encode(docs, outputs=("ids", "ids_sha256", "decoded_sha256"), tables=(80_000, 80_000))
+    return bpe.encode(docs, outputs=("ids", "ids_sha256", "decoded_sha256"), tables=(40_000, 40_000))
 
 
 STAGES = [
