@@ -5,10 +5,12 @@ makes sources equal) is bisected: to the smallest value at which no source is re
 `max_repeat` times while the largest is used once, or to the value whose weights have a target entropy.
 The weights are then realised: documents form blocks of about BLOCK_WORDS words by a hash within their source; each pass
 over a source is a permutation of its blocks by another hash, and the last pass stops where the source's
-word budget is reached. A budget is met to within the block that crosses it, which is left out.
+word budget is reached. The block that crosses the budget is taken in part: its documents follow in the order of a
+third hash up to the first that crosses the budget, so a budget is met to within that document.
 
 No pass over a source gathers it: blocks are summed by source and bucket of their permuted place, whole
-buckets below the budget are taken, and only the bucket that crosses it is ordered block by block. The
+buckets below the budget are taken, and only the bucket that crosses it is ordered block by block; the documents
+of the crossing block are split likewise. The
 bisection reads a table of one row a source, several steps of the exponent in one pass.
 
 Defined results: a null source is a source of its own (''); tokens are words [^\\x20\\x09-\\x0D]+; documents without
@@ -78,6 +80,21 @@ def place(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *[F.lit(p) if isinstance(p, (int, str)) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
+def split_at(units: DataFrame, order: list[str], limit: str) -> tuple[DataFrame, DataFrame]:
+    """units (mix_source, w, and the columns of order, of which the first is a place) of each source in that order: those
+    within the limit, and the one that crosses it, with left, the words of the limit before it. Units share no order."""
+    units = units.withColumn("bucket", F.floor(F.col(order[0]) * BUCKETS / F.lit(1 << 32)).cast("int"))
+    hist = units.groupBy("mix_source", "bucket").agg(F.sum("w").alias("bw"))  # at most BUCKETS rows a source
+    w = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = hist.withColumn("before", F.coalesce(F.sum("bw").over(w), F.lit(0)))
+    placed = units.join(before, ["mix_source", "bucket"])
+    inner = Window.partitionBy("mix_source", "bucket").orderBy(*order)
+    edge = placed.filter(f"before < {limit} and before + bw > {limit}").withColumn("sofar", F.col("before") + F.sum("w").over(inner))
+    within = placed.filter(f"before + bw <= {limit}").select(*units.columns).unionByName(edge.filter(f"sofar <= {limit}").select(*units.columns))
+    crossing = edge.filter(f"sofar > {limit} and sofar - w < {limit}").select(*units.columns, F.expr(f"{limit} - (sofar - w)").alias("left"))
+    return within, crossing
+
+
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", max_repeat: float = MAX_REPEAT, entropy: float | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs as often as the mix asks, with mix_source, mix_words, mix_block, mix_epoch and mix_place
     (the block's place in that pass)."""
@@ -89,27 +106,28 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     d = docs.select(*taken, src.alias("mix_source"), words(F.col(text_col)).alias("mix_words"))
     p = plan.select(F.col("source").alias("mix_source"), F.col("blocks").alias("mix_blocks"), "target", F.col("words").alias("total"))
     block = F.pmod(place(seed, "block", F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.col("mix_blocks")).alias("mix_block")
-    dealt = d.join(p.select("mix_source", "mix_blocks"), "mix_source").select(*taken, "mix_source", "mix_words", block)
+    doc = place(seed, "doc", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))).alias("mix_doc")
+    dealt = d.join(p.select("mix_source", "mix_blocks"), "mix_source").select(*taken, "mix_source", "mix_words", block, doc)
     sums = dealt.groupBy("mix_source", "mix_block").agg(F.sum("mix_words").alias("w"))
     # passes: whole ones, then one that is cut where the budget ends
     whole = F.when(F.col("total") > 0, F.floor(F.col("target") / F.nullif(F.col("total"), F.lit(0)))).otherwise(1).cast("int")
     passes = p.select("mix_source", whole.alias("whole"), F.when(F.col("total") > 0, F.col("target") - whole * F.col("total")).otherwise(0).alias("rest"))
     at = sums.join(passes, "mix_source")
     at = at.select("*", F.explode(F.sequence(F.lit(0), F.col("whole"))).alias("mix_epoch"))
-    at = at.withColumn("mix_place", place(seed, "pass", F.col("mix_source"), F.col("mix_epoch"), F.col("mix_block"))).withColumn("bucket", F.floor(F.col("mix_place") * BUCKETS / F.lit(1 << 32)).cast("int"))
+    at = at.withColumn("mix_place", place(seed, "pass", F.col("mix_source"), F.col("mix_epoch"), F.col("mix_block")))
     cut = at.filter("mix_epoch = whole and rest > 0")
-    hist = cut.groupBy("mix_source", "bucket").agg(F.sum("w").alias("bw"))  # at most BUCKETS rows a source
-    w = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = hist.withColumn("before", F.coalesce(F.sum("bw").over(w), F.lit(0)))
-    placed = cut.join(before, ["mix_source", "bucket"])
-    inner = Window.partitionBy("mix_source", "bucket").orderBy("mix_place", "mix_block")
-    edge = placed.filter("before < rest and before + bw > rest").withColumn("sofar", F.col("before") + F.sum("w").over(inner)).filter("sofar <= rest")
-    chosen = at.filter("mix_epoch < whole").select("mix_source", "mix_block", "mix_epoch", "mix_place")
-    for more in (placed.filter("before + bw <= rest"), edge):
-        chosen = chosen.unionByName(more.select("mix_source", "mix_block", "mix_epoch", "mix_place"))
+    key = ["mix_source", "mix_block", "mix_epoch", "mix_place"]
+    within, crossing = split_at(cut, ["mix_place", "mix_block"], "rest")
+    # one row a source, and the place in its crossing block of the document that crosses the budget
+    crossing = C.written(crossing.select(*key, "left"), "crossing")
+    parts = dealt.filter("mix_words > 0").join(crossing, ["mix_source", "mix_block"]).groupBy("mix_source", "mix_doc", "left").agg(F.sum("mix_words").alias("w"))
+    stops = split_at(parts, ["mix_doc"], "left")[1].select("mix_source", F.col("mix_doc").alias("mix_stop"))
+    chosen = at.filter("mix_epoch < whole").select(*key).unionByName(within.select(*key)).withColumn("mix_stop", F.lit(None).cast("long"))
+    chosen = chosen.unionByName(crossing.join(stops, "mix_source").select(*key, "mix_stop"))
     # one row a block with its passes, so that documents are joined once and then repeated
-    by_block = chosen.groupBy("mix_source", "mix_block").agg(F.array_sort(F.collect_list(F.struct("mix_epoch", "mix_place"))).alias("mix_passes"))
-    out = dealt.join(by_block, ["mix_source", "mix_block"]).select(*taken, "mix_source", "mix_words", "mix_block", F.explode("mix_passes").alias("mix_e"))
+    by_block = chosen.groupBy("mix_source", "mix_block").agg(F.array_sort(F.collect_list(F.struct("mix_epoch", "mix_place", "mix_stop"))).alias("mix_passes"))
+    out = dealt.join(by_block, ["mix_source", "mix_block"]).select(*taken, "mix_source", "mix_words", "mix_block", "mix_doc", F.explode("mix_passes").alias("mix_e"))
+    out = out.filter("mix_e.mix_stop is null or mix_doc < mix_e.mix_stop")
     return out.select(*taken, "mix_source", "mix_words", "mix_block", "mix_e.mix_epoch", "mix_e.mix_place")
 
 
