@@ -37,12 +37,14 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter("text <> ''").withColumn("is_bold", F.expr("(doc_id + pos) % 5 = 0")).withColumn("style_name", F.expr("case when pos = 0 and doc_id % 3 = 0 then 'Heading 1' else 'Normal' end"))
 
 
+SUFFIX = "element_at(array('.docx', '.pdf', '.txt'), cast(doc_id % 3 as int) + 1)"
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """A file inventory derived from documents: folder by doc_id % 8, name by % 11, suffix by % 3."""
     folder = "element_at(array('01 Dossier personnel', '02 CV', '03 Tests et bilans', '04 Stages', '05 Mesures AI', '06 Rapport final', '07 Suivi', ''), cast(doc_id % 8 as int) + 1)"
-    suffix = "element_at(array('.docx', '.pdf', '.txt'), cast(doc_id % 3 as int) + 1)"
-    name = f"concat(element_at(array('rapport_final_', 'bilan_', 'notes_', 'template_', 'cv_', 'lettre_', 'synthese_', 'copie_rapport_', 'photo_', 'evaluation_', 'doc_'), cast(doc_id % 11 as int) + 1), doc_id, {suffix})"
-    d = table(spark, sf, "documents").selectExpr("source as client_id", f"{folder} as folder", f"{name} as name", f"{suffix} as suffix", "n_chars as size_bytes", "doc_id as mtime", "doc_id")
+    name = f"concat(element_at(array('rapport_final_', 'bilan_', 'notes_', 'template_', 'cv_', 'lettre_', 'synthese_', 'copie_rapport_', 'photo_', 'evaluation_', 'doc_'), cast(doc_id % 11 as int) + 1), doc_id, {SUFFIX})"
+    d = table(spark, sf, "documents").selectExpr("source as client_id", f"{folder} as folder", f"{name} as name", f"{SUFFIX} as suffix", "n_chars as size_bytes", "doc_id as mtime", "doc_id")
     return d.withColumn("path", F.expr("concat_ws('/', client_id, nullif(folder, ''), name)"))
 
 

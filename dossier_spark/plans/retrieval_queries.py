@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossier_spark.functions import text as X
 from dossier_spark.operators import retrieval as R
 
-from .base import CHUNKS_SQL, N1, STRIP, documents, query, table
+from .base import CHUNKS_SQL, N1, STRIP, SUFFIX, documents, query, table
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TOK = f"list_filter(list_transform(regexp_extract_all({{0}}, '[A-Za-zÀ-ÖØ-öø-ÿ0-9'']+'), lambda x: lower(x)), lambda x: length(x) > 1 and not list_contains([{STOP}], x))"
@@ -153,10 +153,11 @@ def first_id_number(spark, sf):
 def id_candidates(spark, sf):
     from pyspark.sql import Window
 
-    d = table(spark, sf, "documents").filter("doc_id % 2 = 0")
+    # as in the reference: the first five sources of any kind, then those of them that are text
     w = Window.partitionBy("source").orderBy("doc_id")
+    d = table(spark, sf, "documents").withColumn("k", F.row_number().over(w)).filter("k <= 5").filter(f"{SUFFIX} = '.txt'")
     t = F.substring(F.concat(F.lit("756.1111.2222."), (10 + F.col("doc_id") % 89).cast("string"), F.lit(" "), "text", F.lit(" 756.3333.4444.55")), 1, 10000)
-    found = d.withColumn("k", F.row_number().over(w)).filter("k <= 5").select(F.col("source").alias("client_id"), F.explode(F.regexp_extract_all(t, F.lit(r"(\b756\.\d{4}\.\d{4}\.\d{2}\b)"), F.lit(1))).alias("n"))
+    found = d.select(F.col("source").alias("client_id"), F.explode(F.regexp_extract_all(t, F.lit(r"(\b756\.\d{4}\.\d{4}\.\d{2}\b)"), F.lit(1))).alias("n"))
     return found.groupBy("client_id").agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("numbers"))
 
 

@@ -245,8 +245,8 @@ def selection(spark, sf):
 
 @query("N13", r"select doc_id, '756.12' || (10 + doc_id % 90) || '.5678.90' as avs, 'Anna Beta' || doc_id as full_name, 'Beta' || doc_id as surname from documents where doc_id % 2 = 0")
 def identities(spark, sf):
-    t = F.expr("concat('Madame Anna Beta', doc_id, ' – 756 12', 10 + doc_id % 90, ' 5678 90 ', substr(text, 1, 9))")
-    return table(spark, sf, "documents").filter("doc_id % 2 = 0").select("doc_id", S.identity(t, F.lit("")).alias("i")).select("doc_id", "i.avs", "i.full_name", "i.surname")
+    t = F.expr("concat(text, '\\nMadame Anna Beta', doc_id, ' – 756 12', 10 + doc_id % 90, ' 5678 90')")
+    return table(spark, sf, "documents").select("doc_id", S.identity(t, F.lit("")).alias("i")).select("doc_id", "i.avs", "i.full_name", "i.surname")
 
 
 @query("N17", r"select doc_id, case when doc_id % 3 = 0 then null else 'Chef ' || doc_id end as first, 'CFC' || chr(10) || 'puis rien' as second from documents")
