@@ -1,13 +1,13 @@
 """Shared pieces of the text operators: table access, scratch tables, and vectorised word hashing.
 
-Word hashing works on the UTF-8 bytes of many texts at once: a polynomial prefix sum over the bytes
-gives every word's 64-bit hash, and a second prefix sum over the word hashes gives the hash of any
-run of words, all in numpy without a Python step per word.
+Word hashing works on the UTF-8 bytes of many texts at once, in numpy without a Python step per word: a word is
+read in pieces of eight bytes, each mixed with its place, and runs of words are joined pair by pair, every join
+mixed again. No step is linear in the bytes, so strings built to cancel in a polynomial do not collide here. Hashes
+under two seeds are independent; where equality decides a result, both are compared.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,36 +17,44 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier_spark.sources.files import shared_dir
+
 SLICE_BYTES = 1 << 20
-MASK = (1 << 64) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a fresh local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("dossier.scratch", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("dossier.scratch", base)
-    return base.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(*cols: str) -> Column:
-    """A 64-bit key of a row's content; equal rows share it, null ids are fine."""
+    """A 64-bit key of a row's content; equal rows share it, null ids are fine. Of two rows in 10^10 some share it by
+    chance, so identity needs row_keys."""
     return F.xxhash64(*cols)
 
 
+def row_keys(*cols: str) -> tuple[Column, Column]:
+    """Two independent 64-bit keys of a row's content: together its identity."""
+    return F.xxhash64(*cols).alias("ka"), F.xxhash64(F.lit(7), *reversed(cols)).alias("kb")
+
+
 def parts_for(spark: SparkSession, df: DataFrame, text_col: str, bytes_per_part: int = 16 << 20) -> int:
     """How many parts hold the texts of df at about bytes_per_part each, at least the shuffle width."""
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -93,23 +101,8 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.array([seed], np.uint64)))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse mod 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inv = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            a, b = np.full(n, self.base, np.uint64), np.full(n, self.inv, np.uint64)
-            a[0] = b[0] = 1
-            self.up, self.down = np.multiply.accumulate(a), np.multiply.accumulate(b)
-        return self.up, self.down
-
-
-BYTE_POWERS, WORD_POWERS = Powers(0x5851F42D4C957F2D), Powers(0xD1342543DE82EF95)
+ODD, ODD2 = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
+PIECE_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER_AZ = np.arange(256, dtype=np.uint8)
@@ -132,23 +125,58 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s, e, counts
 
 
-def prefix(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers[: len(values)], out=out[1:])
-    return out
-
-
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int) -> np.ndarray:
-    up, down = BYTE_POWERS.to(len(buf) + 1)
-    p = prefix(seeded(256, seed)[buf], up)
-    return mix((p[e] - p[s]) * down[s] + (e - s).astype(np.uint64))
-
-
-def run_hashes(words: np.ndarray, at: np.ndarray, length) -> np.ndarray:
-    """Hashes of words[at : at + length]."""
-    up, down = WORD_POWERS.to(len(words) + 1)
-    p = prefix(words, up)
-    return mix((p[at + length] - p[at]) * down[at])
+    """A 64-bit hash of each word buf[s:e]."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    n = e - s
+    room = np.concatenate([buf, np.zeros(8, np.uint8)])
+    at8 = np.ndarray((len(buf) + 1,), "<u8", room, strides=(1,))  # the eight bytes from each place on
+    key = seeded(2, seed)
+
+    def piece(value, place):
+        return mix(mix(value + key[0]) + mix(place.astype(np.uint64) * ODD + key[1]))
+
+    out = piece(at8[s] & PIECE_MASKS[np.minimum(n, 8)], np.zeros(1, np.int64))
+    more = (n - 1) // 8  # pieces after the first
+    if more.any():
+        long = np.flatnonzero(more)
+        place = within(more[long]) + 1
+        at = np.repeat(s[long], more[long]) + 8 * place
+        rest = np.minimum(np.repeat(e[long], more[long]) - at, 8)
+        value = piece(at8[at] & PIECE_MASKS[rest], place)
+        cut = np.cumsum(more[long]) - more[long]
+        out[long] += np.add.reduceat(value, cut)
+    return mix(out + n.astype(np.uint64) * ODD2)
+
+
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what a stands for, followed by what b stands for."""
+    return mix(a * ODD + b)
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of words[at : at + length], whole runs only: runs of 1, 2, 4, ... words are joined from halves."""
+    span, block, taken, out = 1, words, 0, np.full(len(at), length, np.uint64)
+    while True:
+        if length & span:
+            out = join(out, block[at + taken])
+            taken += span
+        span *= 2
+        if span > length:
+            return out
+        half = span // 2
+        block = join(block[:-half], block[half:]) if len(block) > half else block[:0]
+
+
+def short_runs(words: np.ndarray, at: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
+    """Hashes of words[at : at + length] for lengths of `most` or less."""
+    out = length.astype(np.uint64)
+    for j in range(most):
+        live = j < length
+        step = join(out, words[np.minimum(at + j, max(len(words) - 1, 0))])
+        out = step if live.all() else np.where(live, step, out)
+    return out
 
 
 def within(counts: np.ndarray) -> np.ndarray:

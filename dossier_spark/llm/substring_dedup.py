@@ -6,8 +6,12 @@ difference cover. So only runs at cover positions are hashed and matched over th
 positions here). Matched anchors then extend: every window of WINDOW words that holds one is hashed
 whole under another seed and matched again; words under a matched window are removed.
 
+Two windows are equal if they agree in 96 bits under two independent hashes (an anchor, which only proposes, in
+64); a row is known by 64 bits of its content and, from another hash, the part that holds it.
+
 Hot passages: each task first matches within itself, settles local repeats there, and sends one row
-for each hash. A hash therefore reaches a reducer at most once per task, however common it is.
+for each hash. A hash therefore reaches a reducer at most once per task, however common it is. Rows that repeat
+whole (equal id and text) take part once; their own result needs no match, as each of their windows repeats.
 
 Defined results: null or empty text has no words and nothing removed; the kept text of a null is ''.
 Repeated rows (equal id and text) are copies of each other; null ids are allowed. Input columns other
@@ -17,6 +21,7 @@ than the text are returned unchanged, but those named like an output column are
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -31,38 +36,51 @@ WINDOW = 35
 PERIOD = 21
 COVER = (0, 1, 6, 8, 18)
 CHUNK = 1 << 20
-HITS = "part int, h binary, k binary, q binary, p binary"
+BROADCAST_KEYS = 1 << 19  # keys of two longs
+HITS = "part int, h binary, g binary, k binary, q binary, p binary"
 CONFIRMED = "part int, k binary, p binary"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def is_cover(cover: tuple[int, ...], period: int) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
+def in_order(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal (h, g) together, and where each such group begins. g may be empty."""
+    order = np.argsort(h, kind="stable")
+    if not len(g):
+        return order, np.r_[True, h[order][1:] != h[order][:-1]][: len(h)]
+    a, b = h[order], g[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((g, h))
+        a, b = h[order], g[order]
+    return order, np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(h)]
+
+
 class Spool:
-    """Collects (hash, row key, home part, position) and sends them out by hash part, local repeats settled."""
+    """Collects (hash, more of it, row key, home part, position) and sends them out by hash part, local repeats settled."""
 
     def __init__(self, parts: int):
         self.parts, self.rows, self.n = parts, [], 0
 
-    def add(self, h, k, q, p):
-        self.rows.append((h, k, q, p))
+    def add(self, h, g, k, q, p):
+        self.rows.append((h, g, k, q, p))
         self.n += len(h)
 
     def flush(self) -> pa.RecordBatch | None:
         if not self.n:
             return None
-        h, k, q, p = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        h, g, k, q, p = (np.concatenate(x) for x in zip(*self.rows, strict=True))
         self.rows, self.n = [], 0
-        order = np.argsort(h, kind="stable")
-        h, k, q, p = h[order], k[order], q[order], p[order]
-        first = np.r_[True, h[1:] != h[:-1]]
+        order, first = in_order(h, g)
+        h, g, k, q, p = h[order], g[order] if len(g) else g, k[order], q[order], p[order]
         size = np.diff(np.r_[np.flatnonzero(first), len(h)])
         local = np.repeat(size > 1, size)
-        out = {"part": [], "h": [], "k": [], "q": [], "p": []}
+        out = {"part": [], "h": [], "g": [], "k": [], "q": [], "p": []}
 
-        def put(part, rows, hashes):
-            for name, value in (("part", part), ("h", hashes), ("k", k[rows].tobytes()), ("q", q[rows].tobytes()), ("p", p[rows].tobytes())):
+        def put(part, rows, hashes, more):
+            for name, value in (("part", part), ("h", hashes), ("g", more), ("k", k[rows].tobytes()), ("q", q[rows].tobytes()), ("p", p[rows].tobytes())):
                 out[name].append(value)
 
         # one row for each hash travels; position -1 says that its own places are settled already
@@ -72,32 +90,30 @@ class Spool:
         rows = rows[np.argsort(to[rows], kind="stable")]
         edges = np.flatnonzero(np.r_[True, np.diff(to[rows]) != 0])
         for lo, hi in zip(edges, np.r_[edges[1:], len(rows)], strict=True):
-            put(int(to[rows[lo]]), rows[lo:hi], h[rows[lo:hi]].tobytes())
+            put(int(to[rows[lo]]), rows[lo:hi], h[rows[lo:hi]].tobytes(), g[rows[lo:hi]].tobytes() if len(g) else b"")
         p = settled
         rows = np.flatnonzero(local)
         for i, lo in enumerate(range(0, len(rows), 1 << 16)):
-            put(int((h[0] + np.uint64(i)) % np.uint64(self.parts)), rows[lo : lo + (1 << 16)], b"")
-        return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in "hkqp")], list(("part", "h", "k", "q", "p")))
+            put(int((h[0] + np.uint64(i)) % np.uint64(self.parts)), rows[lo : lo + (1 << 16)], b"", b"")
+        return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in "hgkqp")], list(("part", "h", "g", "k", "q", "p")))
 
 
 def confirm(part: pa.Table) -> pa.Table:
     """Of one hash part, the places whose hash came from two or more places, packed by home part."""
-    cols = {x: part[x].to_pylist() for x in "hkqp"}
-    h, k, q, p, done = [], [], [], [], []
-    for hb, kb, qb, pb in zip(cols["h"], cols["k"], cols["q"], cols["p"], strict=True):
+    cols = {x: part[x].to_pylist() for x in "hgkqp"}
+    h, g, k, q, p, done = [], [], [], [], [], []
+    for hb, gb, kb, qb, pb in zip(*(cols[x] for x in "hgkqp"), strict=True):
         row = (np.frombuffer(kb, np.int64), np.frombuffer(qb, np.int32), np.frombuffer(pb, np.int32))
         if hb:
-            h.append(np.frombuffer(hb, np.uint64))
+            h.append(np.frombuffer(hb, np.uint64)), g.append(np.frombuffer(gb, np.uint32))
             k.append(row[0]), q.append(row[1]), p.append(row[2])
         else:
             done.append(row)
     if h:
-        h, k, q, p = (np.concatenate(x) for x in (h, k, q, p))
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        same = np.r_[False, h[1:] == h[:-1]]
-        same[:-1] |= same[1:]
-        rows = order[same]
+        h, g, k, q, p = (np.concatenate(x) for x in (h, g, k, q, p))
+        order, first = in_order(h, g)
+        size = np.diff(np.r_[np.flatnonzero(first), len(h)])
+        rows = order[np.repeat(size > 1, size)]
         rows = rows[p[rows] >= 0]
         done.append((k[rows], q[rows], p[rows]))
     if not done:
@@ -129,7 +145,7 @@ def _anchor_map(parts: int, window: int, period: int, cover: tuple[int, ...]) ->
                 at = np.flatnonzero(in_cover[pos % period] & (pos + length <= np.repeat(n, n)) & (np.repeat(n, n) >= window))
                 if len(at):
                     h = C.run_hashes(C.word_hashes(b, s, e, 1), at, length)
-                    spool.add(h, keys[doc[at]], home[doc[at]].astype(np.int32), pos[at].astype(np.int32))
+                    spool.add(h, np.zeros(0, np.uint32), keys[doc[at]], home[doc[at]].astype(np.int32), pos[at].astype(np.int32))
                 if spool.n >= CHUNK and (out := spool.flush()):
                     yield out
         if out := spool.flush():
@@ -189,7 +205,8 @@ def _window_map(parts: int, window: int, period: int) -> Callable:
                 continue
             doc = np.repeat(np.arange(len(n)), n)[starts]
             h = C.run_hashes(C.word_hashes(b, s, e, 2), starts, window)
-            spool.add(h, keys[lo + doc], np.full(len(h), key[0].as_py(), np.int32), (starts - base[doc]).astype(np.int32))
+            g = (C.run_hashes(C.word_hashes(b, s, e, 5), starts, window) >> np.uint64(32)).astype(np.uint32)
+            spool.add(h, g, keys[lo + doc], np.full(len(h), key[0].as_py(), np.int32), (starts - base[doc]).astype(np.int32))
             if spool.n >= CHUNK:
                 out.append(spool.flush())
         if (last := spool.flush()) is not None:
@@ -252,15 +269,46 @@ def remove_repeated_passages(df: DataFrame, text_col: str = "text", id_col: str
     parts = C.parts_for(spark, df, text_col)
     made = ("n_words", "n_removed", "kept_text", "kept_sha256")
     rest = [c for c in df.columns if c not in (text_col, *made)]
-    k = C.row_key(id_col, text_col)
-    docs = df.select(k.alias("k"), F.pmod(k, F.lit(parts)).cast("int").alias("part"), F.col(text_col).cast("string").alias("text"), F.struct(*rest).alias("rest"))
+    ka, kb = C.row_keys(id_col, text_col)
+    docs = df.select(ka, kb, F.col(text_col).cast("string").alias("text"), F.struct(*rest).alias("rest")).withColumn("part", F.pmod("kb", F.lit(parts)).cast("int"))
+    again = C.written(docs.groupBy("ka", "kb").agg(F.count("*").alias("n")).filter("n > 1").select("ka", "kb"), "again")
+    repeats = again.count()
+    out = T.StructType([T.StructField("rest", docs.schema["rest"].dataType), *(T.StructField(x, T.LongType()) for x in made[:2]), *(T.StructField(x, T.StringType()) for x in made[2:])])
+    if not repeats:
+        return _matched(docs, parts, window, period, cover, out).select("rest.*", *made)
+    again = F.broadcast(again) if repeats <= BROADCAST_KEYS else again
+    repeated = docs.join(again, ["ka", "kb"], "left_semi")
+    one = repeated.dropDuplicates(["ka", "kb"]).withColumn("rest", F.lit(None).cast(docs.schema["rest"].dataType))
+    single = docs.join(again, ["ka", "kb"], "left_anti")
+    cut = _matched(single.unionByName(one), parts, window, period, cover, out).filter("rest is not null")
+    return cut.unionByName(repeated.select("text", "rest").mapInArrow(_all_or_nothing(window), out)).select("rest.*", *made)
+
+
+def _matched(docs: DataFrame, parts: int, window: int, period: int, cover: tuple[int, ...], out: T.StructType) -> DataFrame:
+    """Rows (ka, kb, text, rest, part) without their repeated passages."""
+    docs = docs.select(F.col("ka").alias("k"), "part", "text", "rest")
     thin = docs.select("k", "part", "text")
     matched = lambda hits: hits.groupBy("part").applyInArrow(confirm, CONFIRMED)
     anchors = matched(thin.mapInArrow(_anchor_map(parts, window, period, cover), HITS))
     by_part = docs.groupBy("part")
     windows = matched(by_part.cogroup(anchors.groupBy("part")).applyInArrow(_window_map(parts, window, period), HITS))
-    out = T.StructType([docs.schema["rest"], *(T.StructField(x, T.LongType()) for x in made[:2]), *(T.StructField(x, T.StringType()) for x in made[2:])])
-    return by_part.cogroup(windows.groupBy("part")).applyInArrow(_cut(window), out).select("rest.*", *made)
+    return by_part.cogroup(windows.groupBy("part")).applyInArrow(_cut(window), out)
+
+
+def _all_or_nothing(window: int) -> Callable:
+    """Rows whose every window repeats: all words go, or none where a text is shorter than a window."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch["text"]]
+            buf, offs = C.text_buffers(batch["text"])
+            n = np.concatenate([C.word_spans(buf[offs[a] : offs[z]], offs[a : z + 1] - offs[a])[2] for a, z in C.doc_slices(offs)] or [np.zeros(0, np.int64)])
+            gone = np.where(n >= window, n, 0)
+            kept = ["" if g else t for t, g in zip(texts, gone, strict=True)]
+            sha = [hashlib.sha256(b" ".join(WORD.findall(t.encode()))).hexdigest() for t in kept]
+            yield pa.RecordBatch.from_arrays([batch["rest"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], ["rest", "n_words", "n_removed", "kept_text", "kept_sha256"])
+
+    return run
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

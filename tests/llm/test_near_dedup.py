@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from dossier_spark.llm import near_dedup as N
 
@@ -83,6 +84,37 @@ def test_dense(spark, part):
     assert got(df, node=8, part=part, depth=3) == brute(rows)
 
 
+def swapped(n):
+    """Two words of n bytes that agree in every sum of powers: the parity sequence of a and b, and its swap."""
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_built_to_collide(spark):
+    rows = []
+    for i, n in enumerate((1024, 2048, 4096)):
+        a, b = swapped(n)
+        rows += [(10 * i + 1, f"x y {a} z"), (10 * i + 2, f"x y {b} z"), (10 * i + 3, f"x y {a} z")]
+    # runs of two words in that order
+    for i, n in enumerate((1024, 2048)):
+        a, b = swapped(n)
+        rows += [(100 + i, " ".join(a)), (200 + i, " ".join(b)), (300 + i, " ".join("p" + x for x in a[:40])), (400 + i, " ".join("p" + x for x in b[:40]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
+
+
+def test_drop_duplicates(spark):
+    """One row of each class, all columns whole; rows without words stay."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, "a"), (None, text + " end", "b"), (5, text, "c"), (5, text, "c"), (7, None, "d"), (8, "", "e"), (7, None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ka string").withColumn("c", F.lit(1)).withColumn("_again", F.lit(2))
+    out = N.drop_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.ka, r.c, r._again) for r in out.collect()) == [(5, "c", 1, 2), (7, "d", 1, 2), (7, "d", 1, 2), (8, "e", 1, 2)]
+    nulls = spark.createDataFrame([(None, text), (None, text + " end"), (None, "other words only here now")], "doc_id long, text string")
+    assert N.drop_duplicates(nulls).count() == 2
+
+
 def test_whole_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in N.op6_near_dedup(spark, sf).collect()), key=str) == brute(rows)

@@ -26,6 +26,11 @@ def run(spark, rows):
     return sorted(map(tuple, got), key=str)
 
 
+def swapped(n):
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
 def test_cover():
     assert S.is_cover(S.COVER, S.PERIOD) and not S.is_cover((0, 1), 21)
 
@@ -43,6 +48,24 @@ def test_planted(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_words_built_to_collide(spark):
+    """34 shared words after different long words that agree in every sum of powers; runs of two words in that order."""
+    tail, rows = " ".join(f"t{i}" for i in range(34)), []
+    for i, n in enumerate((1024, 2048, 4096)):
+        a, b = swapped(n)
+        rows += [(10 * i, f"{a} {tail} u{i}"), (10 * i + 1, f"{b} {tail} v{i}")]
+    a, b = swapped(2048)
+    rows += [(100, " ".join(a)), (101, " ".join(b)), (102, " ".join("p" + x for x in a[:40])), (103, " ".join("p" + x for x in b[:40]))]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_many_equal_rows(spark):
+    r = random.Random(3)
+    long, short = " ".join(f"w{r.randrange(90)}" for _ in range(50)), " ".join(f"s{i}" for i in range(20))
+    rows = [(1, long)] * 40 + [(2, short)] * 30 + [(None, long + " more")] * 5 + [(3, "x " + long[: len(long) // 2]), (4, None), (4, None)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty_and_clashing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeated_passages(df).count() == 0
