@@ -2,6 +2,10 @@
 
 Toxic documents go; of each near-duplicate group one document stays; passages that repeat are cut out; sources
 are mixed to their weights (no document is lost, small sources repeat up to twice); what is left is encoded.
+
+Defined results: columns that documents have beside their own are carried through every stage unchanged, whatever
+they are called; the last stage replaces those named like one of its outputs. Null texts count as empty, null sources
+as a source of their own; with no documents every stage is empty.
 """
 
 from __future__ import annotations
@@ -11,29 +15,42 @@ from pyspark.sql import functions as F
 
 from dossier_spark.llm import bpe, common, mixing, near_dedup, substring_dedup, toxicity
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+REST = "columns_set_aside"
+
+
+def set_aside(docs: DataFrame) -> DataFrame:
+    """docs with its own columns, and all others in one struct, so that none clashes with what a stage adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in OWN]
+    own = [c for c in docs.columns if c in OWN]
+    return docs.select(*own, F.struct(*others).alias(REST)) if others else docs.select(*own)
+
+
+def put_back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, in their order."""
+    return out.select(*[F.col(c) if c in OWN else F.col(f"{REST}.`{c}`").alias(c) for c in docs.columns])
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this input, does not reject."""
-    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    model = toxicity.train(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
+    return put_back(toxicity.score(set_aside(docs), model).filter("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group; of repeated rows one."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return own.withColumn("_row", common.row_key("doc_id", "text")).dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    """One document of each near-duplicate group, that of least id; documents without words are in no group."""
+    return near_dedup.drop_duplicates(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that also occur elsewhere; untouched ones keep their text as it is."""
-    cut = substring_dedup.remove_repeated_passages(docs)
-    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = substring_dedup.remove_repeated_passages(set_aside(docs))
+    return put_back(cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix asks."""
-    return mixing.mix(docs).select(*docs.columns)
+    return put_back(mixing.mix(set_aside(docs)), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
