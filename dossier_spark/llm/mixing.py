@@ -14,7 +14,8 @@ of the crossing block are split likewise. The
 bisection reads a table of one row a source, several steps of the exponent in one pass.
 
 Defined results: a null source is a source of its own (''); tokens are words [^\\x20\\x09-\\x0D]+; documents without
-words ride along with their block. Equal rows share block and fate. With no documents the result is empty.
+words ride along with their block. Equal rows share block and fate. With no documents the result is empty. Input
+columns are returned unchanged, but those named like one of the five output columns are replaced by it.
 """
 
 from __future__ import annotations
@@ -26,16 +27,20 @@ from . import common as C
 
 MAX_REPEAT, BLOCK_WORDS, BUCKETS, SEED = 2.0, 50_000, 256, 17
 STEPS, AT_ONCE = 48, 6
+MADE = ("mix_source", "mix_words", "mix_block", "mix_epoch", "mix_place")
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def totals(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
+def totals(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(source, words, docs) of each source, written."""
-    s = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), words(F.col(text_col)).alias("w"))
-    return C.written(s.groupBy("source").agg(F.sum("w").alias("words"), F.count("*").alias("docs")), "totals")
+    return _totals(docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"), words(F.col(text_col)).alias("mix_words")))
+
+
+def _totals(thin: DataFrame) -> DataFrame:
+    return C.written(thin.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_words").alias("words"), F.count("*").alias("docs")), "totals")
 
 
 def exponent(stats: DataFrame, max_repeat: float | None = MAX_REPEAT, entropy: float | None = None, steps: int = STEPS) -> float:
@@ -98,16 +103,20 @@ def split_at(units: DataFrame, order: list[str], limit: str) -> tuple[DataFrame,
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", max_repeat: float = MAX_REPEAT, entropy: float | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs as often as the mix asks, with mix_source, mix_words, mix_block, mix_epoch and mix_place
     (the block's place in that pass)."""
-    stats = totals(docs, text_col, source_col)
+    def placed(*more) -> DataFrame:
+        """Documents with their source, and their places: the hash that deals them to a block, and that within it."""
+        ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+        text = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))
+        return docs.select(*more, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"), words(F.col(text_col)).alias("mix_words"), place(seed, "block", ident).alias("mix_at"), place(seed, "doc", ident, text).alias("mix_doc"))
+
+    # the texts are read twice: for this thin table, from which all is planned, and for the rows that come out
+    thin = C.written(placed(), "thin")
+    stats = _totals(thin)
     plan = C.written(weigh(stats, exponent(stats, max_repeat, entropy)), "plan")
     # The plan has one row a source: a number that the sources bound, not the rows; it is joined, not broadcast by hint.
-    src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    taken = [c for c in docs.columns if not c.startswith("mix_")]
-    d = docs.select(*taken, src.alias("mix_source"), words(F.col(text_col)).alias("mix_words"))
     p = plan.select(F.col("source").alias("mix_source"), F.col("blocks").alias("mix_blocks"), "target", F.col("words").alias("total"))
-    block = F.pmod(place(seed, "block", F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.col("mix_blocks")).alias("mix_block")
-    doc = place(seed, "doc", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))).alias("mix_doc")
-    dealt = d.join(p.select("mix_source", "mix_blocks"), "mix_source").select(*taken, "mix_source", "mix_words", block, doc)
+    blocks, block = p.select("mix_source", "mix_blocks"), F.pmod("mix_at", "mix_blocks").alias("mix_block")
+    dealt = thin.join(blocks, "mix_source").select("mix_source", "mix_words", block, "mix_doc")
     sums = dealt.groupBy("mix_source", "mix_block").agg(F.sum("mix_words").alias("w"))
     # passes: whole ones, then one that is cut where the budget ends
     whole = F.when(F.col("total") > 0, F.floor(F.col("target") / F.nullif(F.col("total"), F.lit(0)))).otherwise(1).cast("int")
@@ -126,11 +135,35 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     chosen = chosen.unionByName(crossing.join(stops, "mix_source").select(*key, "mix_stop"))
     # one row a block with its passes, so that documents are joined once and then repeated
     by_block = chosen.groupBy("mix_source", "mix_block").agg(F.array_sort(F.collect_list(F.struct("mix_epoch", "mix_place", "mix_stop"))).alias("mix_passes"))
-    out = dealt.join(by_block, ["mix_source", "mix_block"]).select(*taken, "mix_source", "mix_words", "mix_block", "mix_doc", F.explode("mix_passes").alias("mix_e"))
+    taken = [c for c in docs.columns if c not in MADE]
+    row = F.struct(*[F.col(f"`{c}`") for c in taken]).alias("mix_row")
+    out = placed(row).join(blocks, "mix_source").select("mix_row", "mix_source", "mix_words", block, "mix_doc")
+    out = out.join(by_block, ["mix_source", "mix_block"]).select("mix_row", "mix_source", "mix_words", "mix_block", "mix_doc", F.explode("mix_passes").alias("mix_e"))
     out = out.filter("mix_e.mix_stop is null or mix_doc < mix_e.mix_stop")
-    return out.select(*taken, "mix_source", "mix_words", "mix_block", "mix_e.mix_epoch", "mix_e.mix_place")
+    return out.select("mix_row.*", "mix_source", "mix_words", "mix_block", "mix_e.mix_epoch", "mix_e.mix_place")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", F.col("mix_source").alias("source"), F.col("mix_words").alias("n_words"), F.col("mix_block").alias("block"), F.col("mix_epoch").alias("epoch"), F.col("mix_place").alias("place"))
+
+
+ORACLE_SQL = {
+    "op5_source_mixing": rf"""with recursive
+d as (select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as w, ('0x' || substr(md5('{SEED}/block/' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint as bp,
+  ('0x' || substr(md5('{SEED}/doc/' || coalesce(doc_id::varchar, 'null') || '/' || coalesce(md5(text), 'null')), 1, 8))::bigint as dp from documents),
+st as (select source, sum(w)::bigint as words from d group by 1),
+x as (select max(ln(words / total)) - min(ln(words / total)) as spread from st, (select sum(words)::double as total from st) where words > 0),
+bis(i, lo, hi) as (select 0, 0.0::double, 1.0::double union all select i + 1, case when ok then lo else mid end, case when ok then mid else hi end from (select i, lo, hi, (lo + hi) / 2 as mid, exp((1 - (lo + hi) / 2) * spread) <= {MAX_REPEAT} as ok from bis, x) where i < {STEPS}),
+p as (select source, words, pow(words::double, (select hi from bis where i = {STEPS})) as p from st where words > 0),
+t as (select source, words, greatest(words, round(p * (select max(words / p) from p))::bigint) as target from p union all select source, 0, 0 from st where words = 0),
+plan as (select source, words, case when words > 0 then target // words else 1 end as whole, case when words > 0 then target % words else 0 end as rest, greatest(1, ceil(words / {float(BLOCK_WORDS)}))::bigint as blocks from t),
+dealt as (select d.*, bp % blocks as block from d join plan using (source)),
+b as (select source, block, sum(w)::bigint as bw from dealt group by 1, 2),
+passes as (select *, ('0x' || substr(md5('{SEED}/pass/' || source || '/' || epoch || '/' || block), 1, 8))::bigint as place from (select b.*, whole, rest, unnest(range(0, whole + 1)) as epoch from b join plan using (source))),
+cut as (select *, sum(bw) over (partition by source order by place, block) as sofar from passes where epoch = whole and rest > 0),
+crossing as (select source, block, epoch, place, rest - (sofar - bw) as left_words from cut where sofar > rest and sofar - bw < rest),
+stops as (select source, min(dp) as stop from (select source, dp, left_words, sum(w) over (partition by source order by dp) as sofar from (select source, dp, left_words, sum(w) as w from dealt join crossing using (source, block) group by 1, 2, 3)) where sofar > left_words group by 1),
+chosen as (select source, block, epoch, place, null::bigint as stop from passes where epoch < whole union all select source, block, epoch, place, null from cut where sofar <= rest union all select source, block, epoch, place, stop from crossing join stops using (source))
+select doc_id, source, w as n_words, block, epoch::int as epoch, place from dealt join chosen using (source, block) where stop is null or dp < stop"""
+}

@@ -3,6 +3,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+
 from dossier_spark.llm import mixing as M
 
 
@@ -10,6 +12,10 @@ def place(*parts):
     return int(hashlib.md5("/".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
+def doc_place(d, text):
+    return place(M.SEED, "doc", "null" if d is None else d, "null" if text is None else hashlib.md5(text.encode()).hexdigest())
+
+
 def brute(rows, max_repeat=2.0):
     n = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for *_, t in rows]
     total = Counter()
@@ -29,19 +35,28 @@ def brute(rows, max_repeat=2.0):
         target = max(total[s], round(total[s] ** a * scale)) if total[s] else 0
         blocks = max(1, -(-total[s] // M.BLOCK_WORDS))
         by = defaultdict(list)
-        for (d, t, _), k in zip(rows, n):
+        for (d, t, x), k in zip(rows, n):
             if (t or "") == s:
-                by[place(M.SEED, "block", "null" if d is None else d) % blocks].append((d, k))
+                by[place(M.SEED, "block", "null" if d is None else d) % blocks].append((d, k, doc_place(d, x)))
         whole = target // total[s] if total[s] else 1
         rest = target - whole * total[s] if total[s] else 0
-        for e in range(whole + 1):
-            order = sorted((place(M.SEED, "pass", s, e, b), b) for b in by)
-            used = 0
-            for p, b in order:
-                used += sum(k for _, k in by[b])
-                if e == whole and used > rest or e == whole and rest == 0:
+        for e in range(whole):
+            out += [(d, s, k, b, e, place(M.SEED, "pass", s, e, b)) for b in by for d, k, _ in by[b]]
+        # the last pass stops at the budget; the block that crosses it is taken document by document
+        for p, b in sorted((place(M.SEED, "pass", s, whole, b), b) for b in by):
+            if rest <= 0:
+                break
+            words = Counter()
+            for _, k, at in by[b]:
+                words[at] += k
+            used, stop = 0, 1 << 32
+            for at in sorted(words):
+                used += words[at]
+                if used > rest:
+                    stop = at
                     break
-                out += [(d, s, k, b, e, p) for d, k in by[b]]
+            out += [(d, s, k, b, whole, p) for d, k, at in by[b] if at < stop]
+            rest = 0 if stop < 1 << 32 else rest - used
     return sorted(out, key=str)
 
 
@@ -76,5 +91,14 @@ def test_whole_table(spark, sf):
     assert got == brute(rows)
     empty = spark.createDataFrame([], "doc_id long, source string, text string, mix_words int")
     assert M.mix(empty).count() == 0
-    odd = spark.createDataFrame([(1, "a", "x y", 1, 2, 3)], "doc_id long, source string, text string, blocks int, passes int, words int")
-    assert M.mix(odd).select("blocks", "passes", "words", "mix_words").first() == (1, 2, 3, 2)
+    odd = spark.createDataFrame([(1, "a", "x y", 1, 2, 3, "n", 9)], "doc_id long, source string, text string, blocks int, passes int, words int, mix_note string, mix_words int")
+    out = M.mix(odd)
+    assert out.select("blocks", "passes", "words", "mix_note", "mix_words").first() == (1, 2, 3, "n", 2) and out.columns.count("mix_words") == 1
+
+
+def test_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    rel = con.sql(M.ORACLE_SQL["op5_source_mixing"])
+    df = M.op5_source_mixing(spark, sf)
+    assert sorted(df.select(*rel.columns).collect()) == sorted(rel.fetchall()) and sorted(rel.columns) == sorted(df.columns)
