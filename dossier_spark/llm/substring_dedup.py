@@ -6,8 +6,9 @@ difference cover. So only runs at cover positions are hashed and matched over th
 positions here). Matched anchors then extend: every window of WINDOW words that holds one is hashed
 whole under another seed and matched again; words under a matched window are removed.
 
-Two windows are equal if they agree in 96 bits under two independent hashes (an anchor, which only proposes, in
-64); a row is known by 64 bits of its content and, from another hash, the part that holds it.
+Two windows are equal if they agree in 80 bits of two independent hashes and in the part their hash falls to, of which
+there are more the more text there is (an anchor, which only proposes, travels with 40); a row is known by 64 bits of
+its content and, from another hash, the part that holds it.
 
 Hot passages: each task first matches within itself, settles local repeats there, and sends one row
 for each hash. A hash therefore reaches a reducer at most once per task, however common it is. Rows that repeat
@@ -37,7 +38,7 @@ PERIOD = 21
 COVER = (0, 1, 6, 8, 18)
 CHUNK = 1 << 20
 BROADCAST_KEYS = 1 << 19  # keys of two longs
-HITS = "part int, h binary, g binary, k binary, q binary, p binary"
+HITS = "part int, h binary, k binary, q binary, p binary"
 CONFIRMED = "part int, k binary, p binary"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -46,6 +47,26 @@ def is_cover(cover: tuple[int, ...], period: int) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
+ANCHOR_BYTES, WINDOW_BYTES = 5, 10
+
+
+def packed(h: np.ndarray, g: np.ndarray) -> bytes:
+    """Hashes as they travel: the upper bytes of h for anchors, h and more for windows."""
+    if len(g):
+        return np.concatenate([h.view(np.uint8).reshape(-1, 8), g.astype("<u2").view(np.uint8).reshape(-1, 2)], 1).tobytes()
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 8 - ANCHOR_BYTES :]).tobytes()
+
+
+def unpacked(raw: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, WINDOW_BYTES if wide else ANCHOR_BYTES)
+    h = np.zeros((len(rows), 8), np.uint8)
+    if not wide:
+        h[:, 8 - ANCHOR_BYTES :] = rows
+        return h.view("<u8").ravel(), np.zeros(0, np.uint16)
+    h[:] = rows[:, :8]
+    return h.view("<u8").ravel(), np.ascontiguousarray(rows[:, 8:]).view("<u2").ravel()
+
+
 def in_order(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal (h, g) together, and where each such group begins. g may be empty."""
     order = np.argsort(h, kind="stable")
@@ -77,10 +98,10 @@ class Spool:
         h, g, k, q, p = h[order], g[order] if len(g) else g, k[order], q[order], p[order]
         size = np.diff(np.r_[np.flatnonzero(first), len(h)])
         local = np.repeat(size > 1, size)
-        out = {"part": [], "h": [], "g": [], "k": [], "q": [], "p": []}
+        out = {"part": [], "h": [], "k": [], "q": [], "p": []}
 
-        def put(part, rows, hashes, more):
-            for name, value in (("part", part), ("h", hashes), ("g", more), ("k", k[rows].tobytes()), ("q", q[rows].tobytes()), ("p", p[rows].tobytes())):
+        def put(part, rows, hashes):
+            for name, value in (("part", part), ("h", hashes), ("k", k[rows].tobytes()), ("q", q[rows].tobytes()), ("p", p[rows].tobytes())):
                 out[name].append(value)
 
         # one row for each hash travels; position -1 says that its own places are settled already
@@ -90,22 +111,27 @@ class Spool:
         rows = rows[np.argsort(to[rows], kind="stable")]
         edges = np.flatnonzero(np.r_[True, np.diff(to[rows]) != 0])
         for lo, hi in zip(edges, np.r_[edges[1:], len(rows)], strict=True):
-            put(int(to[rows[lo]]), rows[lo:hi], h[rows[lo:hi]].tobytes(), g[rows[lo:hi]].tobytes() if len(g) else b"")
+            put(int(to[rows[lo]]), rows[lo:hi], packed(h[rows[lo:hi]], g[rows[lo:hi]] if len(g) else g))
         p = settled
         rows = np.flatnonzero(local)
         for i, lo in enumerate(range(0, len(rows), 1 << 16)):
-            put(int((h[0] + np.uint64(i)) % np.uint64(self.parts)), rows[lo : lo + (1 << 16)], b"", b"")
-        return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in "hgkqp")], list(("part", "h", "g", "k", "q", "p")))
+            put(int((h[0] + np.uint64(i)) % np.uint64(self.parts)), rows[lo : lo + (1 << 16)], b"")
+        return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in "hkqp")], ["part", "h", "k", "q", "p"])
 
 
-def confirm(part: pa.Table) -> pa.Table:
+def _confirm(wide: bool) -> Callable:
     """Of one hash part, the places whose hash came from two or more places, packed by home part."""
-    cols = {x: part[x].to_pylist() for x in "hgkqp"}
+    return lambda part: confirm(part, wide)
+
+
+def confirm(part: pa.Table, wide: bool) -> pa.Table:
+    cols = {x: part[x].to_pylist() for x in "hkqp"}
     h, g, k, q, p, done = [], [], [], [], [], []
-    for hb, gb, kb, qb, pb in zip(*(cols[x] for x in "hgkqp"), strict=True):
+    for hb, kb, qb, pb in zip(*(cols[x] for x in "hkqp"), strict=True):
         row = (np.frombuffer(kb, np.int64), np.frombuffer(qb, np.int32), np.frombuffer(pb, np.int32))
         if hb:
-            h.append(np.frombuffer(hb, np.uint64)), g.append(np.frombuffer(gb, np.uint32))
+            x, y = unpacked(hb, wide)
+            h.append(x), g.append(y)
             k.append(row[0]), q.append(row[1]), p.append(row[2])
         else:
             done.append(row)
@@ -145,7 +171,7 @@ def _anchor_map(parts: int, window: int, period: int, cover: tuple[int, ...]) ->
                 at = np.flatnonzero(in_cover[pos % period] & (pos + length <= np.repeat(n, n)) & (np.repeat(n, n) >= window))
                 if len(at):
                     h = C.run_hashes(C.word_hashes(b, s, e, 1), at, length)
-                    spool.add(h, np.zeros(0, np.uint32), keys[doc[at]], home[doc[at]].astype(np.int32), pos[at].astype(np.int32))
+                    spool.add(h, np.zeros(0, np.uint16), keys[doc[at]], home[doc[at]].astype(np.int32), pos[at].astype(np.int32))
                 if spool.n >= CHUNK and (out := spool.flush()):
                     yield out
         if out := spool.flush():
@@ -205,7 +231,7 @@ def _window_map(parts: int, window: int, period: int) -> Callable:
                 continue
             doc = np.repeat(np.arange(len(n)), n)[starts]
             h = C.run_hashes(C.word_hashes(b, s, e, 2), starts, window)
-            g = (C.run_hashes(C.word_hashes(b, s, e, 5), starts, window) >> np.uint64(32)).astype(np.uint32)
+            g = (C.run_hashes(C.word_hashes(b, s, e, 5), starts, window) >> np.uint64(48)).astype(np.uint16)
             spool.add(h, g, keys[lo + doc], np.full(len(h), key[0].as_py(), np.int32), (starts - base[doc]).astype(np.int32))
             if spool.n >= CHUNK:
                 out.append(spool.flush())
@@ -288,10 +314,10 @@ def _matched(docs: DataFrame, parts: int, window: int, period: int, cover: tuple
     """Rows (ka, kb, text, rest, part) without their repeated passages."""
     docs = docs.select(F.col("ka").alias("k"), "part", "text", "rest")
     thin = docs.select("k", "part", "text")
-    matched = lambda hits: hits.groupBy("part").applyInArrow(confirm, CONFIRMED)
-    anchors = matched(thin.mapInArrow(_anchor_map(parts, window, period, cover), HITS))
+    matched = lambda hits, wide: hits.groupBy("part").applyInArrow(_confirm(wide), CONFIRMED)
+    anchors = matched(thin.mapInArrow(_anchor_map(parts, window, period, cover), HITS), False)
     by_part = docs.groupBy("part")
-    windows = matched(by_part.cogroup(anchors.groupBy("part")).applyInArrow(_window_map(parts, window, period), HITS))
+    windows = matched(by_part.cogroup(anchors.groupBy("part")).applyInArrow(_window_map(parts, window, period), HITS), True)
     return by_part.cogroup(windows.groupBy("part")).applyInArrow(_cut(window), out)
 
 
