@@ -100,12 +100,13 @@ def all_caps(c: Column) -> Column:
     return (F.upper(c) == c) & (F.lower(c) != c) & (F.length(c) > 3)
 
 
-ID_NUMBER = r"\b756[.\s]?\d{4}[.\s]?\d{4}[.\s]?\d{2}\b"
+# Fixed value: an id number, 756 and ten digits with at most one separator before each.
+ID_NUMBER = r"(?U)756(?:[ .\-]?\d){10}"
 
 
 def id_number(c: Column) -> Column:
     """First 756 number as 756.xxxx.xxxx.xx, null if none."""
-    digits = F.regexp_replace(F.regexp_extract(c, f"({ID_NUMBER})", 1), r"[.\s]", "")
+    digits = F.regexp_replace(F.regexp_extract(c, f"({ID_NUMBER})", 1), r"(?U)\D", "")
     return F.when(digits != "", F.concat_ws(".", F.substring(digits, 1, 3), F.substring(digits, 4, 4), F.substring(digits, 8, 4), F.substring(digits, 12, 2)))
 
 
@@ -130,39 +131,48 @@ def place_and_date(place: Column, manual: Column, auto: Column, at: Column) -> C
 # ---------------------------------------------------------------- answers
 
 
+def split_lines(c: Column) -> Column:
+    """Lines by any line boundary; the empty rest after a last one may follow."""
+    return F.split(c, "\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]")
+
+
 def sanitise(c: Column) -> Column:
-    """Without code fences, zero-width spaces and a leading json:."""
-    t = F.regexp_replace(strip(c), r"(?i)^```(?:json)?", "")
-    t = F.replace(F.regexp_replace(strip(t), r"```$", ""), F.lit("​"), F.lit(""))
-    return strip(F.regexp_replace(strip(t), r"(?i)^json\s*:?\s*", ""))
+    """Fences and zero-width spaces become spaces; a leading json and what separates it goes."""
+    t = strip(F.replace(F.replace(c, F.lit("```"), F.lit(" ")), F.lit("\u200b"), F.lit(" ")))
+    return strip(F.regexp_replace(t, r"(?iU)^json[:\s]+", ""))
 
 
 def looks_marked_up(c: Column) -> Column:
-    """Reads like JSON or Markdown."""
-    return c.rlike(r"(?m)^\s*[\[{]|^\s*#{1,6}\s|\*\*|```|^\s*[-*]\s+\*\*|\|.*\|")
+    """Begins like JSON, or has a fence or the word json."""
+    return strip(c).rlike(r"^[{\[]") | c.rlike(r"(?iuU)```|\bjson\b")
+
+
+# What may not stand in an answer.
+FORBIDDEN = (
+    ("PLACEHOLDER", r"\{\{|\}\}"),
+    ("TOKENS", r"\bXX\b|\bNAME\b|\bsurname\b"),
+    ("SOURCE_REF", r"\bsource\s*\d+\b|\(\s*source\b"),
+)
 
 
 def forbidden_reasons(c: Column) -> Column:
-    """Why a text may not be used as an answer."""
-    colons = F.exists(F.split(c, "\n"), lambda line: F.regexp_count(line, F.lit(":")) > 1)
-    return F.array_compact(
-        F.array(
-            F.when(c.rlike(r"\{\{|\}\}"), F.lit("PLACEHOLDER")),
-            F.when(c.rlike(r"(?i)<\|?(?:s|/s|im_start|im_end|endoftext)\|?>|\[/?INST\]"), F.lit("TOKENS")),
-            F.when(c.rlike(r"(?i)\[?source\s*\d+"), F.lit("SOURCE_REF")),
-            F.when(c.contains("::") | colons, F.lit("MULTI_COLON")),
-        )
-    )
+    """Why a text may not be used as an answer; at most one colon may stand in a line."""
+    colons = F.exists(split_lines(c), lambda line: F.regexp_count(line, F.lit(":")) > 1)
+    found = [F.when(c.rlike("(?iuU)" + pattern), F.lit(reason)) for reason, pattern in FORBIDDEN]
+    return F.array_compact(F.array(*found, F.when(c.contains("::") | colons, F.lit("MULTI_COLON"))))
 
 
 def first_lines(c: Column, n: Column | int) -> Column:
-    """The first n non-empty lines, each trimmed."""
-    return F.array_join(F.slice(F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != ""), 1, n), "\n")
+    """The first n non-empty lines, each trimmed; all of them if n is 0."""
+    lines = F.filter(F.transform(split_lines(c), strip), lambda x: x != "")
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.array_join(F.slice(lines, F.lit(1), F.when(n > 0, n).otherwise(F.greatest(F.size(lines), F.lit(0)))), "\n")
 
 
-def first_chars(c: Column, n: int) -> Column:
-    """At most n characters; a cut text ends with an ellipsis."""
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, n - 1), r"(?U)\s+$", ""), F.lit("…")))
+def first_chars(c: Column, n: Column | int) -> Column:
+    """At most n characters, all if n is 0; a cut text ends with an ellipsis."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when((n == 0) | (F.length(c) <= n), c).otherwise(F.concat(F.regexp_replace(F.substring(c, F.lit(1), n - 1), r"(?U)\s+$", ""), F.lit("…")))
 
 
 def allowed_value(c: Column, allowed: Column) -> Column:

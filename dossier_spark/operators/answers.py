@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from dossier_spark.functions import text as X
 
+from .ordering import numbered
+
 EMPTY, NOT_ALLOWED = "__VIDE__", "NON_AUTORISE"
 
 
@@ -33,36 +36,63 @@ def with_specs(keys: DataFrame, specs: DataFrame, overrides: DataFrame | None =
     return out.join(o, out["key"] == F.col("ko"), "left").select(*keys.columns, F.coalesce("qo", "query").alias("query"), F.coalesce("inso", "instructions").alias("instructions"))
 
 
-def generate(prompts: DataFrame, model: Callable[[str], str], attempts: int = 3) -> DataFrame:
-    """prompts (…, prompt, retry_prompt) with answer and attempts: the model is called again with the shorter prompt after
-    a timeout, and with a correction after a forbidden answer; still forbidden is empty (H1).
+def looks_marked_up(text: str) -> bool:
+    """As functions.text.looks_marked_up, for a model's reply within a task."""
+    return re.match(r"\s*[{\[]", text) is not None or re.search(r"```|\bjson\b", text, re.I) is not None
+
+
+def is_forbidden(text: str) -> bool:
+    """As functions.text.forbidden_reasons, for a model's reply within a task."""
+    return "::" in text or any(line.count(":") > 1 for line in text.splitlines()) or any(re.search(p, text, re.I) for _, p in X.FORBIDDEN)
+
+
+PLAIN = "\n\nThe format was wrong. Answer again in plain text, without JSON or Markdown."
+CORRECTED = "\n\nCheck before you answer: no placeholders, no source numbers, no titles, no '::' and one ':' a line at most. Answer again in plain text."
+
+
+def generate(prompts: DataFrame, model: Callable[[str], str], timeout_retries: int = 1) -> DataFrame:
+    """prompts (…, prompt, retry_prompt) with answer, attempts and failure (H1). After a timeout the model gets the shorter
+    retry_prompt (null where there are no passages to leave out), up to timeout_retries times; a reply like JSON or
+    Markdown is asked for once more as plain text; one with forbidden content is corrected once. A reply that is still
+    forbidden is returned as it is, for processed() to empty. failure is LLM_TIMEOUT or LLM_ERROR, the answer then ''.
 
     The model is the caller's: a function from prompt to text, raising TimeoutError when it is late.
     """
-    import re
 
-    bad = re.compile(r"\{\{|\}\}|::|```")
+    def ask(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return model(prompt), None
+        except TimeoutError:
+            return None, "LLM_TIMEOUT"
+        except Exception:  # noqa: BLE001  one failed reply must not end the job
+            return None, "LLM_ERROR"
+
+    def ladder(prompt: str, shorter: str | None) -> tuple[str, int, str | None]:
+        answer, failure = ask(prompt)
+        n = 1
+        while failure == "LLM_TIMEOUT" and shorter and n <= timeout_retries:
+            again, late = ask(shorter)
+            n += 1
+            if late is None:
+                answer, failure, prompt = again, None, shorter
+        if failure:
+            return "", n, failure
+        if looks_marked_up(answer):
+            again, _ = ask(prompt + PLAIN)
+            answer, n = answer if again is None else again, n + 1
+        if is_forbidden(answer):
+            again, _ = ask(prompt + CORRECTED)
+            answer, n = answer if again is None else again, n + 1
+        return answer, n, None
 
     def run(batches):
         for pdf in batches:
-            answers, tries = [], []
-            for prompt, shorter in zip(pdf["prompt"], pdf["retry_prompt"], strict=True):
-                ask, answer, n = prompt, "", 0
-                while n < attempts:
-                    n += 1
-                    try:
-                        answer = model(ask)
-                    except TimeoutError:
-                        ask = shorter
-                        continue
-                    if not bad.search(answer):
-                        break
-                    ask, answer = prompt + "\n\nPlain text only, without markers.", ""
-                answers.append(answer), tries.append(n)
-            yield pd.concat([pdf, pd.DataFrame({"answer": answers, "attempts": pd.array(tries, dtype="int32")}, index=pdf.index)], axis=1)
+            rows = [ladder(p, s if isinstance(s, str) else None) for p, s in zip(pdf["prompt"], pdf["retry_prompt"], strict=True)]
+            got = pd.DataFrame({"answer": [r[0] for r in rows], "attempts": pd.array([r[1] for r in rows], dtype="int32"), "failure": pd.array([r[2] for r in rows], dtype="object")}, index=pdf.index)
+            yield pd.concat([pdf, got], axis=1)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInPandas(run, f"{kinds}, answer string, attempts int")
+    return prompts.mapInPandas(run, f"{kinds}, answer string, attempts int, failure string")
 
 
 def transcribe(audio: DataFrame, model: Callable[[str], list[tuple[float, float, str]]]) -> DataFrame:
@@ -78,32 +108,39 @@ def transcribe(audio: DataFrame, model: Callable[[str], list[tuple[float, float,
 
 def cleaned(answer: Column, max_lines: Column, max_chars: int) -> Column:
     """Sanitised, cut to lines, then characters."""
-    a = F.when(X.strip(answer) == EMPTY, F.lit("")).otherwise(X.sanitise(answer))
-    return X.first_chars(X.first_lines(a, max_lines), max_chars)
+    t = X.sanitise(answer)
+    return X.first_chars(X.first_lines(F.when(t == EMPTY, F.lit("")).otherwise(t), max_lines), max_chars)
 
 
 def processed(responses: DataFrame, max_chars: int = 400) -> DataFrame:
     """responses (…, kind, answer, deterministic, n_passages, require_sources, max_lines, allowed, failure) with value and
-    missing_info codes (N35): a deterministic field takes its value; no passages where sources are required; forbidden
-    output is emptied; a constrained field must be allowed."""
+    missing_info codes (N35, J16): a deterministic field takes its value; no passages where sources are required; a failed
+    call; forbidden output is emptied; where values are allowed, only those; EMPTY if nothing else says why."""
     det = F.col("kind") == "deterministic"
     no_context = ~det & F.col("require_sources") & (F.col("n_passages") == 0)
-    raw = F.when(det, F.coalesce("deterministic", F.lit(""))).when(no_context | F.col("failure").isNotNull(), F.lit("")).otherwise(cleaned(F.coalesce("answer", F.lit("")), F.col("max_lines"), max_chars))
-    d = responses.withColumn("raw", raw).withColumn("forbidden", F.when(~det, X.forbidden_reasons(F.col("raw"))).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("safe", F.when(F.size("forbidden") > 0, F.lit("")).otherwise(F.col("raw")))
-    limited = (F.col("kind") == "constrained") & (F.col("safe") != "")
-    d = d.withColumn("ok", X.allowed_value(F.col("safe"), F.col("allowed"))).withColumn("value", F.when(limited, F.coalesce("ok", F.lit(""))).otherwise(F.col("safe")))
+    live = ~det & ~no_context & F.col("failure").isNull()
+    d = responses.withColumn("_bad", live & (F.size(X.forbidden_reasons(F.coalesce("answer", F.lit("")))) > 0))
+    d = d.withColumn("_text", cleaned(F.when(F.col("_bad"), F.lit(EMPTY)).otherwise(F.coalesce("answer", F.lit(""))), F.col("max_lines"), max_chars))
+    limited = live & F.coalesce(F.size("allowed") > 0, F.lit(False))
+    d = d.withColumn("_ok", X.allowed_value(F.col("_text"), F.col("allowed"))).withColumn("_denied", limited & F.col("_ok").isNull())
+    value = F.when(det, X.strip(F.coalesce("deterministic", F.lit("")))).when(limited, F.coalesce("_ok", F.lit(""))).when(live, F.col("_text")).otherwise(F.lit(""))
+    d = d.withColumn("value", value)
     codes = F.array_compact(
         F.array(
             F.when(det & (F.col("value") == ""), F.lit("DETERMINISTIC_EMPTY")),
             F.when(no_context, F.lit("NO_CONTEXT")),
             F.when(~det & ~no_context & F.col("failure").isNotNull(), F.col("failure")),
-            F.when(F.size("forbidden") > 0, F.lit("FORBIDDEN_OUTPUT")),
-            F.when(limited & F.col("ok").isNull(), F.lit(NOT_ALLOWED)),
-            F.when(~det & ~no_context & F.col("failure").isNull() & (F.col("raw") == ""), F.lit("EMPTY")),
+            F.when(F.col("_bad"), F.lit("FORBIDDEN_OUTPUT")),
+            F.when(F.col("_denied"), F.lit(NOT_ALLOWED)),
+            F.when(live & (F.col("value") == "") & ~F.col("_bad") & ~F.col("_denied"), F.lit("EMPTY")),
         )
     )
-    return d.withColumn("missing_info", codes).drop("raw", "forbidden", "safe", "ok")
+    return d.withColumn("missing_info", codes).drop("_bad", "_text", "_ok", "_denied")
+
+
+def missing_info(answers: DataFrame) -> DataFrame:
+    """The fields of which something is missing, with the codes."""
+    return answers.filter(F.size("missing_info") > 0)
 
 
 def as_text(value: Column, answer: Column, other: Column) -> Column:
@@ -120,9 +157,11 @@ def filled_templates(templates: DataFrame, answers: DataFrame) -> DataFrame:
     return d.select("template_id", "pos", F.when(F.col("markers").isNull(), F.col("text")).otherwise(X.fill(F.col("text"), F.col("markers"))).alias("text"))
 
 
-def prompts_per_client(docs: DataFrame) -> DataFrame:
-    """One prompt for each document, then one for each client that joins their answers in order.
-    docs: client_id, path, text."""
+def prompts_per_client(docs: DataFrame, per_prompt: int = 50) -> DataFrame:
+    """One prompt for each document, then prompts that join their answers in order of path, per_prompt documents in each:
+    (client_id, part, n_docs, prompt) (A28). docs: client_id, path, text. A client of more documents has more parts, so no
+    row grows with the client; merging the parts' answers is the same step again."""
     one = docs.select("client_id", "path", F.concat(F.lit("Summarise the document "), "path", F.lit(":\n"), "text").alias("prompt"))
+    placed = numbered(docs.select("client_id", "path"), "client_id", ["path"]).select("client_id", "path", F.floor((F.col("place") - 1) / per_prompt).cast("int").alias("part"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "prompt"))), lambda x: x["prompt"])
-    return one.groupBy("client_id").agg(F.count("*").alias("n_docs"), F.concat(F.lit("Merge into one report:\n\n"), F.array_join(ordered, "\n\n")).alias("prompt"))
+    return one.join(placed, ["client_id", "path"]).groupBy("client_id", "part").agg(F.count("*").alias("n_docs"), F.concat(F.lit("Merge into one report:\n\n"), F.array_join(ordered, "\n\n")).alias("prompt"))

@@ -36,7 +36,7 @@ def field_stages(events: DataFrame) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy("first_seq")))
 
 
-def progress(stages: DataFrame, done: tuple[str, ...] = ("done", "error")) -> DataFrame:
+def progress(stages: DataFrame, done: tuple[str, ...] = ("done", "warning", "error")) -> DataFrame:
     """Share of finished fields as progress between 0.4 and 0.7."""
     ratio = F.count_if(F.col("stage").isin(*done)) / F.count("*")
     return stages.groupBy("job_id").agg(F.greatest(F.lit(0.4), F.least(F.lit(0.7), 0.4 + 0.3 * ratio)).alias("progress"))
@@ -45,3 +45,9 @@ def progress(stages: DataFrame, done: tuple[str, ...] = ("done", "error")) -> Da
 def metadata(c: Column) -> Column:
     """A JSON object of strings; {} for anything else."""
     return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def ingestion_counts(files: DataFrame) -> DataFrame:
+    """(source, txt, json): how many text and JSON files were ingested of each source; others are not (A23). files: source, suffix."""
+    kind = lambda s: F.count_if(F.lower("suffix") == s)
+    return files.groupBy("source").agg(kind(".txt").alias("txt"), kind(".json").alias("json"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier_spark.functions import text as X
+from dossier_spark.sources.files import written
 
 SIZE, OVERLAP, K1, B = 1200, 200, 1.5, 0.75
+QUERY_BLOCK = 1 << 20  # query terms in one broadcast: some 50 bytes each
 
 
 def path_allowed(path: Column, include: Column, exclude: Column) -> Column:
@@ -61,21 +63,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(chunked: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(chunked: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
     """(client_id, query_id, path, page, chunk_no, score) of chunks that share a term with a query (A4).
 
-    Only tokens of the query vocabulary are exploded into postings, so what is shuffled follows the hits.
+    The texts are chunked and tokenised once, into a written table; postings, document frequencies and lengths are taken
+    from it. Only tokens of the query vocabulary become postings. These stay where their chunk is: the query terms come to
+    them, broadcast in blocks of `block` rows however many queries there are, so no shuffle is keyed by a term, common or
+    not, and a chunk's score is summed in the task that holds it.
     """
-    tok, terms = chunk_tokens(chunked), query_terms(queries)
+    number = F.monotonically_increasing_id().alias("cid")
+    tok = written(chunk_tokens(chunked).select(number, *KEY, "dl", "tokens"), "tokens")
+    terms = written(query_terms(queries), "terms")
     vocabulary = terms.select("term").distinct()
-    exploded = tok.select(*KEY, "dl", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
-    posts = exploded.groupBy(*KEY, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    vocabulary = F.broadcast(vocabulary) if (n := terms.count()) <= block else vocabulary
+    exploded = tok.select("cid", "client_id", "dl", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
+    posts = written(exploded.repartition("cid").groupBy("cid", "client_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
     df, stats = document_frequency(posts), chunk_stats(tok)
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = posts.join(df, ["client_id", "term"]).join(stats, "client_id").select(*KEY, "term", part.alias("part"))
-    hits = weighted.join(terms, "term")
-    return hits.groupBy("query_id", *KEY).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
+    weight = df.join(stats, "client_id").select("client_id", "term", "avgdl", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weighted = posts.join(weight, ["client_id", "term"]).select("cid", "term", part.alias("part"))
+    blocks, out = -(-n // block), None
+    for i in range(max(1, blocks)):
+        some = terms if blocks <= 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        hits = weighted.join(F.broadcast(some), "term").groupBy("cid", "query_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
+        out = hits if out is None else out.unionByName(hits)
+    return out.join(tok.select("cid", *KEY), "cid").select("query_id", *KEY, "score")
 
 
 def top_passages(scored: DataFrame, k: int) -> DataFrame:
@@ -95,7 +107,9 @@ def prompts(top: DataFrame, chunked: DataFrame, fields: DataFrame, width: int =
 
     fields: query_id, label, max_lines, allowed (array or null).
     """
-    piece = F.format_string("[%d] %s%s\n%s", F.col("rank"), F.element_at(F.split("path", "/"), -1), F.when(F.col("page").isNull(), "").otherwise(F.format_string(" p.%d", "page")), F.substring(X.collapse(F.col("chunk")), 1, width))
+    flat = X.collapse(F.col("chunk"))
+    shown = F.when(F.length(flat) > width, F.concat(F.substring(flat, 1, width), F.lit("…"))).otherwise(flat)
+    piece = F.format_string("[%d] %s%s\n%s", F.col("rank"), F.element_at(F.split("path", "/"), -1), F.when(F.col("page").isNull(), "").otherwise(F.format_string(" p.%d", "page")), shown)
     # page may be null, so the key is joined null-safely
     c = chunked.select(*[F.col(k).alias("c_" + k) for k in KEY], "chunk")
     same = [top[k].eqNullSafe(c["c_" + k]) if k == "page" else top[k] == c["c_" + k] for k in KEY]
@@ -103,3 +117,24 @@ def prompts(top: DataFrame, chunked: DataFrame, fields: DataFrame, width: int =
     form = F.when(F.col("max_lines") <= 1, F.lit("One line.")).otherwise(F.format_string("At most %d lines.", "max_lines"))
     allowed = F.when(F.col("allowed").isNull() | (F.size("allowed") == 0), F.lit("")).otherwise(F.concat(F.lit("\nOne of: "), F.array_join("allowed", ", ")))
     return got.join(fields, "query_id").select("client_id", "query_id", F.concat(F.lit("Answer from the passages only.\nField: "), F.col("label"), F.lit("\nFormat: "), form, allowed, F.lit("\n\n"), F.col("passages")).alias("prompt"))
+
+
+def context_export(top: DataFrame, chunked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(client_id, query_id, query, topk, results) of each client and query; results are ordered by rank, each with its
+    score, chunk id, path, page and text (S14)."""
+    c = chunked.select(*[F.col(x).alias("c_" + x) for x in KEY], "chunk_id", "chunk")
+    same = [top[x].eqNullSafe(c["c_" + x]) if x == "page" else top[x] == c["c_" + x] for x in KEY]
+    one = F.struct("rank", "score", "chunk_id", F.col("path").alias("source_path"), "page", F.col("chunk").alias("text"))
+    g = top.join(c, same).groupBy("client_id", "query_id").agg(F.array_sort(F.collect_list(one)).alias("results"))  # k a group
+    return g.join(queries.select("query_id", F.col("text").alias("query")), "query_id").select("client_id", "query_id", "query", F.lit(k).alias("topk"), "results")
+
+
+def id_candidates(sources: DataFrame, first: int = 5, chars: int = 10_000) -> DataFrame:
+    """(client_id, numbers): the strictly written id numbers in the first sources of each client, sorted, each once: of the
+    first five sources those that are text, of these the first 10,000 characters (A21).
+    sources: client_id, place (the order of a client's sources), suffix, text."""
+    w = Window.partitionBy("client_id").orderBy("place")
+    d = sources.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= first).filter(F.lower("suffix") == ".txt")
+    found = F.regexp_extract_all(F.substring("text", 1, chars), F.lit(r"(?U)(\b756\.\d{4}\.\d{4}\.\d{2}\b)"), F.lit(1))
+    n = d.select("client_id", F.explode_outer(found).alias("n"))
+    return n.groupBy("client_id").agg(F.array_sort(F.collect_set("n")).alias("numbers"))

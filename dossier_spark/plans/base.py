@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier_spark.sources.files import shared_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,15 +28,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Client documents: client is the source, the path names the document."""
     d = table(spark, sf, "documents")
     return d.select(F.col("source").alias("client_id"), F.format_string("%s/doc_%d.txt", "source", "doc_id").alias("path"), F.lit(None).cast("int").alias("page"), "text", "doc_id")
 
 
+# What is added to some documents so that they have the sections of a case file.
+CASE = "text || case doc_id % 4 when 1 then '{0}SUITE UNIQUE{0}Orientation{0}vers ' || source || '{0}Stage :{0}trois mois TODO' when 2 then '{0}IDENTITE DU CLIENT{0}Monsieur Jean Bon' || doc_id || ' – 756.1234-5678.9' || doc_id % 10 else '' end"
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs of documents: the non-empty lines, in order; bold where doc_id + pos is a multiple of 5."""
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.expr(CASE.format("\\n")), "\n")).alias("pos", "text"))
     return d.filter("text <> ''").withColumn("is_bold", F.expr("(doc_id + pos) % 5 = 0")).withColumn("style_name", F.expr("case when pos = 0 and doc_id % 3 = 0 then 'Heading 1' else 'Normal' end"))
 
 
@@ -54,9 +66,9 @@ files as (select *, client_id || '/' || case when folder = '' then '' else folde
     ['rapport_final_', 'bilan_', 'notes_', 'template_', 'cv_', 'lettre_', 'synthese_', 'copie_rapport_', 'photo_', 'evaluation_', 'doc_'][doc_id % 11 + 1] || doc_id || ['.docx', '.pdf', '.txt'][doc_id % 3 + 1] as name,
     ['.docx', '.pdf', '.txt'][doc_id % 3 + 1] as suffix, n_chars as size_bytes, doc_id as mtime, doc_id from documents))
 """
-LINES_SQL = r"""
+LINES_SQL = rf"""
 lines as (select doc_id, pos - 1 as pos, text, (doc_id + pos - 1) % 5 = 0 as is_bold, case when pos = 1 and doc_id % 3 = 0 then 'Heading 1' else 'Normal' end as style_name
-  from (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents) where text <> '')
+  from (select doc_id, unnest(string_split(t, chr(10))) as text, generate_subscripts(string_split(t, chr(10)), 1) as pos from (select doc_id, {CASE.format("' || chr(10) || '")} as t from documents)) where text <> '')
 """
 N1 = r"regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"

@@ -3,51 +3,68 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier_spark.sources import files as S
 
-from .base import CHUNKS_SQL, documents, query, table
+from .base import CHUNKS_SQL, N1, STRIP, documents, place, query, table
 from .retrieval_queries import chunked
 
 
-def place(spark, name):
-    return f"{S.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+TREE = "source || '/' || case doc_id % 4 when 0 then '06 Rapport final/' when 1 then '.hidden/' when 2 then 'a/b/' else '' end || case when doc_id % 7 = 0 then '.' else '' end || 'doc_' || doc_id || case when doc_id % 3 = 0 then '.txt' else '.docx' end"
 
 
-@query("S1", "select source as client_id, count(*) > 0 as listed from documents group by 1")
+def folder_tree(spark, sf, name):
+    """The documents as files of client folders, some hidden or in hidden folders: (root, rows that were written). Each task
+    writes its own files through the file system of the shared folder."""
+    root = place(spark, name)
+    S.write_files(as_files(spark, sf), root)
+    return root
+
+
+def as_files(spark, sf):
+    """Documents as file contents (rel, content): texts in UTF-8 or Latin-1, others as DOCX of which every 13th is broken."""
+    d = table(spark, sf, "documents").select("doc_id", F.expr(TREE).alias("rel"), "text")
+    txt = d.filter("doc_id % 3 = 0").select("rel", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.concat(F.lit("é"), F.regexp_replace("text", r"[^\x00-\xFF]", "?")), "ISO-8859-1")).alias("content"))
+    return txt.unionByName(d.filter("doc_id % 3 <> 0").select("rel", docx_bytes("doc_id", clean_text()).alias("content")))
+
+
+LISTED = f"listed as (select doc_id, source as client_id, rel, text from (select *, {TREE} as rel from documents) where doc_id % 4 <> 1 and doc_id % 7 <> 0)"
+
+
+@query("S1", f"with {LISTED} select client_id, rel, string_split(rel, '/')[-1] as name, case when len(string_split(rel, '/')) > 2 then string_split(rel, '/')[2] else '' end as folder, case when doc_id % 3 = 0 then '.txt' else '.docx' end as suffix from listed")
 def listing(spark, sf):
-    """Documents written as text files by client, then listed without reading them."""
-    root = place(spark, "files")
-    table(spark, sf, "documents").select(F.col("source").alias("client"), "text").write.partitionBy("client").text(root)
-    path = root.removeprefix("file://")
-    inv = S.inventory(spark, path if root.startswith("file://") else root)
-    return inv.filter(F.col("suffix") == ".txt").groupBy(F.regexp_replace("client_id", "^client=", "").alias("client_id")).agg((F.count("*") > 0).alias("listed"))
+    """Documents written as files, then listed without reading them; hidden ones are left out."""
+    root = folder_tree(spark, sf, "tree")
+    inv = S.inventory(spark, root)
+    return inv.select("client_id", F.concat_ws("/", "client_id", F.col("rel")).alias("rel"), "name", "folder", "suffix")
 
 
-@query("S2", "select doc_id, case when doc_id % 2 = 0 then text else 'é' || doc_id end as text from documents")
+@query("S2", "select doc_id, case when doc_id % 2 = 0 then text else 'é' || regexp_replace(text, '[^\\x00-\\x{FF}]', '?', 'g') end as text from documents")
 def decoding(spark, sf):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.concat(F.lit("é"), F.col("doc_id").cast("string")), "ISO-8859-1"))
+    """Whole texts in UTF-8, and in Latin-1, which their accent makes invalid UTF-8."""
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.concat(F.lit("é"), F.regexp_replace("text", r"[^\x00-\xFF]", "?")), "ISO-8859-1"))
     return table(spark, sf, "documents").select("doc_id", S.as_text(raw).alias("text"))
 
 
-@query("S6", "select source as path, coalesce(string_agg(text, chr(10) || chr(10) order by doc_id) filter (where trim(text) <> ''), '') as text, count(*) as n_pages from (select source, doc_id, case when doc_id % 4 = 0 then ' ' else substr(text, 1, 30) end as text from documents) group by 1")
+@query("S6", r"select path, coalesce(string_agg(t, chr(10) || chr(10) order by page) filter (where not regexp_matches(t, '^\s*$')), '') as text, count(*) as n_pages from (select doc_id::varchar as path, i as page, case when i % 3 = 1 then ' ' else substr(text, i * 500 + 1, 500) end as t from (select doc_id, text, unnest(range(0, (length(text) + 499) // 500 + 1)) as i from documents)) group by 1")
 def pages(spark, sf):
-    return S.joined_pages(table(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("page"), F.expr("case when doc_id % 4 = 0 then ' ' else substr(text, 1, 30) end").alias("text")))
+    """Documents laid out in pages of 500 characters, every third one blank, and joined again."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.expr("int((length(text) + 499) / 500)"))).alias("page"))
+    return S.joined_pages(d.select(F.col("doc_id").cast("string").alias("path"), "page", F.when(F.col("page") % 3 == 1, F.lit(" ")).otherwise(F.substring("text", F.col("page") * 500 + 1, F.lit(500))).alias("text")))
 
 
-@query("S7", "select doc_id::varchar as path, substr(text, 1, 50) as text, sha256(substr(text, 1, 50)) as text_sha256 from documents")
+@query("S7", "select doc_id::varchar as path, text, sha256(text) as text_sha256 from documents")
 def payload(spark, sf):
-    """Documents written as payloads and read back."""
-    t = F.substring("text", 1, 50)
-    one = F.struct(F.col("doc_id").cast("string").alias("path"), t.alias("text"), F.sha2(t, 256).alias("hash"))
+    """Documents written as payloads of a hundred documents at most, and read back."""
+    one = F.struct(F.col("doc_id").cast("string").alias("path"), "text", F.sha2("text", 256).alias("hash"))
     path = place(spark, "payload")
-    S.write_json(table(spark, sf, "documents").groupBy("source").agg(F.collect_list(one).alias("documents")), path)
+    S.write_json(table(spark, sf, "documents").groupBy("source", F.floor(F.col("doc_id") / 100).alias("part")).agg(F.collect_list(one).alias("documents")), path)
     return S.read_payload(spark, path).select("path", "text", "text_sha256")
 
 
@@ -69,47 +86,56 @@ def corpus(spark, sf):
     return S.corpus_lines(documents(spark, sf))
 
 
-@query("S10", "select source as client_name, count(*) as n, sum(doc_id) as ids from documents group by 1")
-def by_client(spark, sf):
-    path = place(spark, "reports")
-    S.write_json(table(spark, sf, "documents").select(F.col("source").alias("client_name"), "doc_id", "n_chars"), path, "client_name")
-    return spark.read.schema("doc_id long, client_name string").json(path).groupBy("client_name").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+def pack_docx(i: int, text: str) -> bytes:
+    """A text as DOCX: a paragraph a line, the first one a bold heading, and it and a cell as a row of a table; every 13th is broken."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    buf, lines = io.BytesIO(), text.split("\n")
+    body = "".join(f"<w:p>{'<w:pPr><w:pStyle w:val=\"Heading1\"/></w:pPr>' if n == 0 else ''}<w:r>{'<w:rPr><w:b/></w:rPr>' if n == 0 else ''}<w:t>{escape(t)}</w:t></w:r></w:p>" for n, t in enumerate(lines))
+    cells = "".join(f"<w:tc><w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p></w:tc>" for t in (lines[0], "cell"))
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}<w:tbl><w:tr>{cells}</w:tr></w:tbl></w:body></w:document>")
+    return buf.getvalue() if i % 13 else b"broken"
 
 
-def as_docx(spark, sf):
-    """Documents as DOCX bytes: a paragraph a line, the first one a bold heading; every 13th is broken."""
-
+def docx_bytes(ids: str, texts: Column) -> Column:
     @F.pandas_udf("binary")
-    def pack(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-        out = []
-        for i, text in zip(ids, texts, strict=True):
-            buf = io.BytesIO()
-            body = "".join(f"<w:p>{'<w:pPr><w:pStyle w:val=\"Heading1\"/></w:pPr>' if n == 0 else ''}<w:r>{'<w:rPr><w:b/></w:rPr>' if n == 0 else ''}<w:t>{escape(t)}</w:t></w:r></w:p>" for n, t in enumerate(text.split("\n")))
-            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
-            out.append(buf.getvalue() if i % 13 else b"broken")
-        return pd.Series(out)
+    def pack(i: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([pack_docx(x, y) for x, y in zip(i, t, strict=True)])
 
-    d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("path"), pack("doc_id", F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " ")).alias("content"))
+    return pack(ids, texts)
 
 
-LINES = "l as (select doc_id::varchar as path, n, t from (select doc_id, unnest(string_split(regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F]', ' ', 'g'), chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents where doc_id % 13 > 0) where trim(t) <> '')"
+def clean_text():
+    return F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " ")
 
 
-@query("S3", f"with {LINES} select path, string_agg(trim(t), chr(10) order by n) as text from l group by 1")
+def as_docx(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), docx_bytes("doc_id", clean_text()).alias("content"))
+
+
+CLEAN = "regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F]', ' ', 'g')"
+LINES = f"l0 as (select doc_id, unnest(string_split({CLEAN}, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents where doc_id % 13 > 0), l as (select doc_id, doc_id::varchar as path, n, {STRIP.format('t')} as t, false as in_table from l0 where {STRIP.format('t')} <> '' union all select doc_id, doc_id::varchar, 1000000000, {STRIP.format('t')} || ' | cell', true from l0 where n = 0)"
+
+
+@query("S3", f"with {LINES} select path, string_agg(t, chr(10) order by n) as text from l group by 1")
 def docx_text(spark, sf):
-    p = S.parse_docx(as_docx(spark, sf)).filter("error is null")
-    return p.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return S.docx_texts(S.parse_docx(as_docx(spark, sf))).filter("error is null").select("path", "text")
 
 
-@query("S4", f"with {LINES} select path, row_number() over (partition by path order by n) - 1 as pos, case when n = 0 then 'Heading1' else 'Normal' end as style_name, n = 0 as is_bold from l")
+@query("S4", f"with {LINES} select path, row_number() over (partition by path order by n) - 1 as pos, case when in_table then 'Table' when n = 0 then 'Heading1' else 'Normal' end as style_name, n = 0 as is_bold, in_table from l")
 def docx_rows(spark, sf):
-    return S.parse_docx(as_docx(spark, sf)).filter("error is null").select("path", F.col("pos").cast("long").alias("pos"), "style_name", "is_bold")
+    return S.parse_docx(as_docx(spark, sf)).filter("error is null").select("path", F.col("pos").cast("long").alias("pos"), "style_name", "is_bold", "in_table")
+
+
+LATIN = r"case when doc_id % 2 = 0 then listed.text else 'é' || regexp_replace(listed.text, '[^\x00-\x{FF}]', '?', 'g') end"
 
 
-@query("S5", "select doc_id::varchar as path, 'BadZipFile' as error from documents where doc_id % 13 = 0")
-def broken(spark, sf):
-    """Failures stay as rows."""
-    return S.parse_docx(as_docx(spark, sf)).filter("error is not null").select("path", "error")
+@query("S5", rf"""with {LISTED}, {LINES}, dx as (select doc_id, {N1.format("string_agg(t, chr(10) order by n)")} as text from l group by 1),
+  x as (select rel, case when doc_id % 3 = 0 then '.txt' else '.docx' end as ext, case when doc_id % 3 = 0 then 'text' when doc_id % 13 = 0 then 'error' else 'docx' end as extractor,
+   case when doc_id % 3 = 0 then {N1.format(LATIN)} else coalesce(dx.text, '') end as text, case when doc_id % 3 > 0 and doc_id % 13 = 0 then 'BadZipFile' end as error from listed left join dx using (doc_id))
+  select rel, ext, extractor, text, sha256(text) as text_sha256, error from x""")
+def extracted(spark, sf):
+    """All files of the client folders extracted by their suffix; failures stay as rows."""
+    root = folder_tree(spark, sf, "sources")
+    d = S.extract(spark, root)
+    return d.select(F.regexp_replace("path", "^.*?/sources-[0-9a-f]+/", "").alias("rel"), "ext", "extractor", "text", "text_sha256", "error")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,43 +9,47 @@ from dossier_spark.functions import text as X
 from dossier_spark.operators import answers as A
 from dossier_spark.operators import jobs as J
 from dossier_spark.operators import transcripts as T
-from dossier_spark.sources.files import shared_dir
+from dossier_spark.sources.files import write_json
 from dossier_spark.streaming import jobs as stream
 
-from .base import STRIP, query, table
+from .base import STRIP, place, query, table
 
 # ---------------------------------------------------------------- answers
 
-RAW = "case conv_id % 5 when 0 then '```json' || chr(10) || substr(text, 1, 60) || chr(10) || '```' when 1 then 'json: ' || substr(text, 1, 60) when 2 then 'See {{X}} [source 3] a::b' when 3 then substr(text, 1, 30) || chr(10) || chr(10) || '  second' || chr(10) || 'third' else '' end"
-SAN = STRIP.format("regexp_replace(" + STRIP.format("replace(regexp_replace(" + STRIP.format(f"regexp_replace({STRIP.format('r')}, '^```(?:json)?', '', 'i')") + ", '```$', ''), chr(8203), '')") + ", '^json\\s*:?\\s*', '', 'i')")
+# Replies to process: the whole texts, wrapped as models wrap them.
+RAW = "case conv_id % 8 when 0 then '```json{0}' || text || '{0}```' when 1 then 'json: ' || text when 2 then 'See {{{{X}}}} (source b) a::b ' || text when 3 then text || '{0}{0}  second: a: b{0}third source 12' when 4 then '[' || text || ']' when 5 then 'jsonify ' || text || chr(8203) || ' ressource 12' when 6 then text || ' the NAME' else ' __VIDE__ ' end"
+RAW_SQL = RAW.format("' || chr(10) || '")
+SAN = STRIP.format(f"regexp_replace({STRIP.format('replace(replace(r, ' + repr('```') + ', ' + repr(' ') + '), chr(8203), ' + repr(' ') + ')')}, '^(?i)json[:\\s]+', '')")
+ANY_LINE = r"regexp_split_to_array(r, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')"
+REASONS = r"concat_ws(',', case when regexp_matches(r, '\{\{|\}\}') then 'PLACEHOLDER' end, case when regexp_matches(r, '(?i)\bXX\b|\bNAME\b|\bsurname\b') then 'TOKENS' end, case when regexp_matches(r, '(?i)\bsource\s*\d+\b|\(\s*source\b') then 'SOURCE_REF' end, case when contains(r, '::') or len(list_filter(" + ANY_LINE + ", lambda l: length(l) - length(replace(l, ':', '')) > 1)) > 0 then 'MULTI_COLON' end)"
 
 
 def raw(spark, sf):
-    t = F.expr("case conv_id % 5 when 0 then concat('```json\\n', substr(text, 1, 60), '\\n```') when 1 then concat('json: ', substr(text, 1, 60)) when 2 then 'See {{X}} [source 3] a::b' when 3 then concat(substr(text, 1, 30), '\\n\\n  second\\nthird') else '' end")
-    return table(spark, sf, "conversations").select("conv_id", "turn", t.alias("r"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.expr(RAW.format("\\n").replace("chr(8203)", "'​'")).alias("r"))
 
 
-@query("N19", f"select conv_id, turn, {SAN} as t from (select conv_id, turn, {RAW} as r from conversations)")
+@query("N19", f"select conv_id, turn, {SAN} as t from (select conv_id, turn, {RAW_SQL} as r from conversations)")
 def sanitised(spark, sf):
     return raw(spark, sf).select("conv_id", "turn", X.sanitise(F.col("r")).alias("t"))
 
 
-@query("N20", r"select conv_id, turn, regexp_matches(r, '(?m)^\s*[\[{]|^\s*#{1,6}\s|\*\*|```|^\s*[-*]\s+\*\*|\|.*\|') as marked from (select conv_id, turn, " + RAW + " as r from conversations)")
+@query("N20", rf"select conv_id, turn, regexp_matches({STRIP.format('r')}, '^[\[{{]') or regexp_matches(r, '(?i)```|\bjson\b') as marked from (select conv_id, turn, {RAW_SQL} as r from conversations)")
 def marked(spark, sf):
     return raw(spark, sf).select("conv_id", "turn", X.looks_marked_up(F.col("r")).alias("marked"))
 
 
-@query("N21", r"select conv_id, turn, concat_ws(',', case when regexp_matches(r, '\{\{|\}\}') then 'PLACEHOLDER' end, case when regexp_matches(r, '(?i)\[?source\s*\d+') then 'SOURCE_REF' end, case when contains(r, '::') or len(list_filter(string_split(r, chr(10)), lambda l: length(l) - length(replace(l, ':', '')) > 1)) > 0 then 'MULTI_COLON' end) as reasons from (select conv_id, turn, " + RAW + " as r from conversations)")
+@query("N21", f"select conv_id, turn, {REASONS} as reasons from (select conv_id, turn, {RAW_SQL} as r from conversations)")
 def forbidden(spark, sf):
     return raw(spark, sf).select("conv_id", "turn", F.array_join(X.forbidden_reasons(F.col("r")), ",").alias("reasons"))
 
 
-LINES2 = f"array_to_string(list_filter(list_transform(string_split(r, chr(10)), lambda l: {STRIP.format('l')}), lambda l: l <> '')[1:2], chr(10))"
+FIRST_LINES = f"array_to_string(list_filter(list_transform({ANY_LINE}, lambda l: {STRIP.format('l')}), lambda l: l <> '')[1:3], chr(10))"
+FIRST_CHARS = r"case when length(l) <= 120 then l else regexp_replace(substr(l, 1, 119), '\s+$', '') || '…' end"
 
 
-@query("N23", rf"select conv_id, turn, case when length(l) <= 20 then l else regexp_replace(substr(l, 1, 19), '\s+$', '') || '…' end as t from (select conv_id, turn, {LINES2} as l from (select conv_id, turn, {RAW} as r from conversations))")
+@query("N23", f"select conv_id, turn, {FIRST_CHARS} as t from (select conv_id, turn, {FIRST_LINES} as l from (select conv_id, turn, {RAW_SQL} as r from conversations))")
 def truncated(spark, sf):
-    return raw(spark, sf).select("conv_id", "turn", X.first_chars(X.first_lines(F.col("r"), 2), 20).alias("t"))
+    return raw(spark, sf).select("conv_id", "turn", X.first_chars(X.first_lines(F.col("r"), 3), 120).alias("t"))
 
 
 @query("N24", "select p_partkey, case when v in ('bon', 'mauvais') then upper(substr(v, 1, 1)) || substr(v, 2) when v = 'très  bien' then 'Tres bien' end as value from (select p_partkey, ['bon', 'x', 'très  bien', 'mauvais'][p_partkey % 4 + 1] as v from part)")
@@ -62,15 +64,16 @@ def stringified(spark, sf):
     return c.select("conv_id", "turn", A.as_text(F.expr("case when conv_id % 3 = 0 then concat('v', turn) end"), F.expr("case when conv_id % 3 = 1 then text end"), F.struct("turn", "role")).alias("t"))
 
 
-KEYS = "with keys as (select conv_id as template_id, turn as pos, ['NOM', 'prenom', 'LIEU_ET_DATE', 'Autre'][conv_id % 4 + 1] as key from conversations)"
+NAMED = "['NOM', 'prenom', 'LIEU_ET_DATE', 'Autre'][conv_id % 4 + 1]"
+TEMPLATE = "'Dear {{{{' || {0} || '}}}} {{{{NOM}}}} {{{{nom}}}} ' || text || ' {{{{ ' || {0} || ' }}}}'"
 
 
 def templates(spark, sf):
-    t = F.expr("concat('Dear {{', element_at(array('NOM', 'prenom', 'LIEU_ET_DATE', 'Autre'), cast(conv_id % 4 as int) + 1), '}} {{NOM}} {{nom}} ', substr(text, 1, 10))")
+    t = F.expr(TEMPLATE.format("element_at(array('NOM', 'prenom', 'LIEU_ET_DATE', 'Autre'), cast(conv_id % 4 as int) + 1)"))
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("template_id"), F.col("turn").alias("pos"), t.alias("text"))
 
 
-@query("A25", "with k as (select conv_id as template_id, turn as pos, unnest([['NOM', 'prenom', 'LIEU_ET_DATE', 'Autre'][conv_id % 4 + 1], 'NOM', 'nom']) as key, unnest([0, 1, 2]) as i from conversations) select template_id, key, min((pos, i)).pos as pos, min((pos, i)).i as i from (select template_id, key, {'pos': pos, 'i': i} as s, pos, i from k) group by 1, 2".replace("min((pos, i)).pos", "min(s).pos").replace("min((pos, i)).i", "min(s).i"))
+@query("A25", rf"with f as (select conv_id as template_id, turn as pos, regexp_extract_all({TEMPLATE.format(NAMED)}, '\{{\{{\s*([^{{}}]+?)\s*\}}\}}', 1) as ks from conversations), k as (select template_id, pos, unnest(ks) as key, generate_subscripts(ks, 1) - 1 as i from f) select template_id, key, (min((pos, i))).pos as pos, (min((pos, i))).i as i from (select template_id, key, pos, i from k) group by 1, 2".replace("(min((pos, i))).pos", "min({'pos': pos, 'i': i}).pos").replace("(min((pos, i))).i", "min({'pos': pos, 'i': i}).i"))
 def placeholders(spark, sf):
     return A.template_keys(templates(spark, sf))
 
@@ -83,16 +86,16 @@ def specified(spark, sf):
     return A.with_specs(keys, specs, over).select("template_id", "pos", "query", "instructions")
 
 
-@query("J15", "select conv_id as template_id, turn as pos, 'Dear ' || case when conv_id % 2 = 0 and conv_id % 4 = 0 then 'N' || conv_id when conv_id % 4 = 0 then '{{NOM}}' else '{{' || ['NOM', 'prenom', 'LIEU_ET_DATE', 'Autre'][conv_id % 4 + 1] || '}}' end || case when conv_id % 2 = 0 then ' N' || conv_id || ' N' || conv_id || ' ' else ' {{NOM}} {{nom}} ' end || substr(text, 1, 10) as text from conversations")
+@query("J15", f"select template_id, pos, case when template_id % 2 = 0 then replace(replace(t, '{{{{NOM}}}}', 'N' || template_id), '{{{{nom}}}}', 'N' || template_id) else t end as text from (select conv_id as template_id, turn as pos, {TEMPLATE.format(NAMED)} as t from conversations)")
 def filled(spark, sf):
     a = table(spark, sf, "conversations").select(F.col("conv_id").alias("template_id")).distinct().select("template_id", F.lit("nom").alias("key"), F.expr("case when template_id % 2 = 0 then concat('N', template_id) else '' end").alias("value"))
     return A.filled_templates(templates(spark, sf), a)
 
 
-@query("N22", "select conv_id, turn, substr(text, 1, 5) || ' b1 B ' || turn as t from conversations")
+@query("N22", "select conv_id, turn, replace(replace(replace(text || ' {A}1 {A} {T} ' || text, '{A}1', 'b1'), '{A}', 'B'), '{T}', turn::varchar) as t from conversations")
 def filling(spark, sf):
     m = F.array(F.struct(F.lit("{A}").alias("key"), F.lit("B").alias("value")), F.struct(F.lit("{A}1").alias("key"), F.lit("b1").alias("value")), F.struct(F.lit("{T}").alias("key"), F.col("turn").cast("string").alias("value")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.fill(F.concat(F.substring("text", 1, 5), F.lit(" {A}1 {A} {T}")), m).alias("t"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.fill(F.concat("text", F.lit(" {A}1 {A} {T} "), "text"), m).alias("t"))
 
 
 @query("N32", r"select conv_id, turn, trim(regexp_replace(replace(lower('  Le TITRE : ' || role || ' '), ':', ' '), '\s+', ' ', 'g')) as key, '• ' || role || chr(10) || 'x - y' as body from conversations")
@@ -100,50 +103,78 @@ def headings(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.heading_key(F.concat(F.lit("  Le TITRE : "), "role", F.lit(" "))).alias("key"), X.bullets(F.concat(F.lit("- "), "role", F.lit("\nx - y"))).alias("body"))
 
 
-CODES = """select conv_id, turn, case when k = 0 then coalesce(det, '') when k = 1 and n = 0 then '' when k = 2 then '' when k = 3 then case when turn % 2 = 0 then 'Oui' else '' end when k = 4 then '' else 'plain ' || turn end as value,
-  case when k = 0 and coalesce(det, '') = '' then 'DETERMINISTIC_EMPTY' when k = 1 and n = 0 then 'NO_CONTEXT' when k = 2 then 'LLM_TIMEOUT' when k = 3 and turn % 2 = 1 then 'NON_AUTORISE' when k = 4 then 'FORBIDDEN_OUTPUT,EMPTY' when false then '' else '' end as codes
-  from (select *, conv_id % 6 as k, case when turn % 3 = 0 then 'Lausanne' end as det, turn % 2 as n from conversations)"""
+# How each reply came: its kind, a failed call, passages found, and the values it may have.
+REPLIES = """select conv_id, turn, case when turn % 5 = 4 then 'deterministic' when turn % 5 = 3 then 'constrained' else 'short' end as kind, case when turn % 5 = 3 then case conv_id % 3 when 0 then ' oui' when 1 then text else '' end else r end as answer,
+  case when conv_id % 3 = 0 then ' Lausanne ' when conv_id % 3 = 1 then text end as deterministic, conv_id % 2 as n_passages, turn % 3 = 1 as require_sources, case when conv_id % 7 = 6 then 'LLM_TIMEOUT' end as failure from raws"""
+PROCESSED = rf"""with raws as (select conv_id, turn, text, {RAW_SQL} as r from conversations), replies as ({REPLIES}),
+s1 as (select *, kind = 'deterministic' as det, kind <> 'deterministic' and require_sources and n_passages = 0 as no_context from replies), s2 as (select *, not det and not no_context and failure is null as live from s1),
+s3 as (select conv_id, turn, kind, deterministic, det, no_context, failure, live, answer as r, {REASONS.replace('(r,', '(answer,')} as bad0 from s2), s4 as (select *, live and bad0 <> '' as bad from s3), s5 as (select * replace (case when bad then '__VIDE__' else r end as r) from s4),
+s6 as (select * replace (case when {SAN} = '__VIDE__' then '' else {SAN} end as r) from s5), s7 as (select *, {FIRST_LINES.replace('[1:3]', '[1:2]')} as l0 from s6), s8 as (select *, case when length(l0) <= 400 then l0 else regexp_replace(substr(l0, 1, 399), '\s+$', '') || '…' end as clean from s7),
+s9 as (select *, live and kind = 'constrained' as limited, case lower(clean) when 'oui' then 'Oui' when 'non' then 'Non' end as fine from s8),
+s10 as (select *, case when det then {STRIP.format("coalesce(deterministic, '')")} when limited then coalesce(fine, '') when live then clean else '' end as value from s9),
+done as (select conv_id, turn, kind, value, concat_ws(',', case when det and value = '' then 'DETERMINISTIC_EMPTY' end, case when no_context then 'NO_CONTEXT' end, case when not det and not no_context then failure end, case when bad then 'FORBIDDEN_OUTPUT' end, case when limited and fine is null then 'NON_AUTORISE' end,
+  case when live and value = '' and not bad and not (limited and fine is null) then 'EMPTY' end) as codes from s10)
+"""
 
 
-def responses(spark, sf):
-    return table(spark, sf, "conversations").selectExpr(
-        "conv_id", "turn", "case conv_id % 6 when 0 then 'deterministic' when 3 then 'constrained' else 'short' end as kind",
-        "case conv_id % 6 when 3 then if(turn % 2 = 0, ' oui', 'peut') when 4 then 'a {{B}}' else concat('json: plain ', turn) end as answer",
-        "case when turn % 3 = 0 then 'Lausanne' end as deterministic", "turn % 2 as n_passages", "conv_id % 6 = 1 as require_sources", "2 as max_lines", "array('Oui', 'Non') as allowed", "case when conv_id % 6 = 2 then 'LLM_TIMEOUT' end as failure",
-    )
+def processed(spark, sf):
+    """The replies, processed."""
+    d = table(spark, sf, "conversations").withColumn("r", F.expr(RAW.format("\\n").replace("chr(8203)", "'​'")))
+    d.createOrReplaceTempView("raws")
+    r = spark.sql(REPLIES).withColumn("max_lines", F.lit(2)).withColumn("allowed", F.when(F.col("kind") == "constrained", F.array(F.lit("Oui"), F.lit("Non"))))
+    return A.processed(r)
 
 
-@query("N35", CODES.replace("'FORBIDDEN_OUTPUT,EMPTY'", "'FORBIDDEN_OUTPUT'"))
+@query("N35", PROCESSED + "select conv_id, turn, value, codes from done")
 def answer_pipeline(spark, sf):
-    return A.processed(responses(spark, sf)).select("conv_id", "turn", "value", F.array_join("missing_info", ",").alias("codes"))
+    return processed(spark, sf).select("conv_id", "turn", "value", F.array_join("missing_info", ",").alias("codes"))
 
 
-@query("J16", "select conv_id, turn, case when turn % 3 = 0 then 'Lausanne' else '' end as value from conversations where conv_id % 6 = 0")
+@query("J16", PROCESSED + "select conv_id, turn, value from done where kind = 'deterministic'")
 def deterministic(spark, sf):
-    return A.processed(responses(spark, sf)).filter("kind = 'deterministic'").select("conv_id", "turn", "value")
+    return processed(spark, sf).filter("kind = 'deterministic'").select("conv_id", "turn", "value")
 
 
-@query("S18", f"select conv_id, turn, codes from ({CODES.replace(chr(39) + 'FORBIDDEN_OUTPUT,EMPTY' + chr(39), chr(39) + 'FORBIDDEN_OUTPUT' + chr(39))}) where codes <> ''")
+@query("S18", PROCESSED + "select conv_id, turn, codes from done where codes <> ''")
 def missing_info(spark, sf):
-    return A.processed(responses(spark, sf)).filter(F.size("missing_info") > 0).select("conv_id", "turn", F.array_join("missing_info", ",").alias("codes"))
+    """Fields with missing information, written as JSON and read back."""
+    path = place(spark, "missing")
+    write_json(A.missing_info(processed(spark, sf)).select("conv_id", "turn", "missing_info"), path)
+    return spark.read.schema("conv_id long, turn long, missing_info array<string>").json(path).select("conv_id", "turn", F.array_join("missing_info", ",").alias("codes"))
 
 
 def _stub(prompt: str) -> str:
-    if prompt.startswith("long"):
+    """A model that is late for long prompts, and answers others by their first word and length."""
+    kind, _, rest = prompt.partition(" ")
+    if kind == "long":
         raise TimeoutError
-    return "{{bad}}" if "marker" in prompt and "Plain text only" not in prompt else prompt.split("\n")[0].upper()
+    if kind == "broken":
+        raise OSError("no connection")
+    if kind == "marker" and "Check before you answer" not in prompt:
+        return "so {{bad}}"
+    if kind == "list" and "plain text" not in prompt:
+        return "[1, 2]"
+    return f"{kind} {len(rest)}"
+
 
+KINDS = "['long', 'marker', 'prompt', 'broken', 'list', 'late'][conv_id % 6 + 1]"
+ASKED = len(A.CORRECTED), len(A.PLAIN)
 
-@query("H1", "select conv_id, turn, case when conv_id % 3 = 0 then 'SHORT ' || turn when conv_id % 3 = 1 then 'MARKER ' || turn else 'PROMPT ' || turn end as answer, case when conv_id % 3 = 2 then 1 else 2 end as attempts from conversations")
+
+@query("H1", f"""select conv_id, turn, case k when 'long' then 'short ' || (n + 1) when 'marker' then 'marker ' || (n + {ASKED[0]}) when 'prompt' then 'prompt ' || n when 'broken' then '' when 'list' then 'list ' || (n + {ASKED[1]}) else '' end as answer, case k when 'prompt' then 1 when 'broken' then 1 when 'late' then 1 else 2 end as attempts,
+  case k when 'broken' then 'LLM_ERROR' when 'late' then 'LLM_TIMEOUT' end as failure from (select conv_id, turn, length(text) as n, {KINDS} as k from conversations)""")
 def generated(spark, sf):
-    p = table(spark, sf, "conversations").select("conv_id", "turn", F.expr("concat(element_at(array('long ', 'marker ', 'prompt '), cast(conv_id % 3 as int) + 1), turn)").alias("prompt"), F.expr("concat('short ', turn)").alias("retry_prompt"))
-    return A.generate(p, _stub).select("conv_id", "turn", "answer", "attempts")
+    """Prompts of whole texts through the retry ladder: timeout with and without a shorter prompt, error, wrong format, forbidden content."""
+    kind = F.expr("element_at(array('long', 'marker', 'prompt', 'broken', 'list', 'late'), cast(conv_id % 6 as int) + 1)")
+    p = table(spark, sf, "conversations").withColumn("k", kind)
+    p = p.select("conv_id", "turn", F.concat(F.when(F.col("k") == "late", F.lit("long")).otherwise(F.col("k")), F.lit(" "), "text").alias("prompt"), F.when(F.col("k") == "long", F.concat(F.lit("short x"), "text")).alias("retry_prompt"))
+    return A.generate(p, _stub).select("conv_id", "turn", "answer", "attempts", "failure")
 
 
-@query("A28", "select source as client_id, count(*) as n_docs, 'Merge into one report:' || chr(10) || chr(10) || string_agg('Summarise the document ' || doc_id || ':' || chr(10) || substr(text, 1, 20), chr(10) || chr(10) order by doc_id::varchar) as prompt from documents group by 1")
+@query("A28", "select client_id, part, count(*) as n_docs, 'Merge into one report:' || chr(10) || chr(10) || string_agg('Summarise the document ' || path || ':' || chr(10) || text, chr(10) || chr(10) order by path) as prompt from (select source as client_id, doc_id::varchar as path, text, ((row_number() over (partition by source order by doc_id::varchar) - 1) // 10)::int as part from documents) group by 1, 2")
 def map_reduce(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("client_id"), F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 20).alias("text"))
-    return A.prompts_per_client(d)
+    d = table(spark, sf, "documents").select(F.col("source").alias("client_id"), F.col("doc_id").cast("string").alias("path"), "text")
+    return A.prompts_per_client(d, 10)
 
 
 # ---------------------------------------------------------------- transcripts
@@ -152,7 +183,10 @@ SEG = "seg as (select user_id::varchar as source_id, event_id as seq, epoch_ms(t
 
 
 def timed(spark, sf):
-    e = table(spark, sf, "events")
+    return timed_of(table(spark, sf, "events"))
+
+
+def timed_of(e):
     start = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60000).cast("double")
     return e.select(F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("seq"), start.alias("start"), (start + F.col("value") / 4.0).alias("end"), F.expr("case when event_id % 11 = 0 then ' ' else concat(event_type, event_id) end").alias("text"), "ts")
 
@@ -173,9 +207,9 @@ def manifests(spark, sf):
 
 
 FOLD = f"""with recursive {SEG}, s as (select source_id, row_number() over (partition by source_id order by start, seq) as i, start, "end" as e, trim(text) as t from seg where trim(text) <> ''),
-w as (select source_id, i, start as ws, e as we, t as txt, 0 as no, false as closed from s where i = 1
-  union all select s.source_id, s.i, case when fresh then s.start else w.ws end, case when fresh then s.e else greatest(w.we, s.e) end, case when fresh then s.t else w.txt || ' ' || s.t end,
-   case when fresh then w.no + 1 else w.no end, not fresh and greatest(w.we, s.e) - w.ws >= 40 from (select w.*, s2.start - w.we >= 2 or w.closed as fresh from w join s s2 on s2.source_id = w.source_id and s2.i = w.i + 1) w join s on s.source_id = w.source_id and s.i = w.i + 1)
+w as (select source_id, i, start as ws, e as we, e as last_end, t as txt, 0 as no, false as closed from s where i = 1
+  union all select s.source_id, s.i, case when fresh then s.start else w.ws end, case when fresh then s.e else greatest(w.we, s.e) end, s.e, case when fresh then s.t else w.txt || ' ' || s.t end,
+   case when fresh then w.no + 1 else w.no end, not fresh and greatest(w.we, s.e) - w.ws >= 40 from (select w.*, s2.start - w.last_end >= 2 or w.closed as fresh from w join s s2 on s2.source_id = w.source_id and s2.i = w.i + 1) w join s on s.source_id = w.source_id and s.i = w.i + 1)
 select source_id, no as window_no, round(arg_max(ws, i), 6) as start, round(arg_max(we, i), 6) as "end", arg_max(txt, i) as text from w group by 1, 2"""
 
 
@@ -230,11 +264,11 @@ def changed(spark, sf):
     return J.changes(events(table(spark, sf, "events"))).select("job_id", "seq", "status", "message")
 
 
-STG = "st as (select user_id::varchar as job_id, 'f' || event_id % 5 as field_key, event_id as seq, 'label ' || event_id % 3 as label, case event_id % 4 when 0 then 'done' when 1 then 'error' else 'running' end as stage from events), g as (select job_id, field_key, min(seq) as first_seq, arg_min(label, seq) as label, arg_max(stage, seq) as stage from st group by 1, 2)"
+STG = "st as (select user_id::varchar as job_id, 'f' || event_id % 5 as field_key, event_id as seq, 'label ' || event_id % 3 as label, case event_id % 4 when 0 then 'done' when 1 then 'error' when 2 then 'warning' else 'running' end as stage from events), g as (select job_id, field_key, min(seq) as first_seq, arg_min(label, seq) as label, arg_max(stage, seq) as stage from st group by 1, 2)"
 
 
 def stages(spark, sf):
-    e = table(spark, sf, "events").selectExpr("cast(user_id as string) as job_id", "concat('f', event_id % 5) as field_key", "event_id as seq", "concat('label ', event_id % 3) as label", "case event_id % 4 when 0 then 'done' when 1 then 'error' else 'running' end as stage")
+    e = table(spark, sf, "events").selectExpr("cast(user_id as string) as job_id", "concat('f', event_id % 5) as field_key", "event_id as seq", "concat('label ', event_id % 3) as label", "case event_id % 4 when 0 then 'done' when 1 then 'error' when 2 then 'warning' else 'running' end as stage")
     return J.field_stages(e)
 
 
@@ -243,7 +277,7 @@ def field_stages(spark, sf):
     return stages(spark, sf).select("job_id", "field_key", "label", "stage", F.col("place").cast("long").alias("place"))
 
 
-@query("A24", f"with {STG} select job_id, round(greatest(0.4, least(0.7, 0.4 + 0.3 * count(*) filter (where stage in ('done', 'error')) / count(*))), 6) as progress from g group by 1")
+@query("A24", f"with {STG} select job_id, round(greatest(0.4, least(0.7, 0.4 + 0.3 * count(*) filter (where stage in ('done', 'warning', 'error')) / count(*))), 6) as progress from g group by 1")
 def progress(spark, sf):
     return J.progress(stages(spark, sf)).withColumn("progress", F.round("progress", 6))
 
@@ -260,9 +294,10 @@ def metadata(spark, sf):
     return table(spark, sf, "events").select("event_id", F.try_element_at(J.metadata(p), F.lit("k")).alias("k"))
 
 
-@query("A23", "select user_id, count(*) filter (where event_type = 'view') as txt, count(*) filter (where event_type <> 'view') as json from events group by 1")
+@query("A23", "select user_id as source, count(*) filter (where event_type = 'view') as txt, count(*) filter (where event_type = 'click') as json from events group by 1")
 def ingestion_counts(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("txt"), F.count_if(F.col("event_type") != "view").alias("json"))
+    kind = F.expr("case event_type when 'view' then '.txt' when 'click' then '.json' else '.pdf' end")
+    return J.ingestion_counts(table(spark, sf, "events").select(F.col("user_id").alias("source"), kind.alias("suffix")))
 
 
 # ---------------------------------------------------------------- streams
@@ -270,7 +305,7 @@ def ingestion_counts(spark, sf):
 
 def drained(spark: SparkSession, streamed: DataFrame, mode: str, schema: str) -> DataFrame:
     """Run a stream over what is there and return what it wrote, from the shared folder."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = place(spark, "stream")
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/n={n}")
@@ -297,7 +332,22 @@ def live_changes(spark, sf):
     return drained(spark, stream.change_feed(events(event_stream(spark, sf))), "append", "job_id string, ts timestamp, seq long, status string, message string").select("job_id", "seq", "status", "message")
 
 
-@query("ST2", "select user_id || '/' || event_type as path, count(distinct user_id || event_type) as n from events group by 1")
+@query("ST2", "select user_id || '/' || event_type as path, 1::bigint as n from events group by 1")
 def ingest_once(spark, sf):
-    s = event_stream(spark, sf).selectExpr("concat(user_id, '/', event_type) as path", "cast(ts as timestamp) as mtime").withWatermark("mtime", "3650 days").dropDuplicatesWithinWatermark(["path"])
+    """Listings that arrive as JSON files, read two files at a time; each path counts once."""
+    folder = place(spark, "listing")
+    table(spark, sf, "events").selectExpr("concat(user_id, '/', event_type) as path", "cast(ts as timestamp) as mtime").repartition(6).write.json(folder)
+    s = stream.new_files(spark, folder, "path string, mtime timestamp", per_trigger=2, late="3650 days")
     return drained(spark, s, "append", "path string, mtime timestamp").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("ST3_stream", FOLD)
+def live_windows(spark, sf):
+    """The windows of ST3 from a stream of segments. A segment of a source of its own, a day later, lets the watermark pass
+    the others, so that their last windows close."""
+    folder = place(spark, "segments")
+    segs = timed(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    last = segs.agg(F.lit("~").alias("source_id"), F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit("~").alias("text"), (F.max("ts") + F.expr("interval 1 day")).alias("ts"))
+    segs.unionByName(last).write.parquet(folder)
+    out = drained(spark, stream.transcript_windows(spark.readStream.schema(segs.schema).parquet(folder)), "append", "source_id string, window_no int, start double, end double, text string")
+    return out.filter("source_id <> '~'").select("source_id", "window_no", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from dossier_spark.functions import text as X
 from dossier_spark.operators import retrieval as R
+from dossier_spark.sources import files as S
+from dossier_spark.sources.files import write_context
 
-from .base import CHUNKS_SQL, N1, STRIP, SUFFIX, documents, query, table
+from .base import CHUNKS_SQL, LINES_SQL, N1, STRIP, SUFFIX, documents, lines, place, query, table
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TOK = f"list_filter(list_transform(regexp_extract_all({{0}}, '[A-Za-zÀ-ÖØ-öø-ÿ0-9'']+'), lambda x: lower(x)), lambda x: length(x) > 1 and not list_contains([{STOP}], x))"
@@ -17,7 +19,7 @@ tok as (select client_id, path, chunk_no, {TOK.format('chunk')} as t from chunks
 post as (select client_id, path, chunk_no, term, count(*) as tf, any_value(dl) as dl from (select client_id, path, chunk_no, len(t) as dl, unnest(t) as term from tok) group by all),
 stats as (select client_id, count(*) as n, avg(len(t)) as avgdl from tok group by 1),
 dfs as (select client_id, term, count(*) as df from post group by 1, 2),
-q as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({TOK.format('text')}[1:8]) as term from benchmark) group by 1, 2),
+q as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({TOK.format('text')}) as term from benchmark) group by 1, 2),
 scored as (select client_id, query_id, path, chunk_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) * qtf), 6) as score
   from post join q using (term) join dfs using (client_id, term) join stats using (client_id) group by all),
 ranked as (select *, row_number() over (partition by client_id, query_id order by score desc, path, chunk_no) as rank from scored where score > 0)
@@ -104,15 +106,19 @@ def retry(spark, sf):
     return R.retry_passages(top(spark, sf, 9)).select("client_id", "query_id", F.col("rank").cast("long").alias("rank"), "path")
 
 
-@query("S14", BM25_SQL + """select client_id, query_id, count(*) as n, string_agg(path || '#' || chunk_no, ',' order by rank) as results from ranked where rank <= 5 group by 1, 2""")
+@query("S14", BM25_SQL + """select client_id, query_id, query, 5 as topk, rank, score, string_split(path, '/')[-1] || '::c' || chunk_no as chunk_id, path as source_path, null::int as page, chunk as text
+  from ranked join chunks using (client_id, path, chunk_no) join (select item_id as query_id, text as query from benchmark) using (query_id) where rank <= 5""")
 def context_export(spark, sf):
-    one = F.struct("rank", F.format_string("%s#%d", "path", "chunk_no").alias("ref"))
-    return top(spark, sf).groupBy("client_id", "query_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["ref"]), ",").alias("results"))
+    """Contexts written as JSON, read back and laid out by result."""
+    path = place(spark, "contexts")
+    write_context(R.context_export(top(spark, sf), chunked(spark, sf), questions(spark, sf), 5), path)
+    back = spark.read.schema("client_id string, query_id long, query string, topk int, results array<struct<rank:long,score:double,chunk_id:string,source_path:string,page:int,text:string>>").json(path)
+    return back.select("client_id", "query_id", "query", "topk", F.explode("results").alias("r")).select("client_id", "query_id", "query", "topk", "r.*")
 
 
 @query("N26", BM25_SQL + rf"""select client_id, query_id, 'Answer from the passages only.' || chr(10) || 'Field: item ' || query_id || chr(10) || 'Format: At most ' || (2 + query_id % 3) || ' lines.' || chr(10) || chr(10) ||
-  string_agg('[' || rank || '] ' || string_split(path, '/')[-1] || chr(10) || substr({STRIP.format("regexp_replace(chunk, '[' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ]+', ' ', 'g')")}, 1, 500), chr(10) || chr(10) order by rank) as prompt
-  from ranked join chunks using (client_id, path, chunk_no) where rank <= 3 group by client_id, query_id""")
+  string_agg('[' || rank || '] ' || string_split(path, '/')[-1] || chr(10) || case when length(flat) > 500 then substr(flat, 1, 500) || '…' else flat end, chr(10) || chr(10) order by rank) as prompt
+  from ranked join (select *, {STRIP.format("regexp_replace(chunk, '[' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ]+', ' ', 'g')")} as flat from chunks) using (client_id, path, chunk_no) where rank <= 3 group by client_id, query_id""")
 def prompt_texts(spark, sf):
     fields = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.format_string("item %d", "item_id").alias("label"), (2 + F.col("item_id") % 3).alias("max_lines"), F.lit(None).cast("array<string>").alias("allowed"))
     return R.prompts(top(spark, sf, 3), chunked(spark, sf), fields)
@@ -130,35 +136,31 @@ def filter_list(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(X.list_of(c), "|").alias("parts"))
 
 
-@query("N12", r"""select doc_id, case when d <> '' then substr(d, 1, 3) || '.' || substr(d, 4, 4) || '.' || substr(d, 8, 4) || '.' || substr(d, 12, 2) end as id_number from
-  (select doc_id, regexp_replace(regexp_extract(t, '\b756[.\s]?\d{4}[.\s]?\d{4}[.\s]?\d{2}\b'), '[.\s]', '', 'g') as d from
-  (select doc_id, substr(text, 1, 40) || ' ' || case when doc_id % 3 = 0 then '756.1234.' || (1000 + doc_id % 9000) || '.90 x' when doc_id % 3 = 1 then '756' || (1000000000 + doc_id) || ' y 756.0000.0000.00' else 'none' end as t from documents))""")
-def id_numbers(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.id_number(with_number()).alias("id_number"))
+NUMBERED = "text || ' ' || case doc_id % 5 when 0 then '756.1234.' || (1000 + doc_id % 9000) || '.90 x' when 1 then '756' || (1000000000 + doc_id) || ' y 756.0000.0000.00' when 2 then '756-1234-56' || (10 + doc_id % 90) || '-90' when 3 then '756 12 34 56 78 ' || (10 + doc_id % 90) || '1' else 'none 756  1234 5678' end"
+DIGITS = rf"regexp_replace(regexp_extract({NUMBERED}, '756(?:[ .\-]?\d){{10}}'), '\D', '', 'g')"
+DOTTED = "substr(d, 1, 3) || '.' || substr(d, 4, 4) || '.' || substr(d, 8, 4) || '.' || substr(d, 12, 2)"
 
 
-def with_number():
-    return F.expr("concat(substr(text, 1, 40), ' ', case when doc_id % 3 = 0 then concat('756.1234.', 1000 + doc_id % 9000, '.90 x') when doc_id % 3 = 1 then concat('756', 1000000000 + doc_id, ' y 756.0000.0000.00') else 'none' end)")
+@query("N12", f"select doc_id, case when d <> '' then {DOTTED} end as id_number from (select doc_id, {DIGITS} as d from documents)")
+def id_numbers(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.id_number(F.expr(NUMBERED)).alias("id_number"))
 
 
-@query("W7", r"""with t as (select doc_id, source as client_id, regexp_replace(regexp_extract(substr(text, 1, 40) || ' ' || case when doc_id % 3 = 0 then '756.1234.' || (1000 + doc_id % 9000) || '.90 x' when doc_id % 3 = 1 then '756' || (1000000000 + doc_id) || ' y 756.0000.0000.00' else 'none' end, '\b756[.\s]?\d{4}[.\s]?\d{4}[.\s]?\d{2}\b'), '[.\s]', '', 'g') as d from documents)
-  select client_id, arg_min(substr(d, 1, 3) || '.' || substr(d, 4, 4) || '.' || substr(d, 8, 4) || '.' || substr(d, 12, 2), doc_id) as id_number from t where d <> '' group by 1""")
+@query("W7", f"select client_id, arg_min({DOTTED}, doc_id) as id_number from (select doc_id, source as client_id, {DIGITS} as d from documents) where d <> '' group by 1")
 def first_id_number(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("client_id"), "doc_id", X.id_number(with_number()).alias("n")).filter("n is not null")
+    d = table(spark, sf, "documents").select(F.col("source").alias("client_id"), "doc_id", X.id_number(F.expr(NUMBERED)).alias("n")).filter("n is not null")
     return d.groupBy("client_id").agg(F.min_by("n", "doc_id").alias("id_number"))
 
 
-@query("A21", r"""with r as (select *, row_number() over (partition by source order by doc_id) as k from documents where doc_id % 2 = 0), t as (select source as client_id, unnest(regexp_extract_all(substr('756.1111.2222.' || (10 + doc_id % 89) || ' ' || text || ' ' || '756.3333.4444.55', 1, 10000), '\b756\.\d{4}\.\d{4}\.\d{2}\b')) as n from r where k <= 5)
-  select client_id, string_agg(distinct n, ',' order by n) as numbers from t group by 1""")
-def id_candidates(spark, sf):
-    from pyspark.sql import Window
+STRICT = "'756.1111.2222.' || (10 + doc_id % 89) || ' ' || text || ' 756.3333.4444.55'"
 
-    # as in the reference: the first five sources of any kind, then those of them that are text
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = table(spark, sf, "documents").withColumn("k", F.row_number().over(w)).filter("k <= 5").filter(f"{SUFFIX} = '.txt'")
-    t = F.substring(F.concat(F.lit("756.1111.2222."), (10 + F.col("doc_id") % 89).cast("string"), F.lit(" "), "text", F.lit(" 756.3333.4444.55")), 1, 10000)
-    found = d.select(F.col("source").alias("client_id"), F.explode(F.regexp_extract_all(t, F.lit(r"(\b756\.\d{4}\.\d{4}\.\d{2}\b)"), F.lit(1))).alias("n"))
-    return found.groupBy("client_id").agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("numbers"))
+
+@query("A21", rf"""with r as (select *, row_number() over (partition by source order by doc_id) as k from documents), c as (select distinct source as client_id from r where k <= 5 and doc_id % 3 = 2),
+  t as (select source as client_id, unnest(regexp_extract_all(substr({STRICT}, 1, 10000), '\b756\.\d{{4}}\.\d{{4}}\.\d{{2}}\b')) as n from r where k <= 5 and doc_id % 3 = 2)
+  select client_id, coalesce(string_agg(distinct n, ',' order by n), '') as numbers from c left join t using (client_id) group by 1""")
+def id_candidates(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("client_id"), F.col("doc_id").alias("place"), F.expr(SUFFIX).alias("suffix"), F.expr(STRICT).alias("text"))
+    return R.id_candidates(d).select("client_id", F.array_join("numbers", ",").alias("numbers"))
 
 
 @query("N28", "select p_partkey, upper(substr(t, 1, 1)) || lower(substr(t, 2)) as q from (select p_partkey, trim(replace(replace(upper(p_name) || '_ET_X', '_', ' '), 'ET', 'et')) as t from part)")
@@ -173,27 +175,27 @@ def place_date(spark, sf):
     return e.select("event_id", v.alias("v"))
 
 
-@query("N8", "select doc_id, strip_accents(lower(replace(substr(text, 1, 200), 'ß', 'ss'))) as t from documents")
+@query("N8", "select doc_id, strip_accents(lower(replace(text, 'ß', 'ss'))) as t from documents")
 def folded(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.fold(F.substring("text", 1, 200)).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", X.fold(F.col("text")).alias("t"))
 
 
-@query("N7", r"select doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(replace(substr(text, 1, 200), 'ß', 'ss'))), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')) as t from documents")
+@query("N7", r"select doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(replace(text, 'ß', 'ss'))), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')) as t from documents")
 def robust(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.robust(F.substring("text", 1, 200)).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", X.robust(F.col("text")).alias("t"))
 
 
-@query("N6", r"select doc_id, trim(regexp_replace(trim(regexp_replace('  ' || substr(text, 1, 60) || ' :: ', '\s+', ' ', 'g')), ':+$', '')) as t from documents")
+@query("N6", rf"with {LINES_SQL} select doc_id, pos, trim(regexp_replace(trim(regexp_replace('  ' || text || ' :: ', '\s+', ' ', 'g')), ':+$', '')) as t from lines")
 def titles(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.title(F.concat(F.lit("  "), F.substring("text", 1, 60), F.lit(" :: "))).alias("t"))
+    return lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), X.title(F.concat(F.lit("  "), "text", F.lit(" :: "))).alias("t"))
 
 
-@query("N9", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(f, '[^a-z0-9_\s-]', '', 'g'), '[-\s]+', '_', 'g'), '^_+|_+$', '', 'g') as a,
-  case when regexp_replace(regexp_replace(f, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = '' then 'client' else regexp_replace(regexp_replace(f, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') end as b, regexp_replace(t, '[^\p{L}\p{N}]', '_', 'g') as c
-  from (select doc_id, substr(text, 1, 40) as t, strip_accents(lower(replace(substr(text, 1, 40), 'ß', 'ss'))) as f from documents)""")
+@query("N9", rf"""with {LINES_SQL} select doc_id, pos, regexp_replace(regexp_replace(regexp_replace(f, '[^a-z0-9_\s-]', '', 'g'), '[-\s]+', '_', 'g'), '^_+|_+$', '', 'g') as a,
+  case when regexp_replace(regexp_replace(f, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = '' then 'client' else regexp_replace(regexp_replace(f, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') end as b, regexp_replace(text, '[^\p{{L}}\p{{N}}]', '_', 'g') as c
+  from (select doc_id, pos, text, strip_accents(lower(replace(text, 'ß', 'ss'))) as f from lines)""")
 def slugs(spark, sf):
-    t = F.substring("text", 1, 40)
-    return table(spark, sf, "documents").select("doc_id", X.slug_words(t).alias("a"), X.slug_client(t).alias("b"), X.slug_alnum(t).alias("c"))
+    t = F.col("text")
+    return lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), X.slug_words(t).alias("a"), X.slug_client(t).alias("b"), X.slug_alnum(t).alias("c"))
 
 
 @query("N10", "select c_custkey, case when s = '' then 'audio' else s end as s from (select c_custkey, regexp_replace(regexp_replace(case when c_custkey % 7 = 0 then '##' else c_name || ' (1).m4a' end, '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') as s from customer)")
@@ -201,10 +203,13 @@ def stems(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", X.safe_stem(F.expr("case when c_custkey % 7 = 0 then '##' else concat(c_name, ' (1).m4a') end")).alias("s"))
 
 
-@query("N11", r"select doc_id, nullif(regexp_extract(t, '^\s*(\d+(?:\.\d+)*)\.?\s+', 1), '') as num, upper(t) = t and lower(t) <> t and length(t) > 3 as caps from (select doc_id, case when doc_id % 2 = 0 then (doc_id % 9) || '.' || (doc_id % 4) || '. ' else '' end || case when doc_id % 3 = 0 then upper(replace(substr(text, 1, 30), 'ß', 's')) else substr(text, 1, 30) end as t from documents)")
+NUMBERED_LINE = "case when doc_id % 2 = 0 then (doc_id % 9) || '.' || (pos % 4) || '. ' else '' end || case when pos % 3 = 0 then upper(replace(text, 'ß', 's')) else text end"
+
+
+@query("N11", rf"with {LINES_SQL} select doc_id, pos, nullif(regexp_extract(t, '^\s*(\d+(?:\.\d+)*)\.?\s+', 1), '') as num, upper(t) = t and lower(t) <> t and length(t) > 3 as caps from (select doc_id, pos, {NUMBERED_LINE} as t from lines)")
 def numbering(spark, sf):
-    t = F.expr("concat(case when doc_id % 2 = 0 then concat(doc_id % 9, '.', doc_id % 4, '. ') else '' end, case when doc_id % 3 = 0 then upper(replace(substr(text, 1, 30), 'ß', 's')) else substr(text, 1, 30) end)")
-    return table(spark, sf, "documents").select("doc_id", X.numbering(t).alias("num"), X.all_caps(t).alias("caps"))
+    t = F.expr(NUMBERED_LINE)
+    return lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), X.numbering(t).alias("num"), X.all_caps(t).alias("caps"))
 
 
 @query("N30", "select c_custkey, split_part(n, ' ', 1) as surname, case when contains(n, ' ') then substr(n, strpos(n, ' ') + 1) else '' end as first_name from (select c_custkey, replace(c_name, '#', ' ') || case when c_custkey % 2 = 0 then ' x' else '' end as n from customer)")
@@ -221,19 +226,20 @@ def requested(spark, sf):
 
 @query("F3", "select n, count(*) as docs from (select case doc_id % 4 when 0 then 'pdf' when 1 then 'docx' when 2 then 'txt' else 'skipped' end as n from documents) group by 1")
 def routing(spark, sf):
-    ext = F.expr("element_at(array('.pdf', '.docx', '.txt', '.jpg'), cast(doc_id % 4 as int) + 1)")
-    route = F.when(ext.isin(".pdf", ".docx", ".txt"), F.substring(ext, 2, 9)).otherwise("skipped")
-    return table(spark, sf, "documents").groupBy(route.alias("n")).agg(F.count("*").alias("docs"))
+    ext = F.expr("element_at(array('.PDF', '.docx', '.txt', '.jpg'), cast(doc_id % 4 as int) + 1)")
+    return table(spark, sf, "documents").groupBy(S.route(ext).alias("n")).agg(F.count("*").alias("docs"))
+
+
+PLACED = "select doc_id, source as client_id, doc_id % 4 > 0 and doc_id % 40 not in (1, 2, 3) as in_sources, case when doc_id % 6 = 0 or source like '%1' and doc_id % 2 = 0 then ' ' else text end as text from documents"
 
 
-@query("F4", "with d as (select doc_id, source as client_id, doc_id % 4 > 0 and doc_id % 40 not in (1, 2, 3) as in_sources, case when doc_id % 6 = 0 then '' else text end as t from documents), ok as (select * from d where t <> '') select doc_id, client_id from ok where in_sources or client_id not in (select client_id from ok where in_sources)")
+@query("F4", f"with d as ({PLACED}), ok as (select * from d where {STRIP.format('text')} <> '') select doc_id, client_id, length(text) as n_chars from ok where in_sources or client_id not in (select client_id from ok where in_sources)")
 def source_fallback(spark, sf):
-    d = table(spark, sf, "documents").selectExpr("doc_id", "source as client_id", "doc_id % 4 > 0 and doc_id % 40 not in (1, 2, 3) as in_sources", "case when doc_id % 6 = 0 then '' else text end as t").filter("t <> ''")
-    own = d.filter("in_sources")
-    return own.unionByName(d.filter("not in_sources").join(own, "client_id", "left_anti")).select("doc_id", "client_id")
+    d = table(spark, sf, "documents").selectExpr("doc_id", "source as client_id", "doc_id % 4 > 0 and doc_id % 40 not in (1, 2, 3) as in_sources", "case when doc_id % 6 = 0 or source like '%1' and doc_id % 2 = 0 then ' ' else text end as text")
+    return S.with_text(d).select("doc_id", "client_id", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("A22", "select count(*) filter (where k = 0) as errors, count(*) filter (where k in (1, 2)) as ok, count(*) filter (where k = 3) as skipped, count(*) as total from (select case when doc_id % 17 = 0 then 0 when doc_id % 4 = 3 then 3 else 1 end as k from documents)")
 def extraction_counts(spark, sf):
-    state = F.expr("case when doc_id % 17 = 0 then 'error' when doc_id % 4 = 3 then 'skipped' else 'ok' end")
-    return table(spark, sf, "documents").select(state.alias("s")).agg(F.count_if(F.col("s") == "error").alias("errors"), F.count_if(F.col("s") == "ok").alias("ok"), F.count_if(F.col("s") == "skipped").alias("skipped"), F.count("*").alias("total"))
+    state = F.expr("case when doc_id % 17 = 0 then 'error' when doc_id % 4 < 3 then 'text' end")
+    return S.extraction_counts(table(spark, sf, "documents").select(state.alias("extractor")))

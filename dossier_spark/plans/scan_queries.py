@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier_spark.operators import scan as S
+from dossier_spark.sources.files import write_json
 
-from .base import FILES_SQL, files, query, table
+from .base import FILES_SQL, files, place, query, table
 
 SCAN = f"""with {FILES_SQL},
 roled as (select *, case when folder = '' then null else ['01_personnel', '02_cv', '03_tests', '04_stages', '05_mesures', '06_rapport', '07_suivi'][doc_id % 8 + 1] end as role,
@@ -19,7 +20,7 @@ src as (select client_id, path, name, suffix, size_bytes, case when folder = ''
 sc as (select client_id, count(*) as n_sources, sum(size_bytes) as bytes from src group by 1),
 rl as (select client_id, count(distinct role) as roles_found, bool_or(role = '01_personnel') as r1, bool_or(role = '06_rapport') as r6 from roled group by 1),
 scan as (select rl.client_id, gold.path as gold, coalesce(score, 0.0) as gold_score, strategy, coalesce(n_sources, 0) as n_sources, round_even((coalesce(bytes, 0) + coalesce(gold.size_bytes, 0)) / 1048576.0, 2) as total_mb, roles_found, 7 - roles_found as roles_missing, r1, r6,
-  coalesce(score >= 0.3 and coalesce(n_sources, 0) > 0, false) as ready, case when coalesce(n_sources, 0) >= 10 and score >= 0.7 then 'high' when coalesce(n_sources, 0) >= 5 and score >= 0.5 then 'medium' else 'low' end as quality
+  coalesce(score >= 0.3 and coalesce(n_sources, 0) > 0, false) as ready, case when coalesce(n_sources, 0) >= 5 and score >= 0.6 then 'high' when coalesce(n_sources, 0) >= 2 and score >= 0.4 then 'medium' else 'low' end as quality
   from rl left join sc using (client_id) left join gold using (client_id))
 """
 
@@ -111,25 +112,34 @@ def outcomes(spark, sf):
 
 @query("U2", SCAN + f", {NAMES} select client_id, outcome, case when outcome = 'error' then 'not found' end as message from outcomes where outcome <> 'not_ready'")
 def success_and_errors(spark, sf):
-    r = S.requested(asked(spark, sf), scanned(spark, sf)).select("client_id", "outcome")
-    return r.filter("outcome = 'success'").unionByName(r.filter("outcome = 'error'").withColumn("message", F.lit("not found")), allowMissingColumns=True)
+    return S.success_and_errors(S.requested(asked(spark, sf), scanned(spark, sf)))
 
 
-@query("W6", SCAN + "select client_id, path, category || '_' || printf('%03d', n) || '_' || regexp_replace(name, '\\.[^.]*$', '') || suffix as target from (select *, row_number() over (partition by client_id order by category, path) as n from src)")
+NUMBERED = "(select *, row_number() over (partition by client_id order by category, path) as n from src)"
+TARGET = r"category || '_' || printf('%03d', n) || '_' || regexp_replace(name, '\.[^.]*$', '') || suffix"
+
+
+@query("W6", SCAN + f"select client_id, path, {TARGET} as target from {NUMBERED}")
 def sandbox_names(spark, sf):
     f = files(spark, sf)
-    return S.numbered(S.sources(f, S.gold(f))).select("client_id", "path", "target")
+    return S.sandbox_names(S.sources(f, S.gold(f))).select("client_id", "path", "target")
 
 
-@query("S17", SCAN + """select client_id, count(*) as n_sources, '{"batch":"b1","slug":"' || client_id || '","gold":"' || any_value(gold.path) || '","sources":[' || string_agg('"' || target || '"', ',' order by target) || '],"file_counts":{"gold":1,"sources":' || count(*) || ',"total":' || (count(*) + 1) || '}}' as meta
-  from (select *, category || '_' || printf('%03d', n) || '_' || regexp_replace(name, '\\.[^.]*$', '') || suffix as target from (select *, row_number() over (partition by client_id order by category, path) as n from src)) join gold using (client_id) group by 1""")
+@query("S17", SCAN + f"""select client_id, part, {{'batch': 'b1', 'slug': client_id, 'gold': any_value(g), 'file_counts': {{'gold': 1, 'sources': any_value(total), 'total': any_value(total) + 1}}}}::json::varchar as meta, string_agg(target, ',' order by target) as sources
+  from (select client_id, gold.path as g, ((n - 1) // 20)::int as part, {TARGET} as target, count(*) over (partition by client_id) as total from {NUMBERED} join gold using (client_id)) group by 1, 2""")
 def manifests(spark, sf):
-    return S.manifest(files(spark, sf), "b1").withColumn("n_sources", F.col("n_sources").cast("long"))
+    """Manifests written as JSON in a folder for each client and read back; 20 sources a part."""
+    path = place(spark, "meta")
+    write_json(S.manifest(files(spark, sf), "b1", 20), path, "client_id")
+    m = spark.read.schema("part int, n_sources long, meta string, client_id string").json(path)
+    meta = F.from_json("meta", "batch string, slug string, gold string, sources array<string>, file_counts struct<gold:int,sources:long,total:long>")
+    m = m.select("client_id", "part", meta.alias("m"))
+    return m.select("client_id", "part", F.to_json(F.struct("m.batch", "m.slug", "m.gold", "m.file_counts")).alias("meta"), F.array_join("m.sources", ",").alias("sources"))
 
 
 @query("A26", SCAN + "select client_id, 1 as gold, count(*) as sources, count(*) + 1 as total from src where client_id in (select client_id from gold) group by 1")
 def file_counts(spark, sf):
-    return S.manifest(files(spark, sf), "b1").select("client_id", F.lit(1).alias("gold"), F.col("n_sources").cast("long").alias("sources"), (F.col("n_sources") + 1).cast("long").alias("total"))
+    return S.file_counts(files(spark, sf))
 
 
 @query("F10", SCAN + "select client_id from files group by 1 having max(mtime) > 900 or substr(client_id, 4)::int % 3 = 0")
@@ -139,24 +149,19 @@ def stale(spark, sf):
     return S.stale(f, runs)
 
 
-@query("F11", SCAN + "select client_id, bool_or(suffix = '.docx') as has_docx, bool_or(suffix = '.pdf') as has_pdf, bool_or(suffix = '.txt') as has_txt, string_agg(case when suffix = '.docx' then name end, ',' order by name) as docx from files group by 1")
+@query("F11", SCAN + "select client_id, bool_or(folder = '' and suffix = '.docx') as has_docx, bool_or(folder = '' and suffix = '.pdf') as has_pdf, bool_or(folder = '' and suffix = '.txt') as has_txt, false as has_audio, bool_or(folder = '') as has_files from files group by 1")
 def kinds(spark, sf):
-    return S.by_type(files(spark, sf)).withColumn("docx", F.array_join("docx", ","))
+    return S.by_type(files(spark, sf))
 
 
 @query("F12", SCAN + "select distinct client_id, folder from files where folder <> '' and folder not in ('02 CV')")
 def visible(spark, sf):
-    hidden = F.col("folder").startswith(".") | F.col("folder").isin("", "02 CV")
-    return files(spark, sf).filter(~hidden).select("client_id", "folder").distinct()
+    return S.visible_folders(files(spark, sf), ("02 CV",))
 
 
-@query("T3", SCAN + "select client_id, name, row_number() over (partition by client_id order by is_dir desc, lower(name)) as place from (select distinct client_id, folder as name, true as is_dir from files where folder <> '' union all select client_id, name, false from files where folder = '')")
+@query("T3", SCAN + "select client_id, name, is_dir, row_number() over (partition by client_id order by is_dir desc, lower(name), name) as place from (select distinct client_id, folder as name, true as is_dir from files where folder <> '' union all select client_id, name, false from files where folder = '')")
 def directory_order(spark, sf):
-    from pyspark.sql import Window
-
-    f = files(spark, sf)
-    rows = f.filter("folder <> ''").select("client_id", F.col("folder").alias("name"), F.lit(True).alias("is_dir")).distinct().unionByName(f.filter("folder = ''").select("client_id", "name", F.lit(False).alias("is_dir")))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("client_id").orderBy(F.desc("is_dir"), F.lower("name"))).cast("long")).select("client_id", "name", "place")
+    return S.directory_order(files(spark, sf))
 
 
 AUDIO_SQL = "select source as client_id, source || case when doc_id % 5 = 0 then '/ingested_audio/' else '/' end || 'a' || doc_id || ['.m4a', '.MP3', '.txt'][doc_id % 3 + 1] as path from documents"
@@ -192,13 +197,14 @@ def slugs(spark, sf):
 
 @query("J17")
 def names(spark, sf):
-    """Fuzzy name search: sequence ratio, so no SQL."""
+    """Fuzzy name search: sequence ratio, so no SQL; tests/test_scan.py has a plain version."""
     return S.find_clients(["customer 12", "Customer#000000100", "suplier"], table(spark, sf, "customer"), "c_name").select("asked", "folder", "rank", F.round("score", 6).alias("score"))
 
 
 @query("F7")
-def least_score(spark, sf):
-    return S.find_clients(["Customer#000000010", "costumer 44"], table(spark, sf, "customer"), "c_name", least=0.9, n=20).select("asked", "folder", F.round("score", 6).alias("score"))
+def exact_match(spark, sf):
+    """The exact search: 0.9 or more counts, 0.95 or more is accepted."""
+    return S.find_client(["Customer#000000010", "costumer 44", "CUSTOMER#00000010"], table(spark, sf, "customer"), "c_name", exact=True).select("asked", "folder", F.round("score", 6).alias("score"), "matches")
 
 
 @query("T1")
@@ -208,4 +214,4 @@ def first_few(spark, sf):
 
 @query("N14")
 def fuzzy_scores(spark, sf):
-    return S.find_clients(["antique puff", "steel"], table(spark, sf, "part"), "p_name", least=0.0, n=1 << 30).select("asked", "folder", F.round("score", 6).alias("score"))
+    return S.find_clients(["antique puff", "steel", "Lime"], table(spark, sf, "part"), "p_name", least=0.0, n=None).select("asked", "folder", F.round("score", 6).alias("score"))

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossier_spark.functions import text as X
 from dossier_spark.operators import sections as S
+from dossier_spark.sources.files import write_csv, write_json
 
-from .base import LINES_SQL, STRIP, lines, query, table
+from .base import LINES_SQL, STRIP, lines, place, query, table
 
 # A small ruleset whose anchors are words of the data.
 RULES = S.Ruleset(
     sections=(("identity", True, 2.0, "copy"), ("tests", False, 2.0, "copy"), ("tests.vocation", False, 1.0, "summarize"), ("orientation_formation", True, 3.0, "copy"), ("conclusion", True, 1.5, "summarize"), ("annex.stage", False, 1.0, "copy")),
-    anchors=(("identity", "exact", "The"), ("identity", "exact", "der"), ("tests", "contains", "TION"), ("orientation_formation", "contains", "que"), ("tests.vocation", "regex", r"^(die|und)\b"), ("conclusion", "regex", "^[0-9A-M]"), ("annex.stage", "regex", "^[n-q]")),
+    anchors=(("identity", "exact", "The"), ("identity", "exact", "der"), ("identity", "contains", "identit"), ("tests", "contains", "TION"), ("orientation_formation", "contains", "que"), ("tests.vocation", "regex", r"^(die|und)\b"), ("conclusion", "regex", "^[0-9A-M]"), ("annex.stage", "regex", "^[n-q]")),
     styles={"Heading 1": 1},
     method_order=("exact", "contains", "regex"),
     profiles={
@@ -20,6 +20,7 @@ RULES = S.Ruleset(
         "placement_suivi": {"thresholds": {"max_missing_required": 2, "min_required_coverage_ratio": 0.6, "max_unknown_titles": 10, "max_placeholders": 5}, "ignore_required_prefixes": ["tests", "conclusion"]},
         "stage": {"thresholds": {"max_missing_required": 1, "min_required_coverage_ratio": 0.7, "max_unknown_titles": 10, "max_placeholders": 5}, "ignore_required_prefixes": ["tests"]},
     },
+    weighted=("tests.vocation",),
 )
 TITLE = r"trim(regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), ':+$', ''))"
 ROBUST = r"trim(regexp_replace(regexp_replace(strip_accents(lower(replace({0}, 'ß', 'ss'))), '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -31,30 +32,52 @@ lev as (select *, coalesce(case when style_name = 'Heading 1' then 1 end,
 num as (select *, count(level) over (partition by doc_id order by pos) as seg_no from lev),
 segs as (select doc_id, seg_no, arg_min(text, pos) as raw_title, arg_min(level, pos) as level, count(*) - 1 as n_par, coalesce(string_agg(text, chr(10) order by pos) filter (where level is null), '') as content from num where seg_no > 0 group by 1, 2),
 titled as (select *, {TITLE.format('raw_title')} as title from segs),
-mapped as (select *, case when {ROBUST.format('title')} in ('the', 'der') then 'identity' when contains(lower(title), 'tion') then 'tests' when contains(lower(title), 'que') then 'orientation_formation'
+mapped as (select *, case when {ROBUST.format('title')} in ('the', 'der') or contains(lower(title), 'identit') then 'identity' when contains(lower(title), 'tion') then 'tests' when contains(lower(title), 'que') then 'orientation_formation'
    when regexp_matches(title, '(?i)^(die|und)\b') then 'tests.vocation' when regexp_matches(title, '(?i)^[0-9A-M]') then 'conclusion' when regexp_matches(title, '(?i)^[n-q]') then 'annex.stage' end as section_id,
-   case when {ROBUST.format('title')} in ('the', 'der') then 1.0 when contains(lower(title), 'tion') or contains(lower(title), 'que') then 0.9 when regexp_matches(title, '(?i)^([0-9A-Mn-q]|(die|und)\b)') then 0.85 else 0.0 end::double as confidence from titled),
-win as (select * exclude (r) from (select *, row_number() over (partition by doc_id, section_id order by confidence desc, n_par desc, seg_no) as r from mapped where section_id is not null) where r = 1)
+   case when {ROBUST.format('title')} in ('the', 'der') then 1.0 when contains(lower(title), 'identit') or contains(lower(title), 'tion') or contains(lower(title), 'que') then 0.9 when regexp_matches(title, '(?i)^([0-9A-Mn-q]|(die|und)\b)') then 0.85 else 0.0 end::double as confidence from titled),
+win as (select * exclude (r) from (select *, row_number() over (partition by doc_id, section_id order by has_id desc, case when has_id then 0 else confidence end desc, case when has_id then 0 else n_par end desc, seg_no) as r, min(seg_no) over (partition by doc_id, section_id) as o
+   from (select *, section_id = 'identity' and regexp_matches(raw_title, '756[\s.\-]?\d{{4}}') as has_id from mapped where section_id is not null)) where r = 1),
+dedup as (select doc_id, seg_no, section_id, title from win union all select doc_id, seg_no, section_id, title from mapped where section_id is null)
 """
-COVER = SEGS + r""",
-f as (select doc_id, list(section_id) filter (where trim(content) <> '') as filled, list(section_id) as found from win group by 1),
+NAME = r"trim(regexp_extract({0}, '(?i)(?:Monsieur|Madame|M\.|Mme)\s+([^\n]+?)\s*[–—-]\s*756', 1))"
+AVS = r"translate(regexp_extract({0}, '756[\s.\-]?\d{{4}}[\s.\-]?\d{{4}}[\s.\-]?\d{{2}}'), ' -', '..')"
+# A part's text runs from its label to the next part's, or to the end.
+PART = rf"regexp_replace({STRIP}, '\n\s*\n', chr(10), 'g')"
+LABELLED = r"regexp_extract({0}, '(?is)\b{1}\b\s*(?:\n|:)\s*(.+)', 1)"
+UNTIL = r"regexp_replace({0}, '(?is)\n\s*{1}.*$', '')"
+HOLES = "(" + " + ".join(f"len(regexp_extract_all({{0}}, '{p}'))" for p in (r"\.{{3,}}", r"\[\s*\]", r"\b__+\b", r"(?i)\bTODO\b", r"(?i)\bMETTRE\b", r"(?i)\bXXXX+\b", r"(?i)À COMPLÉTER\b")) + ")"
+TEXT = rf"coalesce({STRIP} <> '', false)"
+COVER = SEGS + rf""",
+piv as (select doc_id, count(*) as n_found, max(case when content <> '' then content else raw_title end) filter (where section_id = 'identity') as who, max(content) filter (where section_id = 'tests') as ct, max(o) filter (where section_id = 'tests') as ot,
+  max(content) filter (where section_id = 'tests.vocation') as cv, max(o) filter (where section_id = 'tests.vocation') as ov, max(content) filter (where section_id = 'orientation_formation') as co, max(content) filter (where section_id = 'conclusion') as cc, max(content) filter (where section_id = 'annex.stage') as ca from win group by 1),
 d as (select distinct doc_id from lines),
-b as (select d.doc_id, coalesce(len(found), 0) as n_found, coalesce(list_contains(filled, 'identity'), false) as i, coalesce(list_contains(filled, 'tests') or list_contains(filled, 'tests.vocation'), false) as t,
-  coalesce(list_contains(filled, 'orientation_formation'), false) as o, coalesce(list_contains(filled, 'conclusion'), false) as c from d left join f using (doc_id)),
-cov as (select doc_id, i, t, o, c, n_found / 6.0 as coverage, 1.0 - (3 - i::int - o::int - c::int) / 3.0 as required_coverage, (2.0 * i::int + 2.0 * t::int + 3.0 * o::int + 1.5 * c::int) / 8.5 as weighted_coverage,
-  concat_ws(',', case when not i then 'identity' end, case when not o then 'orientation_formation' end, case when not c then 'conclusion' end) as missing from b),
+parts as (select d.doc_id, coalesce(n_found, 0) as n_found, coalesce({AVS.format('who')}, '') as avs, coalesce({NAME.format('who')}, '') as full_name, ct, case when cv <> '' and not coalesce(ct <> '' and ot > ov, false) then cv end as cv, cc, ca, co,
+  {PART.format(UNTIL.format(LABELLED.format("coalesce(co, '')", 'Orientation'), r'Stage\s*(?:\n|:)'))} as p1, {PART.format(LABELLED.format("coalesce(co, '')", 'Stage'))} as p2 from d left join piv using (doc_id)),
+b as (select *, avs <> '' or full_name <> '' as i, {TEXT.format('ct')} or {TEXT.format('cv')} or not coalesce(ct <> '', false) as t, {TEXT.format('cv')} as v, p1 <> '' or p2 <> '' as o, {TEXT.format('cc')} as c, {TEXT.format('ca')} as a, ca is not null as a_there,
+  len(string_split(full_name, ' ')) as words from parts),
+cov as (select doc_id, i, t, v, o, c, n_found / 6.0 as coverage, (i::int + o::int + c::int) / 3.0 as required_coverage, (2.0 * i::int + 2.0 * t::int + 3.0 * o::int + 1.5 * c::int + a::int) / (17.0 + a_there::int) as weighted_coverage,
+  concat_ws(',', case when not i then 'identity' end, case when not o then 'orientation_formation' end, case when not c then 'conclusion' end) as missing,
+  concat_ws('|', case when not i then 'Required section missing: identity' end, case when not o then 'Required section missing: orientation_formation' end, case when not c then 'Required section missing: conclusion' end,
+    case when not v then 'Weighted section missing (not blocking): tests.vocation' end, case when coalesce(co <> '', false) and not o then 'Inline split failed for orientation_formation (expected: orientation, stage)' end) as warnings,
+  {HOLES.format('avs')} + 2 * {HOLES.format('full_name')} + {HOLES.format("coalesce(ct, '')")} + {HOLES.format("coalesce(cv, '')")} + {HOLES.format('p1')} + {HOLES.format('p2')} + {HOLES.format("coalesce(cc, '')")} + {HOLES.format("coalesce(ca, '')")} as placeholders from b),
 sig as (select doc_id, bool_or(contains(lower(title), 'stage') or contains(coalesce(section_id, ''), 'stage')) as has_stage, bool_or(contains(coalesce(section_id, ''), 'orientation')) as has_orientation,
-  sum(case section_id when 'tests' then 1 when 'tests.vocation' then 2 else 0 end) as n_bilan, count(*) filter (where section_id is null) as unknown_titles from mapped group by 1),
-sc as (select *, has_stage::int * 100 + has_orientation::int * 20 as stage, n_bilan * 30 - (n_bilan < 2)::int * 20 as bilan_complet, 10 + (n_bilan = 0)::int * 20 as placement_suivi from sig),
+  sum(case section_id when 'tests' then 1 when 'tests.vocation' then 2 else 0 end) as n_bilan, count(*) filter (where section_id is null) as unknown_titles from dedup group by 1),
+sig0 as (select doc_id, coalesce(has_stage, false) as has_stage, coalesce(has_orientation, false) as has_orientation, coalesce(n_bilan, 0) as n_bilan, coalesce(unknown_titles, 0) as unknown_titles from d left join sig using (doc_id)),
+sc as (select *, has_stage::int * 100 + has_orientation::int * 20 as stage, n_bilan * 30 - (n_bilan < 2)::int * 20 as bilan_complet, 10 + (n_bilan = 0)::int * 20 as placement_suivi from sig0),
 prof as (select *, case when stage >= bilan_complet and stage >= placement_suivi then 'stage' when bilan_complet >= placement_suivi then 'bilan_complet' else 'placement_suivi' end as profile,
   greatest(stage, bilan_complet, placement_suivi) - (stage + bilan_complet + placement_suivi - greatest(stage, bilan_complet, placement_suivi) - least(stage, bilan_complet, placement_suivi)) as margin from sc),
-holes as (select doc_id, sum(len(regexp_extract_all(content, '\.{3,}')) + len(regexp_extract_all(content, '\[\s*\]')) + len(regexp_extract_all(content, '\b__+\b')) + len(regexp_extract_all(content, '(?i)\bTODO\b')) + len(regexp_extract_all(content, '(?i)\bMETTRE\b')) + len(regexp_extract_all(content, '(?i)\bXXXX+\b'))) as placeholders from win group by 1),
-g0 as (select cov.*, coalesce(profile, 'placement_suivi') as profile, coalesce(unknown_titles, 0) as unknown_titles, coalesce(placeholders, 0) as placeholders from cov left join prof using (doc_id) left join holes using (doc_id)),
-g1 as (select *, case when profile = 'placement_suivi' then 2 else 3 end as n_required, (not i)::int + (not o)::int + case when profile = 'placement_suivi' then 0 else (not c)::int end as n_missing from g0),
-g2 as (select *, (n_required - n_missing) / n_required as coverage_effective,
-  n_missing <= case profile when 'stage' then 1 when 'bilan_complet' then 0 else 2 end as sections_ok, (n_required - n_missing) / n_required >= case profile when 'stage' then 0.7 when 'bilan_complet' then 0.9 else 0.6 end as coverage_ok,
-  unknown_titles <= case profile when 'bilan_complet' then 5 else 10 end as titles_ok, placeholders <= case profile when 'bilan_complet' then 1 else 5 end as placeholders_ok from g1),
-gated as (select *, case when sections_ok and coverage_ok and titles_ok and placeholders_ok then 'GO' else 'NO-GO' end as status from g2)
+g0 as (select * from cov join prof using (doc_id)),
+g1 as (select *, case when profile = 'placement_suivi' then 2 else 3 end as n_required, (not i)::int + (not o)::int + case when profile = 'placement_suivi' then 0 else (not c)::int end as n_missing,
+  concat_ws(',', case when not i then 'identity' end, case when not o then 'orientation_formation' end, case when not c and profile <> 'placement_suivi' then 'conclusion' end) as effective,
+  case profile when 'stage' then 1 when 'bilan_complet' then 0 else 2 end as most_missing, case profile when 'stage' then 0.7 when 'bilan_complet' then 0.9 else 0.6 end as least_covered,
+  case profile when 'bilan_complet' then 5 else 10 end as most_unknown, case profile when 'bilan_complet' then 1 else 5 end as most_open from g0),
+g2 as (select *, (n_required - n_missing) / n_required as coverage_effective, n_missing <= most_missing as sections_ok, (n_required - n_missing) / n_required >= least_covered as coverage_ok, unknown_titles <= most_unknown as titles_ok, placeholders <= most_open as placeholders_ok from g1),
+gated as (select *, case when sections_ok and coverage_ok and titles_ok and placeholders_ok then 'GO' else 'NO-GO' end as status,
+  concat_ws('|', case when not sections_ok then 'Missing ' || n_missing || ' required section(s) for profile ''' || profile || ''' (max: ' || most_missing || '): ' || replace(effective, ',', ', ') end,
+    case when not coverage_ok then 'Required coverage too low: ' || printf('%.1f', coverage_effective * 100) || '% < ' || printf('%.0f', least_covered * 100) || '% (profile: ' || profile || ')' end,
+    case when not titles_ok then 'Too many unknown titles: ' || unknown_titles || ' > ' || most_unknown || ' (profile: ' || profile || ')' end, case when not placeholders_ok then 'Many placeholders found: ' || placeholders || ' > ' || most_open || ' (profile: ' || profile || ')' end) as reasons from g2),
+batch as (select doc_id, 'success' as status, profile, status as gate_status, round_even(required_coverage, 2) as required_coverage_ratio, round_even(weighted_coverage, 2) as weighted_coverage, effective, unknown_titles, placeholders, reasons, warnings, has_stage, n_bilan, sections_ok, null as error_type, null as error_message from gated where doc_id % 9 <> 0
+  union all select doc_id, 'error', null, null, null, null, null, null, null, null, null, null, null, null, 'BadZipFile', 'File ' || doc_id || ' is not a zip file' from documents where doc_id % 9 = 0)
 """
 
 
@@ -86,10 +109,12 @@ def contents(spark, sf):
     return segs(spark, sf).select("doc_id", "seg_no", "content")
 
 
-@query("F6", r"select doc_id, regexp_matches(t, '(?i)^BILAN\s+D[''’]ORIENTATION|^RAPPORT\s+D[''’]ORIENTATION|^DOCUMENT\s+D[''’]ORIENTATION|^BILAN\s+PROFESSIONNEL') as ignored from (select doc_id, case doc_id % 4 when 0 then 'Bilan d''orientation ' when 1 then 'BILAN  PROFESSIONNEL ' when 2 then 'Le bilan professionnel ' else '' end || substr(text, 1, 20) as t from documents)")
+TITLE_LINE = "case doc_id % 4 when 0 then 'Bilan d''orientation ' when 1 then 'BILAN  PROFESSIONNEL ' when 2 then 'Le bilan professionnel ' else '' end || text"
+
+
+@query("F6", rf"with {LINES_SQL} select doc_id, pos, regexp_matches(t, '(?i)^BILAN\s+D[''’]ORIENTATION|^RAPPORT\s+D[''’]ORIENTATION|^DOCUMENT\s+D[''’]ORIENTATION|^BILAN\s+PROFESSIONNEL') as ignored from (select doc_id, pos, {TITLE_LINE} as t from lines)")
 def generic(spark, sf):
-    t = F.expr("concat(case doc_id % 4 when 0 then 'Bilan d\\'orientation ' when 1 then 'BILAN  PROFESSIONNEL ' when 2 then 'Le bilan professionnel ' else '' end, substr(text, 1, 20))")
-    return table(spark, sf, "documents").select("doc_id", S.ignored_title(t, RULES).alias("ignored"))
+    return lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), S.ignored_title(F.expr(TITLE_LINE.replace("d''o", "d\\'o")), RULES).alias("ignored"))
 
 
 def by_kind(kind):
@@ -101,7 +126,7 @@ def by_kind(kind):
 
 
 query("J1", SEGS + f"select doc_id, seg_no, 'identity' as section_id from titled where {ROBUST.format('title')} in ('the', 'der')")(by_kind("exact"))
-query("J2", SEGS + "select doc_id, seg_no, case when contains(lower(title), 'tion') then 'tests' else 'orientation_formation' end as section_id from titled where contains(lower(title), 'tion') or contains(lower(title), 'que')")(by_kind("contains"))
+query("J2", SEGS + "select doc_id, seg_no, case when contains(lower(title), 'identit') then 'identity' when contains(lower(title), 'tion') then 'tests' else 'orientation_formation' end as section_id from titled where contains(lower(title), 'identit') or contains(lower(title), 'tion') or contains(lower(title), 'que')")(by_kind("contains"))
 query("J3", SEGS + r"select doc_id, seg_no, case when regexp_matches(title, '(?i)^(die|und)\b') then 'tests.vocation' when regexp_matches(title, '(?i)^[0-9A-M]') then 'conclusion' else 'annex.stage' end as section_id from titled where regexp_matches(title, '(?i)^([0-9A-Mn-q]|(die|und)\b)')")(by_kind("regex"))
 
 
@@ -148,16 +173,15 @@ def snippets(spark, sf):
     return S.provenance(S.winners(mapped(spark, sf))).select("doc_id", "section_id", "snippet")
 
 
-@query("A29", SEGS + "select doc_id, string_agg(case when section_id is not null then section_id || ':' || title end, '|' order by seg_no) as found, string_agg(case when section_id is null then title end, '|' order by seg_no) as unknown from (select doc_id, seg_no, section_id, title from win union all select doc_id, seg_no, section_id, title from mapped where section_id is null) group by 1")
+@query("A29", SEGS + "select doc_id, coalesce(string_agg(case when section_id is not null then section_id || ':' || title end, '|' order by seg_no), '') as found, coalesce(string_agg(case when section_id is null then title end, '|' order by seg_no), '') as unknown from dedup group by 1")
 def found_lists(spark, sf):
-    d = S.deduped(mapped(spark, sf))
-    join = lambda c: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("seg_no", c.alias("v"))))), lambda x: x["v"]), "|"), F.lit(""))
-    return d.groupBy("doc_id").agg(join(F.when(F.col("section_id").isNotNull(), F.concat_ws(":", "section_id", "title"))).alias("found"), join(F.when(F.col("section_id").isNull(), F.col("title"))).alias("unknown"))
+    d = S.section_lists(mapped(spark, sf))
+    return d.select("doc_id", F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["section_id"], x["title"])), "|").alias("found"), F.array_join("unknown", "|").alias("unknown"))
 
 
-@query("J6", SEGS + "select doc_id, section_id, case section_id when 'tests.vocation' then 'summarize' when 'conclusion' then 'summarize' else 'copy' end as fill from win")
+@query("J6", SEGS + "select doc_id, section_id, case section_id when 'tests.vocation' then 'summarize' when 'conclusion' then 'summarize' else 'copy' end as fill, content from win")
 def fill_strategy(spark, sf):
-    return S.winners(mapped(spark, sf)).join(RULES.frame(spark).select("section_id", "fill"), "section_id").select("doc_id", "section_id", "fill")
+    return S.fill_strategies(S.winners(mapped(spark, sf)), RULES).select("doc_id", "section_id", "fill", "content")
 
 
 @query("J7", COVER + "select doc_id, missing from cov")
@@ -175,10 +199,12 @@ def weighted(spark, sf):
     return reported(spark, sf).select("doc_id", F.round("weighted_coverage", 6).alias("weighted_coverage"))
 
 
-@query("A8", COVER + "select doc_id, i, t, o, c from cov")
+@query("A8", COVER + "select doc_id, i, t, v, o, c from cov")
 def filled(spark, sf):
-    has = lambda s: F.exists("filled", lambda x: (x == s) | x.startswith(s + "."))
-    return reported(spark, sf).select("doc_id", has("identity").alias("i"), has("tests").alias("t"), has("orientation_formation").alias("o"), has("conclusion").alias("c"))
+    d = S.normalised(mapped(spark, sf), RULES)
+    have = d.select("doc_id", *[S.filled_test(s).alias(k) for k, s in zip("itvoc", ("identity", "tests", "tests.vocation", "orientation_formation", "conclusion"))])
+    none = lines(spark, sf).select("doc_id").distinct().join(have, "doc_id", "left")
+    return none.select("doc_id", *[F.coalesce(k, F.lit(k == "t")).alias(k) for k in "itvoc"])
 
 
 @query("A10", COVER + "select doc_id, has_stage, has_orientation, n_bilan::int as n_bilan, unknown_titles from sig")
@@ -188,13 +214,17 @@ def profile_signals(spark, sf):
 
 @query("A11", COVER + "select doc_id, profile, margin::int as margin, stage, bilan_complet::int as bilan_complet, placement_suivi from prof")
 def profiles(spark, sf):
-    return S.profile(S.signals(mapped(spark, sf)), "placement_suivi").select("doc_id", "profile", "margin", "stage", "bilan_complet", "placement_suivi")
+    return reported(spark, sf).select("doc_id", "profile", "margin", "stage", "bilan_complet", "placement_suivi")
+
+
+OPEN = "text || case when doc_id % 3 = 0 then ' todo XXXXX [ ] a... mettre' else '' end"
+LABELS = {"...": r"\.{3,}", "[ ]": r"\[\s*\]", "TODO": r"(?i)\bTODO\b", "METTRE": r"(?i)\bMETTRE\b", "XXXX": r"(?i)\bXXXX+\b", "___": r"\b__+\b"}
 
 
-@query("A12", r"select doc_id, len(regexp_extract_all(text, '\.{3,}')) + len(regexp_extract_all(text, '\[\s*\]')) + len(regexp_extract_all(text, '(?i)\bTODO\b')) + len(regexp_extract_all(text, '(?i)\bMETTRE\b')) + len(regexp_extract_all(text, '(?i)\bXXXX+\b')) + len(regexp_extract_all(text, '\b__+\b')) as n from (select doc_id, text || case when doc_id % 3 = 0 then ' todo XXXXX [ ] a... mettre' else '' end as text from documents)")
+@query("A12", f"with t as (select doc_id, {OPEN} as text from documents) select doc_id, 'text' as path, pattern, n from (" + " union all ".join(f"select doc_id, '{label}' as pattern, len(regexp_extract_all(text, '{p}')) as n from t" for label, p in LABELS.items()) + ") where n > 0")
 def holes(spark, sf):
-    t = F.expr("concat(text, case when doc_id % 3 = 0 then ' todo XXXXX [ ] a... mettre' else '' end)")
-    return table(spark, sf, "documents").select("doc_id", S.placeholders(t).cast("long").alias("n"))
+    t = table(spark, sf, "documents").select("doc_id", F.lit("text").alias("path"), F.expr(OPEN).alias("text"))
+    return S.placeholder_hits(t).groupBy("doc_id", "path", "pattern").agg(F.count("*").alias("n"))
 
 
 @query("A13", COVER + "select doc_id, status, profile, n_missing, round(coverage_effective, 6) as coverage_effective, sections_ok, coverage_ok, titles_ok, placeholders_ok from gated")
@@ -202,7 +232,7 @@ def gated(spark, sf):
     return reported(spark, sf).select("doc_id", "status", "profile", "n_missing", F.round("coverage_effective", 6).alias("coverage_effective"), "sections_ok", "coverage_ok", "titles_ok", "placeholders_ok")
 
 
-@query("J8", COVER + "select doc_id, concat_ws(',', case when not i then 'identity' end, case when not o then 'orientation_formation' end, case when not c and profile <> 'placement_suivi' then 'conclusion' end) as effective from gated")
+@query("J8", COVER + "select doc_id, effective from gated")
 def effective(spark, sf):
     return reported(spark, sf).select("doc_id", F.array_join("effective", ",").alias("effective"))
 
@@ -217,66 +247,129 @@ def forced(spark, sf):
     return S.report(lines(spark, sf), RULES, forced="stage").select("doc_id", "profile", "sections_ok", "titles_ok")
 
 
-@query("A14", COVER + "select doc_id, case when missing = '' then 0 else len(string_split(missing, ',')) end + (not t)::int as n_warnings from cov")
-def warnings(spark, sf):
-    d = reported(spark, sf)
-    weighted = F.array_compact(F.array(F.when(~F.exists("filled", lambda x: x.startswith("tests")), F.lit("weighted section empty: tests"))))
-    return d.select("doc_id", F.size(F.concat(F.transform("missing_required", lambda s: F.concat(F.lit("missing: "), s)), weighted)).cast("long").alias("n_warnings"))
+@query("A14", COVER + "select doc_id, warnings from cov")
+def warned(spark, sf):
+    return reported(spark, sf).select("doc_id", F.array_join("warnings", "|").alias("warnings"))
 
 
-@query("A31", COVER + "select doc_id, 'success' as outcome, profile, status, round(coverage, 3) as coverage, unknown_titles from gated where doc_id % 9 <> 0 union all select doc_id, 'error', null, null, null, null from documents where doc_id % 9 = 0")
+def batch(spark, sf):
+    """Results of the documents; every ninth one could not be read."""
+    failed = table(spark, sf, "documents").filter("doc_id % 9 = 0").select("doc_id", F.lit("BadZipFile").alias("error_type"), F.format_string("File %d is not a zip file", "doc_id").alias("error_message"))
+    return S.batch_rows(S.report(lines(spark, sf).filter("doc_id % 9 <> 0"), RULES), failed)
+
+
+@query("A31", COVER + "select * from batch")
 def batch_rows(spark, sf):
-    ok = reported(spark, sf).filter("doc_id % 9 <> 0").select("doc_id", F.lit("success").alias("outcome"), "profile", "status", F.round("coverage", 3).alias("coverage"), "unknown_titles")
-    failed = table(spark, sf, "documents").filter("doc_id % 9 = 0").select("doc_id", F.lit("error").alias("outcome"))
-    return ok.unionByName(failed, allowMissingColumns=True)
+    d = batch(spark, sf)
+    return d.select("doc_id", "status", "profile", "gate_status", "required_coverage_ratio", "weighted_coverage", F.array_join("missing_required_sections", ",").alias("effective"), F.col("unknown_titles_count").cast("long").alias("unknown_titles"), F.col("placeholders_count").cast("long").alias("placeholders"), F.array_join("reasons", "|").alias("reasons"), F.array_join("warnings", "|").alias("warnings"), "signals.has_stage", F.col("signals.n_bilan").cast("long").alias("n_bilan"), "criteria.sections_ok", "error_type", "error_message")
 
 
-@query("A5", COVER + "select count(*) as total, count(*) filter (where doc_id % 9 <> 0) as successful, count(*) filter (where doc_id % 9 = 0) as errors, count(*) filter (where doc_id % 9 <> 0 and status = 'GO') as go, count(*) filter (where doc_id % 9 <> 0 and status <> 'GO') as no_go, round(sum(case when doc_id % 9 <> 0 then coverage else 0 end) / count(*), 6) as mean_coverage from gated")
+@query("A5", COVER + "select count(*) as total, count(*) filter (where status = 'success') as successful, count(*) filter (where status = 'error') as errors, count(*) filter (where gate_status = 'GO') as go, count(*) filter (where gate_status = 'NO-GO') as no_go, round(sum(required_coverage_ratio) / count(*), 3) as mean_coverage from batch")
 def summary(spark, sf):
-    r = reported(spark, sf).select("doc_id", F.expr("if(doc_id % 9 = 0, null, status)").alias("status"), F.expr("if(doc_id % 9 = 0, null, coverage)").alias("coverage"))
-    return S.batch_summary(r).withColumn("mean_coverage", F.round("mean_coverage", 6))
+    return S.batch_summary(batch(spark, sf))
 
 
-@query("J21", COVER + "select count(*) as successful, round(avg(coverage), 6) as mean_coverage from gated where doc_id in (select doc_id from labels where quality = 1)")
+@query("J21", COVER + "select count(*) as total, count(*) filter (where status = 'success') as successful, count(*) filter (where status = 'error') as errors, count(*) filter (where gate_status = 'GO') as go, round(sum(required_coverage_ratio) / count(*) filter (where status = 'success'), 3) as mean_coverage from batch where doc_id in (select doc_id from labels where quality = 1)")
 def selection(spark, sf):
-    chosen = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
-    return reported(spark, sf).join(chosen, "doc_id", "left_semi").agg(F.count("*").alias("successful"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    return S.selection_summary(batch(spark, sf), table(spark, sf, "labels").filter("quality = 1"))
+
+
+WHO = "text || case doc_id % 5 when 0 then chr(10) || 'Madame Anna Beta' || doc_id || ' – 756.1234 5678-90' when 1 then chr(10) || 'M. Jean-Luc de Beta' || doc_id || '   - 7561234567890' when 2 then chr(10) || 'mme Beta' || doc_id || ' — 756 XX' when 3 then ' 756 1234.5678 9' else '' end"
 
 
-@query("N13", r"select doc_id, '756.12' || (10 + doc_id % 90) || '.5678.90' as avs, 'Anna Beta' || doc_id as full_name, 'Beta' || doc_id as surname from documents where doc_id % 2 = 0")
+@query("N13", f"select doc_id, avs, case when contains(n, ' ') then regexp_replace(n, '\\s+\\S+$', '') else '' end as name, regexp_extract(n, '\\S*$') as surname, n as full_name from (select doc_id, {AVS.format('t')} as avs, {NAME.format('t')} as n from (select doc_id, {WHO} as t from documents))")
 def identities(spark, sf):
-    t = F.expr("concat(text, '\\nMadame Anna Beta', doc_id, ' – 756 12', 10 + doc_id % 90, ' 5678 90')")
-    return table(spark, sf, "documents").select("doc_id", S.identity(t, F.lit("")).alias("i")).select("doc_id", "i.avs", "i.full_name", "i.surname")
+    return table(spark, sf, "documents").select("doc_id", S.identity(F.expr(WHO), F.lit("")).alias("i")).select("doc_id", "i.avs", "i.name", "i.surname", "i.full_name")
 
 
-@query("N17", r"select doc_id, case when doc_id % 3 = 0 then null else 'Chef ' || doc_id end as first, 'CFC' || chr(10) || 'puis rien' as second from documents")
+PAIRS = (("profession_formation", "Profession", "Formation"), ("orientation_formation", "Orientation", "Stage"), ("competences", "Sociales", "Professionnelles"))
+LABELLED_TEXT = "case when doc_id % 3 = 0 then '' else '{1} : chef ' || doc_id || '{0}' end || '{0}' || text || '{0}' || case when doc_id % 4 = 0 then '' else '{2}{0} CFC {0}{0}puis rien' end"
+
+
+def inline_sql(parent, first, second):
+    """Parts from a label to the next one. The second part of the first pair ends before any next line that begins with a letter and has three characters or more."""
+    t = LABELLED_TEXT.format("' || chr(10) || '", first, second)
+    a = PART.format(UNTIL.format(LABELLED.format("t", first), second + r"\b\s*(?:\n|:)"))
+    b = LABELLED.format("t", second)
+    b = PART.format(r"regexp_replace({0}, '(?is)\n\s*[A-ZÀ-ÖØ-Þ].{{2,}}$', '')".format(b) if parent == "profession_formation" else b)
+    return f"select doc_id, '{parent}' as section, nullif(a, '') as first, nullif(b, '') as second from (select doc_id, {a} as a, {b} as b from (select doc_id, {t} as t from documents))"
+
+
+@query("N17", " union all ".join(inline_sql(*p) for p in PAIRS))
 def inline(spark, sf):
-    t = F.expr("concat(case when doc_id % 3 = 0 then '' else concat('Profession : Chef ', doc_id, '\\n') end, '\\nFormation:\\n CFC \\n\\npuis rien')")
-    return table(spark, sf, "documents").select("doc_id", S.inline_split(t, "Profession", "Formation").alias("p")).select("doc_id", "p.first", "p.second")
+    d, out = table(spark, sf, "documents"), None
+    for parent, first, second in PAIRS:
+        m = S.inline_split(parent, F.expr(LABELLED_TEXT.format("\\n", first, second)))
+        one = d.select("doc_id", F.lit(parent).alias("section"), m.alias("m")).select("doc_id", "section", F.nullif(F.try_element_at("m", F.lit(first.lower())), F.lit("")).alias("first"), F.nullif(F.try_element_at("m", F.lit(second.lower())), F.lit("")).alias("second"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("N18", "select doc_id, case when length(b) > 1.5 * length(a) then b when contains(a, b) then a else a || chr(10) || chr(10) || b end as t from (select doc_id, substr(text, 1, 30) as a, substr(text, case when doc_id % 2 = 0 then 5 else 40 end, case when doc_id % 3 = 0 then 60 else 20 end) as b from documents)")
+HALVES = "select doc_id, case doc_id % 4 when 0 then '' when 1 then substr(text, 1, length(text) // 2) when 2 then text else 'short ' || source end as a, case doc_id % 3 when 0 then text when 1 then substr(text, length(text) // 2) else '' end as b from documents"
+
+
+@query("N18", f"select doc_id, case when a = '' then b when b = '' or a = b then a when length(b) > 1.5 * length(a) then b when contains(a, b) or contains(b, a) then a else a || chr(10) || chr(10) || b end as t from ({HALVES})")
 def merging(spark, sf):
-    d = table(spark, sf, "documents").selectExpr("doc_id", "substr(text, 1, 30) as a", "substr(text, if(doc_id % 2 = 0, 5, 40), if(doc_id % 3 = 0, 60, 20)) as b")
+    d = table(spark, sf, "documents").selectExpr("doc_id", "case doc_id % 4 when 0 then '' when 1 then substr(text, 1, int(length(text) / 2)) when 2 then text else concat('short ', source) end as a", "case doc_id % 3 when 0 then text when 1 then substr(text, int(length(text) / 2)) else '' end as b")
     return d.select("doc_id", S.merged(F.col("a"), F.col("b")).alias("t"))
 
 
-@query("S11", COVER + "select doc_id, profile, status, printf('%.3f', required_coverage) as required, printf('%.3f', case when weighted_coverage = 0 then required_coverage else weighted_coverage end) as weighted, unknown_titles from gated")
-def csv_rows(spark, sf):
-    w = F.when(F.col("weighted_coverage") == 0, F.col("required_coverage")).otherwise(F.col("weighted_coverage"))
-    return reported(spark, sf).select("doc_id", "profile", "status", F.format_string("%.3f", "required_coverage").alias("required"), F.format_string("%.3f", w).alias("weighted"), "unknown_titles")
+@query("S11", COVER + """select doc_id::varchar as client_folder, coalesce(profile, '-') as profile_selected, coalesce(gate_status, '-') as gate_status, printf('%.3f', coalesce(required_coverage_ratio, 0)) as required_coverage, printf('%.3f', coalesce(case when weighted_coverage = 0 then required_coverage_ratio else weighted_coverage end, 0)) as weighted_coverage,
+  coalesce(unknown_titles, 0)::varchar as unknown_titles_count, case when coalesce(effective, '') = '' then 0 else len(string_split(effective, ',')) end::varchar as missing_required_sections_count, coalesce(placeholders, 0)::varchar as placeholders_count, status from batch""")
+def csv_table(spark, sf):
+    """The batch table, written as CSV and read back."""
+    path = place(spark, "csv")
+    write_csv(S.csv_rows(batch(spark, sf)), path)
+    return spark.read.option("header", True).csv(path)
 
 
-@query("S12", COVER + "select doc_id, '- **doc ' || doc_id || '**: ' || status || case when missing = '' then '' else ' (' || replace(missing, ',', ', ') || ')' end as line from gated")
+@query("S12", COVER + """select doc_id, case when status = 'success' then '### ✓ ' || doc_id || chr(10) || '- **Profile**: `' || profile || '`' || chr(10) || '- **Gate Status**: **' || gate_status || '**' || chr(10) || '- **Coverage**: ' || printf('%.1f', required_coverage_ratio * 100) || '%' || chr(10)
+  || '- **Missing Required**: ' || case when effective = '' then 0 else len(string_split(effective, ',')) end || chr(10) || case when effective = '' then '' else array_to_string(list_transform(string_split(effective, ','), lambda m: '  - `' || m || '`' || chr(10)), '') end
+  || '- **Unknown Titles**: ' || unknown_titles || chr(10) || '- **Placeholders**: ' || placeholders || chr(10) || case when reasons = '' then '' else '- **Reasons**:' || chr(10) || array_to_string(list_transform(string_split(reasons, '|')[1:3], lambda r: '  - ' || r || chr(10)), '') end || chr(10)
+  else '### ✗ ' || doc_id || chr(10) || '- **Status**: ERROR' || chr(10) || '- **Error Type**: `' || error_type || '`' || chr(10) || '- **Message**: ' || error_message || chr(10) || chr(10) end as text from batch""")
 def markdown_rows(spark, sf):
-    d = reported(spark, sf)
-    n = F.size("missing_required")
-    more = F.when(n > 5, F.format_string(" … et %d autres", n - 5)).otherwise(F.lit(""))
-    tail = F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit(" ("), F.array_join(F.slice("missing_required", 1, 5), ", "), more, F.lit(")")))
-    return d.select("doc_id", F.concat(F.format_string("- **doc %d**: %s", "doc_id", "status"), tail).alias("line"))
+    return S.markdown(batch(spark, sf))
+
+
+@query("S10", COVER + "select doc_id, source as client_name, gated.status, gated.profile, (case when avs <> '' then 1 else 0 end + case when full_name = '' then 0 when contains(full_name, ' ') then 3 else 2 end + coalesce(ct <> '', false)::int + coalesce(cv <> '', false)::int + (p1 <> '')::int + (p2 <> '')::int + coalesce(cc <> '', false)::int + coalesce(ca <> '', false)::int)::bigint as n_places from gated join b using (doc_id) join documents using (doc_id)")
+def documents_written(spark, sf):
+    """Normalised documents and reports, a folder for each client, written as JSON and read back."""
+    path = place(spark, "reports")
+    d = S.documents_out(reported(spark, sf)).join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("client_name")), "doc_id")
+    write_json(d, path, "client_name")
+    back = spark.read.schema("doc_id long, normalized map<string,string>, report struct<status:string,profile:string>, client_name string").json(path)
+    return back.select("doc_id", "client_name", "report.status", "report.profile", F.size("normalized").cast("long").alias("n_places"))
 
 
-@query("T4", COVER + "select doc_id, array_to_string(string_split(missing, ',')[1:2], ',') as preview, greatest(0, case when missing = '' then 0 else len(string_split(missing, ',')) end - 2) as rest from cov")
+@query("T4", COVER + "select doc_id, array_to_string(string_split(warnings, '|')[1:3], '|') as preview, greatest(0, case when warnings = '' then 0 else len(string_split(warnings, '|')) end - 3) as rest from cov")
 def previews(spark, sf):
-    m = F.col("missing_required")
-    return reported(spark, sf).select("doc_id", F.array_join(F.slice(m, 1, 2), ",").alias("preview"), F.greatest(F.lit(0), F.size(m) - 2).cast("long").alias("rest"))
+    p = S.preview(F.col("warnings"), 3)
+    return reported(spark, sf).select("doc_id", p.alias("p")).select("doc_id", F.array_join("p.first", "|").alias("preview"), F.col("p.rest").cast("long").alias("rest"))
+
+
+NESTED = {
+    "title_matching": {"method_order": ["exact", "contains", "regex"]},
+    "heading_detection": {"by_style": {"styles": [{"name": "Heading 1", "level": 1}]}},
+    "sections": [
+        {"id": "identity", "required": True, "anchors": {"any": [{"exact": "The"}, {"exact": "der"}, {"contains": "identit"}]}},
+        {"id": "tests", "anchors": {"any": [{"contains": "TION"}]}, "children": [{"id": "tests.vocation", "weighted": True, "fill_strategy": "summarize", "anchors": {"any": [{"regex": r"^(die|und)\b"}]}}]},
+        {"id": "orientation_formation", "required": True, "anchors": {"any": [{"contains": "que"}]}},
+        {"id": "conclusion", "required": True, "fill_strategy": "summarize", "anchors": {"any": [{"regex": "^[0-9A-M]"}]}},
+        {"id": "annex.stage", "anchors": {"any": [{"regex": "^[n-q]"}]}},
+    ],
+    "production_gate": {"profiles": RULES.profiles},
+}
+
+
+@query("S9", COVER + "select doc_id, status, round(weighted_coverage, 6) as weighted_coverage from gated")
+def loaded_ruleset(spark, sf):
+    """A ruleset in its nested form, flattened when loaded, applied to the documents."""
+    return S.report(lines(spark, sf), S.Ruleset.from_mapping(NESTED)).select("doc_id", "status", F.round("weighted_coverage", 6).alias("weighted_coverage"))
+
+
+@query("H5", COVER + "select doc_id, coalesce(bool_or(section_id is not null), false) as has_tests, count(seg_no) as n_segments from (select d.doc_id, seg_no, case when contains(lower(title), 'tion') then 'tests' end as section_id from d left join titled using (doc_id)) group by 1")
+def custom_ruleset(spark, sf):
+    """A ruleset of the caller's own: one section, other headings' titles unknown."""
+    rules = S.Ruleset((("tests", True, 1.0, "copy"),), (("tests", "contains", "TION"),), {"Heading 1": 1}, ("contains",))
+    m = S.map_titles(segs(spark, sf), rules).groupBy("doc_id").agg(F.bool_or(F.col("section_id") == "tests").alias("t"), F.count("*").alias("n"))
+    return lines(spark, sf).select("doc_id").distinct().join(m, "doc_id", "left").select("doc_id", F.coalesce("t", F.lit(False)).alias("has_tests"), F.coalesce("n", F.lit(0)).alias("n_segments"))

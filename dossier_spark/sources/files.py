@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -15,33 +16,50 @@ from pyspark.sql import functions as F
 from dossier_spark.functions import text as X
 
 EXTRACTED = (".pdf", ".docx", ".txt")
-MAX_BYTES = 50 << 20
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The folder in spark.checkpoint.dir. Where it is unset: a fresh local one for a local master, an error on a cluster,
+    whose machines share no temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("dossier.files", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("dossier.files", base)
     return base.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: computed once, and safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _binary(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 
 
+def _plain(path: Column) -> Column:
+    """A local path without its scheme; others as they are."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path, name, suffix, folder, size_bytes, mtime of every file below root, hidden ones and those in hidden folders
-    left out; the content is not read (S1). Spark's file source also hides names that begin with _."""
-    path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    rel = F.replace(path, F.lit(root.rstrip("/") + "/"), F.lit(""))
+    """path, client_id, rel (below the client's folder), folder, name, suffix, size_bytes, mtime of every file below root,
+    hidden ones and those in hidden folders left out; the content is not read (S1). Spark's file source also hides names
+    that begin with _."""
+    path = _plain(F.col("path"))
+    rel = F.replace(path, _plain(F.lit(root.rstrip("/") + "/")), F.lit(""))
     f = _binary(spark, root).select(path.alias("path"), rel.alias("rel"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
     f = f.filter(~F.col("rel").rlike(r"(^|/)\."))
     name = F.element_at(F.split("rel", "/"), -1)
     parts = F.split("rel", "/")
-    return f.select("path", F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(1))).alias("client_id"), F.when(F.size(parts) > 2, F.try_element_at(parts, F.lit(2))).otherwise("").alias("folder"), name.alias("name"), F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("suffix"), "size_bytes", "mtime")
+    below = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    return f.select("path", F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(1))).alias("client_id"), F.when(F.size(parts) > 1, below).otherwise(name).alias("rel"), F.when(F.size(parts) > 2, F.try_element_at(parts, F.lit(2))).otherwise("").alias("folder"), name.alias("name"), F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("suffix"), "size_bytes", "mtime")
 
 
 def parse_targets(files: DataFrame, name: str = "source.docx") -> DataFrame:
@@ -87,7 +105,7 @@ PARAGRAPHS = "path string, pos int, text string, style_name string, is_bold bool
 
 def read_docx(spark: SparkSession, root: str) -> DataFrame:
     """Paragraph rows of every .docx below root."""
-    return parse_docx(_binary(spark, root).filter(F.lower("path").endswith(".docx") & (F.col("length") <= MAX_BYTES)))
+    return parse_docx(_binary(spark, root).filter(F.lower("path").endswith(".docx")))
 
 
 def parse_docx(files: DataFrame) -> DataFrame:
@@ -100,7 +118,7 @@ def parse_docx(files: DataFrame) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     rows += [{"path": path, "pos": i, **p, "error": None} for i, p in enumerate(docx_paragraphs(bytes(content)))]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError) as e:
+                except Exception as e:  # noqa: BLE001  whatever is wrong with a file stays with its row
                     rows.append({"path": path, "pos": -1, "text": "", "style_name": None, "is_bold": False, "font_size": None, "in_table": False, "error": type(e).__name__})
             yield pd.DataFrame(rows, columns=cols)
 
@@ -108,23 +126,68 @@ def parse_docx(files: DataFrame) -> DataFrame:
     return p.withColumn("is_all_caps", X.all_caps(F.col("text"))).withColumn("numbering_prefix", X.numbering(F.col("text")))
 
 
+def docx_texts(paragraphs: DataFrame) -> DataFrame:
+    """(path, text, error) of paragraph rows: paragraphs, then table rows, one a line (S3)."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    return paragraphs.groupBy("path").agg(F.array_join(ordered, "\n").alias("text"), F.max("error").alias("error"))
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Each row's content at its place below root, written by the tasks: files (rel, content). A task that runs again
+    writes the same."""
+    from pyarrow import fs
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, base = fs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for rel, content in zip(pdf["rel"], pdf["content"], strict=True):
+                name = f"{base}/{rel}"
+                at.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with at.open_output_stream(name) as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    files.select("rel", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
 def extract(spark: SparkSession, root: str) -> DataFrame:
-    """(path, ext, size_bytes, mtime, extractor, text, text_sha256, error) of every supported file; failures stay as rows.
-    PDF pages come from an already extracted table, so .pdf rows say extractor 'pages'."""
-    f = _binary(spark, root).filter(F.col("length") <= MAX_BYTES).withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).filter(F.col("ext").isin(*EXTRACTED))
+    """(path, ext, size_bytes, mtime, extractor, text, text_sha256, error) of every supported file that is not hidden;
+    failures stay as rows (S5). PDF pages come from an already extracted table, so .pdf rows say extractor 'pages'."""
+    shown = ~F.replace(_plain(F.col("path")), _plain(F.lit(root.rstrip("/") + "/")), F.lit("")).rlike(r"(^|/)\.")
+    f = _binary(spark, root).filter(shown).withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).filter(F.col("ext").isin(*EXTRACTED))
     meta = [F.col("path"), F.col("ext"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")]
     txt = f.filter("ext = '.txt'").select(*meta, F.lit("text").alias("extractor"), X.normalise_newlines(as_text(F.col("content"))).alias("text"), F.lit(None).cast("string").alias("error"))
     pdf = f.filter("ext = '.pdf'").select(*meta, F.lit("pages").alias("extractor"), F.lit("").alias("text"), F.lit(None).cast("string").alias("error"))
-    d = read_docx(spark, root).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"), F.max("error").alias("error"))
+    d = docx_texts(parse_docx(f.filter("ext = '.docx'")))
     own = f.filter("ext = '.docx'").select(*meta)
     docx = own.join(d, "path", "left").select("path", "ext", "size_bytes", "mtime", F.when(F.col("error").isNull(), F.lit("docx")).otherwise(F.lit("error")).alias("extractor"), X.normalise_newlines(F.coalesce("text", F.lit(""))).alias("text"), "error")
     return txt.unionByName(docx).unionByName(pdf).withColumn("text_sha256", F.sha2("text", 256))
 
 
-def extraction_counts(extracted: DataFrame, skipped: int = 0) -> DataFrame:
-    """ok, errors, skipped, total."""
-    bad = F.col("extractor") == "error"
-    return extracted.agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("errors"), F.lit(skipped).alias("skipped"), (F.count("*") + skipped).alias("total"))
+def route(ext: Column) -> Column:
+    """How a file of this suffix is read: its kind without the dot, or skipped."""
+    low = F.lower(ext)
+    return F.when(low.isin(*EXTRACTED), F.substring(low, 2, 9)).otherwise(F.lit("skipped"))
+
+
+def extraction_counts(seen: DataFrame) -> DataFrame:
+    """ok, errors, skipped, total of the files seen: (extractor), null for those that are not read."""
+    bad, kept = F.col("extractor") == "error", F.col("extractor").isNotNull()
+    return seen.agg(F.count_if(kept & ~bad).alias("ok"), F.count_if(kept & bad).alias("errors"), F.count_if(~kept).alias("skipped"), F.count("*").alias("total"))
+
+
+def with_text(docs: DataFrame, in_sources: str = "in_sources") -> DataFrame:
+    """Documents with text (client_id, text, in_sources): those below the client's sources, or all where none of these has
+    text (F4). A client without any text is not in the result; clients_without_text() names them."""
+    d = docs.filter(X.strip(F.coalesce("text", F.lit(""))) != "")
+    own = d.filter(F.col(in_sources))
+    return own.unionByName(d.filter(~F.col(in_sources)).join(own.select("client_id").distinct(), "client_id", "left_anti"))
+
+
+def clients_without_text(docs: DataFrame) -> DataFrame:
+    """(client_id, error) of clients none of whose documents has text."""
+    n = docs.groupBy("client_id").agg(F.count_if(X.strip(F.coalesce("text", F.lit(""))) != "").alias("n"))
+    return n.filter("n = 0").select("client_id", F.lit("no document with text").alias("error"))
 
 
 def joined_pages(pages: DataFrame) -> DataFrame:
@@ -159,6 +222,11 @@ def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).json(path)
 
 
+def write_context(exported: DataFrame, path: str) -> None:
+    """Exported contexts, one JSON object a client and query."""
+    write_json(exported, path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Batch table with a header, - where a value is missing."""
     df.select([F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in df.columns]).write.option("header", True).csv(path)

@@ -85,7 +85,7 @@ def transcript_windows(segments: DataFrame, close_after: float = CLOSE_AFTER, ga
                 text = (r.text or "").strip()
                 if not text:
                     continue
-                if parts and r.start - max(p[1] for p in parts) >= gap:
+                if parts and r.start - parts[-1][1] >= gap:
                     rows.append(row(key, no, parts))
                     no, parts = no + 1, []
                 had = bool(parts)
@@ -101,6 +101,6 @@ def transcript_windows(segments: DataFrame, close_after: float = CLOSE_AFTER, ga
 
 
 def new_files(spark: SparkSession, folder: str, schema: str, per_trigger: int = 25, late: str = "7 days") -> DataFrame:
-    """Listing records (path, mtime, …) that arrive as JSON files in a folder; a path counts once (ST2)."""
+    """Listing records (path, mtime, …) that arrive as JSON files in a folder, at most per_trigger files at a time; a path counts once (ST2)."""
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(folder)
     return s.withWatermark("mtime", late).dropDuplicatesWithinWatermark(["path"]).filter(F.col("path").isNotNull())

@@ -28,9 +28,22 @@ def small(spark, tmp_path):
 def test_identity_of_every_document(spark, small):
     got = {r.doc_id: (r.avs, r.full_name, r.surname) for r in S.identities(spark, small).collect()}
     assert set(got) == {d[0] for d in DOCS}
-    assert got[1] == ("756.1211.5678.90", "Anna Beta1", "Beta1")
+    assert got[1] == ("7561234567890", "Jean-Luc de Beta1", "Beta1")
     assert got[2] == ("756.1234.5678.90", "Jean Dupont", "Dupont")
-    assert got[3] == ("756.7777.7777.77", "Anna Beta3", "Beta3")
+    assert got[3] == ("756.7777.7777.77", "", "") and got[4] == ("", "", "")
+    assert got[7] == ("756.0000.0000.02", "Beta7", "Beta7")
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [("Madame Anna Beta – 756 1234 5678 90", ("756.1234.5678.90", "Anna", "Beta", "Anna Beta")), ("mme  Li —756-1234", ("", "", "Li", "Li")), ("M. A B\n- 756", ("", "A", "B", "A B")), ("756.12X4.5678.90", ("", "", "", "")), ("Madame A\nB - 756", ("", "", "", ""))],
+)
+def test_identity_fields(spark, text, want):
+    from pyspark.sql import functions as F
+
+    from dossier_spark.operators import sections
+
+    assert tuple(spark.createDataFrame([(text,)], "t string").select(sections.identity(F.col("t"), F.lit("x")).alias("i")).first().i) == want
 
 
 def test_first_five_sources_then_text(spark, small):

@@ -19,14 +19,13 @@ def test_windows(spark, tmp_path):
     df = spark.createDataFrame(rows, "source_id string, seq int, start double, end double, text string").withColumn("ts", F.expr("timestamp_seconds(1700000000 + start)"))
     for i in range(0, 20, 6):
         df.filter(f"seq >= {i} and seq < {i + 6}").coalesce(1).write.mode("append").parquet(folder)
+    # a segment a day later, in a file of its own and last, lets the watermark pass the others
     flush = spark.createDataFrame([("other", 0, 0.0, 1.0, "z")], "source_id string, seq int, start double, end double, text string").withColumn("ts", F.expr("timestamp_seconds(1700900000)"))
     want = [tuple(r) for r in T.windows(df).orderBy("window_no").collect()]
-    late = folder + "-late"
-    for i in range(2):
-        flush.coalesce(1).write.mode("append").parquet(late)
+    flush.coalesce(1).write.mode("append").parquet(folder)
     s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     got = [r[1:] for r in run(spark, stream.transcript_windows(s), "append")]
-    assert sorted(got, key=lambda r: r[1]) == want[: len(got)] and len(got) >= len(want) - 1
+    assert sorted((r for r in got if r[0] == "s"), key=lambda r: r[1]) == want
 
 
 def test_new_files(spark, tmp_path):

@@ -20,7 +20,7 @@ def test_newlines(spark, v, want):
     assert one(spark, v, X.normalise_newlines) == want
 
 
-@pytest.mark.parametrize("v,want", [("n° 756.1234.5678.90 x", "756.1234.5678.90"), ("7561234567890", "756.1234.5678.90"), ("756.1111.2222.33 puis 756.4444.5555.66", "756.1111.2222.33"), ("rien", None)])
+@pytest.mark.parametrize("v,want", [("n° 756.1234.5678.90 x", "756.1234.5678.90"), ("7561234567890", "756.1234.5678.90"), ("756.1111.2222.33 puis 756.4444.5555.66", "756.1111.2222.33"), ("rien", None), ("756-1234-5678-90", "756.1234.5678.90"), ("756 12 34 56 78 90", "756.1234.5678.90"), ("756  1234567890", None), ("756.123", None)])
 def test_id_number(spark, v, want):
     assert one(spark, v, X.id_number) == want
 
@@ -45,14 +45,25 @@ def test_chunks(spark, n, size, overlap):
         R.chunk_array(F.lit("x"), 10, 10)
 
 
-@pytest.mark.parametrize("v,want", [("```json\ntest\n```", "test"), ("json: test content", "test content"), ("plain", "plain"), ("```\nx```", "x")])
+@pytest.mark.parametrize("v,want", [("```json\ntest\n```", "test"), ("json: test content", "test content"), ("plain", "plain"), ("```\nx```", "x"), ("jsonify the reply", "jsonify the reply"), ("JSON\n: a", "a"), ("a```b\u200bc", "a b c")])
 def test_sanitise(spark, v, want):
     assert one(spark, v, X.sanitise) == want
 
 
+@pytest.mark.parametrize("v,want", [(" {a", True), ("x [", False), ("see ```", True), ("a Json b", True), ("jsonify", False), ("# title **b**", False)])
+def test_marked_up(spark, v, want):
+    assert one(spark, v, X.looks_marked_up) == want == A.looks_marked_up(v)
+
+
+@pytest.mark.parametrize("v,want", [("NAME XX", ["TOKENS"]), ("ressource 12", []), ("(source x", ["SOURCE_REF"]), ("source 3", ["SOURCE_REF"]), ("{{A}} a::b", ["PLACEHOLDER", "MULTI_COLON"]), ("a: b: c", ["MULTI_COLON"]), ("a: b\nc: d", []), ("a:\rb: c", []), ("", [])])
+def test_forbidden(spark, v, want):
+    assert one(spark, v, X.forbidden_reasons) == want and A.is_forbidden(v) == bool(want)
+
+
 def test_truncation(spark):
     assert one(spark, "a" * 100, lambda c: X.first_chars(c, 50)) == "a" * 49 + "…"
     assert one(spark, "a\n\n b \nc\nd", lambda c: X.first_lines(c, 2)) == "a\nb"
+    assert one(spark, "a\r\rb\u2028c", lambda c: X.first_lines(c, 0)) == "a\nb\nc" and one(spark, "abc", lambda c: X.first_chars(c, 0)) == "abc"
 
 
 @pytest.mark.parametrize("v,want", [("a1", "A1"), ("C1", None), ("BÔN", "Bon")])
@@ -79,7 +90,7 @@ def model_windows(segments, close=40.0, gap=2.0):
     for start, _, end, text in sorted(segments, key=lambda s: (s[0], s[1])):
         if not text.strip():
             continue
-        if cur and start - max(e for _, e, _ in cur) >= gap:
+        if cur and start - cur[-1][1] >= gap:
             out.append(cur)
             cur = []
         had = bool(cur)
@@ -92,6 +103,12 @@ def model_windows(segments, close=40.0, gap=2.0):
     return [(w[0][0], max(e for _, e, _ in w), " ".join(t for *_, t in w)) for w in out]
 
 
+def test_pause_is_from_the_last_end(spark):
+    rows = [("s", 0, 0.0, 10.0, "a"), ("s", 1, 2.0, 3.0, "b"), ("s", 2, 5.5, 6.0, "c")]
+    got = T.windows(spark.createDataFrame(rows, "source_id string, seq int, start double, end double, text string")).orderBy("window_no").collect()
+    assert [(w.start, w.end, w.text) for w in got] == [(0.0, 10.0, "a b"), (5.5, 6.0, "c")]
+
+
 def test_windows(spark):
     r = random.Random(8)
     rows = []
