@@ -135,12 +135,13 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     chosen = chosen.unionByName(crossing.join(stops, "mix_source").select(*key, "mix_stop"))
     # one row a block with its passes, so that documents are joined once and then repeated
     by_block = chosen.groupBy("mix_source", "mix_block").agg(F.array_sort(F.collect_list(F.struct("mix_epoch", "mix_place", "mix_stop"))).alias("mix_passes"))
-    taken = [c for c in docs.columns if c not in MADE]
-    row = F.struct(*[F.col(f"`{c}`") for c in taken]).alias("mix_row")
-    out = placed(row).join(blocks, "mix_source").select("mix_row", "mix_source", "mix_words", block, "mix_doc")
-    out = out.join(by_block, ["mix_source", "mix_block"]).select("mix_row", "mix_source", "mix_words", "mix_block", "mix_doc", F.explode("mix_passes").alias("mix_e"))
+    # the input's columns travel under names of their own, each pruned where nothing asks for it
+    taken = {c: f"mix_own_{i}" for i, c in enumerate(docs.columns) if c not in MADE}
+    own = [F.col(f"`{c}`").alias(name) for c, name in taken.items()]
+    out = placed(*own).join(blocks, "mix_source").select(*taken.values(), "mix_source", "mix_words", block, "mix_doc")
+    out = out.join(by_block, ["mix_source", "mix_block"]).select(*taken.values(), "mix_source", "mix_words", "mix_block", "mix_doc", F.explode("mix_passes").alias("mix_e"))
     out = out.filter("mix_e.mix_stop is null or mix_doc < mix_e.mix_stop")
-    return out.select("mix_row.*", "mix_source", "mix_words", "mix_block", "mix_e.mix_epoch", "mix_e.mix_place")
+    return out.select(*[F.col(name).alias(c) for c, name in taken.items()], "mix_source", "mix_words", "mix_block", "mix_e.mix_epoch", "mix_e.mix_place")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
