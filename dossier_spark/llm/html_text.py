@@ -2,8 +2,10 @@
 
 A page becomes a flat list of blocks (text between block-level tags). Each block is described by its own and
 its neighbours' word count and link density, and by what encloses it: an article or main element, a boilerplate
-element (nav, footer, aside, form, ...) or an element whose class or id names boilerplate (ads, comments, ...).
-A decision tree grown from the labelled table LABELLED below says which blocks are text.
+element (nav, footer, aside, form, ...) or class, a class that only might name boilerplate, a list item; and by the
+page: whether it has an article element, and which share of its words lies in boilerplate. A decision tree grown from
+the labelled table below says which blocks are text. No mark decides alone: a form around a whole page, or a class
+like side-effects, leaves the decision to lengths and link densities.
 
 Defined results: a null or empty html, and one without content blocks, gives '' and 0. Unclosed tags end with
 the block-level element that follows or encloses them; an unclosed script, style or comment runs to the end.
@@ -30,9 +32,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea svg iframe object head canvas audio video select button".split())
 BOILER = frozenset("nav footer aside form menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
-HINT = re.compile(r"(?i)(?:^|(?<=[\s_-]))(ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar|side|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|replies|reply|respond|disqus|menu|nav(?:bar|igation)?|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|search|widget|tags?|pagination|pager|skip|copyright|legal|disclaimer|hidden)(?=$|[\s_-])")
+# Class or id words of boilerplate: some wherever they are a part of a name, some only as a whole name; as a part they hint.
+MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promos promotion sidebar cookie cookies consent gdpr popup modal comment comments replies reply respond disqus menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar newsletter subscribe signup login widget pagination pager copyright disclaimer".split())
+HINTS = frozenset("side notice notices alert overlay foot header head share sharing social related recommend recommended recommendations search tag tags skip legal hidden".split())
+NAME_PARTS = re.compile(r"[_-]+")
 OTHER_ARTICLE = re.compile(r"(?i)comment|repl(?:y|ies)|advert|promo|related|teaser|sponsor")
-OF_ARTICLE = frozenset("header foot side tags skip hidden".split())
+OF_ARTICLE = frozenset("header head foot side tag tags skip hidden".split())
 OPEN_COMMENT, TAG = "<!--", re.compile(r"<(?:!--|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>?)")
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDDEN_STYLE = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
@@ -40,6 +45,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\S+")
 CLOSES_P = BLOCK - {"html", "body"}
+UNPARSED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript")}
 
 
 @dataclass
@@ -51,6 +57,7 @@ class Block:
     article: bool
     boiler: bool
     item: bool
+    hint: bool
 
     @property
     def density(self) -> float:
@@ -66,6 +73,7 @@ class Node:
     link: bool = False
     heading: bool = False
     item: bool = False
+    hint: bool = False
 
 
 @dataclass
@@ -82,40 +90,107 @@ class Blocks:
         if text:
             linked = sum(len(WORD.findall(t)) for t, a in self.pieces if a)
             n = len(WORD.findall(text))
-            self.out.append(Block(text, n, min(linked, n), at.heading, at.article, at.boiler, at.item))
+            self.out.append(Block(text, n, min(linked, n), at.heading, at.article, at.boiler, at.item, at.hint))
         self.pieces = []
 
 
-def names_boilerplate(value: str, tag: str, parent: Node) -> bool:
-    """Whether a class or id names boilerplate. An article may be a comment or a teaser, but not its own header."""
+def names_boilerplate(value: str, tag: str, parent: Node) -> tuple[bool, bool]:
+    """Whether a class or id names boilerplate, and whether a part of it might. An article may be a comment or a teaser, but
+    not its own header."""
     if tag in ARTICLE:
-        return OTHER_ARTICLE.search(value) is not None
-    return any(not (parent.article and m[1].lower() in OF_ARTICLE) for m in HINT.finditer(value))
+        return OTHER_ARTICLE.search(value) is not None, False
+    named = hinted = False
+    for name in value.lower().split():
+        parts = NAME_PARTS.split(name)
+        named = named or any(x in MARKS for x in parts) or (name in HINTS and not (parent.article and name in OF_ARTICLE))
+        hinted = hinted or any(x in HINTS and not (parent.article and x in OF_ARTICLE) for x in parts)
+    return named, hinted
 
 
 def node_of(tag: str, attributes: str, parent: Node) -> Node:
     boiler = parent.boiler or tag in BOILER or (tag == "header" and not parent.article)
-    skip = parent.skip or tag in RAW
+    skip, hint = parent.skip or tag in RAW, parent.hint
     if attributes and tag not in ("html", "body"):
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                boiler = boiler or names_boilerplate(value, tag, parent)
+                named, hinted = names_boilerplate(value, tag, parent)
+                boiler, hint = boiler or named, hint or hinted
             elif name == "role":
                 boiler = boiler or value.lower() in ROLES
             elif name == "hidden" or (name == "style" and HIDDEN_STYLE.search(value)):
                 skip = True
-    return Node(tag, parent.article or tag in ARTICLE, boiler, skip, parent.link or tag == "a", parent.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), parent.item or tag in ("li", "option"))
+    return Node(tag, parent.article or tag in ARTICLE, boiler, skip, parent.link or tag == "a", parent.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), parent.item or tag in ("li", "option"), hint)
+
+
+class Open:
+    """The open elements. Inline ones and p are counted since the last block, so that no end tag searches in vain."""
+
+    def __init__(self):
+        self.stack, self.frames, self.total = [Node("", False, False)], [(0, {})], {}
+
+    @staticmethod
+    def bounds(tag: str) -> bool:
+        return tag in BLOCK and tag != "p"
+
+    def push(self, node: Node) -> None:
+        if self.bounds(node.tag):
+            self.frames.append((len(self.stack), {}))
+        else:
+            inner = self.frames[-1][1]
+            inner[node.tag] = inner.get(node.tag, 0) + 1
+        self.total[node.tag] = self.total.get(node.tag, 0) + 1
+        self.stack.append(node)
+
+    def cut(self, i: int) -> None:
+        """Close the element at i and all within it."""
+        while self.frames[-1][0] >= i:
+            self.frames.pop()
+        at, inner = self.frames[-1]
+        for node in self.stack[i:]:
+            self.total[node.tag] -= 1
+            if not self.bounds(node.tag) and inner.get(node.tag):
+                inner[node.tag] -= 1
+        del self.stack[i:]
+
+    def last(self, tag: str, first: int) -> int:
+        return next(i for i in range(len(self.stack) - 1, first, -1) if self.stack[i].tag == tag)
+
+    def end(self, tag: str) -> None:
+        """An end tag: inline ones and p end the last such element since the last block, blocks the last open one."""
+        at, inner = self.frames[-1]
+        if not self.total.get(tag):
+            return
+        if not self.bounds(tag):
+            if inner.get(tag):
+                self.cut(self.last(tag, at))
+            elif tag == "p":
+                found = next((f for f in range(len(self.frames) - 2, -1, -1) if self.frames[f][1].get("p")), None)
+                if found is not None:
+                    self.cut(next(i for i in range(self.frames[found + 1][0] - 1, self.frames[found][0], -1) if self.stack[i].tag == "p"))
+            return
+        for i, _ in reversed(self.frames[1:]):
+            if self.stack[i].tag == tag:
+                return self.cut(i)
+
+    def make_room(self, tag: str) -> None:
+        """A new block ends an open p, and an open element of its own kind where such do not nest."""
+        at, inner = self.frames[-1]
+        if inner.get("p"):
+            self.cut(self.last("p", at))
+        elif at and self.stack[at].tag == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
+            self.cut(at)
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
-    got, stack, at, n = Blocks(), [Node("", False, False)], 0, len(page)
+    got, opened, at, n = Blocks(), Open(), 0, len(page)
     while at < n:
+        here = opened.stack[-1]
         m = TAG.search(page, at)
         text = page[at : m.start() if m else n]
-        if text and not stack[-1].skip:
-            got.pieces.append((text, stack[-1].link))
+        if text and not here.skip:
+            got.pieces.append((text, here.link))
         if not m:
             break
         at = m.end()
@@ -127,42 +202,32 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
-        if tag in BLOCK and not stack[-1].skip:
-            got.flush(stack[-1])
-        elif tag == "br" and not stack[-1].skip:
+        if tag in BLOCK and not here.skip:
+            got.flush(here)
+        elif tag == "br" and not here.skip:
             got.pieces.append((" ", False))
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK and stack[i].tag != "p":
-                    break  # an inline end tag does not reach over its block
+            opened.end(tag)
             continue
-        if tag in ("script", "style", "textarea", "title") or (tag == "noscript"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        if tag in UNPARSED:
+            end = UNPARSED[tag].search(page, at)
             at = end.end() if end else n
             continue
-        if tag in CLOSES_P and stack[-1].tag != "":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or (tag == stack[i].tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option")):
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+        if tag in CLOSES_P:
+            opened.make_room(tag)
         if tag not in VOID and not (attributes or "").endswith("/"):
-            stack.append(node_of(tag, attributes or "", stack[-1]))
-    got.flush(stack[-1])
+            opened.push(node_of(tag, attributes or "", opened.stack[-1]))
+    got.flush(opened.stack[-1])
     return got.out
 
 
 # ---------------------------------------------------------------- features and tree
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "article", "boiler", "item", "page_article")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "article", "boiler", "item", "page_article", "hint", "boiler_share")
 
 # Blocks labelled by hand: own words and link density, the same of the block before and after (0 where there
 # is none), heading, in an article element, in boilerplate, list item, page has an article element; 1 is text.
-LABELLED = (
+ORDINARY = (
     # menus, link lists
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 1, 1, 1, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0, 0, 1, 1, 1, 0),
     (1, 1.0, 1, 1.0, 9, 0.0, 0, 0, 1, 1, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0, 0),
@@ -204,9 +269,35 @@ LABELLED = (
     (2, 1.0, 40, 0.0, 60, 0.0, 0, 0, 1, 1, 0, 0), (7, 0.0, 1, 1.0, 100, 0.0, 1, 0, 1, 0, 0, 0), (30, 0.0, 1, 1.0, 100, 0.0, 0, 0, 1, 0, 0, 0),
     (60, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1), (35, 0.1, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 8, 0.4, 0, 0, 0, 0, 0, 1),
     (5, 0.0, 3, 1.0, 30, 0.2, 1, 0, 0, 0, 0, 1), (80, 0.2, 40, 0.2, 60, 0.3, 0, 0, 0, 0, 0, 1), (2, 1.0, 1, 1.0, 80, 0.0, 0, 0, 0, 1, 0, 0),
+    (20, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1), (12, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 1), (15, 0.0, 8, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 1), (6, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 1), (18, 0.1, 5, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1), (1, 0.0, 50, 0.0, 80, 0.0, 0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 50, 0.0, 1, 0, 0, 0, 0, 1), (2, 0.0, 6, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1), (1, 0.0, 12, 0.0, 9, 0.0, 0, 0, 0, 1, 0, 1),
+    (12, 0.0, 2, 0.0, 3, 1.0, 0, 1, 0, 0, 1, 1), (30, 0.0, 3, 0.0, 2, 1.0, 0, 1, 0, 0, 1, 1), (5, 0.0, 4, 0.0, 2, 1.0, 0, 1, 0, 0, 1, 1), (1, 0.0, 3, 0.0, 3, 1.0, 0, 1, 0, 0, 1, 1), (8, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0, 1, 1), (4, 0.0, 1, 0.0, 5, 1.0, 0, 1, 0, 1, 1, 1),
     (3, 1.0, 80, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 8, 0.0, 0, 0, 0, 0, 0, 0), (4, 1.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0),
 )
 
+# As above, then hint and the page's share of words in boilerplate: cases in which those matter.
+UNUSUAL = (
+    # text in a class that only hints, on a page without an article element
+    (40, 0.0, 35, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1, 0.1, 1), (25, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1, 0.1, 1), (60, 0.1, 5, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 1, 0.2, 1), (8, 0.0, 3, 1.0, 45, 0.0, 1, 0, 0, 0, 0, 1, 0.1, 1),
+    (30, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1, 0.0, 1), (12, 0.0, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1, 0.1, 1), (18, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1, 0.0, 1), (22, 0.0, 9, 0.0, 25, 0.1, 0, 0, 0, 1, 0, 1, 0.1, 1),
+    (40, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1, 0.1, 1), (30, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 1, 0.1, 1), (55, 0.1, 20, 0.0, 4, 0.9, 0, 0, 0, 0, 0, 1, 0.1, 1),
+    # links and short notes in such a class
+    (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 1, 0, 1, 0.1, 0), (2, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0, 1, 0.1, 0), (5, 0.8, 6, 1.0, 5, 1.0, 0, 0, 0, 0, 0, 1, 0.2, 0), (4, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1, 0.1, 0),
+    (12, 0.5, 3, 1.0, 10, 0.6, 0, 0, 0, 0, 0, 1, 0.2, 0), (9, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 1, 0.1, 0), (2, 0.0, 50, 0.0, 5, 1.0, 1, 0, 0, 0, 0, 1, 0.1, 0), (14, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 1, 0.1, 0),
+    # such a class within the article, and beside it
+    (40, 0.0, 60, 0.0, 50, 0.0, 0, 1, 0, 0, 1, 1, 0.1, 1), (25, 0.1, 8, 0.0, 60, 0.0, 0, 1, 0, 0, 1, 1, 0.1, 1), (7, 0.0, 30, 0.0, 45, 0.0, 1, 1, 0, 0, 1, 1, 0.1, 1), (9, 0.0, 40, 0.0, 38, 0.0, 0, 1, 0, 0, 1, 1, 0.1, 1),
+    (4, 1.0, 3, 1.0, 5, 1.0, 0, 1, 0, 1, 1, 1, 0.1, 0), (3, 0.0, 4, 1.0, 4, 1.0, 0, 1, 0, 0, 1, 1, 0.1, 0), (2, 1.0, 50, 0.0, 3, 1.0, 0, 1, 0, 1, 1, 1, 0.1, 0), (30, 0.0, 10, 0.0, 20, 0.0, 0, 0, 0, 0, 1, 1, 0.1, 0),
+    # a page that lies in boilerplate as a whole
+    (50, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1, 0, 0, 0, 1.0, 1), (20, 0.0, 30, 0.0, 45, 0.0, 0, 0, 1, 0, 0, 0, 1.0, 1), (9, 0.0, 2, 1.0, 70, 0.0, 1, 0, 1, 0, 0, 0, 1.0, 1), (100, 0.1, 40, 0.0, 80, 0.0, 0, 0, 1, 0, 0, 0, 0.98, 1),
+    (35, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 1.0, 1), (12, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1, 0, 0, 0, 1.0, 1), (40, 0.0, 3, 1.0, 45, 0.0, 0, 0, 1, 0, 0, 0, 0.99, 1), (15, 0.1, 20, 0.0, 18, 0.0, 0, 0, 1, 1, 0, 0, 1.0, 1),
+    (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 1, 1, 0, 0, 1.0, 0), (3, 1.0, 2, 1.0, 40, 0.0, 0, 0, 1, 0, 0, 0, 1.0, 0), (5, 0.6, 2, 1.0, 3, 1.0, 0, 0, 1, 0, 0, 0, 1.0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 1, 0, 0, 0, 1.0, 0), (4, 0.0, 60, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 0, 1.0, 0),
+    (50, 0.0, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 1, 0, 0.97, 1), (20, 0.0, 8, 0.0, 45, 0.0, 0, 1, 1, 0, 1, 0, 1.0, 1), (2, 1.0, 3, 1.0, 3, 1.0, 0, 1, 1, 1, 1, 0, 1.0, 0), (20, 0.0, 3, 1.0, 6, 0.0, 0, 0, 1, 0, 1, 0, 0.97, 0),
+    # long boilerplate: comments, notices
+    (80, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1, 0, 0, 0, 0.6, 0), (45, 0.0, 40, 0.0, 50, 0.0, 0, 1, 1, 0, 1, 0, 0.5, 0), (120, 0.0, 100, 0.0, 90, 0.0, 0, 0, 1, 0, 1, 0, 0.7, 0), (60, 0.0, 80, 0.0, 55, 0.0, 0, 0, 1, 0, 0, 0, 0.8, 0), (35, 0.0, 30, 0.0, 60, 0.0, 0, 0, 1, 0, 1, 0, 0.85, 0),
+)
+# Ordinary blocks have no hint and stand on pages with little boilerplate.
+LABELLED = tuple((*row[:-1], 0, 0.2, row[-1]) for row in ORDINARY) + UNUSUAL
+
 
 def grow(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 8) -> tuple:
     """A decision tree by Gini impurity: (feature, threshold, below, above) or a leaf (share of text)."""
@@ -242,11 +333,12 @@ def decide(t: tuple, row: tuple) -> float:
 
 
 def described(found: list[Block]) -> list[tuple]:
-    has = any(b.article for b in found)
+    has, total = any(b.article for b in found), sum(b.words for b in found)
+    share = sum(b.words for b in found if b.boiler) / total if total else 0.0
     out = []
     for i, b in enumerate(found):
         before, after = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
-        out.append((b.words, b.density, before.words if before else 0, before.density if before else 0.0, after.words if after else 0, after.density if after else 0.0, b.heading, b.article, b.boiler, b.item, has))
+        out.append((b.words, b.density, before.words if before else 0, before.density if before else 0.0, after.words if after else 0, after.density if after else 0.0, b.heading, b.article, b.boiler, b.item, has, b.hint, share))
     return out
 
 

@@ -35,6 +35,32 @@ def test_named_blocks():
     assert text(t).split("\n\n") == ["Title words", "Some text of it.", "Kept words here."]
 
 
+def test_hinting_names():
+    """A class that only has a listed word in it leaves the decision to lengths and links."""
+    long, short = " ".join(["word"] * 30), "<ul><li><a>One</a></li><li><a>Two words</a></li><li><a>Three</a></li></ul>"
+    for name in ("side-effects", "legal-history", "share-price", "search-engine", "tags_explained"):
+        assert text(f"<body>{short}<div class='{name}'><h2>A title here</h2><p>{long}</p><p>{long}</p></div></body>") == f"A title here\n\n{long}\n\n{long}", name
+        assert text(f"<article><p>{long}</p><div class='{name}'><p>{long}</p></div><p>{long}</p></article>").count("word") == 90
+    for name in ("side", "related", "comment-list", "cookie_banner", "ad-slot", "site-footer"):
+        assert text(f"<body><p>{long}</p><p>{long}</p><div class='{name}'><p>Other {long}</p></div></body>").count("word") == 60, name
+    assert text(f"<body><p>{long}</p><p>{long}</p><div class='related-posts'>{short}</div></body>").count("word") == 60
+
+
+def test_page_within_a_form():
+    long = " ".join(["word"] * 30)
+    assert text(f"<body><form><ul><li><a>One</a></li><li><a>Two</a></li></ul><h1>A title of it</h1><p>{long}</p><p>{long}</p></form></body>") == f"A title of it\n\n{long}\n\n{long}"
+
+
+def test_many_unclosed():
+    """Work stays in proportion to the page."""
+    import time
+
+    began = time.process_time()
+    for page in ("<i>" * 40_000 + "x</b>" * 40_000, "<p>" + "<i>" * 40_000 + "<hr>" * 40_000, "<div>" * 20_000 + "</span>" * 20_000, "<b>" + "<div>" * 20_000 + "</p>" * 20_000):
+        text(page)
+    assert time.process_time() - began < 10
+
+
 def test_odd():
     assert text(None) == text("") == text("<p></p>") == text("<script>x") == text("<!-- x") == ""
     assert text("plain words only") == "plain words only"
