@@ -26,6 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LIVE: list[DataFrame] = []  # tables of written() that are not deleted yet
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -33,15 +36,31 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    _LIVE.append(out)
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of written() that nothing will read again."""
-    for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """Deletes at its end what written() made since its beginning, but the tables kept. What is still to be computed then
+    must read kept ones only."""
+
+    def __enter__(self) -> Scratch:
+        self.mark, self.kept = len(_LIVE), []
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table)
+        return table
+
+    def __exit__(self, kind, error, trace) -> None:
+        made, _LIVE[self.mark :] = _LIVE[self.mark :], []
+        for t in made:
+            if any(t is k for k in self.kept):
+                _LIVE.append(t)
+                continue
+            context = t.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(*cols: str) -> Column:

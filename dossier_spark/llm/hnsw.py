@@ -11,7 +11,8 @@ Queries come in blocks, and every block meets every shard once. Every valid row
 
 Defined results: null ids and vectors that are null, empty, zero, or hold null or non-finite components take no
 part. Vectors of different length never meet. Rows that repeat an id count once, with the least vector. With
-fewer than k candidates all are returned.
+fewer than k candidates all are returned. Only the id and the vector are read: other columns, whatever their names, are
+left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SHARD, BLOCK, STEP = 8192, 2048, 256
+SHARD, BLOCK_BYTES, STEP = 8192, 8 << 20, 256
 LINKS, LINKS_LOW, EF_BUILD, EF = 16, 32, 64, 128
 
 
@@ -260,8 +261,9 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return C.written(dealt.select("dim", "shard", "vec_id", "v").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, INDEX), "index")
 
 
-def nearest(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, ef: int = EF, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query, its own id left out."""
+def nearest(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, ef: int = EF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query, its own id left out. A shard is opened once for each
+    block of queries of about block_bytes."""
 
     def pack(key, rows):
         dim = key[0].as_py()
@@ -270,7 +272,7 @@ def nearest(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
         return pa.table({"dim": pa.array([dim], pa.int32()), "qids": [ids[keep].tobytes()], "q": [x[keep].tobytes()]})
 
     q = valid(queries, id_col, vector_col)
-    sizes = q.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    sizes = q.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") * 8 / F.lit(block_bytes)).cast("int").alias("blocks"))
     blocks = q.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     blocks = blocks.select("dim", "block", "vec_id", "v").groupBy("dim", "block").applyInArrow(pack, "dim int, qids binary, q binary")
     shards = index.groupBy("dim").agg(F.collect_list("shard").alias("all"))

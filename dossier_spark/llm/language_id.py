@@ -2,7 +2,8 @@
 
 A text is a vector of hashed letter n-grams (1 to 3 bytes of its lower-cased letters and the gaps between
 words), weighted by damped TF-IDF and scaled to length 1. Each language has several centroids, found by
-spherical k-means on a bounded sample of its training texts (PER_LANGUAGE rows by hash, a parameter). A text
+spherical k-means on a bounded sample of its training texts (PER_LANGUAGE rows by hash, a parameter; a model has
+at most MOST_LANGUAGES languages, more are an error). A text
 gets the language of the nearest centroid by cosine; score is that cosine, from 0 to 1. Distance-based
 rejection: below `reject_below` the language is `und`; it is 0 by default, so only texts without letters are.
 
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 PER_LANGUAGE, CENTROIDS, BINS = 800, 4, 1 << 12
+MOST_LANGUAGES, THINNED = 1000, 3  # languages a model may have; rows ranked for each row taken
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -101,13 +103,40 @@ def _vectors(batches):
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, reject_below: float = 0.0) -> Model:
-    """A model from the training fold. A sample holds at most per_language ids of each language."""
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = ids.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
-    chosen = C.written(chosen, "chosen")
-    # at most per_language ids of each language: broadcast by that bound
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    """A model from the training fold: at most per_language texts of each language, those of least hash.
+
+    Rows are first thinned by a threshold on that hash, set from the language's count so that about THINNED times as many
+    pass, and equal rows are put together; so a task that ranks a language has a bounded number of rows, however many
+    there are. A language of which too few pass, by chance or because rows repeat, is taken again without threshold.
+    """
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    ids = ids.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("doc_id", "text", F.lit("sample")))
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    low, span = -(1 << 63), 1 << 64
+
+    def below(lang: str, n: int):
+        most = low + int(span * min(1.0, THINNED * per_language / n)) - 1
+        return (F.col("lang") == lang) & (F.col("h") <= F.lit(min(most, (1 << 63) - 1)))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("lang").orderBy("h", "doc_id")
+        return rows.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("lang", "text")
+
+    passing = F.lit(False)
+    for lang, n in sorted(counts.items()):
+        passing = passing | below(lang, n)
+    with C.Scratch():
+        return _fit(ranked, ids, passing, counts, per_language, centroids, reject_below)
+
+
+def _fit(ranked: Callable, ids: DataFrame, passing, counts: dict[str, int], per_language: int, centroids: int, reject_below: float) -> Model:
+    sample = C.written(ranked(ids.filter(passing)), "sample")
+    have = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    few = [lang for lang, n in counts.items() if n > THINNED * per_language and have.get(lang, 0) < per_language]
+    if few:
+        sample = sample.filter(~F.col("lang").isin(few)).unionByName(ranked(ids.filter(F.col("lang").isin(few))))
     rows = sample.mapInArrow(_vectors, "lang string, at binary, n binary").collect()
     rows = [(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in rows if r["at"]]
     rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))

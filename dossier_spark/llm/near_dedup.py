@@ -352,8 +352,8 @@ def classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", num:
     owner = C.written(one.select("digest", "row.ka", "row.kb", "n", F.monotonically_increasing_id().alias("k")), "owner")
     reps = signed.join(owner, ["digest", "ka", "kb"]).select("k", "sig", "nodes").dropDuplicates(["k"])
 
-    links = _links(docs, owner, reps, num, den, size, tokens, node, part, depth)
-    comp = named(stars(links))
+    with C.Scratch() as made:  # the many tables on the way go as soon as the classes are named
+        comp = made.keep(C.written(named(stars(_links(docs, owner, reps, num, den, size, tokens, node, part, depth))), "classes"))
     # the classes of representatives, then of rows; a representative without a smaller one names its own class
     owned = owner.join(comp, "k", "left").select("digest", F.coalesce("c", "k").alias("c"))
     return signed.select("doc_id", "ka", "kb", "n_shingles", "digest").join(owned, "digest", "left").drop("digest")

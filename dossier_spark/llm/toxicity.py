@@ -132,6 +132,11 @@ def _rows(names: tuple[str, ...]) -> Callable:
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, top: int = TOP) -> Model:
     """A model from the training fold of docs and labels."""
+    with C.Scratch():
+        return _train(docs, labels, text_col, id_col, label_col, positives, unlabelled, top)
+
+
+def _train(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, positives: int, unlabelled: int, top: int) -> Model:
     spark = docs.sparkSession
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -29,7 +29,7 @@ from . import common as C
 
 SKIPPABLE = 0x184D2A5D
 MAGIC = b"\x28\xb5\x2f\xfd"
-ARCHIVE_BYTES, DICT_BYTES, SAMPLES = 4 << 20, 16 << 10, 200
+ARCHIVE_BYTES, DICT_BYTES, SAMPLES, HEAVY = 4 << 20, 16 << 10, 200, 100_000
 RECORD_ID = "urn:page:"
 DATE = "2024-01-01T00:00:00Z"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
@@ -204,9 +204,17 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """Archives (archive, n_records, content) of pages (page_id, url, html), written to the shared folder."""
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
-    ids = p.select("page_id", F.sha1("html").alias("sha"))
-    largest = ids.groupBy("sha").agg(F.max("page_id").alias("response_id"))
-    decided = ids.distinct().join(largest, "sha").select(F.col("page_id").alias("pid"), F.col("sha").alias("psha"), "response_id")
+    ids = C.written(p.select("page_id", F.sha1("html").alias("sha")), "ids")
+    groups = C.written(ids.groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")), "groups")
+    heavy, light = groups.filter(F.col("n") > HEAVY).drop("n"), groups.filter(F.col("n") <= HEAVY).drop("n")
+    distinct = ids.distinct()
+    if heavy.limit(1).count():
+        # payloads of more than HEAVY pages: at most one in HEAVY of all pages, so they go to the pages; no task gathers one
+        heavy = F.broadcast(heavy)
+        joined = distinct.join(heavy, "sha").unionByName(distinct.join(heavy.select("sha"), "sha", "left_anti").join(light, "sha"))
+    else:
+        joined = distinct.join(light, "sha")
+    decided = joined.select(F.col("page_id").alias("pid"), F.col("sha").alias("psha"), "response_id")
     both = p.join(decided, F.col("page_id").eqNullSafe(F.col("pid")) & (F.sha1("html") == F.col("psha")))
     return C.written(both.select("page_id", "url", "html", "response_id").mapInArrow(_write, "archive string, n_records long, content binary"), "warc")
 
@@ -219,3 +227,11 @@ def read_archives(archives: DataFrame, fields: tuple[str, ...] = tuple(FIELDS))
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(C.table(spark, sf_dir, "pages"))
     return read_archives(archives, ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+# The digest in base32: every five hex digits are four characters.
+ORACLE_SQL = {
+    "op10_warc": """select page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (i * 5 + 1)::int, 5))::int >> b) & 31) + 1, 1)), '')), '') as payload_digest,
+  case when page_id = response_id then 'response' else 'revisit' end as record_type, case when page_id <> response_id then response_id end as refers_to
+  from (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as sha, max(page_id) over (partition by html) as response_id from (select page_id, coalesce(html, '') as html from pages))"""
+}

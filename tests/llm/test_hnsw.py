@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from dossier_spark.llm import hnsw as H
 
@@ -39,12 +40,27 @@ def test_recall_and_merge(spark):
     x[100:1500] = x[7]  # a vector that many rows share
     ids = list(range(6000))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
-    got = collect(H.nearest(H.build_index(df, shard=1500), df.filter("vec_id % 50 = 0"), block=50))
+    got = collect(H.nearest(H.build_index(df, shard=1500), df.filter("vec_id % 50 = 0"), block_bytes=50 * 24 * 8))
     want = exact(ids, x, [i for i in ids if i % 50 == 0])
     assert recall(got, want) > 0.95
     assert [i for _, i in got[200]] == [i for _, i in want[200]] == [7, *range(100, 109)]
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_of_a_full_shard(clustered):
+    """One shard of the default size."""
+    r = np.random.default_rng(9)
+    n = H.SHARD
+    x = r.normal(size=(n, 64))
+    if clustered:
+        x = r.normal(size=(40, 64))[r.integers(0, 40, n)] + 0.2 * x
+    index, order = H.Index.build(x.astype(np.float32))
+    q = x[::64]
+    found = order[index.search(q.astype(np.float32), H.EF)]
+    want = np.argsort(((x**2).sum(1)[None] - 2 * q @ x.T), axis=1)[:, :11]
+    assert np.mean([len(set(a[:11]) & set(b)) / 11 for a, b in zip(found, want)]) > 0.95
+
+
 def test_odd(spark):
     rows = [(0, [1.0, 0.0]), (100, [2.0, 0.0]), (3, [1.0, 0.5]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [None, 1.0]), (None, [1.0, 1.0]), (3, [9.0, 9.0]), (200, [1.0, 2.0, 3.0]), (201, [1.0, 2.0, 4.0]), (300, [5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -1,7 +1,9 @@
+import math
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from dossier_spark.llm import language_id as L
 
@@ -39,6 +41,46 @@ def test_edges(spark):
     assert empty.predict("the") == ("und", 0.0)
 
 
+def slow_vector(text, idf):
+    """The vector of a text, n-gram by n-gram."""
+    raw = bytes(b if 97 <= b <= 122 or b >= 0x80 else 32 for b in (" " + text.lower() + " ").encode())
+    c = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(raw) - n + 1):
+            if raw[i : i + n].strip():
+                c[((int.from_bytes(raw[i : i + n], "big") * 0x9E3779B1 + 0x85EBCA6B * n & 0xFFFFFFFF) >> 16) * L.BINS >> 16] += 1
+    v = {k: math.log1p(m) * float(idf[k]) for k, m in c.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {k: x / norm for k, x in v.items()}
+
+
+def test_predictions_match_slow(spark, sf):
+    """The nearest centroid by plain sums, on the whole table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    m = L.train(docs)
+    for r in L.predict(docs, m).collect():
+        if not r.text or not any(ch.isalpha() for ch in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = slow_vector(r.text, m.idf)
+        cosines = [sum(x * float(c[k]) for k, x in v.items()) for c in m.centroids]
+        assert abs(max(cosines) - r.score) < 1e-4
+        assert max(x for x, lang in zip(cosines, m.languages) if lang == r.lang_pred) > max(cosines) - 1e-4
+
+
+def test_sample(spark, monkeypatch):
+    """The rows of least hash, whether thinned or not, equal rows once; a language of one row that repeats is learned."""
+    rows = [(i, f"wort {i} und", "de") for i in range(3000)] + [(1, "the same row", "en")] * 400 + [(i, f"le mot {i}", "fr") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    thin = L.train(df, per_language=20)
+    monkeypatch.setattr(L, "THINNED", 1000)
+    whole = L.train(df, per_language=20)
+    assert thin.languages == whole.languages and set(thin.languages) == {"de", "en", "fr"} and np.allclose(thin.centroids, whole.centroids) and np.allclose(thin.idf, whole.idf)
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        L.train(df)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}

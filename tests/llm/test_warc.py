@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import duckdb
 import pytest
 
 from dossier_spark.llm import warc as W
@@ -32,6 +33,13 @@ def test_small(spark):
     assert W.write_archives(df.limit(0)).count() == 0
 
 
+def test_heavy_payloads(spark, monkeypatch):
+    monkeypatch.setattr(W, "HEAVY", 3)
+    rows = [(i, "u", None if i % 2 else f"page {i % 8}") for i in range(30)] + [(None, "u", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r[c] for c in COLS) for r in W.read_archives(W.write_archives(df)).collect()), key=str) == brute(rows)
+
+
 def test_damage():
     rs = [W.record(i, "u", b"x" * i, i) for i in range(5)]
     a = W.write_archive(rs)
@@ -47,3 +55,11 @@ def test_damage():
 def test_whole_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted((tuple(r[c] for c in COLS) for r in W.op10_warc(spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    rel = con.sql(W.ORACLE_SQL["op10_warc"])
+    df = W.op10_warc(spark, sf).select(*COLS)
+    assert sorted(rel.columns) == sorted(COLS) and sorted(map(tuple, df.collect())) == sorted(rel.select(*COLS).fetchall())
