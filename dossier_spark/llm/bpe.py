@@ -294,7 +294,7 @@ def _encode(path: str, pattern: str, keep: tuple[str, ...], outputs: tuple[str,
         c = codec(path, pattern, *tables)
         for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             made = {k: [] for k in ("n_tokens", *outputs)}
-            for text in batch["__source_text__"]:
+            for text in batch.column(len(keep)):
                 ids = c.encode(text.as_py() or "")
                 made["n_tokens"].append(len(ids) // 4)
                 if "ids" in made:
@@ -328,7 +328,7 @@ def encode(df: DataFrame, text_col: str = "text", outputs: tuple[str, ...] = ("i
     made = ("n_tokens", *outputs)
     keep = tuple(c for c in df.columns if c != text_col and c not in made)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), *(T.StructField(o, TYPES[o]) for o in outputs)])
-    spark_text = df[text_col].cast("string").alias("__source_text__")
+    spark_text = df[text_col].cast("string").alias(C.unused(keep))
     return df.select(*keep, spark_text).mapInArrow(_encode(path, pattern, keep, outputs, tables), schema)
 
 

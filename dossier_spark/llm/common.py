@@ -74,6 +74,13 @@ def row_keys(*cols: str) -> tuple[Column, Column]:
     return F.xxhash64(*cols).alias("ka"), F.xxhash64(F.lit(7), *reversed(cols)).alias("kb")
 
 
+def unused(columns: list[str] | tuple[str, ...], name: str = "source_text") -> str:
+    """A column name that is none of these."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def parts_for(spark: SparkSession, df: DataFrame, text_col: str, bytes_per_part: int = 16 << 20) -> int:
     """How many parts hold the texts of df at about bytes_per_part each, at least the shuffle width."""
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

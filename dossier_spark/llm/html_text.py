@@ -350,7 +350,7 @@ def main_text(page: str | None, t: tuple) -> str:
 def _extract(keep: tuple[str, ...], t: tuple) -> Callable:
     def run(batches):
         for batch in batches:
-            texts = [main_text(h.as_py(), t) for h in batch["__source_html__"]]
+            texts = [main_text(h.as_py(), t) for h in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 
     return run
@@ -360,7 +360,7 @@ def extract(pages: DataFrame, html_col: str = "html", labelled=LABELLED) -> Data
     """pages without the html, with text and n_chars (code points)."""
     keep = tuple(c for c in pages.columns if c not in (html_col, "text", "n_chars"))
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(*keep, pages[html_col].cast("string").alias("__source_html__")).mapInArrow(_extract(keep, tree(labelled)), schema)
+    return pages.select(*keep, pages[html_col].cast("string").alias(C.unused(keep))).mapInArrow(_extract(keep, tree(labelled)), schema)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -675,7 +675,7 @@ def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def _encode(keep: tuple[str, ...]) -> Callable:
     def run(batches):
         for batch in batches:
-            buf, offs = C.text_buffers(batch["__source_text__"])
+            buf, offs = C.text_buffers(batch.column(len(keep)))
             for lo, hi in C.doc_slices(offs, 4 << 20):
                 raws = [buf[a:z].tobytes() for a, z in zip(offs[lo:hi], offs[lo + 1 : hi + 1], strict=True)]
                 part = batch.slice(lo, hi - lo)
@@ -702,7 +702,7 @@ def encode(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df without its text, with n_bytes (of the text) and media, its stored form."""
     keep = tuple(c for c in df.columns if c not in (text_col, "n_bytes", "media"))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return df.select(*keep, df[text_col].cast("string").alias("__source_text__")).mapInArrow(_encode(keep), schema)
+    return df.select(*keep, df[text_col].cast("string").alias(C.unused(keep))).mapInArrow(_encode(keep), schema)
 
 
 def decode(df: DataFrame, media_col: str = "media", tensors: bool = True, keep_media: bool = False) -> DataFrame:

@@ -157,7 +157,7 @@ def _fit(ranked: Callable, ids: DataFrame, passing, counts: dict[str, int], per_
 def _predict(model: Model, keep: tuple[str, ...]) -> Callable:
     def run(batches):
         for batch in batches:
-            out = [model.predict(t.as_py()) for t in batch["__source_text__"]]
+            out = [model.predict(t.as_py()) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*keep, "lang_pred", "score"])
 
     return run
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
     keep = tuple(c for c in docs.columns if c not in ("lang_pred", "score"))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, docs[text_col].cast("string").alias("__source_text__")).mapInArrow(_predict(model, keep), schema)
+    return docs.select(*keep, docs[text_col].cast("string").alias(C.unused(keep))).mapInArrow(_predict(model, keep), schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,7 +177,7 @@ def _score(model: Model, keep: tuple[str, ...]) -> Callable:
     def run(batches):
         score = model.scorer()
         for batch in batches:
-            s = [score(t.as_py() or "") for t in batch["__source_text__"]]
+            s = [score(t.as_py() or "") for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(s, pa.float64())], [*keep, "score"])
 
     return run
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     """docs with score and predicted."""
     keep = tuple(c for c in docs.columns if c not in ("score", "predicted"))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    scored = docs.select(*keep, docs[text_col].cast("string").alias("__source_text__")).mapInArrow(_score(model, keep), schema)
+    scored = docs.select(*keep, docs[text_col].cast("string").alias(C.unused(keep))).mapInArrow(_score(model, keep), schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
