@@ -329,7 +329,7 @@ def encode(df: DataFrame, text_col: str = "text", outputs: tuple[str, ...] = ("i
     keep = tuple(c for c in df.columns if c != text_col and c not in made)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), *(T.StructField(o, TYPES[o]) for o in outputs)])
     spark_text = df[text_col].cast("string").alias(C.unused(keep))
-    return df.select(*keep, spark_text).mapInArrow(_encode(path, pattern, keep, outputs, tables), schema)
+    return df.select(*keep, spark_text).mapInArrow(C.tidy(_encode(path, pattern, keep, outputs, tables)), schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:

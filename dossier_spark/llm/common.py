@@ -8,8 +8,10 @@ under two seeds are independent; where equality decides a result, both are compa
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,45 @@ def parts_for(spark: SparkSession, df: DataFrame, text_col: str, bytes_per_part:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_per_part), 1)
 
 
+# ---------------------------------------------------------------- memory of workers
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run (batches to batches), giving memory back at the end of a task."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
+def tidy_groups(run: Callable, every: int = 1) -> Callable:
+    """run (a group to a table), giving memory back after each `every` groups. How many arguments it takes is run's own."""
+    done = [0]
+
+    def after(out):
+        done[0] += 1
+        if done[0] % every == 0:
+            give_back()
+        return out
+
+    if len(inspect.signature(run).parameters) == 1:
+        return lambda table: after(run(table))
+    if len(inspect.signature(run).parameters) == 2:
+        return lambda a, b: after(run(a, b))
+    return lambda key, a, b: after(run(key, a, b))
+
+
 # ---------------------------------------------------------------- numpy text kernels
 
 

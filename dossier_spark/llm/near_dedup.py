@@ -346,7 +346,7 @@ def classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", num:
     """(doc_id, ka, kb, n_shingles, c) of each row of df: its keys, the size of its set and its class, null for an empty set."""
     ka, kb = C.row_keys(id_col, text_col)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), ka, kb, F.col(text_col).cast("string").alias("text"))
-    signed = C.written(docs.mapInArrow(_sign(tokens, trees, size), "doc_id long, ka long, kb long, n_shingles long, digest binary, sig binary, nodes array<long>"), "signed")
+    signed = C.written(docs.mapInArrow(C.tidy(_sign(tokens, trees, size)), "doc_id long, ka long, kb long, n_shingles long, digest binary, sig binary, nodes array<long>"), "signed")
     one = signed.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("ka", "kb")).alias("row"), F.first("n_shingles").alias("n"))
     # numbers once written stay as they are, and no two sets share one
     owner = C.written(one.select("digest", "row.ka", "row.kb", "n", F.monotonically_increasing_id().alias("k")), "owner")
@@ -386,7 +386,7 @@ def _grow(members: DataFrame, comp: DataFrame, tokens: int, node: int, part: int
         mains = C.written(mains, "mains")
         settled = mains.filter(F.col("outside") * F.col("n") <= VISITS).select("node")
         out = out.unionByName(large.join(settled, "node", "left_semi"))
-        below = C.written(large.join(settled, "node", "left_anti").select("node", "k", "sig").mapInArrow(_branch(tokens, BRANCH), "node long, k long, sig binary").dropDuplicates(["node", "k"]), "branch")
+        below = C.written(large.join(settled, "node", "left_anti").select("node", "k", "sig").mapInArrow(C.tidy(_branch(tokens, BRANCH)), "node long, k long, sig binary").dropDuplicates(["node", "k"]), "branch")
         counts = below.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         members = C.written(_dealt(below.join(counts, "node"), part), "level")
         out = out.unionByName(members.filter(F.col("n") <= node))
@@ -424,12 +424,12 @@ def _links(docs: DataFrame, owner: DataFrame, reps: DataFrame, num: int, den: in
 
     # first round: the best few pairs of each member, confirmed
     first = _first_level(reps, part, node)
-    proposed = first.select("node", "part", F.lit(-1).alias("block"), F.lit(False).alias("guest"), "k", "sig", F.col("k").alias("c")).groupBy("node", "part").applyInArrow(_propose(tokens, floor, FIRST_BOUND), "a long, b long")
+    proposed = first.select("node", "part", F.lit(-1).alias("block"), F.lit(False).alias("guest"), "k", "sig", F.col("k").alias("c")).groupBy("node", "part").applyInArrow(C.tidy_groups(_propose(tokens, floor, FIRST_BOUND), 1000), "a long, b long")
     pairs = C.written(proposed.distinct(), "pairs")
     full = texts_of(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct())
     ta, tb = full.select(F.col("k").alias("a"), F.col("text").alias("ta")), full.select(F.col("k").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    links = C.written(both.mapInArrow(_confirm(num, den, size), "a long, b long"), "links")
+    links = C.written(both.mapInArrow(C.tidy(_confirm(num, den, size)), "a long, b long"), "links")
     early = stars(links, rounds=2)
     comp = named(early)
 
@@ -437,13 +437,13 @@ def _links(docs: DataFrame, owner: DataFrame, reps: DataFrame, num: int, den: in
     leaves = _grow(first, comp, tokens, node, part, depth)
     m = leaves.join(comp, "k", "left").select("node", "part", "parts", "k", "sig", F.coalesce("c", "k").alias("c"))
     meeting = _blocks(m, part).groupBy("node", "part", "block")
-    contested = C.written(meeting.applyInArrow(_contested(tokens, floor), "node long, part int, block int, guest boolean, k long, sig binary, c long"), "contested")
+    contested = C.written(meeting.applyInArrow(C.tidy_groups(_contested(tokens, floor), 1000), "node long, part int, block int, guest boolean, k long, sig binary, c long"), "contested")
     # only members of split or branched nodes can lack their text; mostly there are none
     lacking = C.written(contested.select("k").distinct().join(full.select("k"), "k", "left_anti"), "lacking")
     if lacking.limit(1).count():
         full = full.unionByName(texts_of(lacking))
     held = contested.join(full, "k").join(owner.select("k", "n"), "k")
-    found = held.groupBy("node", "part", "block").applyInArrow(_resolve(tokens, floor, num, den, size), "a long, b long")
+    found = held.groupBy("node", "part", "block").applyInArrow(C.tidy_groups(_resolve(tokens, floor, num, den, size), 100), "a long, b long")
     return C.written(early.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(found), "links")
 
 

@@ -307,18 +307,18 @@ def remove_repeated_passages(df: DataFrame, text_col: str = "text", id_col: str
     one = repeated.dropDuplicates(["ka", "kb"]).withColumn("rest", F.lit(None).cast(docs.schema["rest"].dataType))
     single = docs.join(again, ["ka", "kb"], "left_anti")
     cut = _matched(single.unionByName(one), parts, window, period, cover, out).filter("rest is not null")
-    return cut.unionByName(repeated.select("text", "rest").mapInArrow(_all_or_nothing(window), out)).select("rest.*", *made)
+    return cut.unionByName(repeated.select("text", "rest").mapInArrow(C.tidy(_all_or_nothing(window)), out)).select("rest.*", *made)
 
 
 def _matched(docs: DataFrame, parts: int, window: int, period: int, cover: tuple[int, ...], out: T.StructType) -> DataFrame:
     """Rows (ka, kb, text, rest, part) without their repeated passages."""
     docs = docs.select(F.col("ka").alias("k"), "part", "text", "rest")
     thin = docs.select("k", "part", "text")
-    matched = lambda hits, wide: hits.groupBy("part").applyInArrow(_confirm(wide), CONFIRMED)
-    anchors = matched(thin.mapInArrow(_anchor_map(parts, window, period, cover), HITS), False)
+    matched = lambda hits, wide: hits.groupBy("part").applyInArrow(C.tidy_groups(_confirm(wide)), CONFIRMED)
+    anchors = matched(thin.mapInArrow(C.tidy(_anchor_map(parts, window, period, cover)), HITS), False)
     by_part = docs.groupBy("part")
-    windows = matched(by_part.cogroup(anchors.groupBy("part")).applyInArrow(_window_map(parts, window, period), HITS), True)
-    return by_part.cogroup(windows.groupBy("part")).applyInArrow(_cut(window), out)
+    windows = matched(by_part.cogroup(anchors.groupBy("part")).applyInArrow(C.tidy_groups(_window_map(parts, window, period)), HITS), True)
+    return by_part.cogroup(windows.groupBy("part")).applyInArrow(C.tidy_groups(_cut(window)), out)
 
 
 def _all_or_nothing(window: int) -> Callable:

@@ -156,7 +156,7 @@ def _train(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label
     np_, nu = sizes.get(True, 0), sizes.get(False, 0)
     if not np_ or not nu:
         return Model((), np.zeros(0), 50.0 if np_ else -50.0)
-    counts = sample.mapInArrow(_count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.mapInArrow(C.tidy(_count), "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     # how far each feature's share among positives departs from its share among the others, in deviations
     pooled = (F.col("p") + F.col("u") + 1) / F.lit(float(np_ + nu + 2))
     z = (F.col("p") / F.lit(float(np_)) - F.col("u") / F.lit(float(nu))) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / np_ + 1 / nu))
@@ -165,7 +165,7 @@ def _train(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label
     purity = F.col("p") / F.lit(float(np_)) * F.lit(prior) / ((F.col("u") + F.lit(0.5)) / F.lit(float(nu)))
     best = counts.select("f", z.alias("z"), purity.alias("purity")).filter((F.col("z") >= LEAST_Z) & (F.col("purity") >= LEAST_PURITY)).orderBy(F.desc("z"), "f").limit(top).collect()
     names = tuple(r["f"] for r in best)
-    rows = sample.mapInArrow(_rows(names), "positive boolean, at array<int>").collect()
+    rows = sample.mapInArrow(C.tidy(_rows(names)), "positive boolean, at array<int>").collect()
     x, positive = np.zeros((len(rows), len(names)), np.float32), np.zeros(len(rows), bool)
     for i, r in enumerate(sorted(rows, key=lambda r: (r["positive"], r["at"]))):
         x[i, r["at"]], positive[i] = 1, r["positive"]
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     """docs with score and predicted."""
     keep = tuple(c for c in docs.columns if c not in ("score", "predicted"))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    scored = docs.select(*keep, docs[text_col].cast("string").alias(C.unused(keep))).mapInArrow(_score(model, keep), schema)
+    scored = docs.select(*keep, docs[text_col].cast("string").alias(C.unused(keep))).mapInArrow(C.tidy(_score(model, keep)), schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
