@@ -16,8 +16,12 @@ STOP_WORDS = (
 ).split()
 
 
+# White space as it is stripped: that of Unicode, and the four separators.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalise_newlines(c: Column) -> Column:

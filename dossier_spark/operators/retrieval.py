@@ -22,10 +22,16 @@ def chunk_array(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colum
     """Non-empty chunks of a normalised text, in order."""
     if size <= overlap:
         raise ValueError("size must be greater than overlap")
-    n, step = F.length(text), size - overlap
-    more = F.when(n <= size, 0).otherwise(F.ceil((n - size) / F.lit(step))).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), more), lambda i: X.strip(F.substring(text, i * step + 1, F.lit(size))))
-    return F.filter(pieces, lambda c: c != "")
+    step = size - overlap
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        more = F.when(n <= size, 0).otherwise(F.ceil((n - size) / F.lit(step))).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), more), lambda i: X.strip(F.substring(t, i * step + 1, F.lit(size))))
+        return F.filter(pieces, lambda c: c != "")
+
+    # as a lambda's variable the text is made once, not again for each chunk
+    return F.transform(F.array(text), cut)[0]
 
 
 def chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -71,23 +77,39 @@ def bm25(chunked: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, b
     them, broadcast in blocks of `block` rows however many queries there are, so no shuffle is keyed by a term, common or
     not, and a chunk's score is summed in the task that holds it.
     """
-    number = F.monotonically_increasing_id().alias("cid")
-    tok = written(chunk_tokens(chunked).select(number, *KEY, "dl", "tokens"), "tokens")
+    tok, hits = _hits(chunked, queries, k1, b, block)
+    return hits.join(tok, "cid").select("query_id", *KEY, "score")
+
+
+def _hits(chunked: DataFrame, queries: DataFrame, k1: float, b: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The chunks (cid, client_id, path, page, chunk_no), and (cid, query_id, cnum, score) of those that share a term with a query.
+    cid and cnum are numbers of the chunk and its client, fixed once written."""
+    tok = written(chunk_tokens(chunked).select(F.monotonically_increasing_id().alias("cid"), *KEY, "dl", "tokens"), "tokens")
+    stats = written(chunk_stats(tok).withColumn("cnum", F.monotonically_increasing_id()), "clients")
     terms = written(query_terms(queries), "terms")
     vocabulary = terms.select("term").distinct()
     vocabulary = F.broadcast(vocabulary) if (n := terms.count()) <= block else vocabulary
-    exploded = tok.select("cid", "client_id", "dl", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
-    posts = written(exploded.repartition("cid").groupBy("cid", "client_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    df, stats = document_frequency(posts), chunk_stats(tok)
-    weight = df.join(stats, "client_id").select("client_id", "term", "avgdl", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    numbered = tok.select("cid", "client_id", "dl", "tokens").join(stats.select("client_id", "cnum"), "client_id")
+    exploded = numbered.select("cid", "cnum", "dl", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
+    posts = written(exploded.groupBy("cid", "cnum", "dl", "term").agg(F.count("*").alias("tf")).repartition("cid"), "postings")
+    df = posts.groupBy("cnum", "term").agg(F.count("*").alias("df"))
+    weight = df.join(stats, "cnum").select("cnum", "term", "avgdl", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = posts.join(weight, ["client_id", "term"]).select("cid", "term", part.alias("part"))
+    weighted = posts.join(weight, ["cnum", "term"]).select("cid", "cnum", "term", part.alias("part"))
     blocks, out = -(-n // block), None
     for i in range(max(1, blocks)):
         some = terms if blocks <= 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        hits = weighted.join(F.broadcast(some), "term").groupBy("cid", "query_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
+        hits = weighted.join(F.broadcast(some), "term").groupBy("cid", "query_id").agg(F.min("cnum").alias("cnum"), F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
         out = hits if out is None else out.unionByName(hits)
-    return out.join(tok.select("cid", *KEY), "cid").select("query_id", *KEY, "score")
+    return tok.select("cid", *KEY), out
+
+
+def best_passages(chunked: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
+    """top_passages() of bm25() without making all its rows: each task first keeps what ranks within k by score, ties
+    included, and only these are given their paths (W3)."""
+    tok, hits = _hits(chunked, queries, k1, b, block)
+    near = hits.filter("score > 0").withColumn("_r", F.rank().over(Window.partitionBy("cnum", "query_id").orderBy(F.desc("score")))).filter(F.col("_r") <= k)
+    return top_passages(near.join(tok, "cid").select("query_id", *KEY, "score"), k)
 
 
 def top_passages(scored: DataFrame, k: int) -> DataFrame:

@@ -36,7 +36,7 @@ def questions(spark, sf):
 
 
 def top(spark, sf, k=5):
-    return R.top_passages(R.bm25(chunked(spark, sf), questions(spark, sf)), k)
+    return R.best_passages(chunked(spark, sf), questions(spark, sf), k)
 
 
 @query("N1", f"select doc_id, {N1.format('text')} as text from documents")
