@@ -11,7 +11,7 @@ the toxic share of the labelled training rows.
 Bounds of the sample (parameters): POSITIVES and UNLABELLED documents. Every document is scored whole.
 
 Defined results: a null text scores like an empty one; labels of null count as no label; a document with
-several label rows is positive if one says so. Without any positive label every score is 0. Repeated rows
+several label rows is positive if one says so. Without any positive label every score is next to 0 (below 1e-20). Repeated rows
 score equally. Other columns of the input are returned unchanged, but those named like an output are replaced.
 """
 

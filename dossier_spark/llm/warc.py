@@ -231,7 +231,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The digest in base32: every five hex digits are four characters.
 ORACLE_SQL = {
-    "op10_warc": """select page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (i * 5 + 1)::int, 5))::int >> b) & 31) + 1, 1)), '')), '') as payload_digest,
+    "op10_warc": """select page_id, url, payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (i * 5 + 1)::int, 5))::int >> b) & 31) + 1, 1)), '')), '') as payload_digest,
   case when page_id = response_id then 'response' else 'revisit' end as record_type, case when page_id <> response_id then response_id end as refers_to
-  from (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as sha, max(page_id) over (partition by html) as response_id from (select page_id, coalesce(html, '') as html from pages))"""
+  from (select page_id, url, strlen(html)::bigint as payload_bytes, sha1(html) as sha, max(page_id) over (partition by html) as response_id from (select page_id, url, coalesce(html, '') as html from pages))"""
 }

@@ -61,5 +61,5 @@ def test_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
     rel = con.sql(W.ORACLE_SQL["op10_warc"])
-    df = W.op10_warc(spark, sf).select(*COLS)
-    assert sorted(rel.columns) == sorted(COLS) and sorted(map(tuple, df.collect())) == sorted(rel.select(*COLS).fetchall())
+    df = W.op10_warc(spark, sf)
+    assert sorted(rel.columns) == sorted(df.columns) and sorted(map(tuple, df.collect())) == sorted(rel.select(*df.columns).fetchall())
