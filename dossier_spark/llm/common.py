@@ -65,14 +65,8 @@ class Scratch:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def row_key(*cols: str) -> Column:
-    """A 64-bit key of a row's content; equal rows share it, null ids are fine. Of two rows in 10^10 some share it by
-    chance, so identity needs row_keys."""
-    return F.xxhash64(*cols)
-
-
 def row_keys(*cols: str) -> tuple[Column, Column]:
-    """Two independent 64-bit keys of a row's content: together its identity."""
+    """Two independent 64-bit keys of a row's content: together its identity. Equal rows share them, null ids are fine."""
     return F.xxhash64(*cols).alias("ka"), F.xxhash64(F.lit(7), *reversed(cols)).alias("kb")
 
 
