@@ -15,6 +15,7 @@ MODULES = {
     "op8_substring_dedup": "substring_dedup",
     "op9_toxicity": "toxicity",
     "op10_warc": "warc",
+    "op11_collocations": "collocations",
 }
 
 
