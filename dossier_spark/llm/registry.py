@@ -16,6 +16,7 @@ MODULES = {
     "op9_toxicity": "toxicity",
     "op10_warc": "warc",
     "op11_collocations": "collocations",
+    "op12_prefix_trie": "prefix_trie",
 }
 
 
