@@ -31,12 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: computed once, and safe from lost executors."""
-    spark = df.sparkSession
+def _path(spark: SparkSession, path: str):
+    """The path and its file system."""
+    context = spark.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, system = _path(spark, path)
+    system.delete(p, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is still there when the application ends goes then."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    p, system = _path(spark, path)
+    system.mkdirs(p.getParent())
+    system.mkdirs(p)
+    system.deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df written as Parquet to the shared folder and read again: computed once, and safe from lost executors. The path is
+    the result's `scratch_path`."""
+    path = scratch(df.sparkSession, name)
+    df.write.mode("append").option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def _binary(spark: SparkSession, root: str) -> DataFrame:
