@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import ctypes
 import inspect
-import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier_spark.sources.files import shared_dir
+from dossier_spark.sources import files
 
 SLICE_BYTES = 1 << 20
 
@@ -28,26 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_LIVE: list[DataFrame] = []  # tables of written() that are not deleted yet
+_SCRATCH: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    _LIVE.append(out)
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors. The table belongs
+    to the Scratch around it, if there is one; else it lasts as long as the application."""
+    out = files.written(df, name, compression)
+    if (scratch := _SCRATCH.get()) is not None:
+        scratch.made.append(out)
     return out
 
 
 class Scratch:
-    """Deletes at its end what written() made since its beginning, but the tables kept. What is still to be computed then
-    must read kept ones only."""
+    """Deletes at its end what written() made within it, but the tables kept, which pass to the Scratch around it. What is
+    still to be computed then must read kept ones only. Each thread has its own."""
 
     def __enter__(self) -> Scratch:
-        self.mark, self.kept = len(_LIVE), []
+        self.made, self.kept = [], []
+        self.token = _SCRATCH.set(self)
         return self
 
     def keep(self, table: DataFrame) -> DataFrame:
@@ -55,14 +54,13 @@ class Scratch:
         return table
 
     def __exit__(self, kind, error, trace) -> None:
-        made, _LIVE[self.mark :] = _LIVE[self.mark :], []
-        for t in made:
-            if any(t is k for k in self.kept):
-                _LIVE.append(t)
-                continue
-            context = t.sparkSession.sparkContext
-            path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.reset(self.token)
+        outer = _SCRATCH.get()
+        for t in self.made:
+            if not any(t is k for k in self.kept):
+                files.delete(t.sparkSession, t.scratch_path)
+            elif outer is not None:
+                outer.made.append(t)
 
 
 def row_keys(*cols: str) -> tuple[Column, Column]:

@@ -17,6 +17,7 @@ MODULES = {
     "op10_warc": "warc",
     "op11_collocations": "collocations",
     "op12_prefix_trie": "prefix_trie",
+    "op13_suffix_dedup": "suffix_dedup",
 }
 
 
