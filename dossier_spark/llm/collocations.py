@@ -24,13 +24,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SLICE, SLOTS = 4 << 20, 64
+SLICE, SLOTS, PART, SENT = 4 << 20, 16, 8 << 20, 256  # bytes of text a slice and a part; parts a batch
 SEGMENTS, SEGMENT_BITS = 256, 19  # the filter: 256 segments of 2^19 bits, 16 MB
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 UNKNOWN = "und"
@@ -39,7 +40,7 @@ IS_BREAK = np.zeros(256, bool)
 IS_BREAK[list(BREAKS)] = True
 IS_GAP = IS_BREAK.copy()
 IS_GAP[[0x20, 0x09]] = True
-STRIPES = "part int, lang string, prefix string, next array<string>, n array<long>"
+STRIPES = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 MERGED = "lang string, prefix string, next array<string>, n array<long>, total long, most long"
 
 
@@ -155,6 +156,7 @@ def _count(k: int, parts: int, filtered) -> Callable:
 
     def run(batches):
         bits = filtered.value if filtered is not None else None
+        packing = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             buf, offs = C.text_buffers(batch["text"])
             langs = batch["lang"].to_pylist()
@@ -168,9 +170,14 @@ def _count(k: int, parts: int, filtered) -> Callable:
                 lang, prefix, slot, nexts, counts, cut = out
                 part = ((prefix[1] + slot * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % parts
                 to = lambda v: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), pa.array(np.array(names, object)[lang], pa.string()), prefix[0], to(nexts), to(pa.array(counts, pa.int64()))], ["part", "lang", "prefix", "next", "n"]
-                )
+                rows = pa.RecordBatch.from_arrays([pa.array(np.array(names, object)[lang], pa.string()), prefix[0], to(nexts), to(pa.array(counts, pa.int64()))], schema=STRIPES)
+                order = np.argsort(part, kind="stable")
+                part, rows = part[order], rows.take(pa.array(order))
+                edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+                spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+                for i in range(0, len(spans), SENT):
+                    packs = [packing.compress(rows.take(pa.array(np.arange(x, y))).serialize()) for x, y in spans[i : i + SENT]]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[[x for x, _ in spans[i : i + SENT]]], pa.int32()), pa.array(packs, pa.binary())], ["part", "stripes"])
 
     return run
 
@@ -213,7 +220,8 @@ def _merge(least: int) -> Callable:
     """Stripes of equal prefix added up; of the result, entries of `least` or more, with the total and the greatest of all."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
+        unpacking = zstandard.ZstdDecompressor()
+        rows = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(unpacking.decompress(x.as_py())), STRIPES) for x in rows["stripes"]], STRIPES).combine_chunks()
         nexts = rows["next"].combine_chunks()
         parent = np.repeat(np.arange(len(rows)), np.diff(nexts.offsets.to_numpy()))
         flat = pa.table({"lang": rows["lang"].take(pa.array(parent)), "prefix": rows["prefix"].take(pa.array(parent)), "next": nexts.flatten(), "n": rows["n"].combine_chunks().flatten()})
@@ -232,7 +240,7 @@ def _merge(least: int) -> Callable:
 def counted(docs: DataFrame, k: int, parts: int, least: int, known: DataFrame | None) -> DataFrame:
     """Merged stripes of the phrases of k words; `known` are the frequent phrases of k - 1."""
     filtered = docs.sparkSession.sparkContext.broadcast(may_be(known, k - 1)) if known is not None else None
-    return docs.mapInArrow(C.tidy(_count(k, parts, filtered)), STRIPES).groupBy("part").applyInArrow(C.tidy_groups(_merge(least if k > 1 else 1), 8), MERGED)
+    return docs.mapInArrow(C.tidy(_count(k, parts, filtered)), "part int, stripes binary").groupBy("part").applyInArrow(C.tidy_groups(_merge(least if k > 1 else 1), 8), MERGED)
 
 
 def frequent(stripes: DataFrame, least: int) -> DataFrame:
@@ -245,7 +253,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = C.parts_for(spark, docs, "text")
+    parts = C.parts_for(spark, docs, "text", PART)
     with C.Scratch() as scratch:
         rounds = [C.written(counted(docs, 1, parts, least, None), "stripes")]
         for k in range(2, longest + 1):
