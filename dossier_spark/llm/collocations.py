@@ -33,6 +33,7 @@ from . import common as C
 LEAST, LONGEST, TOP = 100, 5, 2000
 SLICE, SLOTS, PART, SENT = 4 << 20, 16, 8 << 20, 256  # bytes of text a slice and a part; parts a batch
 SEGMENTS, SEGMENT_BITS = 256, 19  # the filter: 256 segments of 2^19 bits, 16 MB
+BROADCAST_LANGS = 1 << 19
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 UNKNOWN = "und"
 
@@ -267,7 +268,8 @@ def scored(rounds: list[DataFrame], least: int, top: int) -> DataFrame:
     counts = by_length[0]
     for f in by_length[1:]:
         counts = counts.unionByName(f)
-    words = rounds[0].groupBy("lang").agg(F.sum("total").alias("n"))
+    words = C.written(rounds[0].groupBy("lang").agg(F.sum("total").alias("n")), "words")
+    words = F.broadcast(words) if words.count() <= BROADCAST_LANGS else words  # a join by language would deal all rows by it
     out = None
     for k in range(2, len(rounds) + 1):
         phrases = by_length[k - 1]
