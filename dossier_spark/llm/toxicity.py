@@ -8,7 +8,7 @@ in numpy by the non-negative risk: the class prior times the risk of positives,
 and the unlabelled risk as negatives less the prior times the positives' risk as negatives. The prior is
 the toxic share of the labelled training rows.
 
-Bounds of the sample (parameters): POSITIVES and UNLABELLED documents. Every document is scored whole.
+Bounds of the sample (parameters): POSITIVES and UNLABELLED rows, equal ones once. Every document is scored whole.
 
 Defined results: a null text scores like an empty one; labels of null count as no label; a document with
 several label rows is positive if one says so. Without any positive label every score is next to 0 (below 1e-20). Repeated rows
@@ -144,14 +144,14 @@ def _train(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label
     if not n_toxic:
         return Model((), np.zeros(0), -50.0)
     yes = lab.filter("toxic = 1").select("doc_id")
-    ids = docs.select(F.col(id_col).alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out()).distinct()
-    by_hash = F.xxhash64("doc_id", F.lit("sample"))
-    chosen_p = ids.join(yes, "doc_id", "left_semi").orderBy(by_hash, "doc_id").limit(positives).withColumn("positive", F.lit(True))
-    chosen_u = ids.orderBy(by_hash, "doc_id").limit(unlabelled).withColumn("positive", F.lit(False))
-    chosen = C.written(chosen_p.unionByName(chosen_u), "chosen")
-    # at most positives + unlabelled rows of an id and a flag: small enough to broadcast by its bound
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "positive").distinct()
-    sample = C.written(sample, "sample")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & ~held_out())
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit("sample")))
+    # rows of least hash, equal ones once, however many rows an id has
+    least = lambda hs, n, flag: hs.distinct().orderBy("h").limit(n).withColumn("positive", F.lit(flag))
+    chosen_p = least(rows.select("doc_id", "h").join(yes, "doc_id", "left_semi").select("h"), positives, True)
+    chosen = C.written(chosen_p.unionByName(least(rows.select("h"), unlabelled, False)), "chosen")
+    # at most positives + unlabelled rows of a hash and a flag: small enough to broadcast by its bound
+    sample = C.written(rows.join(F.broadcast(chosen), "h").select("text", "positive").distinct(), "sample")
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     np_, nu = sizes.get(True, 0), sizes.get(False, 0)
     if not np_ or not nu:

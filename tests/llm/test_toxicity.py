@@ -56,3 +56,15 @@ def test_scores_match_slow(spark, sf):
             held |= {w + "$"} | {w[:n] for n in range(3, 9) if n <= len(w)}
         z = m.bias + math.fsum(weight[f] for f in held if f in weight)
         assert abs(r.score - 1 / (1 + math.exp(-max(-50, min(50, z))))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    """An id of 3,000 texts takes no more places than the sample has."""
+    rows = [(4, f"vile text {i}") for i in range(3000)] + [(i, f"good text {i}") for i in range(10, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 1)] + [(i, 0) for i in range(10, 400)], "doc_id long, toxic int")
+    sizes = []
+    fit = X.fit_nnpu
+    monkeypatch.setattr(X, "fit_nnpu", lambda x, positive, prior: (sizes.append((int(positive.sum()), int((~positive).sum()))), fit(x, positive, prior))[1])
+    X.train(docs, labels, positives=10, unlabelled=20)
+    assert sizes == [(10, 20)]
