@@ -2,9 +2,8 @@
 
 A text is a vector of hashed letter n-grams (1 to 3 bytes of its lower-cased letters and the gaps between
 words), weighted by damped TF-IDF and scaled to length 1. Each language has several centroids, found by
-spherical k-means on a bounded sample of its training texts (PER_LANGUAGE rows by hash, a parameter; a model has
-at most MOST_LANGUAGES languages, more are an error). A text
-gets the language of the nearest centroid by cosine; score is that cosine, from 0 to 1. Distance-based
+spherical k-means on a bounded sample of its training texts (PER_LANGUAGE rows by hash, a parameter), each language in a
+task of its own; there may be any number of languages. A text gets the language of the nearest centroid by cosine; score is that cosine, from 0 to 1. Distance-based
 rejection: below `reject_below` the language is `und`; it is 0 by default, so only texts without letters are.
 
 Defined results: a null text or one without a letter is `und` with score 0, as is all if nothing was learned.
@@ -27,7 +26,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 PER_LANGUAGE, CENTROIDS, BINS = 800, 4, 1 << 12
-MOST_LANGUAGES, THINNED = 1000, 3  # languages a model may have; rows ranked for each row taken
+THINNED = 3  # rows ranked for each row taken
+BROADCAST_LANGS = 1 << 19
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -107,51 +107,61 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     Rows are first thinned by a threshold on that hash, set from the language's count so that about THINNED times as many
     pass, and equal rows are put together; so a task that ranks a language has a bounded number of rows, however many
-    there are. A language of which too few pass, by chance or because rows repeat, is taken again without threshold.
+    there are. A language of which too few pass, because rows repeat, is thinned again by the count of its distinct rows.
+    Each language is fitted by itself, in a task; the driver holds the centroids alone (80 KB a language).
     """
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     ids = ids.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("doc_id", "text", F.lit("sample")))
-    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    low, span = -(1 << 63), 1 << 64
 
-    def below(lang: str, n: int):
-        most = low + int(span * min(1.0, THINNED * per_language / n)) - 1
-        return (F.col("lang") == lang) & (F.col("h") <= F.lit(min(most, (1 << 63) - 1)))
-
-    def ranked(rows: DataFrame) -> DataFrame:
+    def sampled(counts: DataFrame) -> DataFrame:
+        """Rows of the languages counted (lang, n), thinned by n and ranked."""
+        most = F.broadcast(counts) if counts.count() <= BROADCAST_LANGS else counts
+        passing = ids.join(most, "lang").filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(float(THINNED * per_language)) / F.col("n"))
         w = Window.partitionBy("lang").orderBy("h", "doc_id")
-        return rows.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("lang", "text")
+        return passing.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("lang", "text")
 
-    passing = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        passing = passing | below(lang, n)
     with C.Scratch():
-        return _fit(ranked, ids, passing, counts, per_language, centroids, reject_below)
-
-
-def _fit(ranked: Callable, ids: DataFrame, passing, counts: dict[str, int], per_language: int, centroids: int, reject_below: float) -> Model:
-    sample = C.written(ranked(ids.filter(passing)), "sample")
-    have = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    few = [lang for lang, n in counts.items() if n > THINNED * per_language and have.get(lang, 0) < per_language]
-    if few:
-        sample = sample.filter(~F.col("lang").isin(few)).unionByName(ranked(ids.filter(F.col("lang").isin(few))))
-    rows = sample.mapInArrow(_vectors, "lang string, at binary, n binary").collect()
-    rows = [(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in rows if r["at"]]
-    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
-    x = np.zeros((len(rows), BINS), np.float32)
-    for i, (_, at, n) in enumerate(rows):
-        x[i, at] = n
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    x = weigh(x, idf).astype(np.float32)
-    names, found = [], []
-    langs = np.array([r[0] for r in rows])
-    for lang in sorted(set(langs.tolist())):
-        c = centroids_of(x[langs == lang], centroids)
-        names += [lang] * len(c)
-        found.append(c)
-    return Model(tuple(names), np.concatenate(found).astype(np.float32) if found else np.zeros((0, BINS), np.float32), idf, reject_below)
+        counts = C.written(ids.groupBy("lang").agg(F.count("*").alias("n")), "counts")
+        sample = C.written(sampled(counts), "sample")
+        have = sample.groupBy("lang").agg(F.count("*").alias("have"))
+        few = counts.join(have, "lang", "left").filter((F.col("n") > THINNED * per_language) & (F.coalesce("have", F.lit(0)) < per_language)).select("lang")
+        again = C.written(ids.join(F.broadcast(few), "lang", "left_semi").groupBy("lang").agg(F.countDistinct("h").alias("n")), "again")
+        if again.count():
+            sample = C.written(sample.join(again, "lang", "left_anti").unionByName(sampled(again)), "sample")
+        return _fit(C.written(sample.mapInArrow(_vectors, "lang string, at binary, n binary").filter(F.length("at") > 0), "vectors"), centroids, reject_below)
+
+
+def _bins(batches):
+    """How many vectors hold each bin."""
+    for batch in batches:
+        at = np.frombuffer(b"".join(batch["at"].to_pylist()), np.int32)
+        n = np.bincount(at, minlength=BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS), pa.int32()), pa.array(n, pa.int64())], ["bin", "n"])
+
+
+def _centroids(idf: np.ndarray, k: int) -> Callable:
+    def run(rows: pa.Table) -> pa.Table:
+        held = sorted(zip(rows["at"].to_pylist(), rows["n"].to_pylist(), strict=True))
+        x = np.zeros((len(held), BINS), np.float32)
+        for i, (at, n) in enumerate(held):
+            x[i, np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int32)
+        c = centroids_of(weigh(x, idf).astype(np.float32), k).astype(np.float32)
+        return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(c), pa.string()), "place": pa.array(np.arange(len(c)), pa.int32()), "centroid": C.binaries(c)})
+
+    return run
+
+
+def _fit(vectors: DataFrame, centroids: int, reject_below: float) -> Model:
+    n = vectors.count()
+    holders = np.zeros(BINS)
+    for r in vectors.mapInArrow(_bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        holders[r["bin"]] = r["n"]
+    idf = np.log((1 + n) / (1 + holders)).astype(np.float32) + 1
+    rows = vectors.groupBy("lang").applyInArrow(C.tidy_groups(_centroids(idf, centroids)), "lang string, place int, centroid binary").orderBy("lang", "place").collect()
+    found = np.zeros((len(rows), BINS), np.float32)
+    for i, r in enumerate(rows):
+        found[i] = np.frombuffer(r["centroid"], np.float32)
+    return Model(tuple(r["lang"] for r in rows), found, idf, reject_below)
 
 
 def _predict(model: Model, keep: tuple[str, ...]) -> Callable:

@@ -3,7 +3,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from dossier_spark.llm import language_id as L
 
@@ -28,8 +27,7 @@ def test_counts_match_slow():
 def test_edges(spark):
     rows = [(i, "the cat sat on the mat" if i % 2 else "der hund liegt auf der matte", "en" if i % 2 else "de") for i in range(40)]
     rows += [(100, None, "en"), (101, "", None), (102, "12 %%", "de"), (103, "der der", None), (None, "the the", None), (1, rows[1][1], "en")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("lang", "score_")
-    df = df.withColumnRenamed("score_", "lang")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     m = L.train(df)
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in L.predict(df, m).collect()}
     assert got[100, None] == got[101, ""] == got[102, "12 %%"] == ("und", 0.0)
@@ -76,9 +74,31 @@ def test_sample(spark, monkeypatch):
     monkeypatch.setattr(L, "THINNED", 1000)
     whole = L.train(df, per_language=20)
     assert thin.languages == whole.languages and set(thin.languages) == {"de", "en", "fr"} and np.allclose(thin.centroids, whole.centroids) and np.allclose(thin.idf, whole.idf)
-    monkeypatch.setattr(L, "MOST_LANGUAGES", 2)
-    with pytest.raises(ValueError):
-        L.train(df)
+
+
+def test_many_languages_and_clashing_names(spark):
+    """More than a thousand languages, each of a word of its own; columns named like outputs and inner ones."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i * 10 + j, f"{word(i)} {word(i)}", f"l{i:04d}", "old", 5.0, 7) for i in range(1100) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, n int")
+    m = L.train(df)
+    assert len(set(m.languages)) > 1000
+    got = L.predict(df.filter("doc_id < 200"), m)
+    assert got.columns == ["doc_id", "text", "lang", "n", "lang_pred", "score"] and all(r.n == 7 for r in got.collect())
+
+
+def test_hot_row_among_others(spark):
+    """A row that repeats most of its language does not take the places of the others."""
+    rows = [(1, "same same", "de")] * 6000 + [(i, f"wort {i}", "de") for i in range(10, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    kept = []
+    fit = L._fit
+    try:
+        L._fit = lambda v, *a: (kept.append(v.count()), fit(v, *a))[1]
+        L.train(df, per_language=30)
+    finally:
+        L._fit = fit
+    assert kept == [30]
 
 
 def test_held_out_accuracy(spark):
