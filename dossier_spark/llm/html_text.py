@@ -42,6 +42,9 @@ OPEN_COMMENT, TAG = "<!--", re.compile(r"<(?:!--|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDDEN_STYLE = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'=<>`]*/$")
+# Words that name a container and say nothing of what it holds.
+CONTAINERS = frozenset("area bar block body bottom box card cell center col column container content group holder inner item items left list main module outer page panel region right row section site slot space top unit wrap wrapper zone".split())
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\S+")
 CLOSES_P = BLOCK - {"html", "body"}
@@ -96,17 +99,25 @@ class Blocks:
 
 def names_boilerplate(value: str, tag: str, parent: Node) -> tuple[bool, bool]:
     """Whether a class or id names boilerplate, and whether a part of it might. An article may be a comment or a teaser, but
-    not its own header."""
+    not its own header. Within an article a name counts if it is made of such words and of containers' alone; another name that
+    only has one as a part (ad-hoc, no-comments-yet) may be the author's, so it hints and the tree decides."""
     if tag in ARTICLE:
         return OTHER_ARTICLE.search(value) is not None, False
     named = hinted = False
     for name in value.lower().split():
         parts = NAME_PARTS.split(name)
-        named = named or any(x in MARKS for x in parts) or (name in HINTS and not (parent.article and name in OF_ARTICLE))
-        hinted = hinted or any(x in HINTS and not (parent.article and x in OF_ARTICLE) for x in parts)
+        marked = any(x in MARKS for x in parts)
+        plain = not parent.article or all(x in MARKS or x in HINTS or x in CONTAINERS or x.isdigit() for x in parts)
+        named = named or (marked and plain) or (name in HINTS and not (parent.article and name in OF_ARTICLE))
+        hinted = hinted or marked or any(x in HINTS and not (parent.article and x in OF_ARTICLE) for x in parts)
     return named, hinted
 
 
+def closes_itself(attributes: str) -> bool:
+    """Whether a tag ends in a slash of its own, not that of an unquoted value."""
+    return attributes.endswith("/") and UNQUOTED_SLASH.search(attributes) is None
+
+
 def node_of(tag: str, attributes: str, parent: Node) -> Node:
     boiler = parent.boiler or tag in BOILER or (tag == "header" and not parent.article)
     skip, hint = parent.skip or tag in RAW, parent.hint
@@ -215,7 +226,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in CLOSES_P:
             opened.make_room(tag)
-        if tag not in VOID and not (attributes or "").endswith("/"):
+        if tag not in VOID and not closes_itself(attributes or ""):
             opened.push(node_of(tag, attributes or "", opened.stack[-1]))
     got.flush(opened.stack[-1])
     return got.out
@@ -292,6 +303,9 @@ UNUSUAL = (
     (35, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 1.0, 1), (12, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1, 0, 0, 0, 1.0, 1), (40, 0.0, 3, 1.0, 45, 0.0, 0, 0, 1, 0, 0, 0, 0.99, 1), (15, 0.1, 20, 0.0, 18, 0.0, 0, 0, 1, 1, 0, 0, 1.0, 1),
     (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 1, 1, 0, 0, 1.0, 0), (3, 1.0, 2, 1.0, 40, 0.0, 0, 0, 1, 0, 0, 0, 1.0, 0), (5, 0.6, 2, 1.0, 3, 1.0, 0, 0, 1, 0, 0, 0, 1.0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 1, 0, 0, 0, 1.0, 0), (4, 0.0, 60, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 0, 1.0, 0),
     (50, 0.0, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 1, 0, 0.97, 1), (20, 0.0, 8, 0.0, 45, 0.0, 0, 1, 1, 0, 1, 0, 1.0, 1), (2, 1.0, 3, 1.0, 3, 1.0, 0, 1, 1, 1, 1, 0, 1.0, 0), (20, 0.0, 3, 1.0, 6, 0.0, 0, 0, 1, 0, 1, 0, 0.97, 0),
+    # what comes before decides: captions of menus after links, headings and items after text
+    (12, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0.2, 0), (8, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0.2, 0), (7, 0.0, 4, 1.0, 2, 1.0, 1, 0, 0, 0, 0, 0, 0.2, 0), (10, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 1, 0, 0, 0.2, 0),
+    (12, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 0.2, 1), (8, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0.2, 1), (10, 0.0, 25, 0.0, 3, 1.0, 0, 0, 0, 1, 0, 0, 0.2, 1),
     # long boilerplate: comments, notices
     (80, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1, 0, 0, 0, 0.6, 0), (45, 0.0, 40, 0.0, 50, 0.0, 0, 1, 1, 0, 1, 0, 0.5, 0), (120, 0.0, 100, 0.0, 90, 0.0, 0, 0, 1, 0, 1, 0, 0.7, 0), (60, 0.0, 80, 0.0, 55, 0.0, 0, 0, 1, 0, 0, 0, 0.8, 0), (35, 0.0, 30, 0.0, 60, 0.0, 0, 0, 1, 0, 1, 0, 0.85, 0),
 )

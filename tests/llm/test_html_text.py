@@ -87,3 +87,20 @@ def test_whole_table(spark, sf):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "<p>one two three</p>", None)], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in H.extract(df).collect()) == [(0, "one two three"), (1, ""), (1, "")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_edges_of_tags_and_names():
+    t = H.tree()
+    para = "word " * 30
+    page = f"<html><body><ul><li><a href=/a/>Home</a></li><li><a href=/b/>News</a></li></ul><article><h1>Title here</h1><p class='ad-hoc'>{para}one</p><p class='no-comments-yet'>{para}two</p><div class='ad-slot'>{para}buy</div></article></body></html>"
+    got = H.main_text(page, t)
+    assert "Home" not in got and "News" not in got and "buy" not in got
+    assert "one" in got and "two" in got
+
+
+def test_both_neighbours_are_asked():
+    def used(node):
+        return {node[0]} | used(node[2]) | used(node[3]) if len(node) > 1 else set()
+
+    names = {H.FEATURES[i] for i in used(H.tree())}
+    assert names & {"words_before", "density_before"} and names & {"words_after", "density_after"}
