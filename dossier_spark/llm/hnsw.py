@@ -223,7 +223,7 @@ def _search(k: int, ef: int) -> Callable:
                     found = index.search(np.clip(block / scale, -1e15, 1e15).astype(np.float32), max(ef, k + 1))
                     for i, near in enumerate(found):
                         near = near[near >= 0]
-                        d = np.sqrt(((x[near] - block[i]) ** 2).sum(1))
+                        d = distances(x[near], block[i])
                         o = np.argsort(d, kind="stable")
                         got_i, got_d = [], []
                         # of each node at most its k + 1 smallest ids can be among the nearest
@@ -243,6 +243,17 @@ def _search(k: int, ef: int) -> Callable:
     return run
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares leave the range of doubles, from coordinates scaled by the greatest of them."""
+    with np.errstate(over="ignore", under="ignore"):
+        diff = x - q
+        d = np.sqrt((diff**2).sum(1))
+        most = np.abs(diff).max(1, initial=0)
+        odd = np.flatnonzero(((d < 1e-140) | ~np.isfinite(d)) & (most > 0) & np.isfinite(most))
+        d[odd] = most[odd] * np.sqrt(((diff[odd] / most[odd, None]) ** 2).sum(1))
+    return d
+
+
 def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, dim, v) of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")

@@ -76,3 +76,11 @@ def test_whole_table(spark, sf):
     got = collect(H.op4_hnsw(spark, sf))
     want = exact(ids, x, [i for i in ids if i % 100 == 0])
     assert set(got) == set(want) and recall(got, want) > 0.95
+
+
+def test_far_and_near_beyond_squares(spark):
+    """Distances whose squares leave the range of doubles, and columns named like the operator's own."""
+    big = spark.createDataFrame([(0, [1e200, 0.0], 1, 2), (1, [1e-200, 0.0], 1, 2), (2, [0.0, 3e-200], 1, 2), (3, [4e-200, 3e-200], 1, 2)], "vec_id long, embedding array<double>, rank int, dim int")
+    got = {(r.query_id, r.vec_id): r.score for r in H.nearest(H.build_index(big), big).collect()}
+    assert got[0, 1] == 1e200 and abs(got[1, 2] / 1e-200 - 10**0.5) < 1e-12 and abs(got[2, 3] / 4e-200 - 1) < 1e-12
+    assert H.nearest(H.build_index(big), big).columns == ["query_id", "rank", "vec_id", "score"]
