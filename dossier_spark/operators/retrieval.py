@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier_spark.functions import text as X
 from dossier_spark.sources.files import written
 
+from . import blockmax
+
 SIZE, OVERLAP, K1, B = 1200, 200, 1.5, 0.75
 QUERY_BLOCK = 1 << 20  # query terms in one broadcast: some 50 bytes each
+CHUNK_BLOCK = 512  # chunks packed together
 
 
 def path_allowed(path: Column, include: Column, exclude: Column) -> Column:
@@ -69,47 +74,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(chunked: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
-    """(client_id, query_id, path, page, chunk_no, score) of chunks that share a term with a query (A4).
+def _blocks(terms: DataFrame, block: int) -> Iterator[DataFrame]:
+    """The query terms in blocks of about `block` rows, a query whole in one."""
+    blocks = max(1, -(-terms.count() // block))
+    for i in range(blocks):
+        yield terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+
+
+def _search(chunked: DataFrame, queries: DataFrame, k: int | None, k1: float, b: float, block: int, size: int) -> DataFrame:
+    terms = written(query_terms(queries), "terms")
+    tokenised = chunk_tokens(chunked)
+    out = None
+    for some in _blocks(terms, block):
+        found = blockmax.scored(chunked.sparkSession, tokenised, some, k, k1, b, size)
+        out = found if out is None else out.unionByName(found)
+    return out
+
 
-    The texts are chunked and tokenised once, into a written table; postings, document frequencies and lengths are taken
-    from it. Only tokens of the query vocabulary become postings. These stay where their chunk is: the query terms come to
-    them, broadcast in blocks of `block` rows however many queries there are, so no shuffle is keyed by a term, common or
-    not, and a chunk's score is summed in the task that holds it.
+def bm25(chunked: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, block: int = QUERY_BLOCK, size: int = CHUNK_BLOCK) -> DataFrame:
+    """(client_id, query_id, path, page, chunk_no, score) of all chunks that share a term with a query (A4).
+
+    Chunks are tokenised and packed into blocks where they lie, and each block is scored by itself. What is shuffled are
+    document frequencies, one row a block and query term, and the weights of the query terms, one row a client; no postings.
+    Query terms are broadcast, in blocks of `block` rows however many queries there are.
     """
-    tok, hits = _hits(chunked, queries, k1, b, block)
-    return hits.join(tok, "cid").select("query_id", *KEY, "score")
+    return _search(chunked, queries, None, k1, b, block, size).select("client_id", "query_id", "path", "page", "chunk_no", "score")
 
 
-def _hits(chunked: DataFrame, queries: DataFrame, k1: float, b: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """The chunks (cid, client_id, path, page, chunk_no), and (cid, query_id, cnum, score) of those that share a term with a query.
-    cid and cnum are numbers of the chunk and its client, fixed once written."""
-    tok = written(chunk_tokens(chunked).select(F.monotonically_increasing_id().alias("cid"), *KEY, "dl", "tokens"), "tokens")
-    stats = written(chunk_stats(tok).withColumn("cnum", F.monotonically_increasing_id()), "clients")
-    terms = written(query_terms(queries), "terms")
-    vocabulary = terms.select("term").distinct()
-    vocabulary = F.broadcast(vocabulary) if (n := terms.count()) <= block else vocabulary
-    numbered = tok.select("cid", "client_id", "dl", "tokens").join(stats.select("client_id", "cnum"), "client_id")
-    exploded = numbered.select("cid", "cnum", "dl", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
-    posts = written(exploded.groupBy("cid", "cnum", "dl", "term").agg(F.count("*").alias("tf")).repartition("cid"), "postings")
-    df = posts.groupBy("cnum", "term").agg(F.count("*").alias("df"))
-    weight = df.join(stats, "cnum").select("cnum", "term", "avgdl", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = posts.join(weight, ["cnum", "term"]).select("cid", "cnum", "term", part.alias("part"))
-    blocks, out = -(-n // block), None
-    for i in range(max(1, blocks)):
-        some = terms if blocks <= 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        hits = weighted.join(F.broadcast(some), "term").groupBy("cid", "query_id").agg(F.min("cnum").alias("cnum"), F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
-        out = hits if out is None else out.unionByName(hits)
-    return tok.select("cid", *KEY), out
-
-
-def best_passages(chunked: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
-    """top_passages() of bm25() without making all its rows: each task first keeps what ranks within k by score, ties
-    included, and only these are given their paths (W3)."""
-    tok, hits = _hits(chunked, queries, k1, b, block)
-    near = hits.filter("score > 0").withColumn("_r", F.rank().over(Window.partitionBy("cnum", "query_id").orderBy(F.desc("score")))).filter(F.col("_r") <= k)
-    return top_passages(near.join(tok, "cid").select("query_id", *KEY, "score"), k)
+def best_passages(chunked: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, block: int = QUERY_BLOCK, size: int = CHUNK_BLOCK) -> DataFrame:
+    """top_passages() of bm25() without making its rows: thresholds from one block of each client let the others pass over what
+    cannot be among the k best; a block sends at most k rows a query, ties cut in chunk order (W3, J13)."""
+    return top_passages(_search(chunked, queries, k, k1, b, block, size).select("client_id", "query_id", "path", "page", "chunk_no", "score"), k)
 
 
 def top_passages(scored: DataFrame, k: int) -> DataFrame:
