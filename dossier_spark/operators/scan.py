@@ -255,7 +255,7 @@ def search_key(c: Column) -> Column:
 
 def find_clients(names: list[str], folders: DataFrame, col: str = "name", least: float = 0.3, n: int | None = 10) -> DataFrame:
     """The n folders of best fuzzy score for each asked name, all if n is None (N14, J17, F7, T1): sequence ratio and bonuses, at most 1.
-    The bonuses are columns; Python takes the ratio of those that can still reach `least`, as two lengths bound it. The
+    The bonuses are columns; Python takes the ratio of those that can still reach `least`, by the letters that both have. The
     names are what a user typed: a short list, kept in the plan."""
 
     @F.pandas_udf("double")
@@ -264,9 +264,7 @@ def find_clients(names: list[str], folders: DataFrame, col: str = "name", least:
 
     f = folders.select(F.col(col).alias("folder")).distinct().select("folder", F.explode(F.array(*map(F.lit, names))).alias("asked"))
     f = f.withColumn("_a", search_key(F.col("asked"))).withColumn("_f", search_key(F.col("folder"))).withColumn("_b", bonus(F.col("_a"), F.col("_f")))
-    long = F.length("_a") + F.length("_f")
-    most = F.when(long == 0, F.lit(1.0)).otherwise(2 * F.least(F.length("_a"), F.length("_f")) / long)
-    f = f.filter(most + F.col("_b") >= least).withColumn("score", F.least(F.lit(1.0), ratios("_a", "_f") + F.col("_b"))).filter(F.col("score") >= least).drop("_a", "_f", "_b")
+    f = f.filter(X.most_alike(F.col("_a"), F.col("_f")) + F.col("_b") >= least).withColumn("score", F.least(F.lit(1.0), ratios("_a", "_f") + F.col("_b"))).filter(F.col("score") >= least).drop("_a", "_f", "_b")
     w = Window.partitionBy("asked").orderBy(F.desc("score"), "folder")
     return f if n is None else f.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 

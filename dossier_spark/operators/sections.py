@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
+from operator import or_
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dossier_spark.functions import text as X
 
+BOUNDED_ANCHORS = 64  # anchors whose common letters with a title are counted before the sequence ratio
 CONFIDENCE = {"exact": 1.0, "contains": 0.9, "regex": 0.85}
 # Generic document titles, which stay unmapped.
 GENERIC_TITLES = (r"^BILAN\s+D['’]ORIENTATION", r"^RAPPORT\s+D['’]ORIENTATION", r"^DOCUMENT\s+D['’]ORIENTATION", r"^BILAN\s+PROFESSIONNEL")
@@ -191,7 +194,13 @@ def map_titles(segs: DataFrame, rules: Ruleset) -> DataFrame:
     m = segs.withColumn("_m", F.when(~ignored_title(F.col("title"), rules), match_title(F.col("title"), rules)))
     if "fuzzy" not in rules.method_order:
         return m.select(*segs.columns, "_m.section_id", "_m.method", F.coalesce("_m.confidence", F.lit(0.0)).alias("confidence"))
-    m = m.withColumn("_f", fuzzy_matcher(rules)(F.when(F.col("_m").isNull() & ~ignored_title(F.col("title"), rules), F.col("title"))))
+    names = [p.lower() for _, kind, p in rules.anchors if kind in ("exact", "contains")]
+    n = F.length("title")
+    if len(names) <= BOUNDED_ANCHORS:
+        near = reduce(or_, [X.most_alike(F.lower("title"), F.lit(a)) >= rules.fuzzy_threshold for a in names], F.lit(False))
+    else:  # by lengths alone: letter counts of so many anchors cost more than they save
+        near = F.exists(F.lit(sorted({len(a) for a in names})), lambda a: 2 * F.least(n, a) >= rules.fuzzy_threshold * (n + a))
+    m = m.withColumn("_f", fuzzy_matcher(rules)(F.when(F.col("_m").isNull() & ~ignored_title(F.col("title"), rules) & near, F.col("title"))))
     fuzzy = F.when(F.col("_f.section_id").isNotNull(), F.lit("fuzzy"))
     return m.select(*segs.columns, F.coalesce("_m.section_id", "_f.section_id").alias("section_id"), F.coalesce("_m.method", fuzzy).alias("method"), F.coalesce("_m.confidence", "_f.confidence", F.lit(0.0)).alias("confidence"))
 

@@ -78,3 +78,13 @@ pieces as (select doc_id, client_id, path, i, {STRIP.format("substr(t, i * 1000
   from (select *, unnest(range(0, case when length(t) <= 1200 then 1 else cast(1 + ceil((length(t) - 1200) / 1000.0) as bigint) end)) as i from norm)),
 chunks as (select doc_id, client_id, path, row_number() over (partition by path order by i) - 1 as chunk_no, chunk from pieces where chunk <> '')
 """
+# The longest common block of a and b, as 10000 times its length plus 9999 less its first place in a; then the same to its
+# left and its right. `pairs` has a and b.
+BLOCK = "list_max(flatten([[k * 10000 + 9999 - i for k in range(1, length(a) - i + 2) if contains(b, substr(a, i, k))] for i in range(1, length(a) + 1)]))"
+ALIKE_SQL = f"""
+blocks as (select a as x, b as y, a, b, {BLOCK} as m from (select distinct a, b from pairs)
+  union all select x, y, a, b, {BLOCK} as m from (
+    select x, y, case s when 1 then substr(a, 1, i - 1) else substr(a, i + k) end as a, case s when 1 then substr(b, 1, j - 1) else substr(b, j + k) end as b
+    from (select *, instr(b, substr(a, i, k)) as j from (select *, m // 10000 as k, 9999 - m % 10000 as i from blocks where m is not null)), (values (1), (2)) sides(s)) where a <> '' and b <> ''),
+alike as (select x as a, y as b, case when length(x) + length(y) = 0 then 1.0::double else 2.0::double * coalesce(sum(m // 10000), 0)::double / (length(x) + length(y))::double end as ratio from blocks group by x, y)
+"""

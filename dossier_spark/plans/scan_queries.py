@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dossier_spark.operators import scan as S
 from dossier_spark.sources.files import write_json
 
-from .base import FILES_SQL, files, place, query, table
+from .base import ALIKE_SQL, FILES_SQL, files, place, query, table
 
 SCAN = f"""with {FILES_SQL},
 roled as (select *, case when folder = '' then null else ['01_personnel', '02_cv', '03_tests', '04_stages', '05_mesures', '06_rapport', '07_suivi'][doc_id % 8 + 1] end as role,
@@ -195,23 +195,33 @@ def slugs(spark, sf):
     return S.best_slug(["Customer#000000007", "000000012", "customer 9", "zz"], table(spark, sf, "customer"), "c_name")
 
 
-@query("J17")
+def alike(asked: list[str], table_name: str, col: str) -> str:
+    """SQL up to `scored`: (asked, folder, score) of every asked name and folder."""
+    bonus = "case when contains(b, a) then 0.3::double else 0.0::double end + case when starts_with(b, a) then 0.2::double else 0.0::double end + case when len(string_split(trim(a), ' ')) > 0 and trim(a) <> '' and list_has_all(regexp_split_to_array(trim(b), '\\s+'), regexp_split_to_array(trim(a), '\\s+')) then 0.3::double else 0.0::double end"
+    return f"""with recursive pairs as (select asked, folder, strip_accents(lower(asked)) as a, strip_accents(lower(folder)) as b from (select distinct {col} as folder from {table_name}), (select unnest({asked!r}) as asked)),
+  {ALIKE_SQL}, scored as (select asked, folder, least(1.0::double, ratio + ({bonus})) as score from pairs join alike using (a, b))"""
+
+
+CLIENTS, EXACTLY, FEW, GOODS = ["customer 12", "Customer#000000100", "suplier"], ["Customer#000000010", "costumer 44", "CUSTOMER#00000010"], ["supplier 1", "Supplier#000000003"], ["antique puff", "steel", "Lime"]
+BEST = "select *, row_number() over (partition by asked order by score desc, folder) as rank from scored where score >= 0.3"
+
+
+@query("J17", alike(CLIENTS, "customer", "c_name") + f"select asked, folder, rank, round(score, 6) as score from ({BEST}) where rank <= 10")
 def names(spark, sf):
-    """Fuzzy name search: sequence ratio, so no SQL; tests/test_scan.py has a plain version."""
-    return S.find_clients(["customer 12", "Customer#000000100", "suplier"], table(spark, sf, "customer"), "c_name").select("asked", "folder", "rank", F.round("score", 6).alias("score"))
+    return S.find_clients(CLIENTS, table(spark, sf, "customer"), "c_name").select("asked", "folder", "rank", F.round("score", 6).alias("score"))
 
 
-@query("F7")
+@query("F7", alike(EXACTLY, "customer", "c_name") + "select asked, case when max(score) >= 0.95 then arg_min(folder, (-score, folder)) end as folder, round(max(score), 6) as score, count(*) as matches from scored where score >= 0.9 group by 1")
 def exact_match(spark, sf):
     """The exact search: 0.9 or more counts, 0.95 or more is accepted."""
-    return S.find_client(["Customer#000000010", "costumer 44", "CUSTOMER#00000010"], table(spark, sf, "customer"), "c_name", exact=True).select("asked", "folder", F.round("score", 6).alias("score"), "matches")
+    return S.find_client(EXACTLY, table(spark, sf, "customer"), "c_name", exact=True).select("asked", "folder", F.round("score", 6).alias("score"), "matches")
 
 
-@query("T1")
+@query("T1", alike(FEW, "supplier", "s_name") + f"select asked, folder, rank from ({BEST}) where rank <= 3")
 def first_few(spark, sf):
-    return S.find_clients(["supplier 1", "Supplier#000000003"], table(spark, sf, "supplier"), "s_name", n=3).select("asked", "folder", "rank")
+    return S.find_clients(FEW, table(spark, sf, "supplier"), "s_name", n=3).select("asked", "folder", "rank")
 
 
-@query("N14")
+@query("N14", alike(GOODS, "part", "p_name") + "select asked, folder, round(score, 6) as score from scored")
 def fuzzy_scores(spark, sf):
-    return S.find_clients(["antique puff", "steel", "Lime"], table(spark, sf, "part"), "p_name", least=0.0, n=None).select("asked", "folder", F.round("score", 6).alias("score"))
+    return S.find_clients(GOODS, table(spark, sf, "part"), "p_name", least=0.0, n=None).select("asked", "folder", F.round("score", 6).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dossier_spark.operators import sections as S
 from dossier_spark.sources.files import write_csv, write_json
 
-from .base import LINES_SQL, STRIP, lines, place, query, table
+from .base import ALIKE_SQL, LINES_SQL, STRIP, lines, place, query, table
 
 # A small ruleset whose anchors are words of the data.
 RULES = S.Ruleset(
@@ -135,9 +135,12 @@ def cascade(spark, sf):
     return mapped(spark, sf).select("doc_id", "seg_no", "section_id", "confidence")
 
 
-@query("J4")
+@query("J4", f"""with recursive pairs as (select lower(t) as a, b from (select distinct p_name as t from part), (values ('lime almond forest'), ('spring green')) v(b)), {ALIKE_SQL},
+  near as (select a, case arg_max(b, (ratio, b = 'lime almond forest')) when 'lime almond forest' then 'a' else 'b' end as section_id, max(ratio) as confidence from alike where ratio >= 0.5 group by a)
+  select p_partkey as doc_id, p_name as title, case when lower(p_name) = 'lime almond forest' then 'a' when contains(lower(p_name), 'spring green') then 'b' else section_id end as section_id,
+    round(case when lower(p_name) = 'lime almond forest' then 1.0::double when contains(lower(p_name), 'spring green') then 0.9::double else coalesce(confidence, 0.0::double) end, 6) as confidence from part left join near on lower(p_name) = a""")
 def fuzzy(spark, sf):
-    """Titles of parts against a few names: sequence ratio, so no SQL."""
+    """Titles of parts against a few names."""
     rules = S.Ruleset((("a", True, 1.0, "copy"), ("b", False, 1.0, "copy")), (("a", "exact", "lime almond forest"), ("b", "contains", "spring green")), method_order=("exact", "contains", "fuzzy"), fuzzy_threshold=0.5)
     t = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"))
     return S.map_titles(t, rules).select("doc_id", "title", "section_id", F.round("confidence", 6).alias("confidence"))
