@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import carried, spread_by_order
+
+SEEN = ("status", "message", "version")
 # Queue states and the states that users see.
 STATUS = {"queued": "pending", "deferred": "pending", "scheduled": "pending", "started": "extracting", "finished": "completed", "failed": "failed", "stopped": "failed", "canceled": "failed"}
 
@@ -23,10 +26,17 @@ def current(events: DataFrame) -> DataFrame:
 
 
 def changes(events: DataFrame) -> DataFrame:
-    """Events whose status or message differ from the job's previous one (W10, ST4)."""
-    w = Window.partitionBy("job_id").orderBy("ts", "seq")
-    seen = events.withColumn("first", F.row_number().over(w) == 1).withColumn("s", F.lag("status").over(w)).withColumn("m", F.lag("message").over(w))
-    return seen.filter(F.col("first") | ~F.col("status").eqNullSafe(F.col("s")) | ~F.col("message").eqNullSafe(F.col("m"))).drop("first", "s", "m")
+    """The events that change what a watcher of the job sees, with the state after them: (job_id, ts, seq, status, message,
+    version) (W10, ST4).
+
+    An event is a partial update: null columns, and an empty message, leave what is known. It is a change if its message,
+    version or status is given and differs from the last one known of the job. events: job_id, ts, seq, status, message, version.
+    """
+    order = ["ts", "seq"]
+    e = spread_by_order(events.select("job_id", *order, "status", F.nullif("message", F.lit("")).alias("message"), "version"), "job_id", order)
+    known = carried(e, "job_id", order, {f"last_{c}": F.col(c) for c in SEEN})
+    new = [F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"last_{c}")) for c in SEEN]
+    return known.filter(new[0] | new[1] | new[2]).select("job_id", *order, *[F.coalesce(c, f"last_{c}").alias(c) for c in SEEN])
 
 
 def field_stages(events: DataFrame) -> DataFrame:

@@ -243,15 +243,17 @@ def overridden(spark, sf):
 
 # ---------------------------------------------------------------- job events
 
-EV = "ev as (select user_id::varchar as job_id, ts, event_id as seq, event_type as status, case when event_id % 3 = 0 then 'm' || event_id % 7 end as message, case when event_id % 2 = 0 then event_id % 100 end as progress from events)"
+EV = "ev as (select user_id::varchar as job_id, ts, event_id as seq, event_type as status, case when event_id % 3 = 0 then 'm' || event_id % 7 end as message, case when event_id % 2 = 0 then event_id % 100 end as progress, case when event_id % 4 = 0 then event_id // 50 end as version from events)"
 
 
 def events(df: DataFrame) -> DataFrame:
-    return df.selectExpr("cast(user_id as string) as job_id", "cast(ts as timestamp) as ts", "event_id as seq", "event_type as status", "case when event_id % 3 = 0 then concat('m', event_id % 7) end as message", "case when event_id % 2 = 0 then event_id % 100 end as progress")
+    return df.selectExpr("cast(user_id as string) as job_id", "cast(ts as timestamp) as ts", "event_id as seq", "event_type as status", "case when event_id % 3 = 0 then concat('m', event_id % 7) end as message", "case when event_id % 2 = 0 then event_id % 100 end as progress", "case when event_id % 4 = 0 then event_id div 50 end as version")
 
 
 LATEST = f"with {EV} select job_id, arg_max(status, (ts, seq)) as status, arg_max(message, (ts, seq)) filter (where message is not null) as message, arg_max(progress, (ts, seq)) filter (where progress is not null) as progress from ev group by 1"
-CHANGED = f"with {EV} select job_id, seq, status, message from (select *, row_number() over w as r, lag(status) over w as s, lag(message) over w as m from ev window w as (partition by job_id order by ts, seq)) where r = 1 or status is distinct from s or message is distinct from m"
+PRIOR = ", ".join(f"last_value({c} ignore nulls) over (partition by job_id order by ts, seq rows between unbounded preceding and 1 preceding) as last_{c}" for c in J.SEEN)
+CHANGED = f"""with {EV} select job_id, seq, coalesce(status, last_status) as status, coalesce(message, last_message) as message, coalesce(version, last_version) as version from (select *, {PRIOR} from ev)
+  where (status is not null and status is distinct from last_status) or (message <> '' and message is distinct from last_message) or (version is not null and version is distinct from last_version)"""
 
 
 @query("W9", LATEST)
@@ -261,7 +263,7 @@ def latest(spark, sf):
 
 @query("W10", CHANGED)
 def changed(spark, sf):
-    return J.changes(events(table(spark, sf, "events"))).select("job_id", "seq", "status", "message")
+    return J.changes(events(table(spark, sf, "events"))).select("job_id", "seq", "status", "message", "version")
 
 
 STG = "st as (select user_id::varchar as job_id, 'f' || event_id % 5 as field_key, event_id as seq, 'label ' || event_id % 3 as label, case event_id % 4 when 0 then 'done' when 1 then 'error' when 2 then 'warning' else 'running' end as stage from events), g as (select job_id, field_key, min(seq) as first_seq, arg_min(label, seq) as label, arg_max(stage, seq) as stage from st group by 1, 2)"
@@ -329,7 +331,7 @@ def live_state(spark, sf):
 
 @query("ST4", CHANGED)
 def live_changes(spark, sf):
-    return drained(spark, stream.change_feed(events(event_stream(spark, sf))), "append", "job_id string, ts timestamp, seq long, status string, message string").select("job_id", "seq", "status", "message")
+    return drained(spark, stream.change_feed(events(event_stream(spark, sf))), "append", stream.FEED).select("job_id", "seq", "status", "message", "version")
 
 
 @query("ST2", "select user_id || '/' || event_type as path, 1::bigint as n from events group by 1")

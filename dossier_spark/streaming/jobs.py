@@ -10,58 +10,91 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dossier_spark.operators.transcripts import CLOSE_AFTER, GAP
 
-STATE = "job_id string, status string, message string, progress long, updated_at timestamp"
+STATE = "job_id string, status string, message string, progress long, version long, updated_at timestamp"
+FEED = "job_id string, ts timestamp, seq long, status string, message string, version long"
+KNOWN = ("status", "message", "progress", "version")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def current_state(events: DataFrame, expire: str = "24 hours") -> DataFrame:
-    """Current state of each job, in update mode; partial updates keep the other columns, late ones are ignored (ST1)."""
-    ms = int(pd.Timedelta(expire).total_seconds() * 1000)
+class JobState(StatefulProcessor):
+    """What is known of a job: a map of its columns' latest values and when it was last updated, both gone `expire` after the last
+    update. feed says whether the events that change something are returned, or the state after a batch."""
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, expire: str, feed: bool):
+        self.ms, self.feed = int(pd.Timedelta(expire).total_seconds() * 1000), feed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getMapState("known", "name string", "value string")
+        self.last = handle.getValueState("last", "at long, seq long, due long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        new["message"] = new["message"].where(new["message"] != "", None)
+        at, seq, due = self.last.get() if self.last.exists() else (-1, -1, 0)
+        micros = new["ts"].astype("datetime64[us]").astype("int64")
+        new = new[(micros > at) | ((micros == at) & (new["seq"] > seq))]  # what is late changes nothing
+        if new.empty:
             return
-        at, seq, status, message, progress = state.get if state.exists else (0, -1, None, None, None)
-        for pdf in pdfs:
-            for r in pdf.sort_values(["ts", "seq"]).itertuples():
-                t = r.ts.value // 1000
-                if (t, r.seq) < (at, seq):
-                    continue
-                at, seq, status = t, r.seq, r.status
-                message = message if pd.isna(r.message) else r.message
-                progress = progress if pd.isna(r.progress) else int(r.progress)
-        state.update((at, int(seq), status, message, progress))
-        state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + ms)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "message": [message], "progress": pd.array([progress], dtype="Int64"), "updated_at": [pd.Timestamp(at * 1000)]})
+        before = {c: self.known.getValue((c,))[0] if self.known.containsKey((c,)) else None for c in KNOWN}
+        kinds = {c: "Int64" if c in ("progress", "version") else object for c in KNOWN}
+        told = pd.DataFrame({c: new[c].astype(kinds[c]) for c in KNOWN})
+        first = pd.DataFrame({c: pd.array([None if before[c] is None else int(before[c]) if kinds[c] == "Int64" else before[c]], dtype=kinds[c]) for c in KNOWN})
+        state = pd.concat([first, told], ignore_index=True).ffill()
+        for c in KNOWN:
+            v = state[c].iloc[-1]
+            if not pd.isna(v):
+                self.known.updateValue((c,), (str(v),))
+        at, seq = int(new["ts"].iloc[-1].value // 1000), int(new["seq"].iloc[-1])
+        if due:
+            self.handle.deleteTimer(due)
+        due = max(at // 1000, timerValues.getCurrentWatermarkInMs()) + self.ms
+        self.handle.registerTimer(due)
+        self.last.update((at, seq, due))
+        if not self.feed:
+            yield pd.DataFrame({"job_id": [key[0]], **{c: pd.array([state[c].iloc[-1]], dtype=kinds[c]) for c in KNOWN}, "updated_at": [new["ts"].iloc[-1]]})
+            return
+        after, was = state.iloc[1:].reset_index(drop=True), state.iloc[:-1].reset_index(drop=True)
+        told = told.reset_index(drop=True)
+        changed = pd.Series(False, index=told.index)
+        for c in ("status", "message", "version"):
+            changed |= told[c].notna() & (was[c].isna() | (told[c] != was[c]).fillna(True).astype(bool))
+        out = pd.DataFrame({"job_id": key[0], "ts": new["ts"].to_numpy(), "seq": new["seq"].to_numpy(), "status": after["status"], "message": after["message"], "version": after["version"]})
+        yield out[changed]
 
-    stored = "at long, seq long, status string, message string, progress long"
-    return events.withWatermark("ts", expire).groupBy("job_id").applyInPandasWithState(step, STATE, stored, "update", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for c in KNOWN:
+            self.known.removeKey((c,))
+        self.last.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-def change_feed(events: DataFrame, expire: str = "24 hours") -> DataFrame:
-    """Events whose status or message differ from the job's previous one, in arrival order of (ts, seq) (ST4)."""
-    ms = int(pd.Timedelta(expire).total_seconds() * 1000)
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, status, message = state.get if state.exists else (False, None, None)
-        rows, last = [], 0
-        for r in pd.concat(list(pdfs)).sort_values(["ts", "seq"]).itertuples():
-            m = None if pd.isna(r.message) else r.message
-            if not seen or (r.status, m) != (status, message):
-                rows.append((key[0], r.ts, r.seq, r.status, m))
-            seen, status, message, last = True, r.status, m, r.ts.value // 1_000_000
-        state.update((seen, status, message))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ms)
-        yield pd.DataFrame(rows, columns=["job_id", "ts", "seq", "status", "message"])
-
-    return events.withWatermark("ts", expire).groupBy("job_id").applyInPandasWithState(step, "job_id string, ts timestamp, seq long, status string, message string", "seen boolean, status string, message string", "append", GroupStateTimeout.EventTimeTimeout)
+def _followed(events: DataFrame, expire: str, feed: bool, schema: str, mode: str) -> DataFrame:
+    """Job events through JobState. Its state store must be one that keeps several states a key."""
+    spark = events.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    e = events.select("job_id", "ts", "seq", *KNOWN).withWatermark("ts", expire)
+    return e.groupBy("job_id").transformWithStateInPandas(JobState(expire, feed), schema, mode, "EventTime")
+
+
+def current_state(events: DataFrame, expire: str = "24 hours") -> DataFrame:
+    """State of each job after each batch that has news of it, in update mode; partial updates keep the other columns, late ones
+    are ignored, and `expire` after its last update a job is forgotten (ST1). events: job_id, ts, seq, status, message, progress, version."""
+    return _followed(events, expire, False, STATE, "update")
+
+
+def change_feed(events: DataFrame, expire: str = "24 hours") -> DataFrame:
+    """The events that change a job's status, message or version, with its state after them (ST4); as operators.jobs.changes."""
+    return _followed(events, expire, True, FEED, "append")
 
 
 def transcript_windows(segments: DataFrame, close_after: float = CLOSE_AFTER, gap: float = GAP, idle: str = "10 minutes") -> DataFrame:
