@@ -68,9 +68,19 @@ def robust(c: Column) -> Column:
     return collapse(F.regexp_replace(fold(c), r"[^\p{L}\p{N}_\s]+", " "))
 
 
-def title(c: Column) -> Column:
-    """Trimmed, one space between words, no colons at the end."""
-    return strip(F.regexp_replace(collapse(F.replace(c, F.lit(" "), F.lit(" "))), r":+$", ""))
+# What a ruleset's normalisation does unless it says otherwise.
+NORMALIZE = {"trim": True, "collapse_whitespace": True, "strip_trailing_colon": True, "uppercase": False, "remove_nbsp": True}
+
+
+def title(c: Column, switches: dict[str, bool] | None = None) -> Column:
+    """A title by the switches of a ruleset, in their order; by default trimmed, one space between words, no colons at the end
+    (N6). A switch that is absent is off."""
+    on = (NORMALIZE if switches is None else switches).get
+    t = strip(c) if on("trim") else c
+    t = F.regexp_replace(t, r"(?U)\s+", " ") if on("collapse_whitespace") else t
+    t = strip(F.regexp_replace(t, ":+$", "")) if on("strip_trailing_colon") else t
+    t = F.upper(t) if on("uppercase") else t
+    return F.replace(t, F.lit("\u00a0"), F.lit(" ")) if on("remove_nbsp") else t
 
 
 def slug_words(c: Column) -> Column:
@@ -209,17 +219,19 @@ def fill(template: Column, markers: Column) -> Column:
 
 
 def person(name: Column) -> Column:
-    """(surname, first_name) of a folder name: its first word and the rest."""
-    parts = F.split(collapse(name), " ")
-    return F.struct(F.try_element_at(parts, F.lit(1)).alias("surname"), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), " ").alias("first_name"))
+    """(surname, first_name) of a folder name: its first word and the rest; neither of a name of one word."""
+    parts = F.filter(F.split(name, r"(?U)\s+"), lambda p: p != "")
+    two = F.size(parts) >= 2
+    return F.struct(F.when(two, parts[0]).alias("surname"), F.when(two, F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), " ")).alias("first_name"))
 
 
 def requested_name(sentence: Column, default: str) -> Column:
-    """The name in a request for a placement report: what follows the last 'de ' (N31)."""
+    """The name in a request for a placement report: what follows the last 'de ', in any case, without spaces and punctuation
+    around it; the default where no name follows, null where nothing is asked (N31)."""
     low = F.lower(sentence)
-    name = strip(F.substring_index(sentence, "de ", -1))
-    asks = low.contains("rapport") & low.contains("stage") & sentence.contains("de ")
-    return F.when(asks & (name != ""), name).otherwise(F.lit(default))
+    n = F.length(F.substring_index(low, "de ", -1))
+    name = F.when(low.contains("de ") & (n > 0), F.btrim(F.right(sentence, n), F.lit(" .!?\"'")))
+    return F.when(low.contains("rapport") & low.contains("stage"), F.coalesce(F.nullif(name, F.lit("")), F.lit(default)))
 
 
 def most_alike(a: Column, b: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from dossier_spark.functions import text as X
 from dossier_spark.sources.files import written
@@ -119,21 +121,46 @@ def retry_passages(top: DataFrame) -> DataFrame:
     return top.withColumn("n", n).filter(F.col("rank") <= F.greatest(F.lit(3), F.floor(F.col("n") / 2))).drop("n")
 
 
-def prompts(top: DataFrame, chunked: DataFrame, fields: DataFrame, width: int = 500) -> DataFrame:
-    """One prompt for each client and query: rules, format, allowed values, numbered passages.
-
-    fields: query_id, label, max_lines, allowed (array or null).
+# The texts of a prompt.
+PROMPT_RULES = (
+    "Tu es un assistant RH.",
+    "Tu réponds uniquement en français.",
+    "Tu n'utilises jamais JSON ni Markdown.",
+    "Interdit d'écrire des placeholders ({{...}}, {...}, XX, NAME, surname).",
+    "Interdit d'écrire 'source 1', 'source 2' ou '(source X)' dans la réponse.",
+    "Ne répète jamais un titre/label déjà présent dans le template : fournis uniquement le contenu sous le titre.",
+    "Ponctuation : pas de '::'. Un seul ':' maximum par ligne.",
+    "Si l'information n'existe pas dans les sources : écris __VIDE__.",
+)
+ONE_LINE, FEW_LINES = "Réponds en 1 ligne.", "Maximum 4 lignes courtes."
+SOURCES = "Sources autorisées :"
+NO_PASSAGE = "Aucun passage pertinent n'a été trouvé. Réponds __VIDE__."
+ANSWER_NOW = "Réponds maintenant en texte brut. Pas de liste Markdown, pas de titre."
+
+
+def prompts(top: DataFrame, chunked: DataFrame, fields: DataFrame, clients: DataFrame, width: int = 500) -> DataFrame:
+    """(client_id, query_id, prompt) for each client and field: the rules, format, allowed values, key and instruction, then the
+    numbered passages, or that there are none (N26).
+
+    fields: query_id, key, instruction, max_lines, allowed (array or null): those of a template, a short list that is kept in the
+    plan. clients: client_id.
     """
     flat = X.collapse(F.col("chunk"))
     shown = F.when(F.length(flat) > width, F.concat(F.substring(flat, 1, width), F.lit("…"))).otherwise(flat)
-    piece = F.format_string("[%d] %s%s\n%s", F.col("rank"), F.element_at(F.split("path", "/"), -1), F.when(F.col("page").isNull(), "").otherwise(F.format_string(" p.%d", "page")), shown)
+    piece = F.format_string("[%d] %s%s : %s", F.col("rank"), F.element_at(F.split("path", "/"), -1), F.when(F.col("page").isNull(), "").otherwise(F.format_string(" (p.%d)", "page")), shown)
     # page may be null, so the key is joined null-safely
     c = chunked.select(*[F.col(k).alias("c_" + k) for k in KEY], "chunk")
     same = [top[k].eqNullSafe(c["c_" + k]) if k == "page" else top[k] == c["c_" + k] for k in KEY]
-    got = top.join(c, same).groupBy("client_id", "query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n\n").alias("passages"))
-    form = F.when(F.col("max_lines") <= 1, F.lit("One line.")).otherwise(F.format_string("At most %d lines.", "max_lines"))
-    allowed = F.when(F.col("allowed").isNull() | (F.size("allowed") == 0), F.lit("")).otherwise(F.concat(F.lit("\nOne of: "), F.array_join("allowed", ", ")))
-    return got.join(fields, "query_id").select("client_id", "query_id", F.concat(F.lit("Answer from the passages only.\nField: "), F.col("label"), F.lit("\nFormat: "), form, allowed, F.lit("\n\n"), F.col("passages")).alias("prompt"))
+    got = top.join(c, same).groupBy("client_id", "query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n").alias("passages"))  # k a group
+    listed = fields.select("query_id", "key", "instruction", "max_lines", "allowed").collect()
+    kinds = fields.select("query_id", "key", "instruction", "max_lines", "allowed").schema
+    one = F.from_json(F.lit(json.dumps([r.asDict() for r in listed], default=str)), ArrayType(kinds))
+    asked = clients.select("client_id").distinct().select("client_id", F.inline(one))
+    form = F.when(F.col("max_lines") == 1, F.lit(ONE_LINE)).otherwise(F.lit(FEW_LINES))
+    allowed = F.when(F.size("allowed") > 0, F.concat(F.lit("\nChoisis uniquement parmi : "), F.array_join("allowed", ", "), F.lit("."))).otherwise(F.lit(""))
+    given = F.coalesce(F.concat(F.lit(SOURCES + "\n"), F.col("passages")), F.lit(NO_PASSAGE))
+    text = F.concat(F.lit("\n".join(PROMPT_RULES) + "\n"), form, allowed, F.lit("\n\nChamp : "), F.col("key"), F.lit("\nConsigne : "), F.col("instruction"), F.lit("\n"), given, F.lit("\n\n" + ANSWER_NOW))
+    return asked.join(got, ["client_id", "query_id"], "left").select("client_id", "query_id", text.alias("prompt"))
 
 
 def context_export(top: DataFrame, chunked: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -115,8 +115,8 @@ def scan(files: DataFrame, spark: SparkSession) -> DataFrame:
     c = c.withColumn("gold", F.col("g.o.path")).withColumn("score", F.when(tier == 3, F.lit(0.5)).otherwise(F.col("g.score"))).withColumn("critical", critical)
     notes = F.array_compact(
         F.array(
-            F.when(F.col("gold").isNull(), F.lit("no reference document")).when(F.col("score") < 0.5, F.lit("weak reference document")),
-            F.when(n == 0, F.lit("no sources")).when(n < 3, F.lit("few sources")),
+            F.when(F.col("gold").isNull(), F.lit("no reference document")).when(F.col("score") < 0.5, F.format_string("weak reference document (%.2f)", F.bround("score", 2))),
+            F.when(n == 0, F.lit("no sources")).when(n < 3, F.format_string("few sources (%d)", n)),
             F.when(F.size("critical") > 0, F.concat(F.lit("missing folders: "), F.array_join("critical", ", "))),
         )
     )

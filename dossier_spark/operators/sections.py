@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import difflib
-from functools import reduce
-from operator import or_
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,8 +19,12 @@ BOUNDED_ANCHORS = 64  # anchors whose common letters with a title are counted be
 CONFIDENCE = {"exact": 1.0, "contains": 0.9, "regex": 0.85}
 # Generic document titles, which stay unmapped.
 GENERIC_TITLES = (r"^BILAN\s+D['’]ORIENTATION", r"^RAPPORT\s+D['’]ORIENTATION", r"^DOCUMENT\s+D['’]ORIENTATION", r"^BILAN\s+PROFESSIONNEL")
-NUMBERED = r"(?U)^\s*\d+(\.\d+){1,6}\.?\s+.+$"
-UPPERCASE = r"(?U)^[A-ZÀ-ÖØ-Þ0-9\s'’\-,:]{8,}$"
+# The usual patterns of headings, and how headings are found unless a ruleset says otherwise.
+NUMBERED = r"^\s*\d+(\.\d+){1,6}\.?\s+.+$"
+UPPERCASE = r"^[A-ZÀ-ÖØ-Þ0-9\s'’\-,:]{8,}$"
+HEADINGS = {"by_style": {"enabled": True}, "by_regex": {"enabled": True, "patterns": [{"regex": NUMBERED}, {"regex": UPPERCASE}]}, "by_heuristics": {"enabled": True, "max_length": 90, "prefer_bold": True}}
+MOST_WORDS = 15
+DICTIONARY = 64  # from so many anchors on, exact and contained ones are looked up in a dictionary and an automaton
 # The top level of a normalised document, those of its nodes that hold nodes, and the weights of the key ones.
 TEMPLATE = (
     "identity", "participation_programme", "profession_formation", "tests", "discussion_assure", "competences",
@@ -48,7 +52,8 @@ INLINE = {
 @dataclass(frozen=True)
 class Ruleset:
     """A ruleset as small dimensions. sections: (id, required, weight, fill) in pre-order; anchors: (section id, kind, pattern);
-    weighted: the sections that are missed but not blocking; never_invent: those left empty where nothing was written."""
+    weighted: the sections that are missed but not blocking; never_invent: those left empty where nothing was written; headings
+    and normalize: how headings are found and titles written, with their switches."""
 
     sections: tuple[tuple[str, bool, float, str], ...]
     anchors: tuple[tuple[str, str, str], ...]
@@ -60,6 +65,8 @@ class Ruleset:
     generic_titles: tuple[str, ...] = GENERIC_TITLES
     weighted: tuple[str, ...] = ()
     never_invent: tuple[str, ...] = ()
+    headings: dict[str, dict] = field(default_factory=lambda: HEADINGS)
+    normalize: dict[str, bool] = field(default_factory=lambda: X.NORMALIZE)
 
     def __post_init__(self):
         ids = [s[0] for s in self.sections]
@@ -83,8 +90,12 @@ class Ruleset:
             weighted += [s["id"]] if s.get("weighted") else []
             todo = list(s.get("children", [])) + todo
         match, gate = raw["title_matching"], raw.get("production_gate", {})
-        styles = {s["name"]: s["level"] for s in raw["heading_detection"].get("by_style", {}).get("styles", [])}
-        return cls(tuple(sections), tuple(anchors), styles, tuple(match.get("method_order", ("exact", "contains", "regex", "fuzzy"))), match.get("fuzzy_threshold", 0.84), gate.get("profiles", {}), gate.get("default_profile", "placement_suivi"), weighted=tuple(weighted), never_invent=tuple(raw.get("never_invent", ())))
+        styles: dict[str, int] = {}
+        for s in raw["heading_detection"].get("by_style", {}).get("styles", []):
+            styles.setdefault(s["name"], s["level"])
+        for p in raw["heading_detection"].get("by_regex", {}).get("patterns", []):
+            re.compile(p.get("regex", ""))
+        return cls(tuple(sections), tuple(anchors), styles, tuple(match.get("method_order", ("exact", "contains", "regex", "fuzzy"))), match.get("fuzzy_threshold", 0.84), gate.get("profiles", {}), gate.get("default_profile", "placement_suivi"), weighted=tuple(weighted), never_invent=tuple(raw.get("never_invent", ())), headings=raw["heading_detection"], normalize=raw.get("normalize", {}))
 
     @property
     def required(self) -> list[str]:
@@ -99,16 +110,22 @@ class Ruleset:
 
 
 def heading_level(rules: Ruleset) -> Column:
-    """Level of a heading paragraph (text, style_name, is_bold), null for others: style, then pattern, then short and bold."""
-    t = F.col("text")
-    prefix = X.numbering(t)
-    style = F.lit(None).cast("int")
-    for name, level in rules.styles.items():
-        style = F.coalesce(style, F.when(F.col("style_name") == name, F.lit(level)))
-    pattern = F.when(t.rlike(NUMBERED) | t.rlike(UPPERCASE), F.coalesce(F.regexp_count(prefix, F.lit(r"\.")) + 1, F.lit(1)))
-    s = X.strip(t)
-    short = F.when(F.col("is_bold") & (F.length(t) <= 90) & (F.size(F.split(X.collapse(t), " ")) <= 15) & ~s.endswith("."), F.lit(2))
-    return F.coalesce(style, pattern, short).cast("int")
+    """Level of a heading paragraph (text, style_name, is_bold), null for others: the ruleset's styles, then its patterns, which
+    match from the beginning, then short paragraphs, bold ones if those are preferred (F5). Each part has its switch; a part
+    without one is off."""
+    on = lambda part: rules.headings.get(part, {}).get("enabled", False)
+    t, found = F.col("text"), [F.lit(None).cast("int")]
+    if on("by_style"):
+        found += [F.when(F.col("style_name") == name, F.lit(level)) for name, level in rules.styles.items()]
+    if on("by_regex"):
+        level = F.coalesce(F.regexp_count(X.numbering(t), F.lit(r"\.")) + 1, F.lit(1))
+        found += [F.when(t.rlike(f"(?U)^(?:{p.get('regex', '')})"), level) for p in rules.headings["by_regex"].get("patterns", [])]
+    if on("by_heuristics"):
+        rule = rules.headings["by_heuristics"]
+        sentence = X.strip(t).endswith(".") | (F.size(F.split(X.collapse(t), " ")) > MOST_WORDS)
+        short = (F.length(t) <= rule.get("max_length", 90)) & ~sentence
+        found.append(F.when(short & F.col("is_bold") if rule.get("prefer_bold", True) else short, F.lit(2)))
+    return F.coalesce(*found).cast("int")
 
 
 def segments(paragraphs: DataFrame, rules: Ruleset) -> DataFrame:
@@ -126,7 +143,7 @@ def _segments(paragraphs: DataFrame, rules: Ruleset) -> DataFrame:
     numbered = level.withColumn("seg_no", F.count("level").over(w))
     body = F.array_sort(F.collect_list(F.when(F.col("level").isNull() & (F.col("seg_no") > 0), F.struct("pos", "text"))))
     g = numbered.groupBy("doc_id", "seg_no").agg(F.min_by("text", "pos").alias("raw_title"), F.min_by("level", "pos").alias("level"), F.transform(body, lambda x: x["text"]).alias("paragraphs"))
-    return g.select("doc_id", "seg_no", "raw_title", X.title(F.col("raw_title")).alias("title"), "level", "paragraphs", F.array_join("paragraphs", "\n").alias("content"))
+    return g.select("doc_id", "seg_no", "raw_title", X.title(F.col("raw_title"), rules.normalize).alias("title"), "level", "paragraphs", F.array_join("paragraphs", "\n").alias("content"))
 
 
 # ---------------------------------------------------------------- titles to sections
@@ -137,22 +154,106 @@ def ignored_title(title: Column, rules: Ruleset) -> Column:
     return F.exists(F.array(*[title.rlike("(?iu)" + p) for p in rules.generic_titles]), lambda x: x)
 
 
+def _ranked_anchors(rules: Ruleset, kinds: tuple[str, ...]) -> list[tuple[tuple, str, str]]:
+    """(rank, kind, pattern) of the anchors of these kinds; rank is (method, section, anchor, section id, method name, confidence)."""
+    order = {s[0]: i for i, s in enumerate(rules.sections)}
+    own = [(n, *a) for n, a in enumerate(rules.anchors) if a[1] in kinds and a[1] in rules.method_order]
+    return [((rules.method_order.index(kind), order[section], n, section, kind, CONFIDENCE[kind]), kind, pattern) for n, section, kind, pattern in own]
+
+
+RANK = "struct<method_ord:int,section_ord:int,anchor_ord:int,section_id:string,method:string,confidence:double>"
+
+
+def anchor_lookup(ranked: list[tuple[tuple, str, str]], robust_patterns: list[str]):
+    """The first of many exact and contained anchors that hits a title: exact ones by a dictionary of compared forms, contained
+    ones by one automaton over all of them, so that neither plan nor time grows with their number. The titles come as
+    (lower-cased, compared form)."""
+    exact: dict[str, tuple] = {}
+    for (rank, kind, _), form in zip(ranked, robust_patterns, strict=True):
+        if kind == "exact":
+            exact[form] = min(rank, exact.get(form, rank))
+    contained: dict[str, tuple] = {}
+    for rank, kind, pattern in ranked:
+        if kind == "contains":
+            contained[pattern.lower()] = min(rank, contained.get(pattern.lower(), rank))
+    anywhere = contained.pop("", None)
+
+    @F.pandas_udf(RANK)
+    def first(titles: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        machine = automaton(contained)
+        for low, norm in titles:
+            rows = []
+            for a, b in zip(low, norm, strict=True):
+                hits = [] if a is None else [*machine(a), *([anywhere] if anywhere else [])]
+                if b is not None and b in exact:
+                    hits.append(exact[b])
+                rows.append(min(hits) if hits else (None,) * 6)
+            yield pd.DataFrame(rows, columns=["method_ord", "section_ord", "anchor_ord", "section_id", "method", "confidence"])
+
+    return first
+
+
+def automaton(words: dict[str, tuple]):
+    """A function from a text to the values of the words in it, by following one state machine over all words (goto, failure and
+    output links over a trie)."""
+    step: list[dict[str, int]] = [{}]
+    fail, value = [0], [()]
+    for word, v in words.items():
+        at = 0
+        for ch in word:
+            if ch not in step[at]:
+                step[at][ch] = len(step)
+                step.append({}), fail.append(0), value.append(())
+            at = step[at][ch]
+        value[at] = (*value[at], v)
+    level = list(step[0].values())
+    while level:
+        following = []
+        for at in level:
+            for ch, to in step[at].items():
+                back = fail[at]
+                while back and ch not in step[back]:
+                    back = fail[back]
+                fail[to] = step[back].get(ch, 0)
+                best = (*value[to], *value[fail[to]])
+                value[to] = (min(best),) if best else ()  # of all words that end here the first counts
+                following.append(to)
+        level = following
+
+    def run(text: str) -> list[tuple]:
+        at, out = 0, []
+        for ch in text:
+            while at and ch not in step[at]:
+                at = fail[at]
+            at = step[at].get(ch, 0)
+            out.extend(value[at])
+        return out
+
+    return run
+
+
 def match_title(title: Column, rules: Ruleset, kinds: tuple[str, ...] = ("exact", "contains", "regex")) -> Column:
     """struct(method_ord, section_ord, anchor_ord, section_id, method, confidence) of the first anchor that hits, in the
-    order of methods, then sections, then anchors; null if none (J1, J2, J3, J5). Patterns are constants of the plan."""
-    order = {s[0]: i for i, s in enumerate(rules.sections)}
+    order of methods, then sections, then anchors; null if none (J1, J2, J3, J5). Few anchors are constants of the plan; from
+    DICTIONARY exact and contained ones on, these are looked up."""
+    ranked = _ranked_anchors(rules, kinds)
     norm, low, hits = X.robust(title), F.lower(title), []
-    for n, (section, kind, pattern) in enumerate(rules.anchors):
-        if kind not in kinds or kind not in rules.method_order:
-            continue
+    plain = [a for a in ranked if a[1] != "regex"]
+    if len(plain) >= DICTIONARY:
+        spark = SparkSession.getActiveSession()
+        forms = [r["f"] for r in spark.createDataFrame([(i, p) for i, (_, _, p) in enumerate(plain)], "i int, p string").select("i", X.robust(F.col("p")).alias("f")).orderBy("i").collect()]
+        found = anchor_lookup(plain, forms)(low, norm)
+        hits.append(F.when(found["section_id"].isNotNull(), found))
+        ranked = [a for a in ranked if a[1] == "regex"]
+    for (method_ord, section_ord, n, section, method, confidence), kind, pattern in ranked:
         if kind == "exact":
             hit = norm == X.robust(F.lit(pattern))
         elif kind == "contains":
             hit = F.contains(low, F.lower(F.lit(pattern)))
         else:
             hit = title.rlike("(?iu)" + pattern.replace("(?i)", ""))
-        hits.append(F.when(hit, F.struct(F.lit(rules.method_order.index(kind)).alias("method_ord"), F.lit(order[section]).alias("section_ord"), F.lit(n).alias("anchor_ord"), F.lit(section).alias("section_id"), F.lit(kind).alias("method"), F.lit(CONFIDENCE[kind]).alias("confidence"))))
-    return F.array_min(F.array_compact(F.array(*hits)))
+        hits.append(F.when(hit, F.struct(F.lit(method_ord).alias("method_ord"), F.lit(section_ord).alias("section_ord"), F.lit(n).alias("anchor_ord"), F.lit(section).alias("section_id"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))))
+    return F.array_min(F.array_compact(F.array(*hits))) if hits else F.lit(None).cast(RANK)
 
 
 def ratio(a: str, b: str) -> float:
@@ -479,19 +580,29 @@ def report(paragraphs: DataFrame, rules: Ruleset, forced: str | None = None, str
     d = normalised(mapped, rules)
     holes = F.aggregate("leaves", F.lit(0), lambda n, p: n + placeholders(p["text"]))
     d = profile(warnings(coverage(d, rules, strict)), rules.default_profile).withColumn("placeholders", holes)
+    d = d.withColumn("forced", F.lit(forced is not None))
     return gate(d.withColumn("profile", F.lit(forced)) if forced else d, rules)
 
 
 # ---------------------------------------------------------------- batches
 
 
+def gate_metrics() -> Column:
+    """What the gate measured: required coverage and missing sections, as they are and as the profile counts them."""
+    return F.struct(
+        F.bround("required_coverage", 2).alias("required_coverage_ratio"), F.bround("coverage_effective", 2).alias("required_coverage_ratio_effective"), F.col("unknown_titles").cast("int").alias("unknown_titles_count"),
+        F.col("placeholders").alias("placeholders_count"), F.size("missing_required").alias("missing_required_sections_count"), F.col("n_missing").alias("missing_required_sections_count_effective"),
+    )
+
+
 def batch_rows(reported: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """One result row for each document (A31, U2): success with profile, gate, ratios as reported (2 digits), counts,
-    reasons, warnings, signals and criteria; failures (doc_id, error_type, error_message) as error rows."""
+    reasons, warnings, signals (those of a forced profile say only that it is), criteria and metrics; failures (doc_id, error_type, error_message) as error rows."""
     ok = reported.select(
         "doc_id", F.lit("success").alias("status"), "profile", F.col("status").alias("gate_status"), F.bround("required_coverage", 2).alias("required_coverage_ratio"), F.bround("weighted_coverage", 2).alias("weighted_coverage"),
         F.col("effective").alias("missing_required_sections"), F.col("unknown_titles").cast("int").alias("unknown_titles_count"), F.col("placeholders").alias("placeholders_count"), "reasons", "warnings",
-        F.struct(*SIGNALS).alias("signals"), F.struct("sections_ok", "coverage_ok", "titles_ok", "placeholders_ok").alias("criteria"),
+        F.struct(*[F.when(~F.col("forced"), F.col(s)).alias(s) for s in SIGNALS], "forced").alias("signals"), F.struct("sections_ok", "coverage_ok", "titles_ok", "placeholders_ok").alias("criteria"),
+        gate_metrics().alias("metrics"),
     )
     if failures is None:
         return ok.withColumn("error_type", F.lit(None).cast("string")).withColumn("error_message", F.lit(None).cast("string"))
@@ -536,21 +647,42 @@ def preview(items: Column, n: int) -> Column:
     return F.struct(F.slice(items, 1, n).alias("first"), F.greatest(F.size(items) - n, F.lit(0)).alias("rest"))
 
 
+def error_list(batch: DataFrame) -> DataFrame:
+    """(client, error) of the rows that failed (A5)."""
+    return batch.filter("status = 'error'").select(F.col("doc_id").cast("string").alias("client"), F.col("error_message").alias("error"))
+
+
 def markdown(batch: DataFrame) -> DataFrame:
     """(doc_id, text): the Markdown block of each result, with the first five missing sections and three reasons."""
     line = lambda form, *c: F.format_string(form + "\n", *c)
+    name = F.col("doc_id").cast("string")
     seen = preview(F.col("missing_required_sections"), 5)
     listed = F.array_join(F.transform(seen["first"], lambda m: F.concat(F.lit("  - `"), m, F.lit("`\n"))), "")
     more = F.when(seen["rest"] > 0, line("  - ... et %d autres", seen["rest"])).otherwise(F.lit(""))
     why = F.when(F.size("reasons") > 0, F.concat(F.lit("- **Reasons**:\n"), F.array_join(F.transform(F.slice("reasons", 1, 3), lambda r: F.concat(F.lit("  - "), r, F.lit("\n"))), ""))).otherwise(F.lit(""))
     done = F.concat(
-        line("### ✓ %d", "doc_id"), line("- **Profile**: `%s`", "profile"), line("- **Gate Status**: **%s**", "gate_status"), line("- **Coverage**: %.1f%%", F.col("required_coverage_ratio") * 100),
+        line("### ✓ %s", name), line("- **Profile**: `%s`", "profile"), line("- **Gate Status**: **%s**", "gate_status"), line("- **Coverage**: %.1f%%", F.col("required_coverage_ratio") * 100),
         line("- **Missing Required**: %d", F.size("missing_required_sections")), listed, more, line("- **Unknown Titles**: %d", "unknown_titles_count"), line("- **Placeholders**: %d", "placeholders_count"), why, F.lit("\n"),
     )
-    failed = F.concat(line("### ✗ %d", "doc_id"), F.lit("- **Status**: ERROR\n"), line("- **Error Type**: `%s`", "error_type"), line("- **Message**: %s", "error_message"), F.lit("\n"))
+    failed = F.concat(line("### ✗ %s", name), F.lit("- **Status**: ERROR\n"), line("- **Error Type**: `%s`", "error_type"), line("- **Message**: %s", "error_message"), F.lit("\n"))
     return batch.select("doc_id", F.when(F.col("status") == "success", done).otherwise(failed).alias("text"))
 
 
+def markdown_report(batch: DataFrame, timestamp: str, root: str, ruleset: str, override: str | None = None) -> DataFrame:
+    """(part, client, text): the pieces of a batch's Markdown report, which follow each other by part and client: header, summary,
+    results, and errors if there are any (S12)."""
+    head = f"# Batch Parser Report\n**Timestamp**: {timestamp}\n**Root Directory**: `{root}`\n**Ruleset**: `{ruleset}`\n" + (f"**Profile Override**: {override}\n" if override else "") + "\n---\n"
+    names = (("Total Processed", "total"), ("Successful", "successful"), ("Errors", "errors"), ("Production Gate GO", "go"), ("Production Gate NO-GO", "no_go"))
+    totals = F.concat(F.lit("## Summary\n"), *[F.format_string(f"- **{n}**: %d\n", c) for n, c in names], F.format_string("- **Average Coverage**: %.1f%%\n\n---\n", F.col("mean_coverage") * 100))
+    summary = batch_summary(batch)
+    piece = lambda df, part, client, text: df.select(F.lit(part).alias("part"), client.alias("client"), text.alias("text"))
+    none = F.lit("")
+    errors = error_list(batch)
+    out = piece(summary, 1, none, F.lit(head)).unionByName(piece(summary, 2, none, totals)).unionByName(piece(summary, 3, none, F.lit("## Detailed Results\n")))
+    out = out.unionByName(piece(markdown(batch), 4, F.col("doc_id").cast("string"), F.col("text"))).unionByName(piece(summary.filter("errors > 0"), 5, none, F.lit("---\n## Errors\n")))
+    return out.unionByName(piece(errors, 6, F.col("client"), F.format_string("- **%s**: %s\n", "client", "error")))
+
+
 def documents_out(reported: DataFrame) -> DataFrame:
     """(doc_id, normalized, report): the normalised document as a map from path to text, and its report."""
     return reported.select("doc_id", F.map_from_arrays(F.transform("leaves", lambda p: p["path"]), F.transform("leaves", lambda p: p["text"])).alias("normalized"), F.struct("found", "missing_required", "coverage", "required_coverage", "weighted_coverage", "unknown_titles", "placeholders", "warnings", "profile", "status", "reasons").alias("report"))

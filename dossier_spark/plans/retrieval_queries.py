@@ -116,12 +116,22 @@ def context_export(spark, sf):
     return back.select("client_id", "query_id", "query", "topk", F.explode("results").alias("r")).select("client_id", "query_id", "query", "topk", "r.*")
 
 
-@query("N26", BM25_SQL + rf"""select client_id, query_id, 'Answer from the passages only.' || chr(10) || 'Field: item ' || query_id || chr(10) || 'Format: At most ' || (2 + query_id % 3) || ' lines.' || chr(10) || chr(10) ||
-  string_agg('[' || rank || '] ' || string_split(path, '/')[-1] || chr(10) || case when length(flat) > 500 then substr(flat, 1, 500) || '…' else flat end, chr(10) || chr(10) order by rank) as prompt
-  from ranked join (select *, {STRIP.format("regexp_replace(chunk, '[' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ]+', ' ', 'g')")} as flat from chunks) using (client_id, path, chunk_no) where rank <= 3 group by client_id, query_id""")
+NAMED = "string_split(path, '/')[-1]"
+
+
+@query("N26", BM25_SQL + rf""", asked as (select client_id, item_id as query_id, 1 + item_id % 3 as max_lines, case when item_id % 4 = 0 then 'A1, B' || item_id end as allowed, 'item ' || item_id as instruction from benchmark, (select distinct source as client_id from documents)),
+  got as (select client_id, query_id, string_agg('[' || rank || '] ' || {NAMED} || ' : ' || case when length(flat) > 500 then substr(flat, 1, 500) || '…' else flat end, chr(10) order by rank) as passages
+  from ranked join (select *, {STRIP.format("regexp_replace(chunk, '[' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ]+', ' ', 'g')")} as flat from chunks) using (client_id, path, chunk_no) where rank <= 3 and query_id % 5 <> 0 group by 1, 2)
+  select client_id, query_id, {" || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in R.PROMPT_RULES)} || chr(10) || case when max_lines = 1 then '{R.ONE_LINE}' else '{R.FEW_LINES}' end || chr(10) ||
+  case when allowed is not null then 'Choisis uniquement parmi : ' || allowed || '.' || chr(10) else '' end || chr(10) || 'Champ : F' || query_id || chr(10) || 'Consigne : ' || instruction || chr(10) ||
+  coalesce('{R.SOURCES}' || chr(10) || passages, '{R.NO_PASSAGE.replace("'", "''")}') || chr(10) || chr(10) || '{R.ANSWER_NOW}' as prompt from asked left join got using (client_id, query_id)""")
 def prompt_texts(spark, sf):
-    fields = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.format_string("item %d", "item_id").alias("label"), (2 + F.col("item_id") % 3).alias("max_lines"), F.lit(None).cast("array<string>").alias("allowed"))
-    return R.prompts(top(spark, sf, 3), chunked(spark, sf), fields)
+    """Every client and field has a prompt, also the fifth of the fields that are given no passages."""
+    b = table(spark, sf, "benchmark")
+    fields = b.select(F.col("item_id").alias("query_id"), F.format_string("F%d", "item_id").alias("key"), F.format_string("item %d", "item_id").alias("instruction"), (1 + F.col("item_id") % 3).alias("max_lines"), F.when(F.col("item_id") % 4 == 0, F.array(F.lit("A1"), F.format_string("B%d", "item_id"))).alias("allowed"))
+    c = chunked(spark, sf)
+    best = R.best_passages(c, questions(spark, sf), 3).filter("query_id % 5 <> 0")
+    return R.prompts(best, c, fields, table(spark, sf, "documents").select(F.col("source").alias("client_id")))
 
 
 @query("F1", "select doc_id from documents where not contains(lower(source || '/' || lang), '/de') and (contains(lower(source || '/' || lang), 'src1') or contains(lower(source || '/' || lang), '/fr'))")
@@ -185,9 +195,12 @@ def robust(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.robust(F.col("text")).alias("t"))
 
 
-@query("N6", rf"with {LINES_SQL} select doc_id, pos, trim(regexp_replace(trim(regexp_replace('  ' || text || ' :: ', '\s+', ' ', 'g')), ':+$', '')) as t from lines")
+@query("N6", rf"""with {LINES_SQL}, x as (select doc_id, pos, '  ' || text || ' :: ' as t from lines) select doc_id, pos, trim(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), ':+$', '')) as t, regexp_replace(t, '\s+', ' ', 'g') as spaced, upper(replace(trim(regexp_replace(t, ':+$', '')), 'ß', 'SS')) as upper from x""")
 def titles(spark, sf):
-    return lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), X.title(F.concat(F.lit("  "), "text", F.lit(" :: "))).alias("t"))
+    """Titles by the usual switches and by two other sets of them."""
+    t = F.concat(F.lit("  "), "text", F.lit(" :: "))
+    loud = {"strip_trailing_colon": True, "uppercase": True}
+    return lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), X.title(t).alias("t"), X.title(t, {"collapse_whitespace": True}).alias("spaced"), X.title(t, loud).alias("upper"))
 
 
 @query("N9", rf"""with {LINES_SQL} select doc_id, pos, regexp_replace(regexp_replace(regexp_replace(f, '[^a-z0-9_\s-]', '', 'g'), '[-\s]+', '_', 'g'), '^_+|_+$', '', 'g') as a,
@@ -212,15 +225,18 @@ def numbering(spark, sf):
     return lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), X.numbering(t).alias("num"), X.all_caps(t).alias("caps"))
 
 
-@query("N30", "select c_custkey, split_part(n, ' ', 1) as surname, case when contains(n, ' ') then substr(n, strpos(n, ' ') + 1) else '' end as first_name from (select c_custkey, replace(c_name, '#', ' ') || case when c_custkey % 2 = 0 then ' x' else '' end as n from customer)")
+@query("N30", "select c_custkey, case when contains(n, ' ') then split_part(n, ' ', 1) end as surname, case when contains(n, ' ') then substr(n, strpos(n, ' ') + 1) end as first_name from (select c_custkey, case c_custkey % 3 when 0 then replace(c_name, '#', ' ') when 1 then replace(c_name, '#', ' ') || ' x' else c_name end as n from customer)")
 def persons(spark, sf):
-    p = X.person(F.expr("concat(replace(c_name, '#', ' '), case when c_custkey % 2 = 0 then '  x ' else '' end)"))
+    p = X.person(F.expr("case c_custkey % 3 when 0 then replace(c_name, '#', ' ') when 1 then concat(' ', replace(c_name, '#', '  '), ' x ') else c_name end"))
     return table(spark, sf, "customer").select("c_custkey", p.alias("p")).select("c_custkey", "p.surname", "p.first_name")
 
 
-@query("N31", "select c_custkey, case when c_custkey % 3 = 0 then 'nobody' else c_name end as who from customer")
+ASKING = "case c_custkey % 6 when 0 then 'Fais un bilan de @' when 1 then 'Rédige le RAPPORT de stage de @ ' when 2 then 'peux-tu préparer le rapport de stage DE @ ?' when 3 then 'le rapport de stage' when 4 then 'Le rapport de stage de  ... ' else 'le rapport de son stage, celui De \"@\".!' end"
+
+
+@query("N31", "select c_custkey, case when c_custkey % 6 = 0 then null when c_custkey % 6 = 3 then 'stage' when c_custkey % 6 = 4 then 'nobody' else c_name end as who from customer")
 def requested(spark, sf):
-    s = F.expr("concat(case when c_custkey % 3 = 0 then 'Fais un bilan de ' else 'Rédige le rapport de stage de ' end, c_name, ' ')")
+    s = F.expr(f"replace({ASKING}, '@', c_name)")
     return table(spark, sf, "customer").select("c_custkey", X.requested_name(s, "nobody").alias("who"))
 
 

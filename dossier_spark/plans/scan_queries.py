@@ -72,7 +72,7 @@ def scan_stats(spark, sf):
     return scanned(spark, sf).select("client_id", F.round("gold_score", 6).alias("gold_score"), "n_sources", "total_mb", "roles_found", "roles_missing")
 
 
-@query("A17", SCAN + """select client_id, ready, concat_ws('|', case when gold is null then 'no reference document' when gold_score < 0.5 then 'weak reference document' end, case when n_sources = 0 then 'no sources' when n_sources < 3 then 'few sources' end,
+@query("A17", SCAN + """select client_id, ready, concat_ws('|', case when gold is null then 'no reference document' when gold_score < 0.5 then 'weak reference document (' || printf('%.2f', round_even(gold_score, 2)) || ')' end, case when n_sources = 0 then 'no sources' when n_sources < 3 then 'few sources (' || n_sources || ')' end,
   case when not r1 or not r6 then 'missing folders: ' || concat_ws(', ', case when not r1 then '01_personnel' end, case when not r6 then '06_rapport' end) end) as warnings from (select * replace (coalesce(r1, false) as r1, coalesce(r6, false) as r6) from scan)""")
 def readiness(spark, sf):
     return scanned(spark, sf).select("client_id", "ready", F.array_join("warnings", "|").alias("warnings"))

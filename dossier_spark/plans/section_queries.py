@@ -93,10 +93,26 @@ def reported(spark, sf):
     return S.report(lines(spark, sf), RULES)
 
 
-@query("F5", SEGS + "select doc_id, pos, level::int as level from lev where level is not null")
+# Rulesets of other headings: own patterns and no styles; all short lines; nothing switched on.
+OTHERS = {
+    "patterns": {"by_style": {"styles": [{"name": "Heading 1", "level": 4}]}, "by_regex": {"enabled": True, "patterns": [{"regex": "[A-C]"}, {"regex": r".*\bder\b"}]}},
+    "short": {"by_style": {"enabled": True, "styles": [{"name": "Heading 1", "level": 3}]}, "by_heuristics": {"enabled": True, "max_length": 40, "prefer_bold": False}},
+    "off": {"by_regex": {"enabled": False, "patterns": [{"regex": ".*"}]}},
+}
+LEVELS = rf"coalesce(length(p) - length(replace(p, '.', '')) + 1, 1)"
+
+
+@query("F5", SEGS + rf"""select 'usual' as rules, doc_id, pos, level::int as level from lev where level is not null
+  union all select 'patterns', doc_id, pos, ({LEVELS})::int from lev where regexp_matches(text, '^[A-C]') or regexp_matches(text, '^.*\bder\b')
+  union all select 'short', doc_id, pos, case when style_name = 'Heading 1' then 3 else 2 end from lev where style_name = 'Heading 1' or (length(text) <= 40 and len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) <= 15 and not ends_with({STRIP.format('text')}, '.'))""")
 def headings(spark, sf):
-    p = lines(spark, sf)
-    return p.select("doc_id", F.col("pos").cast("long").alias("pos"), S.heading_level(RULES).alias("level")).filter("level is not null")
+    """Headings by the usual rules and by rulesets with other patterns, lengths and switches."""
+    p, out = lines(spark, sf), None
+    for name, found in {"usual": None, **OTHERS}.items():
+        rules = RULES if found is None else S.Ruleset.from_mapping({**NESTED, "heading_detection": found})
+        one = p.select(F.lit(name).alias("rules"), "doc_id", F.col("pos").cast("long").alias("pos"), S.heading_level(rules).alias("level")).filter("level is not null")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("W1", SEGS + "select doc_id, seg_no, raw_title, level::int as level, n_par from segs")
@@ -245,9 +261,12 @@ def unknown_profile(spark, sf):
     return S.report(lines(spark, sf), RULES, forced="no_such").select("doc_id", "profile", "sections_ok", "coverage_ok")
 
 
-@query("H4", COVER + "select doc_id, 'stage' as profile, 3 - i::int - o::int - c::int <= 1 as sections_ok, unknown_titles <= 10 as titles_ok from gated")
+@query("H4", COVER + "select doc_id, 'stage' as profile, 3 - i::int - o::int - c::int <= 1 as sections_ok, unknown_titles <= 10 as titles_ok, true as forced, null::boolean as has_stage, 3 - i::int - o::int - c::int as n_missing, round_even((i::int + o::int + c::int) / 3, 2) as covered from gated")
 def forced(spark, sf):
-    return S.report(lines(spark, sf), RULES, forced="stage").select("doc_id", "profile", "sections_ok", "titles_ok")
+    """The results of a run with a forced profile: its signals are not the detected ones; what the gate measured."""
+    d = S.batch_rows(S.report(lines(spark, sf), RULES, forced="stage"))
+    m = "metrics.missing_required_sections_count_effective"
+    return d.select("doc_id", "profile", "criteria.sections_ok", "criteria.titles_ok", "signals.forced", "signals.has_stage", F.col(m).alias("n_missing"), F.col("metrics.required_coverage_ratio_effective").alias("covered"))
 
 
 @query("A14", COVER + "select doc_id, warnings from cov")
@@ -267,9 +286,14 @@ def batch_rows(spark, sf):
     return d.select("doc_id", "status", "profile", "gate_status", "required_coverage_ratio", "weighted_coverage", F.array_join("missing_required_sections", ",").alias("effective"), F.col("unknown_titles_count").cast("long").alias("unknown_titles"), F.col("placeholders_count").cast("long").alias("placeholders"), F.array_join("reasons", "|").alias("reasons"), F.array_join("warnings", "|").alias("warnings"), "signals.has_stage", F.col("signals.n_bilan").cast("long").alias("n_bilan"), "criteria.sections_ok", "error_type", "error_message")
 
 
-@query("A5", COVER + "select count(*) as total, count(*) filter (where status = 'success') as successful, count(*) filter (where status = 'error') as errors, count(*) filter (where gate_status = 'GO') as go, count(*) filter (where gate_status = 'NO-GO') as no_go, round(sum(required_coverage_ratio) / count(*), 3) as mean_coverage from batch")
+TOTALS = "select count(*) as total, count(*) filter (where status = 'success') as successful, count(*) filter (where status = 'error') as errors, count(*) filter (where gate_status = 'GO') as go, count(*) filter (where gate_status = 'NO-GO') as no_go, round(sum(required_coverage_ratio) / count(*), 3) as mean_coverage from batch"
+
+
+@query("A5", COVER + f"select *, null as client, null as error from ({TOTALS}) union all select null, null, null, null, null, null, doc_id::varchar, error_message from batch where status = 'error'")
 def summary(spark, sf):
-    return S.batch_summary(batch(spark, sf))
+    """The totals, and the list of errors."""
+    b = batch(spark, sf)
+    return S.batch_summary(b).unionByName(S.error_list(b), allowMissingColumns=True)
 
 
 @query("J21", COVER + "select count(*) as total, count(*) filter (where status = 'success') as successful, count(*) filter (where status = 'error') as errors, count(*) filter (where gate_status = 'GO') as go, round(sum(required_coverage_ratio) / count(*) filter (where status = 'success'), 3) as mean_coverage from batch where doc_id in (select doc_id from labels where quality = 1)")
@@ -326,12 +350,22 @@ def csv_table(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
-@query("S12", COVER + """select doc_id, case when status = 'success' then '### ✓ ' || doc_id || chr(10) || '- **Profile**: `' || profile || '`' || chr(10) || '- **Gate Status**: **' || gate_status || '**' || chr(10) || '- **Coverage**: ' || printf('%.1f', required_coverage_ratio * 100) || '%' || chr(10)
-  || '- **Missing Required**: ' || case when effective = '' then 0 else len(string_split(effective, ',')) end || chr(10) || case when effective = '' then '' else array_to_string(list_transform(string_split(effective, ','), lambda m: '  - `' || m || '`' || chr(10)), '') end
+MANY = ("a1", "a2", "a3", "a4", "a5", "a6")
+HEAD = "# Batch Parser Report\n**Timestamp**: 2024-01-01T00:00:00\n**Root Directory**: `clients`\n**Ruleset**: `rules.yaml`\n**Profile Override**: stage\n\n---\n".replace("\n", "' || chr(10) || '")
+
+
+@query("S12", COVER + f"""select 1 as part, '' as client, '{HEAD}' as text
+  union all select 2, '', '## Summary' || chr(10) || '- **Total Processed**: ' || total || chr(10) || '- **Successful**: ' || successful || chr(10) || '- **Errors**: ' || errors || chr(10) || '- **Production Gate GO**: ' || go || chr(10) || '- **Production Gate NO-GO**: ' || no_go || chr(10) || '- **Average Coverage**: ' || printf('%.1f', mean_coverage * 100) || '%' || chr(10) || chr(10) || '---' || chr(10) from ({TOTALS})
+  union all select 3, '', '## Detailed Results' || chr(10) union all select 5, '', '---' || chr(10) || '## Errors' || chr(10) where exists (select 1 from batch where status = 'error')
+  union all select 6, doc_id::varchar, '- **' || doc_id || '**: ' || error_message || chr(10) from batch where status = 'error' union all """ + r"""select 4 as part, doc_id::varchar as client, case when status = 'success' then '### ✓ ' || doc_id || chr(10) || '- **Profile**: `' || profile || '`' || chr(10) || '- **Gate Status**: **' || gate_status || '**' || chr(10) || '- **Coverage**: ' || printf('%.1f', required_coverage_ratio * 100) || '%' || chr(10)
+  || '- **Missing Required**: ' || case when effective = '' then 0 else len(string_split(effective, ',')) end || chr(10) || case when effective = '' then '' else array_to_string(list_transform(string_split(effective, ',')[1:5], lambda m: '  - `' || m || '`' || chr(10)), '') || case when len(string_split(effective, ',')) > 5 then '  - ... et ' || (len(string_split(effective, ',')) - 5) || ' autres' || chr(10) else '' end end
   || '- **Unknown Titles**: ' || unknown_titles || chr(10) || '- **Placeholders**: ' || placeholders || chr(10) || case when reasons = '' then '' else '- **Reasons**:' || chr(10) || array_to_string(list_transform(string_split(reasons, '|')[1:3], lambda r: '  - ' || r || chr(10)), '') end || chr(10)
-  else '### ✗ ' || doc_id || chr(10) || '- **Status**: ERROR' || chr(10) || '- **Error Type**: `' || error_type || '`' || chr(10) || '- **Message**: ' || error_message || chr(10) || chr(10) end as text from batch""")
+  else '### ✗ ' || doc_id || chr(10) || '- **Status**: ERROR' || chr(10) || '- **Error Type**: `' || error_type || '`' || chr(10) || '- **Message**: ' || error_message || chr(10) || chr(10) end as text from (select * replace (case when status = 'success' and doc_id % 3 = 1 then concat_ws(',', nullif(effective, ''), '""" + ",".join(MANY) + """') else effective end as effective) from batch)""")
 def markdown_rows(spark, sf):
-    return S.markdown(batch(spark, sf))
+    """The whole report; a third of the documents get six more missing sections."""
+    b = batch(spark, sf)
+    more = F.when((F.col("status") == "success") & (F.col("doc_id") % 3 == 1), F.concat("missing_required_sections", F.array(*map(F.lit, MANY)))).otherwise(F.col("missing_required_sections"))
+    return S.markdown_report(b.withColumn("missing_required_sections", more), "2024-01-01T00:00:00", "clients", "rules.yaml", "stage")
 
 
 @query("S10", COVER + "select doc_id, source as client_name, gated.status, gated.profile, (case when avs <> '' then 1 else 0 end + case when full_name = '' then 0 when contains(full_name, ' ') then 3 else 2 end + coalesce(ct <> '', false)::int + coalesce(cv <> '', false)::int + (p1 <> '')::int + (p2 <> '')::int + coalesce(cc <> '', false)::int + coalesce(ca <> '', false)::int)::bigint as n_places from gated join b using (doc_id) join documents using (doc_id)")
@@ -352,7 +386,8 @@ def previews(spark, sf):
 
 NESTED = {
     "title_matching": {"method_order": ["exact", "contains", "regex"]},
-    "heading_detection": {"by_style": {"styles": [{"name": "Heading 1", "level": 1}]}},
+    "heading_detection": {"by_style": {"enabled": True, "styles": [{"name": "Heading 1", "level": 1}]}, "by_regex": S.HEADINGS["by_regex"], "by_heuristics": {"enabled": True, "max_length": 90, "prefer_bold": True}},
+    "normalize": {"trim": True, "collapse_whitespace": True, "strip_trailing_colon": True, "remove_nbsp": True},
     "sections": [
         {"id": "identity", "required": True, "anchors": {"any": [{"exact": "The"}, {"exact": "der"}, {"contains": "identit"}]}},
         {"id": "tests", "anchors": {"any": [{"contains": "TION"}]}, "children": [{"id": "tests.vocation", "weighted": True, "fill_strategy": "summarize", "anchors": {"any": [{"regex": r"^(die|und)\b"}]}}]},
