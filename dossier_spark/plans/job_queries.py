@@ -196,9 +196,9 @@ def pauses(spark, sf):
     return T.gaps(timed(spark, sf)).select("source_id", "seq", F.round("gap", 6).alias("gap"))
 
 
-@query("A27", f"with {SEG} select source_id, string_agg(trim(text), ' ' order by start, seq) as text from seg where trim(text) <> '' group by 1")
+@query("A27", f"with {SEG} select source_id, part, string_agg(t, ' ' order by start, seq) as text from (select source_id, start, seq, trim(text) as t, ((row_number() over (partition by source_id order by start, seq) - 1) // 40)::int as part from seg where trim(text) <> '') group by 1, 2")
 def transcripts(spark, sf):
-    return T.transcript(timed(spark, sf))
+    return T.transcript(timed(spark, sf), 40)
 
 
 @query("S16", f"""with {SEG} select source_id, '{{"type":"audio","source_id":"' || source_id || '","n_segments":' || count(*) || ',"transcript_text":"' || string_agg(trim(text), ' ' order by start, seq) filter (where trim(text) <> '') || '"}}' as manifest from seg group by 1 having count(*) filter (where trim(text) <> '') > 0""")
