@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier_spark.functions import text as X
+from dossier_spark.sources.files import written
 
-from .ordering import numbered
+from .ordering import counted, spread_by_order
 
 EMPTY, NOT_ALLOWED = "__VIDE__", "NON_AUTORISE"
 
@@ -157,11 +158,82 @@ def filled_templates(templates: DataFrame, answers: DataFrame) -> DataFrame:
     return d.select("template_id", "pos", F.when(F.col("markers").isNull(), F.col("text")).otherwise(X.fill(F.col("text"), F.col("markers"))).alias("text"))
 
 
-def prompts_per_client(docs: DataFrame, per_prompt: int = 50) -> DataFrame:
-    """One prompt for each document, then prompts that join their answers in order of path, per_prompt documents in each:
-    (client_id, part, n_docs, prompt) (A28). docs: client_id, path, text. A client of more documents has more parts, so no
-    row grows with the client; merging the parts' answers is the same step again."""
-    one = docs.select("client_id", "path", F.concat(F.lit("Summarise the document "), "path", F.lit(":\n"), "text").alias("prompt"))
-    placed = numbered(docs.select("client_id", "path"), "client_id", ["path"]).select("client_id", "path", F.floor((F.col("place") - 1) / per_prompt).cast("int").alias("part"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "prompt"))), lambda x: x["prompt"])
-    return one.join(placed, ["client_id", "path"]).groupBy("client_id", "part").agg(F.count("*").alias("n_docs"), F.concat(F.lit("Merge into one report:\n\n"), F.array_join(ordered, "\n\n")).alias("prompt"))
+# The texts of the prompts for summaries and of the report that they become.
+OF_DOCUMENT = ("Voici le contenu du document « ", " ».\nRésume les informations importantes pour un rapport de stage (missions, contexte, compétences, résultats, etc.).\n\nCONTENU DU DOCUMENT :\n")
+OF_REPORT = (
+    "À partir des résumés ci-dessous, rédige un rapport de stage complet pour ",
+    ". Structure le rapport avec des titres clairs :\n1. Introduction\n2. Présentation de l'entreprise et du contexte\n3. Missions réalisées\n4. Compétences développées\n5. Bilan et perspectives\n\n"
+    "Le ton doit être professionnel, mais accessible. N'écris pas de bullet points, uniquement des paragraphes.\n\nRÉSUMÉS DE DOCUMENTS :\n",
+)
+OF_PART = "Résume en un seul texte les résumés ci-dessous, sans rien perdre d'important.\n\nRÉSUMÉS DE DOCUMENTS :\n"
+ENTRY = ("--- Résumé de ", " ---\n", "\n\n")
+LONGEST_NAME = 100
+
+
+def replies(prompts: DataFrame, model: Callable[[str], str], longest: int) -> DataFrame:
+    """prompts (…, prompt) with reply: the model's, cut to `longest` characters; '' where it fails."""
+
+    def ask(prompt: str) -> str:
+        try:
+            return (model(prompt) or "")[:longest]
+        except Exception:  # noqa: BLE001  one failed reply must not end the job
+            return ""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(reply=[ask(p) for p in pdf["prompt"]])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
+    return prompts.mapInPandas(run, f"{kinds}, reply string")
+
+
+def summary_prompts(docs: DataFrame, budget: int) -> DataFrame:
+    """(client_id, path, piece, name, prompt): a prompt for each document, for each piece of one that is longer than the budget."""
+    name = F.right(F.element_at(F.split("path", "/"), -1), F.lit(LONGEST_NAME))
+    step = budget - len("".join(OF_DOCUMENT)) - LONGEST_NAME
+    text = F.coalesce("text", F.lit(""))
+    last = F.greatest(F.ceil(F.length(text) / step) - 1, F.lit(0)).cast("int")
+    pieces = docs.select("client_id", "path", name.alias("name"), text.alias("text"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    return pieces.select("client_id", "path", "piece", "name", F.concat(F.lit(OF_DOCUMENT[0]), "name", F.lit(OF_DOCUMENT[1]), F.substring("text", F.col("piece") * step + 1, F.lit(step))).alias("prompt"))
+
+
+def merge_prompts(summaries: DataFrame, person: Column, budget: int, longest: int) -> DataFrame:
+    """(client_id, path, piece, name, prompt, final): summaries (client_id, path, piece, name, reply) in order, packed into prompts
+    of at most `budget` characters. A client whose summaries fit in one has its report's prompt, final. person may use client_id.
+
+    Running lengths of a client are added over ranges of its order (ordering.counted), so none is packed in one task.
+    """
+    head = max(len(OF_PART), len("".join(OF_REPORT)) + LONGEST_NAME)
+    widest = longest + LONGEST_NAME + len("".join(ENTRY))
+    room = budget - head - widest
+    if room < 2 * widest:
+        raise ValueError("the budget is too small for two summaries")
+    entry = F.concat(F.lit(ENTRY[0]), "name", F.lit(ENTRY[1]), "reply", F.lit(ENTRY[2]))
+    order = ["path", "piece"]
+    spread = spread_by_order(summaries.select("client_id", *order, entry.alias("entry")), "client_id", order)
+    placed = counted(spread, "client_id", order, F.length("entry"), "_upto")
+    # an entry goes to the prompt in whose room it begins, so a prompt is over its room by less than one entry
+    part = F.floor((F.col("_upto") - F.length("entry")) / room).cast("int")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, "entry"))), lambda x: x["entry"])
+    packed = written(placed.groupBy("client_id", part.alias("piece")).agg(F.array_join(ordered, "").alias("all")), "packed")
+    last = packed.groupBy("client_id").agg((F.max("piece") == 0).alias("final"))
+    p = packed.join(last, "client_id")
+    text = F.when(F.col("final"), F.concat(F.lit(OF_REPORT[0]), F.left(person, F.lit(LONGEST_NAME)), F.lit(OF_REPORT[1]), "all")).otherwise(F.concat(F.lit(OF_PART), "all"))
+    return p.select("client_id", F.lit("").alias("path"), "piece", F.format_string("partie %d", F.col("piece") + 1).alias("name"), text.alias("prompt"), "final")
+
+
+def reports(docs: DataFrame, model: Callable[[str], str], person: Column, budget: int = 24_000, longest: int = 2_000) -> DataFrame:
+    """(client_id, levels, longest_prompt, report): documents (client_id, path, text) summarised one by one, summaries merged as
+    often as it takes until one prompt holds a client's, and that one's reply, the report (A28). No prompt is longer than
+    the budget (characters, about four a token). The driver loops over levels, whose number grows with the logarithm
+    of the documents; each level is written."""
+    level, out = 1, None
+    asked = summary_prompts(docs, budget).withColumn("final", F.lit(False))
+    while True:
+        done = written(replies(asked, model, longest), "replies")
+        some = done.filter("final").select("client_id", F.lit(level).alias("levels"), F.length("prompt").alias("longest_prompt"), F.col("reply").alias("report"))
+        out = some if out is None else out.unionByName(some)
+        rest = done.filter("not final")
+        if not rest.limit(1).count():
+            return out
+        asked, level = merge_prompts(rest, person, budget, longest), level + 1

@@ -139,3 +139,16 @@ def extracted(spark, sf):
     root = folder_tree(spark, sf, "sources")
     d = S.extract(spark, root)
     return d.select(F.regexp_replace("path", "^.*?/sources-[0-9a-f]+/", "").alias("rel"), "ext", "extractor", "text", "text_sha256", "error")
+
+
+@query("F10_refresh", rf"""with {LISTED}, {LINES}, dx as (select doc_id, {N1.format("string_agg(t, chr(10) order by n)")} as text from l group by 1)
+  select rel, ends_with(rel, '0.txt') as was_read, sha256(case when ends_with(rel, '0.txt') then 'new text of ' || rel when doc_id % 3 = 0 then {N1.format(LATIN)} else coalesce(dx.text, '') end) as text_sha256
+  from listed left join dx using (doc_id) where not ends_with(rel, '1.txt')""")
+def refreshed(spark, sf):
+    """An extraction brought up to date: a tenth of the text files changed, another tenth gone; only the former are read."""
+    root = folder_tree(spark, sf, "refreshed")
+    before = S.written(S.extract(spark, root), "snapshot")
+    rel = F.regexp_replace("path", "^.*?/refreshed-[0-9a-f]+/", "")
+    S.write_files(before.select(rel.alias("rel")).filter("endswith(rel, '0.txt')").withColumn("content", F.encode(F.concat(F.lit("new text of "), "rel"), "UTF-8")), root)
+    listing = S.listed(spark, root).filter("not endswith(path, '1.txt')")
+    return S.refresh(listing, before).select(rel.alias("rel"), "was_read", "text_sha256")

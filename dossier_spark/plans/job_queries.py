@@ -171,10 +171,37 @@ def generated(spark, sf):
     return A.generate(p, _stub).select("conv_id", "turn", "answer", "attempts", "failure")
 
 
-@query("A28", "select client_id, part, count(*) as n_docs, 'Merge into one report:' || chr(10) || chr(10) || string_agg('Summarise the document ' || path || ':' || chr(10) || text, chr(10) || chr(10) order by path) as prompt from (select source as client_id, doc_id::varchar as path, text, ((row_number() over (partition by source order by doc_id::varchar) - 1) // 10)::int as part from documents) group by 1, 2")
+BUDGET, REPLY = 3000, 150
+
+
+def _summary_stub(prompt: str) -> str:
+    return f"{len(prompt)} " + prompt[-100:].strip("\n").replace("\n", " ")
+
+
+def tree_sql(levels: int = 6) -> str:
+    """The levels of summaries, one after the other; a level beyond a client's last has no rows of it."""
+    quote = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    step = BUDGET - len("".join(A.OF_DOCUMENT)) - A.LONGEST_NAME
+    widest = REPLY + A.LONGEST_NAME + len("".join(A.ENTRY))
+    room = BUDGET - max(len(A.OF_PART), len("".join(A.OF_REPORT)) + A.LONGEST_NAME) - widest
+    reply = f"substr(length(prompt) || ' ' || replace(trim(right(prompt, 100), chr(10)), chr(10), ' '), 1, {REPLY})"
+    out = [f"""p1 as (select source as client_id, doc_id::varchar as path, i as piece, {quote(A.OF_DOCUMENT[0])} || doc_id || {quote(A.OF_DOCUMENT[1])} || substr(coalesce(text, ''), i * {step} + 1, {step}) as prompt, doc_id::varchar as name, false as final
+      from (select *, unnest(range(0, greatest(1, cast(ceil(length(coalesce(text, '')) / {step}.0) as bigint)))) as i from documents))"""]
+    for k in range(2, levels + 1):
+        out.append(f"""e{k} as (select *, sum(length(entry)) over (partition by client_id order by path, piece) - length(entry) as before from (
+          select client_id, path, piece, {quote(A.ENTRY[0])} || name || {quote(A.ENTRY[1])} || {reply} || {quote(A.ENTRY[2])} as entry from p{k - 1} where not final)),
+        g{k} as (select client_id, before // {room} as part, string_agg(entry, '' order by path, piece) as packed from e{k} group by 1, 2),
+        p{k} as (select client_id, '' as path, part as piece, case when final then {quote(A.OF_REPORT[0])} || 'client ' || client_id || {quote(A.OF_REPORT[1])} else {quote(A.OF_PART)} end || packed as prompt, 'partie ' || (part + 1)::bigint as name, final
+          from (select *, max(part) over (partition by client_id) = 0 as final from g{k}))""")
+    ends = " union all ".join(f"select client_id, {k} as levels, length(prompt) as longest_prompt, {reply} as report from p{k} where final" for k in range(2, levels + 1))
+    return "with " + ",\n".join(out) + ends
+
+
+@query("A28", tree_sql())
 def map_reduce(spark, sf):
+    """Reports from summaries of summaries, by a stub model: the prompts are so short that it takes several levels."""
     d = table(spark, sf, "documents").select(F.col("source").alias("client_id"), F.col("doc_id").cast("string").alias("path"), "text")
-    return A.prompts_per_client(d, 10)
+    return A.reports(d, _summary_stub, F.concat(F.lit("client "), "client_id"), BUDGET, REPLY)
 
 
 # ---------------------------------------------------------------- transcripts

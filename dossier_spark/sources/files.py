@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -178,16 +180,61 @@ def extract(spark: SparkSession, root: str) -> DataFrame:
     """(path, ext, size_bytes, mtime, extractor, text, text_sha256, error) of every supported file that is not hidden;
     failures stay as rows (S5). PDF pages come from an already extracted table, so .pdf rows say extractor 'pages'."""
     shown = ~F.replace(_plain(F.col("path")), _plain(F.lit(root.rstrip("/") + "/")), F.lit("")).rlike(r"(^|/)\.")
-    f = _binary(spark, root).filter(shown).withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).filter(F.col("ext").isin(*EXTRACTED))
-    meta = [F.col("path"), F.col("ext"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")]
+    return _extracted(_binary(spark, root).filter(shown).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), "content"))
+
+
+def _extracted(files: DataFrame) -> DataFrame:
+    """Extraction rows of files (path, size_bytes, mtime, content)."""
+    f = files.withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).filter(F.col("ext").isin(*EXTRACTED))
+    meta = ["path", "ext", "size_bytes", "mtime"]
     txt = f.filter("ext = '.txt'").select(*meta, F.lit("text").alias("extractor"), X.normalise_newlines(as_text(F.col("content"))).alias("text"), F.lit(None).cast("string").alias("error"))
     pdf = f.filter("ext = '.pdf'").select(*meta, F.lit("pages").alias("extractor"), F.lit("").alias("text"), F.lit(None).cast("string").alias("error"))
     d = docx_texts(parse_docx(f.filter("ext = '.docx'")))
     own = f.filter("ext = '.docx'").select(*meta)
-    docx = own.join(d, "path", "left").select("path", "ext", "size_bytes", "mtime", F.when(F.col("error").isNull(), F.lit("docx")).otherwise(F.lit("error")).alias("extractor"), X.normalise_newlines(F.coalesce("text", F.lit(""))).alias("text"), "error")
+    docx = own.join(d, "path", "left").select(*meta, F.when(F.col("error").isNull(), F.lit("docx")).otherwise(F.lit("error")).alias("extractor"), X.normalise_newlines(F.coalesce("text", F.lit(""))).alias("text"), "error")
     return txt.unionByName(docx).unionByName(pdf).withColumn("text_sha256", F.sha2("text", 256))
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size_bytes, mtime) of the files below root; nothing is read."""
+    return _binary(spark, root).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
+
+
+def contents(listing: DataFrame) -> DataFrame:
+    """listing (path, size_bytes, mtime) with the files' content, read by the tasks. A file that is gone by then is left out."""
+    from pyarrow import fs
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 16):
+                part = pdf.iloc[lo : lo + 16].copy()
+                read = []
+                for path in part["path"]:
+                    at, place = fs.FileSystem.from_uri(re.sub("^file:/*", "/", path) if path.startswith(("file:", "/")) else quote(path, safe=":/"))
+                    try:
+                        with at.open_input_stream(place) as file:
+                            read.append(file.read())
+                    except FileNotFoundError:
+                        read.append(None)
+                part["content"] = read
+                yield part
+
+    return listing.select("path", "size_bytes", "mtime").mapInPandas(run, "path string, size_bytes long, mtime timestamp, content binary").filter("content is not null")
+
+
+def refresh(listing: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """The extraction of a listing (path, size_bytes, mtime), given that of an earlier one: rows of extract(), and was_read.
+
+    A file of the same path, size and time keeps its row and is not opened; new and changed ones are read; what is not
+    listed any more drops out. The result is the next snapshot.
+    """
+    now = listing.select("path", "size_bytes", "mtime").filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*EXTRACTED))
+    key = ["path", "size_bytes", "mtime"]
+    kept = snapshot.drop("was_read").join(now, key, "left_semi")
+    read = _extracted(contents(written(now.join(snapshot.select(*key), key, "left_anti"), "changed")))
+    return kept.withColumn("was_read", F.lit(False)).unionByName(read.withColumn("was_read", F.lit(True)))
+
+
 def route(ext: Column) -> Column:
     """How a file of this suffix is read: its kind without the dot, or skipped."""
     low = F.lower(ext)
