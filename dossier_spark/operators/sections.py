@@ -686,3 +686,27 @@ def markdown_report(batch: DataFrame, timestamp: str, root: str, ruleset: str, o
 def documents_out(reported: DataFrame) -> DataFrame:
     """(doc_id, normalized, report): the normalised document as a map from path to text, and its report."""
     return reported.select("doc_id", F.map_from_arrays(F.transform("leaves", lambda p: p["path"]), F.transform("leaves", lambda p: p["text"])).alias("normalized"), F.struct("found", "missing_required", "coverage", "required_coverage", "weighted_coverage", "unknown_titles", "placeholders", "warnings", "profile", "status", "reasons").alias("report"))
+
+
+RESULTS_PER_FILE = 10_000
+
+
+def batch_files(reported: DataFrame, batch: DataFrame, names: DataFrame, run: dict[str, str | None], per_file: int = RESULTS_PER_FILE) -> DataFrame:
+    """(name, content) of a batch's files, for sources.named.write_named (S10): <folder>/normalized.json and report.json of each document,
+    batch_report.json with the run and its totals, and its results and errors as JSON lines, about per_file in each of
+    batch_report/results_<n>.jsonl and errors_<n>.jsonl, since a list of all grows with the batch.
+
+    names: doc_id, folder. run: timestamp, root_dir, ruleset_path, gate_profile_override.
+    """
+    docs = documents_out(reported).join(names, "doc_id")
+    one = lambda name, value: docs.select(F.concat("folder", F.lit(f"/{name}.json")).alias("name"), F.to_json(value).alias("content"))
+    summary = batch_summary(batch).select(*[F.lit(v).cast("string").alias(k) for k, v in run.items()], F.col("total").alias("discovered_count"), F.struct("*").alias("summary"))
+    whole = summary.select(F.lit("batch_report.json").alias("name"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("content"))
+
+    def parts(rows: DataFrame, kind: str) -> DataFrame:
+        n = max(1, -(-rows.count() // per_file))
+        lines = rows.select(F.pmod(F.xxhash64(rows.columns[0]), F.lit(n)).alias("part"), F.to_json(F.struct("*")).alias("line"))
+        return lines.groupBy("part").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("content")).select(F.format_string(f"batch_report/{kind}_%d.jsonl", "part").alias("name"), "content")
+
+    results = batch.join(names, "doc_id", "left").select("folder", *[c for c in batch.columns if c != "doc_id"])
+    return one("normalized", F.col("normalized")).unionByName(one("report", F.col("report"))).unionByName(whole).unionByName(parts(results, "results")).unionByName(parts(error_list(batch), "errors"))

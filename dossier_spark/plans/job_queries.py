@@ -10,6 +10,7 @@ from dossier_spark.operators import answers as A
 from dossier_spark.operators import jobs as J
 from dossier_spark.operators import transcripts as T
 from dossier_spark.sources.files import write_json
+from dossier_spark.sources.named import write_named
 from dossier_spark.streaming import jobs as stream
 
 from .base import STRIP, place, query, table
@@ -228,11 +229,6 @@ def transcripts(spark, sf):
     return T.transcript(timed(spark, sf), 40)
 
 
-@query("S16", f"""with {SEG} select source_id, '{{"type":"audio","source_id":"' || source_id || '","n_segments":' || count(*) || ',"transcript_text":"' || string_agg(trim(text), ' ' order by start, seq) filter (where trim(text) <> '') || '"}}' as manifest from seg group by 1 having count(*) filter (where trim(text) <> '') > 0""")
-def manifests(spark, sf):
-    return T.manifest(timed(spark, sf))
-
-
 FOLD = f"""with recursive {SEG}, s as (select source_id, row_number() over (partition by source_id order by start, seq) as i, start, "end" as e, trim(text) as t from seg where trim(text) <> ''),
 w as (select source_id, i, start as ws, e as we, e as last_end, t as txt, 0 as no, false as closed from s where i = 1
   union all select s.source_id, s.i, case when fresh then s.start else w.ws end, case when fresh then s.e else greatest(w.we, s.e) end, s.e, case when fresh then s.t else w.txt || ' ' || s.t end,
@@ -245,6 +241,26 @@ def windows(spark, sf):
     return T.windows(timed(spark, sf)).select("source_id", "window_no", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text")
 
 
+@query("S16", rf"""with f as ({FOLD.replace("round(arg_max(ws, i), 6)", "arg_max(ws, i)").replace("round(arg_max(we, i), 6)", "arg_max(we, i)")}), {SEG},
+  s as (select *, ((row_number() over (partition by source_id order by start, seq) - 1) // 60)::int as part from seg),
+  spoken as (select source_id, part, count(*) as n_segments, coalesce(string_agg(trim(text), ' ' order by start, seq) filter (where trim(text) <> ''), '') as transcript_text from s group by 1, 2),
+  c as (select source_id, window_no // 60 as part, count(*) as n_chunks, string_agg('[t=' || round_even(start, 0)::bigint || 's-' || round_even("end", 0)::bigint || 's] ' || text, chr(10) order by window_no) as lines from f group by 1, 2)
+  select source_id, part, 'talk ' || source_id || '.m4a' as original_filename, n_segments, transcript_text, coalesce(n_chunks, 0) as n_chunks,
+    regexp_replace('Transcription audio (local) — talk ' || source_id || '.m4a' || chr(10) || 'Date: 2024-01-01' || chr(10) || 'SourceId: ' || source_id || chr(10) || chr(10) || coalesce(lines, transcript_text), '\s+$', '') || chr(10) as text
+  from spoken left join c using (source_id, part)""")
+def manifests(spark, sf):
+    """Transcripts and manifests written with one commit, in parts of 60 segments, and read back."""
+    path, segs = place(spark, "audio"), timed(spark, sf)
+    audio = segs.select("source_id").distinct().withColumn("audio_path", F.format_string("/in/talk %s.m4a", "source_id"))
+    write_named(T.audio_files(segs, audio, "2024-01-01", 60), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_replace("path", r"\.[a-z]+$", "").alias("stem"), F.col("path").endswith(".json").alias("is_json"), F.col("content").cast("string").alias("c"))
+    kind = "source_id string, part int, original_filename string, audio_path string, transcript_text string, segments array<struct<start:double,end:double,text:string>>, chunks array<struct<start:double,end:double,text:string>>"
+    m = files.filter("is_json").select("stem", F.from_json("c", kind).alias("m")).select("stem", "m.*")
+    size = lambda c: F.size(c).cast("long")
+    texts = files.filter("not is_json").select("stem", F.col("c").alias("text"))
+    return m.join(texts, "stem").select("source_id", "part", "original_filename", size("segments").alias("n_segments"), "transcript_text", size("chunks").alias("n_chunks"), "text")
+
+
 @query("N29", f"with {SEG} select source_id, seq, '[t=' || round_even(start % 1000, 0)::bigint || 's-' || round_even(start % 1000 + 7.3, 0)::bigint || 's] ' || text as line from seg")
 def window_lines(spark, sf):
     t = timed(spark, sf)

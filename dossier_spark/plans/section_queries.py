@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier_spark.operators import sections as S
-from dossier_spark.sources.files import write_csv, write_json
+from dossier_spark.sources.files import write_csv
+from dossier_spark.sources.named import write_named
 
 from .base import ALIKE_SQL, LINES_SQL, STRIP, lines, place, query, table
 
@@ -368,14 +369,29 @@ def markdown_rows(spark, sf):
     return S.markdown_report(b.withColumn("missing_required_sections", more), "2024-01-01T00:00:00", "clients", "rules.yaml", "stage")
 
 
-@query("S10", COVER + "select doc_id, source as client_name, gated.status, gated.profile, (case when avs <> '' then 1 else 0 end + case when full_name = '' then 0 when contains(full_name, ' ') then 3 else 2 end + coalesce(ct <> '', false)::int + coalesce(cv <> '', false)::int + (p1 <> '')::int + (p2 <> '')::int + coalesce(cc <> '', false)::int + coalesce(ca <> '', false)::int)::bigint as n_places from gated join b using (doc_id) join documents using (doc_id)")
+LEAVES = [("identity.avs", "avs"), ("identity.full_name", "full_name"), ("identity.name", "case when contains(full_name, ' ') then regexp_replace(full_name, '\\s+\\S+$', '') else '' end"), ("identity.surname", "regexp_extract(full_name, '\\S*$')"),
+  ("tests", "ct"), ("tests.vocation", "cv"), ("orientation_formation.orientation", "p1"), ("orientation_formation.stage", "p2"), ("conclusion", "cc"), ("annex.stage", "ca")]
+
+
+@query("S10", COVER + ", places as (" + " union all ".join(f"select doc_id, '{p}' as path, {v} as text from b where coalesce({v}, '') <> ''" for p, v in LEAVES) + f"""), named as (select doc_id, source || '/doc_' || doc_id as folder from documents), done as (select * from named where doc_id % 9 <> 0)
+  select folder || '/normalized.json' as name, path, text from done left join places using (doc_id)
+  union all select folder || '/report.json', 'status', status from done join gated using (doc_id) union all select folder || '/report.json', 'profile', profile from done join gated using (doc_id)
+  union all select 'batch_report.json', k, v from (select unnest(['discovered_count', 'total', 'successful', 'errors', 'go', 'no_go', 'ruleset_path']) as k, unnest([total::varchar, total::varchar, successful::varchar, errors::varchar, go::varchar, no_go::varchar, 'rules.yaml']) as v from ({TOTALS}))
+  union all select 'results', coalesce(folder, ''), batch.status from batch join named using (doc_id) union all select 'errors', doc_id::varchar, error_message from batch where status = 'error'""")
 def documents_written(spark, sf):
-    """Normalised documents and reports, a folder for each client, written as JSON and read back."""
-    path = place(spark, "reports")
-    d = S.documents_out(reported(spark, sf)).join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("client_name")), "doc_id")
-    write_json(d, path, "client_name")
-    back = spark.read.schema("doc_id long, normalized map<string,string>, report struct<status:string,profile:string>, client_name string").json(path)
-    return back.select("doc_id", "client_name", "report.status", "report.profile", F.size("normalized").cast("long").alias("n_places"))
+    """A batch's files written with one commit, and their whole contents read back."""
+    path, b, good = place(spark, "reports"), batch(spark, sf), S.report(lines(spark, sf).filter("doc_id % 9 <> 0"), RULES)
+    names = table(spark, sf, "documents").select("doc_id", F.format_string("%s/doc_%d", "source", "doc_id").alias("folder"))
+    run = {"timestamp": "2024-01-01T00:00:00", "root_dir": "clients", "ruleset_path": "rules.yaml", "gate_profile_override": None}
+    write_named(S.batch_files(good, b, names, run, 300), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.select(F.regexp_replace("path", "^.*?/reports-[0-9a-f]+/", "").alias("name"), F.col("content").cast("string").alias("c"))
+    doc = files.filter("endswith(name, '/normalized.json')").select("name", F.explode_outer(F.from_json("c", "map<string,string>")).alias("path", "text"))
+    json = lambda where, *fields: files.filter(where).select("name", F.explode(F.array(*[F.struct(F.lit(f.split(".")[-1]).alias("path"), F.get_json_object("c", f"$.{f}").alias("text")) for f in fields])).alias("x")).select("name", "x.*")
+    line = lambda kind, key, value: files.filter(f"startswith(name, 'batch_report/{kind}_')").select(F.lit(kind).alias("name"), F.explode(F.split("c", "\n")).alias("l")).filter("l <> ''").select("name", F.get_json_object("l", f"$.{key}").alias("path"), F.get_json_object("l", f"$.{value}").alias("text"))
+    out = doc.unionByName(json("endswith(name, '/report.json')", "status", "profile"))
+    out = out.unionByName(json("name = 'batch_report.json'", "discovered_count", *[f"summary.{k}" for k in ("total", "successful", "errors", "go", "no_go")], "ruleset_path"))
+    return out.unionByName(line("results", "folder", "status")).unionByName(line("errors", "client", "error"))
 
 
 @query("T4", COVER + "select doc_id, array_to_string(string_split(warnings, '|')[1:3], '|') as preview, greatest(0, case when warnings = '' then 0 else len(string_split(warnings, '|')) end - 3) as rest from cov")
