@@ -76,6 +76,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def query_document_frequency(queries: DataFrame, df: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """(client_id, query_id, term, qtf, df): the query terms come to the frequencies by broadcast, block by block, so that no common
+    term is a hot key (J13)."""
+    out = None
+    for some in _blocks(written(query_terms(queries), "terms"), block):
+        one = df.join(F.broadcast(some), "term")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _blocks(terms: DataFrame, block: int) -> Iterator[DataFrame]:
     """The query terms in blocks of about `block` rows, a query whole in one."""
     blocks = max(1, -(-terms.count() // block))

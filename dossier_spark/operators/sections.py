@@ -568,16 +568,26 @@ def warnings(d: DataFrame) -> DataFrame:
     return d.withColumn("warnings", F.concat(each("missing_required", "Required section missing: "), each("missing_weighted", "Weighted section missing (not blocking): "), F.transform("failed", inline)))
 
 
+def _mapped(paragraphs: DataFrame, rules: Ruleset) -> DataFrame:
+    """Mapped segments, and of every document what stands before its first heading, which is none."""
+    mapped = map_titles(_segments(paragraphs, rules), rules)
+    lead = F.col("seg_no") > 0
+    return mapped.withColumn("section_id", F.when(lead, F.col("section_id"))).withColumn("confidence", F.when(lead, F.col("confidence")).otherwise(F.lit(0.0)))
+
+
+def filled_sections(paragraphs: DataFrame, rules: Ruleset) -> DataFrame:
+    """(doc_id, section_id, filled) of every document and section, also of documents without a heading."""
+    ids = [s[0] for s in rules.sections]
+    d = normalised(_mapped(paragraphs, rules), rules)
+    return d.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("section_id"), F.coalesce(filled_test(i), F.lit(False)).alias("filled")) for i in ids])))
+
+
 def report(paragraphs: DataFrame, rules: Ruleset, forced: str | None = None, strict: bool = False) -> DataFrame:
     """The flagship plan: paragraphs to one gated row for each document. `forced` sets the profile of all (H4).
 
     One scan and one shuffle, by doc_id: segments, winners and the document are windows and aggregates within it.
     """
-    mapped = map_titles(_segments(paragraphs, rules), rules)
-    # what stands before the first heading is no segment
-    lead = F.col("seg_no") > 0
-    mapped = mapped.withColumn("section_id", F.when(lead, F.col("section_id"))).withColumn("confidence", F.when(lead, F.col("confidence")).otherwise(F.lit(0.0)))
-    d = normalised(mapped, rules)
+    d = normalised(_mapped(paragraphs, rules), rules)
     holes = F.aggregate("leaves", F.lit(0), lambda n, p: n + placeholders(p["text"]))
     d = profile(warnings(coverage(d, rules, strict)), rules.default_profile).withColumn("placeholders", holes)
     d = d.withColumn("forced", F.lit(forced is not None))

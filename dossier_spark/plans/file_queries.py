@@ -81,9 +81,12 @@ def chunk_dump(spark, sf):
     return spark.read.schema("path string, chunk_no long, chunk string").json(path)
 
 
-@query("S15", "select source || '/doc_' || doc_id || '.txt' as path, '===== FILE: ' || source || '/doc_' || doc_id || '.txt =====' || chr(10) || text || chr(10) as value from documents where trim(text) <> ''")
+@query("S15", r"select unnest(regexp_split_to_array('===== FILE: ' || source || '/doc_' || doc_id || '.txt =====' || chr(10) || text || chr(10), '\r\n|\r|\n')) as line from documents where trim(text) <> ''")
 def corpus(spark, sf):
-    return S.corpus_lines(documents(spark, sf))
+    """The corpus file, written and read back."""
+    path = place(spark, "corpus")
+    S.write_corpus(documents(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 def pack_docx(i: int, text: str) -> bytes:

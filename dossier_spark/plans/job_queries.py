@@ -53,10 +53,11 @@ def truncated(spark, sf):
     return raw(spark, sf).select("conv_id", "turn", X.first_chars(X.first_lines(F.col("r"), 3), 120).alias("t"))
 
 
-@query("N24", "select p_partkey, case when v in ('bon', 'mauvais') then upper(substr(v, 1, 1)) || substr(v, 2) when v = 'très  bien' then 'Tres bien' end as value from (select p_partkey, ['bon', 'x', 'très  bien', 'mauvais'][p_partkey % 4 + 1] as v from part)")
+@query("N24", "select conv_id, turn, case when lower(trim(v)) in ('user', 'assistant') then upper(substr(trim(v), 1, 1)) || lower(substr(trim(v), 2)) end as value from (select conv_id, turn, case turn % 3 when 0 then upper(role) when 1 then ' ' || role || ' ' else text end as v from conversations)")
 def allowed(spark, sf):
-    v = F.expr("element_at(array('bon', 'x', 'TRÈS  bien', 'MAUVAIS'), cast(p_partkey % 4 as int) + 1)")
-    return table(spark, sf, "part").select("p_partkey", X.allowed_value(v, F.array(F.lit("Bon"), F.lit("Mauvais"), F.lit("Tres bien"))).alias("value"))
+    """Roles and whole texts against the roles."""
+    v = F.expr("case turn % 3 when 0 then upper(role) when 1 then concat(' ', role, ' ') else text end")
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.allowed_value(v, F.array(F.lit("User"), F.lit("Assistant"))).alias("value"))
 
 
 @query("N25", """select conv_id, turn, case when conv_id % 3 = 0 then 'v' || turn when conv_id % 3 = 1 then text else '{"turn":' || turn || ',"role":"' || role || '"}' end as t from conversations""")
@@ -99,9 +100,9 @@ def filling(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.fill(F.concat("text", F.lit(" {A}1 {A} {T} "), "text"), m).alias("t"))
 
 
-@query("N32", r"select conv_id, turn, trim(regexp_replace(replace(lower('  Le TITRE : ' || role || ' '), ':', ' '), '\s+', ' ', 'g')) as key, '• ' || role || chr(10) || 'x - y' as body from conversations")
+@query("N32", r"select conv_id, turn, trim(regexp_replace(replace(lower(text), ':', ' '), '\s+', ' ', 'g')) as key, '• ' || replace(text, chr(10), chr(10) || '• ') as body from conversations")
 def headings(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.heading_key(F.concat(F.lit("  Le TITRE : "), "role", F.lit(" "))).alias("key"), X.bullets(F.concat(F.lit("- "), "role", F.lit("\nx - y"))).alias("body"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.heading_key(F.col("text")).alias("key"), X.bullets(F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))).alias("body"))
 
 
 # How each reply came: its kind, a failed call, passages found, and the values it may have.
@@ -327,9 +328,10 @@ def progress(spark, sf):
     return J.progress(stages(spark, sf)).withColumn("progress", F.round("progress", 6))
 
 
-@query("N33", "select event_id, case event_type when 'click' then 'pending' else 'failed' end as shown from (select event_id, case when event_type = 'click' then 'click' else 'x' end as event_type from events)")
+@query("N33", "select event_id, coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in J.STATUS.items()) + "}[lower(s)], 'pending') as shown from (select event_id, coalesce(['Queued', 'deferred', 'SCHEDULED', 'started', 'finished', 'Failed', 'stopped', 'canceled'][event_id % 10 + 1], event_type) as s from events)")
 def shown(spark, sf):
-    s = F.expr("case when event_type = 'click' then 'Queued' else 'stopped' end")
+    """Every state of a queue, and words that are none."""
+    s = F.expr("coalesce(try_element_at(array('Queued', 'deferred', 'SCHEDULED', 'started', 'finished', 'Failed', 'stopped', 'canceled'), cast(event_id % 10 as int) + 1), event_type)")
     return table(spark, sf, "events").select("event_id", J.shown_status(s).alias("shown"))
 
 

@@ -10,7 +10,7 @@ from dossier_spark.operators import retrieval as R
 from dossier_spark.sources import files as S
 from dossier_spark.sources.files import write_context
 
-from .base import CHUNKS_SQL, LINES_SQL, N1, STRIP, SUFFIX, documents, lines, place, query, table
+from .base import CHUNKS_SQL, FILES_SQL, LINES_SQL, N1, STRIP, SUFFIX, documents, files, lines, place, query, table
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TOK = f"list_filter(list_transform(regexp_extract_all({{0}}, '[A-Za-zÀ-ÖØ-öø-ÿ0-9'']+'), lambda x: lower(x)), lambda x: length(x) > 1 and not list_contains([{STOP}], x))"
@@ -93,7 +93,7 @@ def scores(spark, sf):
 @query("J13", BM25_SQL + "select client_id, query_id, term, qtf, df from q join dfs using (term)")
 def query_term_join(spark, sf):
     df = R.document_frequency(R.postings(R.chunk_tokens(chunked(spark, sf))))
-    return R.query_terms(questions(spark, sf)).join(df, "term").select("client_id", "query_id", "term", "qtf", "df")
+    return R.query_document_frequency(questions(spark, sf), df).select("client_id", "query_id", "term", "qtf", "df")
 
 
 @query("W3", BM25_SQL + "select client_id, query_id, rank, path, chunk_no, score from ranked where rank <= 5")
@@ -240,10 +240,11 @@ def requested(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", X.requested_name(s, "nobody").alias("who"))
 
 
-@query("F3", "select n, count(*) as docs from (select case doc_id % 4 when 0 then 'pdf' when 1 then 'docx' when 2 then 'txt' else 'skipped' end as n from documents) group by 1")
+@query("F3", "with " + FILES_SQL + """ select path, case when lower(s) in ('.pdf', '.docx', '.txt') then substr(lower(s), 2) else 'skipped' end as n from (select path, case when doc_id % 5 = 0 then '.JPG' when doc_id % 7 = 0 then upper(suffix) else suffix end as s from files)""")
 def routing(spark, sf):
-    ext = F.expr("element_at(array('.PDF', '.docx', '.txt', '.jpg'), cast(doc_id % 4 as int) + 1)")
-    return table(spark, sf, "documents").groupBy(S.route(ext).alias("n")).agg(F.count("*").alias("docs"))
+    """How each file of the inventory is read."""
+    s = F.expr("case when doc_id % 5 = 0 then '.JPG' when doc_id % 7 = 0 then upper(suffix) else suffix end")
+    return files(spark, sf).select("path", S.route(s).alias("n"))
 
 
 PLACED = "select doc_id, source as client_id, doc_id % 4 > 0 and doc_id % 40 not in (1, 2, 3) as in_sources, case when doc_id % 6 = 0 or source like '%1' and doc_id % 2 = 0 then ' ' else text end as text from documents"
@@ -255,6 +256,15 @@ def source_fallback(spark, sf):
     return S.with_text(d).select("doc_id", "client_id", F.length("text").cast("long").alias("n_chars"))
 
 
+BLANKED = "case when source like '%1' or doc_id % 6 = 0 then ' ' else text end as text"
+
+
+@query("F4_none", f"select source as client_id, 'no document with text' as error from (select source, {BLANKED} from documents) group by 1 having count(*) filter (where {STRIP.format('text')} <> '') = 0")
+def no_text_at_all(spark, sf):
+    """Clients none of whose documents has text."""
+    return S.clients_without_text(table(spark, sf, "documents").selectExpr("source as client_id", BLANKED))
+
+
 @query("A22", "select count(*) filter (where k = 0) as errors, count(*) filter (where k in (1, 2)) as ok, count(*) filter (where k = 3) as skipped, count(*) as total from (select case when doc_id % 17 = 0 then 0 when doc_id % 4 = 3 then 3 else 1 end as k from documents)")
 def extraction_counts(spark, sf):
     state = F.expr("case when doc_id % 17 = 0 then 'error' when doc_id % 4 < 3 then 'text' end")

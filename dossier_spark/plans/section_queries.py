@@ -219,12 +219,9 @@ def weighted(spark, sf):
     return reported(spark, sf).select("doc_id", F.round("weighted_coverage", 6).alias("weighted_coverage"))
 
 
-@query("A8", COVER + "select doc_id, i, t, v, o, c from cov")
+@query("A8", COVER + "select doc_id, unnest(['identity', 'tests', 'tests.vocation', 'orientation_formation', 'conclusion']) as section_id, unnest([i, t, v, o, c]) as filled from cov")
 def filled(spark, sf):
-    d = S.normalised(mapped(spark, sf), RULES)
-    have = d.select("doc_id", *[S.filled_test(s).alias(k) for k, s in zip("itvoc", ("identity", "tests", "tests.vocation", "orientation_formation", "conclusion"))])
-    none = lines(spark, sf).select("doc_id").distinct().join(have, "doc_id", "left")
-    return none.select("doc_id", *[F.coalesce(k, F.lit(k == "t")).alias(k) for k in "itvoc"])
+    return S.filled_sections(lines(spark, sf), RULES).filter("section_id <> 'annex.stage'")
 
 
 @query("A10", COVER + "select doc_id, has_stage, has_orientation, n_bilan::int as n_bilan, unknown_titles from sig")
