@@ -25,6 +25,7 @@ ROLES = {
     "06_rapport": ("06 Rapport final", "06", "Rapport final", "Rapports"),
     "07_suivi": ("07 Suivi", "07", "Suivi"),
 }
+# Words in the name of a reference document.
 KEYWORDS = ("rapport", "bilan", "orientation", "synthese", "synthèse", "final", "conclusion", "evaluation", "évaluation")
 # Words of templates, which are no reference documents.
 TEMPLATE_WORDS = ("template", "modele", "modèle", "vierge", "copie")

@@ -1,5 +1,7 @@
 """The retry ladder, and the processing of replies."""
 
+from pyspark.sql import functions as F
+
 from dossier_spark.operators import answers as A
 
 
@@ -35,8 +37,16 @@ def test_processed(spark):
     }
 
 
-def test_prompt_parts(spark):
-    df = spark.createDataFrame([("c", f"p{i:03}", f"t{i}") for i in range(7)], "client_id string, path string, text string")
-    got = {r.part: (r.n_docs, r.prompt) for r in A.prompts_per_client(df, 3).collect()}
-    assert {p: n for p, (n, _) in got.items()} == {0: 3, 1: 3, 2: 1}
-    assert got[0][1].index("t0") < got[0][1].index("t1") < got[0][1].index("t2") and "t3" not in got[0][1]
+def test_summary_prompts(spark):
+    """A document longer than the budget in pieces that make it up; summaries packed in order, the last prompt with the person."""
+    df = spark.createDataFrame([("c", f"d/p{i:03}", f"t{i}" * (1 if i else 700)) for i in range(7)], "client_id string, path string, text string")
+    got = A.summary_prompts(df, 1000).orderBy("path", "piece").collect()
+    assert max(len(r.prompt) for r in got) <= 1000 and {r.name for r in got} == {f"p{i:03}" for i in range(7)}
+    body = [r.prompt.split("CONTENU DU DOCUMENT :\n")[1] for r in got]
+    assert "".join(b for r, b in zip(got, body, strict=True) if r.path == "d/p000") == "t0" * 700 and body[-1] == "t6"
+    s = spark.createDataFrame([("c", f"p{i:03}", 0, f"p{i:03}", "x" * 90) for i in range(30)] + [("e", "a", 0, "a", "one"), ("e", "b", 0, "b", "two")], "client_id string, path string, piece int, name string, reply string")
+    merged = A.merge_prompts(s, F.lit("Jo"), 1800, 100).orderBy("client_id", "piece").collect()
+    assert all(len(r.prompt) <= 1800 for r in merged) and [r.final for r in merged] == [False] * (len(merged) - 1) + [True] and len(merged) > 2
+    names = [n.split(" ---")[0] for r in merged if r.client_id == "c" for n in r.prompt.split("--- Résumé de ")[1:]]
+    assert names == [f"p{i:03}" for i in range(30)]
+    assert merged[-1].prompt.startswith(A.OF_REPORT[0] + "Jo.") and merged[-1].prompt.endswith("--- Résumé de a ---\none\n\n--- Résumé de b ---\ntwo\n\n")

@@ -23,3 +23,12 @@ def test_without_text_operators(tmp_path, gone):
     assert run.returncode == 0, run.stderr[-2000:]
     n, *rest = run.stdout.split()
     assert int(n) > 140 and rest == ["False", "False", "True", "True"]
+
+
+def test_the_rest_passes_without_text_operators(tmp_path):
+    repo = tmp_path / "repo"
+    shutil.copytree(ROOT, repo, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    (repo / "corpus_pipeline.py").unlink()
+    some = ["tests/test_text.py", "tests/test_retrieval.py", "tests/test_answers.py", "tests/test_named.py"]
+    run = subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "-x", *some], cwd=repo, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert run.returncode == 0, run.stdout[-3000:]
