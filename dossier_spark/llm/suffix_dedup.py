@@ -268,7 +268,14 @@ class Family:
         if not last:
             self.levels[height] = merged
 
+    def __enter__(self) -> Family:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        self.drop()
+
     def drop(self) -> None:
+        """Delete the levels and all other tables of the family."""
         for name, path in self.names:
             self.spark.sql(f"drop table if exists {name}")
             files.delete(self.spark, path)
@@ -567,20 +574,21 @@ def remove_repeated_bytes(df: DataFrame, text_col: str = "text", window: int = W
     kept = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema["rest"].dataType])
     out = T.StructType([T.StructField("rest", kept), *(T.StructField(x, T.LongType()) for x in MADE[:3]), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
     names = [F.col(f"rest.`{c}`").alias(c) for c in rest]
-    with C.Scratch() as scratch:
+    family = Family(spark, parts, window, depth)
+    with C.Scratch() as scratch, family:
         again = C.written(docs.groupBy("ka", "kb").agg(F.count("*").alias("n")).filter("n > 1").select("ka", "kb"), "again")
         repeats = again.count()
         mark = F.broadcast(again) if repeats <= BROADCAST_KEYS else again
         repeated = docs.join(mark, ["ka", "kb"], "left_semi")
         one = repeated.dropDuplicates(["ka", "kb"]).withColumn("rest", F.lit(None).cast(docs.schema["rest"].dataType))
         single = docs.join(mark, ["ka", "kb"], "left_anti")
-        matched = scratch.keep(C.written(_matched(spark, single.unionByName(one), parts, window, depth, batches, hot, out).filter("rest is not null"), "cut", "zstd"))
+        matched = scratch.keep(C.written(_matched(family, single.unionByName(one), batches, hot, out).filter("rest is not null"), "cut", "zstd"))
         whole = scratch.keep(C.written(repeated.select("raw", "rest").mapInArrow(C.tidy(_all_or_nothing(window)), out), "whole", "zstd"))
     return matched.unionByName(whole).select(*names, *MADE)
 
 
-def _matched(spark: SparkSession, docs: DataFrame, parts: int, window: int, depth: int, batches: int, hot: int, out: T.StructType) -> DataFrame:
-    family = Family(spark, parts, window, depth)
+def _matched(family: Family, docs: DataFrame, batches: int, hot: int, out: T.StructType) -> DataFrame:
+    spark, parts, window, depth = family.spark, family.parts, family.window, family.depth
     schema = T.StructType([T.StructField("home", T.IntegerType()), T.StructField("row", T.IntegerType()), docs.schema["raw"], out["rest"]])
     homed = docs.select(F.pmod("kb", F.lit(parts)).cast("int").alias("home"), "raw", "rest").repartition(parts, "home")
     docs = family.bucketed(homed.mapInArrow(_number, schema), "home")
