@@ -79,19 +79,35 @@ class Model:
         return score
 
 
+class Sparse:
+    """The entries of a matrix that are not zero: most of a document's features are."""
+
+    def __init__(self, x: np.ndarray):
+        self.n, self.width = x.shape
+        self.row, self.col = np.nonzero(x)
+        self.value = x[self.row, self.col].astype(np.float64)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.n)
+
+    def summed(self, s: np.ndarray) -> np.ndarray:
+        """The rows added up, each times its s."""
+        return np.bincount(self.col, self.value * s[self.row], self.width)
+
+
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic weights by the non-negative risk, with Adam on the whole sample. Where the negative part of
     the risk falls below zero, the step is taken against it instead."""
-    p, u = x[positive], x[~positive]
+    p, u = Sparse(x[positive]), Sparse(x[~positive])
     w, b = np.zeros(x.shape[1]), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
+        zp, zu = p.times(w) + b, u.times(w) + b
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -50, 50))), 1 / (1 + np.exp(-np.clip(zu, -50, 50)))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gn_w, gn_b = su @ u / len(u) - prior * (sp @ p) / len(p), su.mean() - prior * sp.mean()
+        gn_w, gn_b = u.summed(su) / u.n - prior * p.summed(sp) / p.n, su.mean() - prior * sp.mean()
         if negative >= 0:
-            g = np.r_[-prior * ((1 - sp) @ p) / len(p) + gn_w, -prior * (1 - sp).mean() + gn_b]
+            g = np.r_[-prior * p.summed(1 - sp) / p.n + gn_w, -prior * (1 - sp).mean() + gn_b]
         else:
             g = -np.r_[gn_w, gn_b]
         g[:-1] += decay * w
