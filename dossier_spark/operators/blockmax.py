@@ -116,13 +116,13 @@ def index(spark: SparkSession, tokenised: DataFrame, queries: Queries, size: int
 
 
 class Block:
-    """A block's postings by chunk and by term, with impacts and their bounds."""
+    """A block's postings by chunk and by term, with impacts and their bounds. idf: the terms and their weights."""
 
-    def __init__(self, row: dict, k1: float, b: float, words: int):
+    def __init__(self, row: dict, idf_of: tuple[np.ndarray, np.ndarray], k1: float, b: float, words: int):
         self.n = row["n"]
         dl, self.at, term, tf = (np.frombuffer(row[c], np.int32) for c in ("dl", "at", "term", "tf"))
         idf = np.zeros(words)
-        idf[[w["term"] for w in row["idf"]]] = [w["idf"] for w in row["idf"]]
+        idf[idf_of[0]] = idf_of[1]
         chunk = np.repeat(np.arange(self.n), np.diff(self.at))
         self.term = term
         self.impact = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[chunk] / row["avgdl"])) if len(term) else np.zeros(0)
@@ -189,8 +189,12 @@ def search(queries, k: int | None, k1: float, b: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]):
         q: Queries = queries.value
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row, k1, b, len(q.vocabulary))
+            # one row as Python values at a time, its lists never: a batch may hold thousands of rows
+            plain = batch.select([c for c in batch.schema.names if c not in ("path", "page", "chunk_no", "idf")])
+            for number in range(batch.num_rows):
+                row = plain.slice(number, 1).to_pylist()[0]
+                weights = batch["idf"][number].values
+                block = Block(row, (weights.field("term").to_numpy(), weights.field("idf").to_numpy()), k1, b, len(q.vocabulary))
                 least = dict(zip(row["asked"] or [], row["threshold"] or [], strict=True)) if "asked" in row else {}
                 who, what, score, scored = [], [], [], 0
                 for i in range(len(q.ids)):
@@ -207,11 +211,11 @@ def search(queries, k: int | None, k1: float, b: float) -> Callable:
                 if not who:
                     continue
                 who, what, score = (np.concatenate(x) for x in (who, what, score))
-                take = lambda c, kind: pa.array(row[c], kind).take(pa.array(what))
+                take = lambda c, part: batch[c][number].values.take(pa.array(what[part]))
                 for lo in range(0, len(who), 1 << 14):
                     part = slice(lo, lo + (1 << 14))
                     cols = [pa.array([row["client_id"]] * len(who[part]), pa.string()), pa.array(who[part], pa.int32())]
-                    cols += [take("path", pa.string())[part], take("page", pa.int32())[part], take("chunk_no", pa.int32())[part], pa.array(score[part]), pa.array([scored] + [0] * (len(who[part]) - 1) if not lo else [0] * len(who[part]), pa.int64())]
+                    cols += [take("path", part), take("page", part), take("chunk_no", part), pa.array(score[part]), pa.array([scored] + [0] * (len(who[part]) - 1) if not lo else [0] * len(who[part]), pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, ["client_id", "asked", "path", "page", "chunk_no", "score", "pairs"])
 
     return run
