@@ -39,3 +39,16 @@ def test_terms_are_counted_in_place(spark):
     p = R.postings(R.chunk_tokens(spark.createDataFrame(rows, "client_id string, path string, page int, chunk_no int, chunk string")))
     assert sorted((r.client_id, r.chunk_no, r.term, r.tf) for r in p.collect()) == [("c", 0, "aa", 1), ("c", 0, "bb", 3), ("c", 0, "cc", 1), ("d", 0, "a1", 2), ("d", 0, "zz", 1)]
     assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extraction_is_one_pass(spark, tmp_path):
+    """One scan of the files, no shuffle; the paragraphs of a file are not grouped again."""
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.docx").write_bytes(pack_docx(1, "one\ntwo"))
+    (tmp_path / "c" / "b.docx").write_bytes(b"broken")
+    (tmp_path / "c" / "t.txt").write_bytes("é\r\nx".encode("latin-1"))
+    d = S.extract(spark, str(tmp_path))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    got = {r.path.rsplit("/", 1)[1]: (r.extractor, r.text, r.error) for r in d.collect()}
+    assert got == {"a.docx": ("docx", "one\ntwo\none | cell", None), "b.docx": ("error", "", "BadZipFile"), "t.txt": ("text", "é\nx", None)}
