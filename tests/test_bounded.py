@@ -52,3 +52,27 @@ def test_extraction_is_one_pass(spark, tmp_path):
     assert plan.count("FileScan") == 1 and "Exchange" not in plan
     got = {r.path.rsplit("/", 1)[1]: (r.extractor, r.text, r.error) for r in d.collect()}
     assert got == {"a.docx": ("docx", "one\ntwo\none | cell", None), "b.docx": ("error", "", "BadZipFile"), "t.txt": ("text", "é\nx", None)}
+
+
+def test_job_state_is_read_and_written_once():
+    """A job's news of a batch cost one read, one write and one timer of its state, however many columns and events there are."""
+    import pandas as pd
+
+    from dossier_spark.streaming.jobs import JobState
+
+    calls, held = [], {}
+
+    class Value:
+        get = lambda self: calls.append("get") or held.get("v")
+        exists = lambda self: calls.append("exists") or "v" in held
+        update = lambda self, v: calls.append("update") or held.update(v=v)
+
+    handle = SimpleNamespace(getValueState=lambda *a: Value(), registerTimer=lambda t: calls.append("timer"), deleteTimer=lambda t: calls.append("delete"))
+    p = JobState("24 hours", False)
+    p.init(handle)
+    rows = pd.DataFrame({"ts": pd.to_datetime([2, 1, 2], unit="s"), "seq": [3, 1, 2], "status": [None, "a", "b"], "message": ["", "m", None], "progress": [None, 5.0, None], "version": [None, None, 1.0]})
+    out = pd.concat(p.handleInputRows(("j",), iter([rows]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert out.iloc[0].tolist()[:5] == ["j", "b", "m", 5, 1] and out["updated_at"].iloc[0] == pd.Timestamp(2, unit="s")
+    assert calls == ["get", "timer", "update"]
+    late = list(p.handleInputRows(("j",), iter([rows]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert late == [] and calls[3:] == ["get"]
