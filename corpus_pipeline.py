@@ -10,6 +10,8 @@ as a source of their own; with no documents every stage is empty.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,28 +33,44 @@ def put_back(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*[F.col(c) if c in OWN else F.col(f"{REST}.`{c}`").alias(c) for c in docs.columns])
 
 
+def bounded(stage):
+    """The stage in small Arrow batches: executors and workers serve all stages, and what each leaves adds up."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this input, does not reject."""
     model = toxicity.train(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
     return put_back(toxicity.score(set_aside(docs), model).filter("predicted = 0"), docs)
 
 
+@bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of least id; documents without words are in no group."""
     return near_dedup.drop_duplicates(docs)
 
 
+@bounded
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that also occur elsewhere; untouched ones keep their text as it is."""
     cut = substring_dedup.remove_repeated_passages(set_aside(docs))
     return put_back(cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
+@bounded
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix asks."""
     return put_back(mixing.mix(set_aside(docs)), docs)
 
 
+@bounded
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their digest and that of the decoded text. Workers keep small tables, since
     they also serve the other stages."""

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
+OWNER = "bpe"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 STATES, WORDS, LONG, ROWS = 200_000, 200_000, 48, 512
 
@@ -272,15 +273,12 @@ class Codec:
         yield machine.end()
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def codec(path: str, pattern: str, max_states: int = STATES, max_words: int = WORDS) -> Codec:
-    """One codec for each worker process and vocabulary; it stays for the worker's next tasks."""
-    key = (path, pattern, max_states, max_words)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(*key)
-    return _CODECS[key]
+    """One codec for each worker process and vocabulary; it stays for the worker's next tasks of this operator."""
+    key, known = (path, pattern, max_states, max_words), C.kept(OWNER)
+    if key not in known:
+        known[key] = Codec(*key)
+    return known[key]
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -329,7 +327,7 @@ def encode(df: DataFrame, text_col: str = "text", outputs: tuple[str, ...] = ("i
     keep = tuple(c for c in df.columns if c != text_col and c not in made)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), *(T.StructField(o, TYPES[o]) for o in outputs)])
     spark_text = df[text_col].cast("string").alias(C.unused(keep))
-    return df.select(*keep, spark_text).mapInArrow(C.tidy(_encode(path, pattern, keep, outputs, tables)), schema)
+    return df.select(*keep, spark_text).mapInArrow(C.tidy(_encode(path, pattern, keep, outputs, tables), OWNER), schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:

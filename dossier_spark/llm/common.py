@@ -91,10 +91,28 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(run: Callable) -> Callable:
-    """run (batches to batches), giving memory back at the end of a task."""
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator's tasks keep in this worker process for its next tasks, until a task of another operator begins here."""
+    return _KEPT.setdefault(owner, {})
+
+
+def forget(but: str = "") -> None:
+    """Drop what the tasks of other operators have kept in this worker process."""
+    others = [owner for owner in _KEPT if owner != but]
+    for owner in others:
+        del _KEPT[owner]
+    if others:
+        give_back()
+
+
+def tidy(run: Callable, owner: str = "") -> Callable:
+    """run (batches to batches), giving memory back at the end of a task, and before it what other operators have kept."""
 
     def inner(batches):
+        forget(owner)
         try:
             yield from run(batches)
         finally:
@@ -107,17 +125,30 @@ def tidy_groups(run: Callable, every: int = 1) -> Callable:
     """run (a group to a table), giving memory back after each `every` groups. How many arguments it takes is run's own."""
     done = [0]
 
-    def after(out):
+    def call(*group):
+        forget()
+        out = run(*group)
         done[0] += 1
         if done[0] % every == 0:
             give_back()
         return out
 
     if len(inspect.signature(run).parameters) == 1:
-        return lambda table: after(run(table))
+        return lambda table: call(table)
     if len(inspect.signature(run).parameters) == 2:
-        return lambda a, b: after(run(a, b))
-    return lambda key, a, b: after(run(key, a, b))
+        return lambda a, b: call(a, b)
+    return lambda key, a, b: call(key, a, b)
+
+
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to workers and back in Arrow batches of BATCH_ROWS rows at most: an executor holds some of them at once, outside
+    its heap and in each worker. A setting of the session; a smaller one of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 # ---------------------------------------------------------------- numpy text kernels
