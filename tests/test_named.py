@@ -109,7 +109,7 @@ def test_the_driver_lists_no_named_files(spark, tmp_path):
         read_named(names, f"file://{tmp_path}/out").collect()
 
 
-@pytest.mark.parametrize("name", ["S10"])
+@pytest.mark.parametrize("name", ["S10", "S16"])
 def test_queries_of_named_files_list_none(spark, sf, name):
     read = registry.queries()[name](spark, sf).inputFiles()
     assert len(read) < 100 and not [f for f in read if f.endswith((".json", ".txt"))]
