@@ -33,7 +33,7 @@ ODD = {
 
 
 @pytest.mark.parametrize("odd", ODD)
-@pytest.mark.parametrize("name", ["N29", "W8"])
+@pytest.mark.parametrize("name", ["N29", "W8", "S16"])
 def test_odd_events(spark, tmp_path, name, odd):
     spark.createDataFrame(ODD[odd], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     con = duckdb.connect()
